@@ -11,9 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickwarden.functions.exprs import iso_datetime, ntz_to_ms
 from tickwarden.functions.exprs import round2 as round2_expr
-from tickwarden.operators import detectors, messages
+from tickwarden.operators import bars as bars_op
+from tickwarden.operators import decode, detectors, messages, points, records, routing
 from tickwarden.plans import params as P
+from tickwarden.session import scratch_path
+from tickwarden.sources import files, landing
 from tickwarden.sources.tables import event_ticks, order_ticks, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +85,98 @@ def q_round2(spark: SparkSession, sf_dir: str) -> DataFrame:
         amount.alias("amount"),
         round2_expr(amount).alias("amount_r2"),
     )
+
+
+@query("iso_datetime")
+def q_iso_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    ms = ntz_to_ms(F.col("ts"))
+    return ev.select("event_id", ms.alias("timestamp"), iso_datetime(ms).alias("datetime"))
+
+
+@query("record_json")
+def q_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.tick_records(event_ticks(spark, sf_dir))
+
+
+# ------------------------------------------------------ decode / pages
+
+
+@query("decode_ticks")
+def q_decode_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = decode.decode(landing.dirty_tick_feed(spark, sf_dir))
+    return good
+
+
+@query("quarantine")
+def q_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bad = decode.decode(landing.dirty_tick_feed(spark, sf_dir))
+    return bad
+
+
+@query("pages_explode")
+def q_pages_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = landing.land(landing.page_feed(spark, sf_dir), scratch_path(spark, "pages"), "json")
+    return records.explode_pages(files.read_pages(spark, path))
+
+
+@query("bar_records")
+def q_bar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = bars_op.as_raw_bars(bars_op.bars(event_ticks(spark, sf_dir), 1, "day"))
+    return records.normalize_bars(raw)
+
+
+# ---------------------------------------------------------------- points
+
+
+@query("price_points")
+def q_price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = points.points_from_records(landing.point_feed(spark, sf_dir), P.MEASUREMENT)
+    return points.upsert_points(pts)
+
+
+@query("points_range")
+def q_points_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "points")
+    pts = points.points_from_records(landing.point_feed(spark, sf_dir), P.MEASUREMENT)
+    points.write_point_log(pts, path)
+    return points.read_points_range(spark, path, P.RANGE_START, P.RANGE_STOP, P.MEASUREMENT)
+
+
+@query("date_range")
+def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_op.date_range(
+        read_table(spark, sf_dir, "orders"), "o_orderdate", P.DATE_RANGE_START, P.DATE_RANGE_END
+    )
+
+
+# ------------------------------------------------------------------ bars
+
+
+@query("bars_day")
+def q_bars_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_op.bars(event_ticks(spark, sf_dir), 1, "day")
+
+
+@query("bars_5min")
+def q_bars_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_op.bars(event_ticks(spark, sf_dir), 5, "minute")
+
+
+@query("bars_month")
+def q_bars_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars_op.bars(event_ticks(spark, sf_dir), 1, "month")
+
+
+@query("bars_rollup")
+def q_bars_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = bars_op.bars(event_ticks(spark, sf_dir), 1, "day")
+    return bars_op.bars(day, 1, "week")
+
+
+# --------------------------------------------------------------- routing
+
+
+@query("route_fields")
+def q_route_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.route_fields(landing.snapshot_feed(spark, sf_dir))

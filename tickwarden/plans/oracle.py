@@ -131,3 +131,110 @@ ORACLE["round2"] = f"""SELECT l_orderkey, l_linenumber,
        l_extendedprice * (1 - l_discount) AS amount,
        {r2('l_extendedprice * (1 - l_discount)')} AS amount_r2
 FROM lineitem"""
+
+
+def dbl(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+def tick_json(close_text: str) -> str:
+    """Spark's compact ``to_json`` text of a tick, as string concatenation."""
+    return (
+        "'{\"ticker\":\"' || ticker || '\",\"timestamp\":' || CAST(timestamp AS VARCHAR) || "
+        "',\"datetime\":\"' || datetime || '\",\"open\":' || " + dbl("close") + " || "
+        "',\"close\":' || " + close_text + " || "
+        "',\"high\":' || " + dbl("close") + " || ',\"low\":' || " + dbl("close") + " || "
+        "',\"volume\":' || " + dbl("CAST(size AS DOUBLE)") + " || "
+        "',\"vwap\":' || " + dbl("close") + " || ',\"number_of_trades\":1}'"
+    )
+
+
+def cut(text: str) -> str:
+    return f"substring({text}, 1, CAST(floor(length({text}) / 2) AS INTEGER))"
+
+
+ORACLE["iso_datetime"] = f"""SELECT event_id, epoch_us(ts) // 1000 AS timestamp,
+       {iso('epoch_us(ts) // 1000')} AS datetime
+FROM events"""
+
+ORACLE["record_json"] = f"""WITH {EVENT_TICKS}
+SELECT ticker AS key, {tick_json(dbl('close'))} AS value FROM event_ticks"""
+
+TICK_COLUMNS = """ticker, timestamp, datetime, close AS open, close, close AS high, close AS low,
+       CAST(size AS DOUBLE) AS volume, close AS vwap, CAST(1 AS BIGINT) AS number_of_trades"""
+
+ORACLE["decode_ticks"] = f"""WITH {EVENT_TICKS}
+SELECT {TICK_COLUMNS}
+FROM event_ticks WHERE event_type NOT IN ('error', 'purchase')"""
+
+ORACLE["quarantine"] = f"""WITH {EVENT_TICKS}
+SELECT CASE WHEN event_type = 'error' THEN {cut(tick_json(dbl('close')))}
+            ELSE {tick_json(chr(39) + '"' + chr(39) + ' || ' + dbl('close') + ' || ' + chr(39) + '"' + chr(39))}
+       END AS value,
+       'malformed' AS reason
+FROM event_ticks WHERE event_type IN ('error', 'purchase')"""
+
+ORACLE["pages_explode"] = f"""WITH {EVENT_TICKS}
+SELECT ticker, CAST(size AS DOUBLE) AS v, close AS vw, close AS o, close AS c, close AS h,
+       close AS l, timestamp AS t, CAST(1 AS BIGINT) AS n
+FROM event_ticks"""
+
+
+def bars_sql(bucket: str) -> str:
+    return f"""WITH {EVENT_TICKS},
+b AS (
+  SELECT ticker, {bucket} AS bucket,
+         arg_min(close, (timestamp, seq)) AS open,
+         arg_max(close, (timestamp, seq)) AS close,
+         max(close) AS high, min(close) AS low,
+         sum(CAST(size AS DOUBLE)) AS volume,
+         count(*) AS number_of_trades,
+         sum(round_even(close * 100, 0) * CAST(size AS DOUBLE)) AS notional_cents
+  FROM event_ticks GROUP BY 1, 2)
+SELECT ticker, bucket AS timestamp, {iso('bucket')} AS datetime, open, close, high, low, volume,
+       CASE WHEN volume = 0 THEN NULL ELSE notional_cents / volume / 100 END AS vwap,
+       number_of_trades, notional_cents
+FROM b"""
+
+
+TS_MS = "(timestamp)"
+ORACLE["bars_day"] = bars_sql("(timestamp // 86400000) * 86400000")
+ORACLE["bars_5min"] = bars_sql("(timestamp // 300000) * 300000")
+ORACLE["bars_month"] = bars_sql(
+    "epoch_us(date_trunc('month', make_timestamp(timestamp * 1000))) // 1000"
+)
+# Week bars straight from the ticks (ISO weeks start on Monday).
+ORACLE["bars_rollup"] = bars_sql(
+    "epoch_us(date_trunc('week', make_timestamp(timestamp * 1000))) // 1000"
+)
+
+ORACLE["bar_records"] = f"""WITH bars AS ({bars_sql('(timestamp // 86400000) * 86400000')})
+SELECT ticker, timestamp, {iso('timestamp')} AS datetime, open, close, high, low, volume, vwap,
+       number_of_trades
+FROM bars
+-- a bar missing any field is dropped (null and absent are the same after decoding)
+WHERE vwap IS NOT NULL"""
+
+POINTS = f"""WITH p AS (
+  SELECT CAST(user_id AS VARCHAR) AS ticker, date_trunc('hour', ts) AS time,
+         {r2('value')} AS price, event_id AS seq
+  FROM events WHERE event_type <> 'error')
+SELECT '{P.MEASUREMENT}' AS measurement, time, ticker, arg_max(price, seq) AS price
+FROM p"""
+
+ORACLE["price_points"] = POINTS + "\nGROUP BY ticker, time"
+
+ORACLE["points_range"] = (
+    POINTS
+    + f"\nWHERE time >= TIMESTAMP '{P.RANGE_START}' AND time < TIMESTAMP '{P.RANGE_STOP}'"
+    + "\nGROUP BY ticker, time"
+)
+
+ORACLE["date_range"] = f"""SELECT * FROM orders
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{P.DATE_RANGE_START}' AND DATE '{P.DATE_RANGE_END}'"""
+
+ORACLE["route_fields"] = """SELECT 'value' AS topic, CAST(value AS VARCHAR) AS value
+FROM events WHERE event_type <> 'error'
+UNION ALL
+SELECT 'k' AS topic, json_extract_string(props, '$.k') AS value
+FROM events WHERE event_type <> 'error'"""
