@@ -66,16 +66,8 @@ def _to_date(col: Column) -> Column:
     return col.cast("date")
 
 
-def bars(
-    rows: DataFrame,
-    multiplier: int = 1,
-    timespan: str = "day",
-    *,
-    key: str = "ticker",
-    order_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """AGG-1 / AGG-2: bars of ``multiplier x timespan`` per key."""
-    validate_bar_params(multiplier, timespan)
+def bar_inputs(rows: DataFrame, order_by: Sequence[str] | None = None, key: str = "ticker") -> DataFrame:
+    """Per-row inputs of the bar aggregates (ticks or bars alike)."""
     order = list(order_by) if order_by else (
         ["timestamp", "seq"] if "seq" in rows.columns else ["timestamp"]
     )
@@ -92,11 +84,12 @@ def bars(
         if "notional_cents" in cols
         else to_cents(vwap).cast("double") * volume
     )
-    ordered = F.struct(*order)
-    agg = rows.select(
+    extra = [c for c in ("event_time",) if c in cols]
+    return rows.select(
         F.col(key).alias("ticker"),
-        bucket_start_ms(F.col("timestamp"), multiplier, timespan).alias("bucket"),
-        ordered.alias("_ord"),
+        F.col("timestamp"),
+        *extra,
+        F.struct(*order).alias("_ord"),
         opn.alias("_open"),
         price.alias("_close"),
         high.alias("_high"),
@@ -104,7 +97,11 @@ def bars(
         volume.alias("_volume"),
         trades.alias("_trades"),
         notional.alias("_notional"),
-    ).groupBy("ticker", "bucket").agg(
+    )
+
+
+def bar_aggregates() -> list[Column]:
+    return [
         F.min_by("_open", "_ord").alias("open"),
         F.max_by("_close", "_ord").alias("close"),
         F.max("_high").alias("high"),
@@ -112,7 +109,11 @@ def bars(
         F.sum("_volume").alias("volume"),
         F.sum("_trades").alias("number_of_trades"),
         F.sum("_notional").alias("notional_cents"),
-    )
+    ]
+
+
+def bar_output(agg: DataFrame) -> DataFrame:
+    """Aggregated ``(ticker, bucket, ...)`` rows to the bar record shape."""
     return agg.select(
         "ticker",
         F.col("bucket").alias("timestamp"),
@@ -128,6 +129,22 @@ def bars(
     )
 
 
+def bars(
+    rows: DataFrame,
+    multiplier: int = 1,
+    timespan: str = "day",
+    *,
+    key: str = "ticker",
+    order_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """AGG-1 / AGG-2: bars of ``multiplier x timespan`` per key."""
+    validate_bar_params(multiplier, timespan)
+    inputs = bar_inputs(rows, order_by, key).withColumn(
+        "bucket", bucket_start_ms(F.col("timestamp"), multiplier, timespan)
+    )
+    return bar_output(inputs.groupBy("ticker", "bucket").agg(*bar_aggregates()))
+
+
 def as_raw_bars(bar_rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Bars in the upstream wire shape ``ticker, v, vw, o, c, h, l, t, n``."""
     return bar_rows.select(

@@ -18,7 +18,15 @@ from tickwarden.operators import decode, detectors, messages, points, records, r
 from tickwarden.plans import params as P
 from tickwarden.session import scratch_path
 from tickwarden.sources import files, landing
+from tickwarden.schemas import (
+    CHANGE_ALERT_FIELDS,
+    PERCENTAGE_CHANGE_ALERT,
+    TARGET_ALERT_FIELDS,
+    TARGET_PRICE_ALERT,
+)
 from tickwarden.sources.tables import event_ticks, order_ticks, read_table
+from tickwarden.streaming import jobs
+from tickwarden.streaming.replay import replay, replay_with_restart
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +188,148 @@ def q_bars_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("route_fields")
 def q_route_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route_fields(landing.snapshot_feed(spark, sf_dir))
+
+
+# ------------------------------------------------------------- streaming
+#
+# Each streaming key lands a feed derived from the tables below the
+# shared checkpoint folder, replays it slice by slice into a file
+# stream, and returns what the (exactly-once) sink holds afterwards.
+
+
+class _Run:
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        base = scratch_path(spark, name)
+        self.landing = f"{base}/in"
+        self.out = f"{base}/out"
+        self.checkpoint = f"{base}/checkpoint"
+
+
+def _alert_run(spark: SparkSession, sf_dir: str, restart: bool = False, with_messages: bool = False) -> DataFrame:
+    run = _Run(spark, "alerts")
+    feed = landing.tick_feed(spark, sf_dir)
+
+    def build() -> DataFrame:
+        ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
+        alerts = jobs.alert_stream(ticks, P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD)
+        return jobs.message_stream(alerts) if with_messages else alerts
+
+    if restart:
+        replay_with_restart(
+            feed, run.landing, lambda: jobs.start_parquet_sink(build(), run.out, run.checkpoint, available_now=True)
+        )
+    else:
+        replay(feed, run.landing, lambda: jobs.start_parquet_sink(build(), run.out, run.checkpoint))
+    return spark.read.parquet(run.out)
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alert_run(spark, sf_dir)
+
+
+@query("stream_price_change_alerts")
+def q_stream_price_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _alert_run(spark, sf_dir)
+    return out.where(F.col("alert_type") == PERCENTAGE_CHANGE_ALERT).select(*CHANGE_ALERT_FIELDS)
+
+
+@query("stream_target_price_alerts")
+def q_stream_target_price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _alert_run(spark, sf_dir)
+    return out.where(F.col("alert_type") == TARGET_PRICE_ALERT).select(*TARGET_ALERT_FIELDS)
+
+
+@query("stream_resume")
+def q_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alert_run(spark, sf_dir, restart=True)
+
+
+@query("stream_messages")
+def q_stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alert_run(spark, sf_dir, with_messages=True)
+
+
+@query("scan_ticks")
+def q_scan_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "scan")
+    feed = landing.tick_feed(spark, sf_dir)
+
+    def start():
+        ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing)).drop("offset")
+        return jobs.start_parquet_sink(ticks, run.out, run.checkpoint)
+
+    replay(feed, run.landing, start)
+    return spark.read.parquet(run.out)
+
+
+@query("raw_tail")
+def q_raw_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "tail")
+    feed = landing.tick_feed(spark, sf_dir)
+    replay(
+        feed,
+        run.landing,
+        lambda: jobs.start_parquet_sink(files.stream_topic(spark, run.landing), run.out, run.checkpoint),
+    )
+    return spark.read.parquet(run.out)
+
+
+@query("snapshot_scan")
+def q_snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "snapshots")
+    feed = landing.snapshot_feed(spark, sf_dir)
+    replay(
+        feed,
+        run.landing,
+        lambda: jobs.start_parquet_sink(files.stream_text(spark, run.landing), run.out, run.checkpoint),
+        fmt="text",
+    )
+    return spark.read.parquet(run.out)
+
+
+@query("stream_points")
+def q_stream_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "points")
+    feed = landing.point_feed(spark, sf_dir)
+    replay(
+        feed,
+        run.landing,
+        lambda: jobs.start_parquet_sink(
+            jobs.point_stream(files.stream_topic(spark, run.landing), P.MEASUREMENT),
+            run.out,
+            run.checkpoint,
+            partition_by=("measurement", "date"),
+        ),
+    )
+    return points.upsert_points(spark.read.parquet(run.out))
+
+
+@query("stream_route")
+def q_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "route")
+    feed = landing.snapshot_feed(spark, sf_dir)
+    replay(
+        feed,
+        run.landing,
+        lambda: jobs.start_parquet_sink(
+            jobs.route_stream(files.stream_topic(spark, run.landing)),
+            run.out,
+            run.checkpoint,
+            partition_by=("topic",),
+        ),
+    )
+    return spark.read.parquet(run.out).select("topic", "value")
+
+
+@query("stream_bars")
+def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "bars")
+    feed = landing.tick_feed(spark, sf_dir)
+
+    def start():
+        ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
+        return jobs.start_bar_sink(jobs.bar_stream(ticks, 5), run.out, run.checkpoint)
+
+    replay(feed, run.landing, start)
+    return jobs.latest_bars(spark, run.out)

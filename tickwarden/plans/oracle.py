@@ -238,3 +238,22 @@ FROM events WHERE event_type <> 'error'
 UNION ALL
 SELECT 'k' AS topic, json_extract_string(props, '$.k') AS value
 FROM events WHERE event_type <> 'error'"""
+
+
+ORACLE["stream_alerts"] = ORACLE["alerts_union"]
+ORACLE["stream_resume"] = ORACLE["alerts_union"]
+ORACLE["stream_price_change_alerts"] = ORACLE["price_change_alerts"]
+ORACLE["stream_target_price_alerts"] = ORACLE["target_price_alerts"]
+ORACLE["stream_messages"] = ORACLE["alert_messages"]
+ORACLE["scan_ticks"] = f"""WITH {EVENT_TICKS}
+SELECT {TICK_COLUMNS} FROM event_ticks"""
+ORACLE["raw_tail"] = f"""WITH {EVENT_TICKS}
+SELECT {tick_json(dbl('close'))} AS value, seq AS offset FROM event_ticks"""
+ORACLE["snapshot_scan"] = f"""WITH {EVENT_TICKS}
+SELECT '{{"' || CASE WHEN event_type = 'error' THEN 'hourly' ELSE 'current' END ||
+       '":{{"time":"' || datetime || '","interval":900,"value":' || {dbl('close')} ||
+       ',"k":' || CAST(size AS VARCHAR) || '}}}}' AS value
+FROM event_ticks"""
+ORACLE["stream_points"] = ORACLE["price_points"]
+ORACLE["stream_route"] = ORACLE["route_fields"]
+ORACLE["stream_bars"] = ORACLE["bars_5min"]
