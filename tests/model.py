@@ -1,0 +1,45 @@
+"""Sequential reference model of the two keyed detectors.
+
+Rows are processed one at a time in arrival order with per-key state,
+the way a keyed process function does: errors (None arithmetic,
+division by zero) skip the row and leave the state untouched.  The
+rounding is ``rint(x * 100) / 100`` (the engine's documented choice).
+"""
+
+import math
+
+import numpy as np
+
+
+def r2(x):
+    return float(np.rint(x * 100.0) / 100.0)
+
+
+def change_model(rows, threshold):
+    """rows: iterable of (ticker, close, tag) in arrival order."""
+    last = {}
+    out = []
+    for ticker, close, tag in rows:
+        prev = last.get(ticker)
+        if close is None:
+            continue  # None arithmetic fails (or clears an empty state)
+        if prev is not None:
+            if prev == 0:
+                continue  # ZeroDivisionError: state stays 0
+            pct = r2(((close - prev) / prev) * 100)
+            if not math.isnan(pct) and abs(pct) >= threshold:
+                out.append((ticker, tag, prev, close, pct))
+        last[ticker] = close
+    return out
+
+
+def target_model(rows, target):
+    reached = {}
+    out = []
+    for ticker, close, tag in rows:
+        if close is None:
+            continue
+        if not reached.get(ticker, False) and close >= target:
+            reached[ticker] = True
+            out.append((ticker, tag, close))
+    return out

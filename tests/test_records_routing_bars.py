@@ -1,0 +1,93 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tickwarden.operators import bars, records, routing
+from tickwarden.schemas import RAW_BAR
+
+RAW = {"v": 1000.0, "vw": 150.5, "o": 150.0, "c": 151.0, "h": 152.0, "l": 149.5, "t": 1640995200000, "n": 500}
+
+
+def test_normalize_reference_bar_and_drop_invalid(spark):
+    raw = spark.createDataFrame([{**RAW}, {"v": None, "vw": None, "o": None, "c": None, "h": None, "l": None, "t": None, "n": None}], RAW_BAR)
+    out = records.normalize_bars(raw.withColumn("ticker", F.lit("TEST")), "ticker").collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r.ticker, r.datetime, r.open, r.close, r.volume, r.vwap, r.number_of_trades) == (
+        "TEST", "2022-01-01T00:00:00", 150.0, 151.0, 1000.0, 150.5, 500)
+
+
+def test_pages_explode(spark, tmp_path):
+    pages = [
+        {"ticker": "A", "results": [RAW, {**RAW, "t": RAW["t"] + 86400000}], "next_url": "p2"},
+        {"ticker": "A", "results": [{**RAW, "t": RAW["t"] + 2 * 86400000}], "next_url": None},
+        {"ticker": "B", "results": [], "next_url": None},
+    ]
+    path = tmp_path / "pages"
+    path.mkdir()
+    for i, p in enumerate(pages):  # one pretty-printed page per file
+        (path / f"page{i}.json").write_text(json.dumps(p, indent=2))
+    from tickwarden.sources.files import read_pages
+
+    out = records.explode_pages(read_pages(spark, str(path), multi_line=True)).collect()
+    assert sorted(r.t for r in out) == [RAW["t"], RAW["t"] + 86400000, RAW["t"] + 2 * 86400000]
+
+
+def test_record_json_keeps_nulls_and_order(spark):
+    df = spark.createDataFrame([("A", 1, None)], "ticker string, timestamp long, datetime string")
+    assert df.select(records.record_json(df).alias("j")).first().j == '{"ticker":"A","timestamp":1,"datetime":null}'
+
+
+def test_route_fields_edges(spark):
+    snaps = [
+        json.dumps({"current": {"time": "2024-01-01T00:00", "interval": 900, "temperature_2m": 20.5,
+                                "rain": 0, "flag": True, "list": [1.2, 3], "none": None}}),
+        json.dumps({"hourly": {"temperature_2m": 1}}),
+        "not json",
+        json.dumps({"current": None}),
+    ]
+    df = spark.createDataFrame([(s,) for s in snaps], "value string")
+    out = sorted((r.topic, r.value) for r in routing.route_fields(df).collect())
+    assert out == [("flag", "true"), ("list", "[1.2,3]"), ("none", "None"), ("rain", "0"), ("temperature_2m", "20.5")]
+    rej = routing.rejected_snapshots(df).collect()
+    assert len(rej) == 3 and {r.reason for r in rej} == {"missing_timespan"}
+
+
+def test_bar_parameter_checks():
+    bars.validate_bar_params(1, "day", "2022-01-01", "2022-01-02")
+    with pytest.raises(ValueError, match="Invalid timespan"):
+        bars.validate_bar_params(1, "invalid")
+    with pytest.raises(ValueError, match="Multiplier must be positive"):
+        bars.validate_bar_params(0, "day")
+    with pytest.raises(ValueError, match="Invalid date format. Use YYYY-MM-DD"):
+        bars.validate_bar_params(1, "day", "2022-01-01", "invalid")
+
+
+def test_bars_and_exact_rollup(spark):
+    rows = []
+    for i in range(200):
+        rows.append(("A", 1704067200000 + i * 3_600_000, round(10 + (i * 7 % 13) * 0.37, 2), i % 9, i))
+    ticks = spark.createDataFrame(rows, "ticker string, timestamp long, close double, size long, seq long")
+    day = bars.bars(ticks, 1, "day")
+    week_direct = {r.timestamp: r for r in bars.bars(ticks, 1, "week").collect()}
+    week_rolled = {r.timestamp: r for r in bars.bars(day, 1, "week").collect()}
+    assert week_direct.keys() == week_rolled.keys()
+    for k, a in week_direct.items():
+        assert a == week_rolled[k]
+    first_day = sorted(day.collect(), key=lambda r: r.timestamp)[0]
+    day0 = [r for r in rows if r[1] < 1704067200000 + 86400000]
+    assert first_day.open == day0[0][2] and first_day.close == day0[-1][2]
+    assert first_day.high == max(r[2] for r in day0) and first_day.number_of_trades == 24
+    assert first_day.volume == sum(r[3] for r in day0)
+
+
+def test_date_range_defaults_and_bounds(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (TIMESTAMP_NTZ'1997-01-01 00:00:00'), (TIMESTAMP_NTZ'1997-12-31 23:59:59'),"
+        " (TIMESTAMP_NTZ'1998-01-01 00:00:00'), (current_timestamp()::timestamp_ntz) AS t(ts)"
+    )
+    assert bars.date_range(df, "ts", "1997-01-01", "1997-12-31").count() == 2
+    assert bars.date_range(df, "ts", "", "").count() == 1  # empty counts as unset: last two years
+    with pytest.raises(ValueError):
+        bars.date_range(df, "ts", "1997/01/01", None)

@@ -153,13 +153,41 @@ def num_text(x: Column | str) -> Column:
 
     Spark's cast gives Java text (``1.0E7``, ``1.0E-4``, ``NaN``); Python
     writes plain digits for 1e-4 <= |x| < 1e16 and ``1e+16`` / ``1.5e-05``
-    outside, ``nan``, ``inf``.  Both print the shortest round-trip digits,
-    so only the layout is rewritten.
+    outside, ``nan``, ``inf``.  Python prints the shortest digits that
+    read back to the same double; Java 17 sometimes prints one or two
+    digits more, so when it prints 16 or more the 15-
+    to 17-digit forms are tried and the shortest that reads back is kept.
     """
     x = _c(x)
-    s = x.cast("string")
-    mant = F.substring_index(s, "E", 1)
-    exp = F.substring_index(s, "E", -1).cast("int")
+    java = x.cast("string")
+    java_digits = F.regexp_replace(
+        F.regexp_replace(F.substring_index(java, "E", 1), r"[-.]", ""), "^0+|0+$", ""
+    )
+    n_java = F.length(java_digits)
+    short15 = F.format_string("%.14e", x)
+    short16 = F.format_string("%.15e", x)
+    short17 = F.format_string("%.16e", x)
+    shorter = (
+        F.when((n_java >= 16) & (short15.cast("double") == x), short15)
+        .when((n_java >= 17) & (short16.cast("double") == x), short16)
+        .when((n_java >= 18) & (short17.cast("double") == x), short17)
+    )
+    sci_text = F.regexp_replace(F.upper(shorter), r"\+", "")
+    return (
+        F.when(x.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(x), F.lit("nan"))
+        .when(x == F.lit(float("inf")), F.lit("inf"))
+        .when(x == F.lit(float("-inf")), F.lit("-inf"))
+        .when(shorter.isNotNull(), _python_layout(sci_text))
+        .when(F.instr(java, "E") > 0, _python_layout(java))
+        .otherwise(java)
+    )
+
+
+def _python_layout(sci: Column) -> Column:
+    """``[-]d.dddE[-]n`` text laid out the way Python's repr does."""
+    mant = F.substring_index(sci, "E", 1)
+    exp = F.substring_index(sci, "E", -1).cast("int")
     sign = F.when(F.startswith(mant, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     # significant digits without sign, point and trailing zeros
     digits = F.regexp_replace(F.regexp_replace(mant, r"[-.]", ""), "0+$", "")
@@ -173,24 +201,16 @@ def num_text(x: Column | str) -> Column:
     sci_mant = F.when(
         n > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))
     ).otherwise(digits)
-    sci = F.concat(
+    sci_py = F.concat(
         sci_mant,
         F.lit("e"),
         F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
         F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")),
         F.abs(exp).cast("string"),
     )
-    from_exp = F.concat(
+    return F.concat(
         sign,
-        F.when((exp >= 16) | (exp < -4), sci).when(exp >= 0, fixed_pos).otherwise(fixed_neg),
-    )
-    return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), F.lit("nan"))
-        .when(x == F.lit(float("inf")), F.lit("inf"))
-        .when(x == F.lit(float("-inf")), F.lit("-inf"))
-        .when(F.instr(s, "E") > 0, from_exp)
-        .otherwise(s)
+        F.when((exp >= 16) | (exp < -4), sci_py).when(exp >= 0, fixed_pos).otherwise(fixed_neg),
     )
 
 
