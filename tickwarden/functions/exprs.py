@@ -8,8 +8,10 @@ zone: UTC wall-clock time is the documented convention.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickwarden.schemas import PERCENTAGE_CHANGE_ALERT, TARGET_PRICE_ALERT
 
@@ -87,26 +89,18 @@ def iso_datetime(ms: Column | str) -> Column:
 
     Seconds precision when the millisecond part is zero, else six
     fraction digits (``2022-01-01T00:00:00``, ``2024-01-01T00:09:58.778000``).
+    Built from the text of a ``TIMESTAMP_NTZ`` (zone free) and kept small
+    so it stays inside whole-stage codegen; years 1000-9999.
     """
     ms = _c(ms)
-    ts = ms_to_ntz(ms)
-    base = F.format_string(
-        "%04d-%02d-%02dT%02d:%02d:%02d",
-        F.year(ts),
-        F.month(ts),
-        F.dayofmonth(ts),
-        F.hour(ts),
-        F.minute(ts),
-        F.second(ts),
-    )
+    text = ms_to_ntz(ms).cast("string")  # yyyy-MM-dd HH:mm:ss[.fff]
+    base = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
     frac = F.pmod(ms, F.lit(1000))
-    return F.when(ms.isNull(), F.lit(None)).otherwise(
-        F.concat(
-            base,
-            F.when(frac == 0, F.lit("")).otherwise(
-                F.format_string(".%06d", frac * F.lit(1000))
-            ),
-        )
+    return F.concat(
+        base,
+        F.when(frac == 0, F.lit("")).otherwise(
+            F.concat(F.lit("."), F.lpad((frac * F.lit(1000)).cast("string"), 6, "0"))
+        ),
     )
 
 
@@ -148,69 +142,26 @@ def bucket_start_ms(ms: Column | str, multiplier: int, timespan: str) -> Column:
 # ------------------------------------------------------------------- text
 
 
+@F.pandas_udf(T.StringType())
+def _py_repr(x: pd.Series) -> pd.Series:
+    # nulls arrive as NaN; both are handled outside, so NaN maps to None
+    return pd.Series([None if v != v else repr(float(v)) for v in x], dtype=object)
+
+
 def num_text(x: Column | str) -> Column:
     """Python ``repr`` text of a double (what an f-string shows).
 
-    Spark's cast gives Java text (``1.0E7``, ``1.0E-4``, ``NaN``); Python
-    writes plain digits for 1e-4 <= |x| < 1e16 and ``1e+16`` / ``1.5e-05``
-    outside, ``nan``, ``inf``.  Python prints the shortest digits that
-    read back to the same double; Java 17 sometimes prints one or two
-    digits more, so when it prints 16 or more the 15-
-    to 17-digit forms are tried and the shortest that reads back is kept.
+    Python's shortest round-trip digits and its layout (``1e+16``,
+    ``1e-05``, ``nan``, ``inf``) differ from Java's (``1.0E16``,
+    ``1.0E-5``, ``NaN``), and Java 17 sometimes prints extra digits, so
+    this is the one place that calls into Python: an Arrow-batched
+    pandas UDF, applied to alert rows only.
     """
     x = _c(x)
-    java = x.cast("string")
-    java_digits = F.regexp_replace(
-        F.regexp_replace(F.substring_index(java, "E", 1), r"[-.]", ""), "^0+|0+$", ""
-    )
-    n_java = F.length(java_digits)
-    short15 = F.format_string("%.14e", x)
-    short16 = F.format_string("%.15e", x)
-    short17 = F.format_string("%.16e", x)
-    shorter = (
-        F.when((n_java >= 16) & (short15.cast("double") == x), short15)
-        .when((n_java >= 17) & (short16.cast("double") == x), short16)
-        .when((n_java >= 18) & (short17.cast("double") == x), short17)
-    )
-    sci_text = F.regexp_replace(F.upper(shorter), r"\+", "")
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), F.lit("nan"))
-        .when(x == F.lit(float("inf")), F.lit("inf"))
-        .when(x == F.lit(float("-inf")), F.lit("-inf"))
-        .when(shorter.isNotNull(), _python_layout(sci_text))
-        .when(F.instr(java, "E") > 0, _python_layout(java))
-        .otherwise(java)
-    )
-
-
-def _python_layout(sci: Column) -> Column:
-    """``[-]d.dddE[-]n`` text laid out the way Python's repr does."""
-    mant = F.substring_index(sci, "E", 1)
-    exp = F.substring_index(sci, "E", -1).cast("int")
-    sign = F.when(F.startswith(mant, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    # significant digits without sign, point and trailing zeros
-    digits = F.regexp_replace(F.regexp_replace(mant, r"[-.]", ""), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    n = F.length(digits)
-    int_len = exp + F.lit(1)
-    fixed_pos = F.when(
-        n <= int_len, F.concat(digits, F.repeat(F.lit("0"), int_len - n), F.lit(".0"))
-    ).otherwise(F.concat(F.left(digits, int_len), F.lit("."), F.substr(digits, int_len + 1)))
-    fixed_neg = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - F.lit(1)), digits)
-    sci_mant = F.when(
-        n > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))
-    ).otherwise(digits)
-    sci_py = F.concat(
-        sci_mant,
-        F.lit("e"),
-        F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.abs(exp) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(exp).cast("string"),
-    )
-    return F.concat(
-        sign,
-        F.when((exp >= 16) | (exp < -4), sci_py).when(exp >= 0, fixed_pos).otherwise(fixed_neg),
+        .otherwise(_py_repr(x))
     )
 
 

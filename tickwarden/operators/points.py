@@ -44,16 +44,18 @@ def points_from_records(
     not convert, or whose ticker or time is missing, are dropped.  NaN
     and infinite prices are dropped too (the store rejects them).
     """
-    fields = F.from_json(
-        F.col(value_col).cast("string"), "ticker STRING, datetime STRING, close STRING"
+    # json_tuple parses each record once (numbers come back as their text)
+    rec = records.select(
+        F.json_tuple(F.col(value_col).cast("string"), "ticker", "datetime", "close").alias(
+            "ticker", "datetime", "close"
+        ),
+        F.col(order_col).alias("offset"),
     )
-    rec = records.select(fields.alias("r"), F.col(order_col).alias("offset"))
-    close = F.trim(F.col("r.close")).try_cast("double")
-    price = round2(close)
+    price = round2(F.trim(F.col("close")).try_cast("double"))
     pts = rec.select(
         F.lit(measurement).alias("measurement"),
-        parse_point_time(F.col("r.datetime")).alias("time"),
-        F.col("r.ticker").alias("ticker"),
+        parse_point_time(F.col("datetime")).alias("time"),
+        F.col("ticker"),
         price.alias("price"),
         "offset",
     )

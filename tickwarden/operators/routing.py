@@ -37,8 +37,8 @@ def route_fields(
     ``[1.2,3]``); a JSON null becomes the text ``None`` as in the
     reference's ``str(None)``.
     """
-    f = _fields(snapshots, timespan, value_col).where(F.col("_fields").isNotNull())
-    kv = f.select(F.explode("_fields").alias("topic", "value"))
+    # explode drops snapshots whose map is null (no timespan object)
+    kv = _fields(snapshots, timespan, value_col).select(F.explode("_fields").alias("topic", "value"))
     return kv.where(~F.col("topic").isin(*ignore)).select(
         "topic", F.coalesce(F.col("value"), F.lit("None")).alias("value")
     )
