@@ -8,8 +8,10 @@ zone: UTC wall-clock time is the documented convention.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +56,29 @@ def to_cents(col: Column | str) -> Column:
     return F.rint(_c(col) * F.lit(100.0)).cast("bigint")
 
 
+def order_key(df: DataFrame, cols: Sequence[str]) -> Column:
+    """One sortable value for an ordering over ``cols``.
+
+    ``min_by`` / ``max_by`` with a struct as ordering force a sort-based
+    aggregate; a single fixed-width key keeps them in hash aggregation
+    (map-side partial aggregation without sorting).  Two integral columns
+    ``(a, b)`` - epoch ms and a sequence number - pack into one
+    ``DECIMAL(38,0)`` as ``a * 10^20 + (b + 2^63)``, which preserves the
+    order for any long ``b`` and any ``|a| < 10^17``.  Anything else
+    falls back to a struct.
+    """
+    types = dict(df.dtypes)
+    integral = {"bigint", "int", "smallint", "tinyint"}
+    if len(cols) == 1 and types.get(cols[0]) in integral | {"double", "float"}:
+        return F.col(cols[0])
+    if len(cols) == 2 and all(types.get(c) in integral for c in cols):
+        dec = "decimal(38,0)"
+        shift = F.expr("CAST('100000000000000000000' AS DECIMAL(38,0))")
+        bias = F.expr("CAST('9223372036854775808' AS DECIMAL(38,0))")
+        return F.col(cols[0]).cast(dec) * shift + (F.col(cols[1]).cast(dec) + bias)
+    return F.struct(*cols)
+
+
 # ------------------------------------------------------------------- time
 
 

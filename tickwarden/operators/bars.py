@@ -22,7 +22,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.functions.exprs import bucket_start_ms, iso_datetime, to_cents
+from tickwarden.functions.exprs import bucket_start_ms, iso_datetime, order_key, to_cents
 from tickwarden.schemas import TICK_FIELDS, TIMESPANS
 
 BAR_FIELDS = TICK_FIELDS + ["notional_cents"]
@@ -89,7 +89,7 @@ def bar_inputs(rows: DataFrame, order_by: Sequence[str] | None = None, key: str
         F.col(key).alias("ticker"),
         F.col("timestamp"),
         *extra,
-        F.struct(*order).alias("_ord"),
+        order_key(rows, order).alias("_ord"),
         opn.alias("_open"),
         price.alias("_close"),
         high.alias("_high"),

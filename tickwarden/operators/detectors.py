@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwarden.functions.exprs import MS_PER_MINUTE, pct_change, round2
+from tickwarden.functions.exprs import MS_PER_MINUTE, order_key, pct_change, round2
 from tickwarden.schemas import (
     ALERT,
     CHANGE_ALERT_FIELDS,
@@ -102,6 +102,7 @@ def price_change_alerts(
         close,
         F.floor(F.col("timestamp") / F.lit(chunk_ms)).alias("_chunk"),
         (close == 0).alias("_zero"),
+        order_key(usable, order).alias("_ord"),
     )
 
     # Within a chunk: previous close and "a zero came earlier", one sort.
@@ -117,7 +118,7 @@ def price_change_alerts(
     # Across chunks: one summary row per (key, chunk), then a window over
     # the chunks of a key (bounded by time span / chunk_ms rows per key).
     summary = rows.groupBy("_k", "_chunk").agg(
-        F.max_by("close", F.struct(*order)).alias("_last"),
+        F.max_by("close", "_ord").alias("_last"),
         F.max("_zero").alias("_has_zero"),
     )
     by_chunk = Window.partitionBy("_k").orderBy("_chunk")
