@@ -67,3 +67,28 @@ def test_stream_quarantine(spark):
     replay(feed, land, lambda: jobs.start_parquet_sink(jobs.quarantined(files.stream_topic(spark, land)), out, ckpt), slices=2)
     rows = spark.read.parquet(out).collect()
     assert [(r.value, r.reason, r.offset) for r in rows] == [("not json", "malformed", 5)]
+
+
+def test_stream_bars_all_spans_equal_batch_bars(spark):
+    from tickwarden.operators import bars as bars_op
+    from tickwarden.operators import decode
+
+    rows = []
+    ts = 1704067200000  # 2024-01-01, a Monday
+    for i in range(400):
+        ts += 3_600_000 * 5 + i  # increasing, several weeks and two months
+        rows.append((_tick("A" if i % 3 else "B", ts, float(10 + i % 17)), i))
+    feed = spark.createDataFrame(rows, "value string, offset long")
+    good, _ = decode.decode(feed, keep=("offset",))
+    for m, span in [(2, "hour"), (1, "week"), (1, "month")]:
+        expect = sorted(tuple(repr(x) for x in r) for r in bars_op.bars(good, m, span, order_by=("timestamp", "offset")).collect())
+        base = scratch_path(spark, f"test-bars-{span}")
+        land, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+
+        def start():
+            ticks = jobs.decoded_ticks(files.stream_topic(spark, land))
+            return jobs.start_bar_sink(jobs.bar_stream(ticks, m, span), out, ckpt)
+
+        replay(feed, land, start, slices=3)
+        got = jobs.latest_bars(spark, out).select(*bars_op.BAR_FIELDS)
+        assert sorted(tuple(repr(x) for x in r) for r in got.collect()) == expect, span

@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import alert_message
+from tickwarden.schemas import (
+    CHANGE_ALERT_FIELDS,
+    PERCENTAGE_CHANGE_ALERT,
+    TARGET_ALERT_FIELDS,
+    TARGET_PRICE_ALERT,
+)
 
 
 def alert_messages(alerts: DataFrame) -> DataFrame:
@@ -33,3 +39,21 @@ def undeliverable(alerts: DataFrame) -> DataFrame:
         .otherwise(F.lit("unknown_alert_type"))
         .alias("reason"),
     )
+
+
+def alert_records(alerts: DataFrame) -> DataFrame:
+    """SNK-1 / S16: ``(key, value)`` for the alert topic.
+
+    Each alert type has its own key set and key order, so the JSON text
+    is built per type (nulls kept); ``key`` is the ticker.
+    """
+    opts = {"ignoreNullFields": "false"}
+    target = F.to_json(F.struct(*TARGET_ALERT_FIELDS), opts)
+    change = F.to_json(F.struct(*CHANGE_ALERT_FIELDS), opts)
+    at = F.col("alert_type")
+    value = F.when(at == F.lit(TARGET_PRICE_ALERT), target).when(
+        at == F.lit(PERCENTAGE_CHANGE_ALERT), change
+    )
+    return alerts.select(F.col("ticker").alias("key"), value.alias("value")).where(
+        F.col("value").isNotNull()
+    )

@@ -71,6 +71,11 @@ def q_alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.alert_messages(_alerts(spark, sf_dir))
 
 
+@query("alert_records")
+def q_alert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.alert_records(_alerts(spark, sf_dir))
+
+
 @query("order_change_alerts")
 def q_order_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.price_change_alerts(
@@ -250,6 +255,20 @@ def q_stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alert_run(spark, sf_dir, with_messages=True)
 
 
+@query("stream_quarantine")
+def q_stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _Run(spark, "quarantine")
+    feed = landing.dirty_tick_feed(spark, sf_dir)
+    replay(
+        feed,
+        run.landing,
+        lambda: jobs.start_parquet_sink(
+            jobs.quarantined(files.stream_topic(spark, run.landing)).drop("offset"), run.out, run.checkpoint
+        ),
+    )
+    return spark.read.parquet(run.out)
+
+
 @query("scan_ticks")
 def q_scan_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, "scan")
@@ -329,7 +348,7 @@ def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start():
         ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
-        return jobs.start_bar_sink(jobs.bar_stream(ticks, 5), run.out, run.checkpoint)
+        return jobs.start_bar_sink(jobs.bar_stream(ticks, 5, "minute"), run.out, run.checkpoint)
 
     replay(feed, run.landing, start)
     return jobs.latest_bars(spark, run.out)

@@ -257,3 +257,20 @@ FROM event_ticks"""
 ORACLE["stream_points"] = ORACLE["price_points"]
 ORACLE["stream_route"] = ORACLE["route_fields"]
 ORACLE["stream_bars"] = ORACLE["bars_5min"]
+
+ORACLE["stream_quarantine"] = ORACLE["quarantine"]
+
+ORACLE["alert_records"] = f"""WITH {EVENT_TICKS},
+{ALERTS}
+SELECT ticker AS key,
+       CASE WHEN alert_type = '{TARGET_PRICE_ALERT}' THEN
+         '{{"ticker":"' || ticker || '","datetime":"' || datetime || '","target_price":' ||
+         CAST(target_price AS VARCHAR) || ',"current_price":' || CAST(current_price AS VARCHAR) ||
+         ',"alert_type":"' || alert_type || '"}}'
+       ELSE
+         '{{"ticker":"' || ticker || '","datetime":"' || datetime || '","timestamp":' ||
+         CAST(timestamp AS VARCHAR) || ',"previous_price":' || CAST(previous_price AS VARCHAR) ||
+         ',"current_price":' || CAST(current_price AS VARCHAR) || ',"price_change_percentage":' ||
+         CAST(price_change_percentage AS VARCHAR) || ',"alert_type":"' || alert_type || '"}}'
+       END AS value
+FROM alerts"""

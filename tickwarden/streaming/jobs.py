@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickwarden.functions.exprs import ms_to_instant
+from tickwarden.functions.exprs import bucket_start_ms, ms_to_instant
 from tickwarden.operators import bars as bars_op
 from tickwarden.operators import decode, messages, points, routing
 from tickwarden.schemas import ALERT, DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
@@ -83,24 +83,44 @@ def route_stream(records: DataFrame, timespan: str = DEFAULT_TIMESPAN_KEY) -> Da
 
 
 def bar_stream(
-    ticks: DataFrame, minutes: int = 5, delay: str = DEFAULT_WATERMARK
+    ticks: DataFrame,
+    multiplier: int = 5,
+    timespan: str = "minute",
+    delay: str = DEFAULT_WATERMARK,
 ) -> DataFrame:
-    """AGG-3: streaming bars of ``minutes`` with an event-time watermark.
+    """AGG-3: streaming bars of ``multiplier x timespan`` with a watermark.
 
     Emitted in ``update`` mode: every micro-batch re-emits the bars it
     changed, and the latest emission of a bar is its value
-    (``latest_bars``).  Rows later than the watermark are dropped.
+    (``latest_bars``).  Fixed spans use ``window()`` on the event time
+    (weeks start on Monday); calendar spans (month, quarter, year) group
+    on the bucket start, which then carries the watermark.  Rows later
+    than the watermark are dropped - the documented streaming trade-off.
     """
+    bars_op.validate_bar_params(multiplier, timespan)
     rows = ticks.withColumn("event_time", ms_to_instant(F.col("timestamp")))
-    w = F.window("event_time", f"{minutes} minutes")
     inputs = bars_op.bar_inputs(rows, order_by=("timestamp", "offset"))
-    agg = (
-        inputs.withWatermark("event_time", delay)
-        .groupBy("ticker", w.alias("w"))
-        .agg(*bars_op.bar_aggregates())
-    )
-    bucket = F.unix_millis(F.col("w.start"))
-    return bars_op.bar_output(agg.withColumn("bucket", bucket))
+    fixed = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
+    if timespan in fixed:
+        seconds = fixed[timespan] * multiplier
+        start = "4 days" if timespan == "week" else None  # 1970-01-05 was a Monday
+        w = F.window("event_time", f"{seconds} seconds", startTime=start)
+        agg = (
+            inputs.withWatermark("event_time", delay)
+            .groupBy("ticker", w.alias("w"))
+            .agg(*bars_op.bar_aggregates())
+            .withColumn("bucket", F.unix_millis(F.col("w.start")))
+        )
+    else:
+        bucket_ms = bucket_start_ms(F.col("timestamp"), multiplier, timespan)
+        agg = (
+            inputs.withColumn("bucket_time", ms_to_instant(bucket_ms))
+            .withWatermark("bucket_time", delay)
+            .groupBy("ticker", "bucket_time")
+            .agg(*bars_op.bar_aggregates())
+            .withColumn("bucket", F.unix_millis(F.col("bucket_time")))
+        )
+    return bars_op.bar_output(agg)
 
 
 def latest_bars(spark: SparkSession, path: str) -> DataFrame:
