@@ -91,3 +91,30 @@ def test_date_range_defaults_and_bounds(spark):
     assert bars.date_range(df, "ts", "", "").count() == 1  # empty counts as unset: last two years
     with pytest.raises(ValueError):
         bars.date_range(df, "ts", "1997/01/01", None)
+
+
+def test_kafka_options():
+    from tickwarden.sources import kafka
+
+    src = kafka.source_options("b:9092", "stocks", max_offsets_per_trigger=1000)
+    assert src["kafka.isolation.level"] == "read_committed"
+    assert src["startingOffsets"] == "earliest" and src["maxOffsetsPerTrigger"] == "1000"
+    sink = kafka.sink_options("b:9092", "/ckpt")
+    assert "topic" not in sink and sink["kafka.acks"] == "all"
+    assert kafka.sink_options("b:9092", "/ckpt", "alerts")["topic"] == "alerts"
+
+
+def test_alert_records_per_type_keys(spark):
+    from tickwarden.operators import detectors, messages
+
+    rows = [("A", 1000, "t0", 90.0, 0), ("A", 2000, "t1", 101.0, 1)]
+    ticks = spark.createDataFrame(rows, "ticker string, timestamp long, datetime string, close double, seq long")
+    alerts = detectors.alerts_union(
+        detectors.target_price_alerts(ticks, 100.0), detectors.price_change_alerts(ticks, 5.0)
+    )
+    recs = sorted(r.value for r in messages.alert_records(alerts).collect())
+    assert recs == [
+        '{"ticker":"A","datetime":"t1","target_price":100.0,"current_price":101.0,"alert_type":"target_price"}',
+        '{"ticker":"A","datetime":"t1","timestamp":2000,"previous_price":90.0,"current_price":101.0,'
+        '"price_change_percentage":12.22,"alert_type":"percentage_change"}',
+    ]
