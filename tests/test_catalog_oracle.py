@@ -50,3 +50,16 @@ def test_query_matches_oracle(spark, con, key):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 135  # price-change alerts at threshold 500 on sf0.001
+
+
+@pytest.mark.parametrize("key", ["price_change_alerts", "bars_month", "points_range", "alert_messages"])
+def test_results_do_not_depend_on_session_time_zone(spark, key):
+    q = E.queries()[key]
+    utc = _canon(q(spark, SF_SMALL).columns, [tuple(r) for r in q(spark, SF_SMALL).collect()])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = q(spark, SF_SMALL)
+        other = _canon(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other

@@ -11,16 +11,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickwarden.schemas import DEFAULT_TIMESPAN_KEY, IGNORED_FIELDS
 
 
 def _fields(snapshots: DataFrame, timespan: str, value_col: str) -> DataFrame:
+    # one parse: the timespan object read straight into a map whose
+    # values keep their JSON text
+    schema = T.StructType([T.StructField(timespan, T.MapType(T.StringType(), T.StringType()))])
     text = F.col(value_col).cast("string")
-    inner = F.get_json_object(text, f"$['{timespan}']")
     return snapshots.select(
         text.alias("_text"),
-        F.from_json(inner, "map<string,string>").alias("_fields"),
+        F.from_json(text, schema).getField(timespan).alias("_fields"),
         *[c for c in snapshots.columns if c != value_col],
     )
 

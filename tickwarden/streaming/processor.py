@@ -85,6 +85,12 @@ def target_step(closes: np.ndarray, latched: bool, target: float) -> int | None:
     return int(where[0]) if len(where) else None
 
 
+def _same_value(a: float | None, b: float | None) -> bool:
+    if a is None or b is None:
+        return a is b
+    return a == b or (a != a and b != b)
+
+
 class AlertProcessor(StatefulProcessor):
     """Both detectors on one keyed stream (ST-1 + ST-2 = ST-3)."""
 
@@ -116,8 +122,11 @@ class AlertProcessor(StatefulProcessor):
         closes = batch["close"].to_numpy(dtype="float64")
         out = []
 
+        # one state read per variable (each is a round trip to the state
+        # store); write only what changed
         if self.target is not None:
-            latched = bool(self.latched.get()[0]) if self.latched.exists() else False
+            stored = self.latched.get()
+            latched = bool(stored[0]) if stored is not None else False
             i = target_step(closes, latched, self.target)
             if i is not None:
                 self.latched.update((True,))
@@ -135,13 +144,12 @@ class AlertProcessor(StatefulProcessor):
                         }
                     )
                 )
-            elif not self.latched.exists():
-                self.latched.update((False,))
 
         if self.threshold is not None:
-            prev_state = self.last_close.get()[0] if self.last_close.exists() else None
+            stored = self.last_close.get()
+            prev_state = stored[0] if stored is not None else None
             idx, prev, chg, new_state = change_step(closes, prev_state, self.threshold)
-            if new_state is not None:
+            if new_state is not None and not _same_value(new_state, prev_state):
                 self.last_close.update((float(new_state),))
             if len(idx):
                 sel = batch.iloc[idx]
