@@ -92,3 +92,24 @@ def test_stream_bars_all_spans_equal_batch_bars(spark):
         replay(feed, land, start, slices=3)
         got = jobs.latest_bars(spark, out).select(*bars_op.BAR_FIELDS)
         assert sorted(tuple(repr(x) for x in r) for r in got.collect()) == expect, span
+
+
+def test_split_sink_writes_both_outputs_once(spark):
+    feed = _feed(spark)
+    base = scratch_path(spark, "test-split")
+    land, ckpt = f"{base}/in", f"{base}/ckpt"
+    replay(feed, land, lambda: jobs.start_split_sink(files.stream_topic(spark, land), f"{base}/good", f"{base}/bad", ckpt), slices=3)
+    good = spark.read.parquet(f"{base}/good")
+    bad = spark.read.parquet(f"{base}/bad")
+    assert good.count() == 9 and good.select("offset").distinct().count() == 9
+    assert [(r.value, r.reason) for r in bad.collect()] == [("not json", "malformed")]
+
+
+def test_debug_memory_sink(spark):
+    feed = _feed(spark)
+    base = scratch_path(spark, "test-debug")
+    feed.write.parquet(f"{base}/in")
+    q = jobs.start_debug_sink(files.stream_topic(spark, f"{base}/in"), "memory", "tw_debug_tail")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("tw_debug_tail").count() == 10

@@ -255,18 +255,24 @@ def q_stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alert_run(spark, sf_dir, with_messages=True)
 
 
-@query("stream_quarantine")
-def q_stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _Run(spark, "quarantine")
+def _split_run(spark: SparkSession, sf_dir: str) -> _Run:
+    """Dirty tick feed through the one-parse, two-output split sink."""
+    run = _Run(spark, "split")
     feed = landing.dirty_tick_feed(spark, sf_dir)
     replay(
         feed,
         run.landing,
-        lambda: jobs.start_parquet_sink(
-            jobs.quarantined(files.stream_topic(spark, run.landing)).drop("offset"), run.out, run.checkpoint
+        lambda: jobs.start_split_sink(
+            files.stream_topic(spark, run.landing), f"{run.out}/good", f"{run.out}/bad", run.checkpoint
         ),
     )
-    return spark.read.parquet(run.out)
+    return run
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _split_run(spark, sf_dir)
+    return spark.read.parquet(f"{run.out}/bad").select("value", "reason")
 
 
 @query("scan_ticks")

@@ -162,3 +162,44 @@ def start_parquet_sink(
         writer = writer.trigger(availableNow=True)
     return writer.outputMode("append").start(path)
 
+
+
+def start_split_sink(
+    records: DataFrame, good_path: str, bad_path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """DEC-3 + SNK-7: one parse per micro-batch, two outputs.
+
+    The batch is decoded once, persisted, and written as good ticks and
+    as quarantine rows; each output goes to its own ``batch_id=N`` folder
+    with overwrite, so a micro-batch replayed after a failure replaces
+    its files.  The cache holds one micro-batch, bounded by the trigger.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = decode.parse(batch).persist()
+        try:
+            decode.good_rows(parsed, keep=("offset",)).write.mode("overwrite").parquet(
+                f"{good_path}/batch_id={batch_id}"
+            )
+            decode.bad_rows(parsed, keep=("offset",)).write.mode("overwrite").parquet(
+                f"{bad_path}/batch_id={batch_id}"
+            )
+        finally:
+            parsed.unpersist()
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def start_debug_sink(df: DataFrame, kind: str = "console", name: str | None = None) -> StreamingQuery:
+    """SNK-2: print (``console``) or keep in driver memory (``memory``).
+
+    Both bring every row to the driver: for inspecting small streams
+    only, never for a production job.
+    """
+    writer = df.writeStream.format(kind).outputMode("append")
+    if kind == "memory":
+        writer = writer.queryName(name or "tickwarden_debug")
+    return writer.start()
