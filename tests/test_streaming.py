@@ -23,6 +23,12 @@ def _feed(spark):
         (_tick("A", 4, 30.0), 4), (_tick("A", 3, 0.5), 3), ("not json", 5),
         (_tick("B", 2, 60.0), 6), (_tick("A", 5, 31.0), 7), (_tick("B", 3, 100.0), 8),
         (_tick("A", 6, 200.0), 9),
+        # NaN close (becomes the previous value, suppresses one comparison),
+        # a null close (no effect), infinities and a zero (the latch)
+        (_tick("C", 1, 10.0), 10), (_tick("C", 2, float("nan")), 11), (_tick("C", 3, 50.0), 12),
+        (_tick("C", 4, 60.0).replace("60.0", "null"), 13), (_tick("C", 5, 80.0), 14),
+        (_tick("D", 1, 5.0), 15), (_tick("D", 2, float("inf")), 16), (_tick("D", 3, 7.0), 17),
+        (_tick("E", 1, 5.0), 18), (_tick("E", 2, 0.0), 19), (_tick("E", 3, 7.0), 20),
     ]
     return spark.createDataFrame(rows, "value string, offset long")
 
@@ -101,7 +107,7 @@ def test_split_sink_writes_both_outputs_once(spark):
     replay(feed, land, lambda: jobs.start_split_sink(files.stream_topic(spark, land), f"{base}/good", f"{base}/bad", ckpt), slices=3)
     good = spark.read.parquet(f"{base}/good")
     bad = spark.read.parquet(f"{base}/bad")
-    assert good.count() == 9 and good.select("offset").distinct().count() == 9
+    assert good.count() == 20 and good.select("offset").distinct().count() == 20
     assert [(r.value, r.reason) for r in bad.collect()] == [("not json", "malformed")]
 
 
@@ -112,4 +118,4 @@ def test_debug_memory_sink(spark):
     q = jobs.start_debug_sink(files.stream_topic(spark, f"{base}/in"), "memory", "tw_debug_tail")
     q.processAllAvailable()
     q.stop()
-    assert spark.table("tw_debug_tail").count() == 10
+    assert spark.table("tw_debug_tail").count() == 21

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import alert_message
+from tickwarden.session import ship_package
 from tickwarden.schemas import (
     CHANGE_ALERT_FIELDS,
     PERCENTAGE_CHANGE_ALERT,
@@ -27,6 +28,7 @@ def alert_messages(alerts: DataFrame) -> DataFrame:
 
 
 def with_messages(alerts: DataFrame) -> DataFrame:
+    ship_package(alerts.sparkSession)  # the message text uses a pandas UDF
     return alerts.withColumn("message", alert_message())
 
 

@@ -6,6 +6,7 @@ from the fixture tables (or from files Spark derives from them).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tickwarden.functions.exprs import round2 as round2_expr
 from tickwarden.operators import bars as bars_op
 from tickwarden.operators import decode, detectors, messages, points, records, routing
 from tickwarden.plans import params as P
-from tickwarden.session import scratch_path
+from tickwarden.session import scratch_path, ship_package
 from tickwarden.sources import files, landing
 from tickwarden.schemas import (
     CHANGE_ALERT_FIELDS,
@@ -34,7 +35,12 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str):
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         return fn
 
     return register

@@ -9,6 +9,7 @@ no such setting (local runs and tests).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -57,6 +58,32 @@ def build_session(
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tickwarden`` importable in the executors' Python workers.
+
+    The stateful processor and the pandas UDF are pickled by reference,
+    so Python workers import this package.  The package directory is
+    shipped with ``addFile`` (once per application) - executor workers
+    put the SparkFiles root on ``sys.path`` - and its parent directory
+    goes on the ``PYTHONPATH`` Spark hands to the Python runners it
+    starts on the driver (the stateful processor is first unpickled
+    there).  With ``--py-files`` deployments this only adds a path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package_dir = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(package_dir)
+    current = sc.environment.get("PYTHONPATH", "")
+    if parent not in current.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (parent, current) if p)
+    sc.addFile(package_dir, recursive=True)
+    _SHIPPED.add(sc.applicationId)
+
+
 def use_rocksdb_state(spark: SparkSession) -> None:
     """Stateful streaming operators here need the RocksDB state store."""
     current = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)

@@ -20,7 +20,7 @@ from tickwarden.functions.exprs import bucket_start_ms, ms_to_instant
 from tickwarden.operators import bars as bars_op
 from tickwarden.operators import decode, messages, points, routing
 from tickwarden.schemas import ALERT, DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
-from tickwarden.session import use_rocksdb_state
+from tickwarden.session import ship_package, use_rocksdb_state
 from tickwarden.streaming.processor import AlertProcessor
 
 # The reference attaches a 15 s bounded-out-of-orderness watermark.
@@ -52,9 +52,13 @@ def alert_stream(
     reference never drops late rows from the detectors.
     """
     use_rocksdb_state(ticks.sparkSession)
+    ship_package(ticks.sparkSession)
     cols = list(dict.fromkeys(["ticker", "timestamp", "datetime", "close", *order_by]))
     return (
-        ticks.select(*cols)
+        # null closes never change either detector's state: drop them here,
+        # where null and NaN are still distinct (pandas would merge them)
+        ticks.where(F.col("close").isNotNull())
+        .select(*cols)
         .groupBy("ticker")
         .transformWithStateInPandas(
             statefulProcessor=AlertProcessor(target, threshold, order_by),

@@ -113,14 +113,19 @@ class AlertProcessor(StatefulProcessor):
         self.last_close = handle.getValueState("last_close", "last_close DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch[batch["close"].notna()]
+        # Null closes were dropped before the shuffle (they never touch the
+        # state), so every NaN here is a real NaN close.
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         if batch.empty:
-            yield _empty()
             return
-        batch = batch.sort_values(self.order_by, kind="mergesort").reset_index(drop=True)
-        closes = batch["close"].to_numpy(dtype="float64")
-        out = []
+        keys = [batch[c].to_numpy() for c in reversed(self.order_by)]
+        order = np.lexsort(keys)
+        closes = batch["close"].to_numpy(dtype="float64")[order]
+        ticker = batch["ticker"].to_numpy()[order]
+        dt = batch["datetime"].to_numpy()[order]
+        ts = batch["timestamp"].to_numpy()[order]
+        parts: list[dict] = []
 
         # one state read per variable (each is a round trip to the state
         # store); write only what changed
@@ -130,19 +135,17 @@ class AlertProcessor(StatefulProcessor):
             i = target_step(closes, latched, self.target)
             if i is not None:
                 self.latched.update((True,))
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "ticker": [batch["ticker"].iat[i]],
-                            "datetime": [batch["datetime"].iat[i]],
-                            "timestamp": pd.array([None], dtype="Int64"),
-                            "target_price": [float(self.target)],
-                            "previous_price": [np.nan],
-                            "current_price": [closes[i]],
-                            "price_change_percentage": [np.nan],
-                            "alert_type": [self.target_alert_type],
-                        }
-                    )
+                parts.append(
+                    {
+                        "ticker": ticker[i : i + 1],
+                        "datetime": dt[i : i + 1],
+                        "timestamp": np.array([None], dtype=object),
+                        "target_price": np.array([float(self.target)]),
+                        "previous_price": np.array([np.nan]),
+                        "current_price": closes[i : i + 1],
+                        "price_change_percentage": np.array([np.nan]),
+                        "alert_type": np.array([self.target_alert_type], dtype=object),
+                    }
                 )
 
         if self.threshold is not None:
@@ -152,22 +155,25 @@ class AlertProcessor(StatefulProcessor):
             if new_state is not None and not _same_value(new_state, prev_state):
                 self.last_close.update((float(new_state),))
             if len(idx):
-                sel = batch.iloc[idx]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "ticker": sel["ticker"].to_numpy(),
-                            "datetime": sel["datetime"].to_numpy(),
-                            "timestamp": pd.array(sel["timestamp"].to_numpy(), dtype="Int64"),
-                            "target_price": np.full(len(idx), np.nan),
-                            "previous_price": prev,
-                            "current_price": closes[idx],
-                            "price_change_percentage": chg,
-                            "alert_type": [self.change_alert_type] * len(idx),
-                        }
-                    )
+                n = len(idx)
+                parts.append(
+                    {
+                        "ticker": ticker[idx],
+                        "datetime": dt[idx],
+                        "timestamp": ts[idx].astype(object),
+                        "target_price": np.full(n, np.nan),
+                        "previous_price": prev,
+                        "current_price": closes[idx],
+                        "price_change_percentage": chg,
+                        "alert_type": np.full(n, self.change_alert_type, dtype=object),
+                    }
                 )
-        yield pd.concat(out, ignore_index=True)[ALERT_COLUMNS] if out else _empty()
+        if not parts:
+            return
+        cols = {c: np.concatenate([p[c] for p in parts]) for c in ALERT_COLUMNS}
+        out = pd.DataFrame(cols)
+        out["timestamp"] = pd.array(out["timestamp"], dtype="Int64")
+        yield out
 
     def close(self) -> None:
         pass
