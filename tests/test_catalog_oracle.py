@@ -36,6 +36,10 @@ def test_every_query_has_an_oracle():
     assert not missing
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+
+
 @pytest.mark.parametrize("key", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF_SMALL)
@@ -43,6 +47,8 @@ def test_query_matches_oracle(spark, con, key):
     rel = con.sql(E.oracle_sql()[key])
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    duck = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    assert {n: SPARK_TO_DUCK.get(t, t) for n, t in df.dtypes} == duck
     assert len(rows) == len(orows)
     assert _canon(df.columns, rows) == _canon(rel.columns, orows)
 

@@ -73,7 +73,7 @@ change_alerts AS (
 def target_alerts_sql(ticks: str, target: float, order: str = "timestamp, seq") -> str:
     return f"""target_alerts AS (
   SELECT ticker, arg_min(datetime, ({order.replace(', ', ', ')})) AS datetime,
-         {float(target)} AS target_price,
+         CAST({float(target)} AS DOUBLE) AS target_price,
          arg_min(close, ({order})) AS current_price,
          '{TARGET_PRICE_ALERT}' AS alert_type
   FROM {ticks}
