@@ -8,6 +8,7 @@ zone: UTC wall-clock time is the documented convention.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,7 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwarden.schemas import PERCENTAGE_CHANGE_ALERT, TARGET_PRICE_ALERT
+from tickwarden.schemas import (
+    DECREASE_MESSAGE,
+    INCREASE_MESSAGE,
+    PERCENTAGE_CHANGE_ALERT,
+    TARGET_MESSAGE,
+    TARGET_PRICE_ALERT,
+)
 
 MS_PER_SECOND = 1_000
 MS_PER_MINUTE = 60 * MS_PER_SECOND
@@ -190,32 +197,41 @@ def num_text(x: Column | str) -> Column:
     )
 
 
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """A ``{name}`` text template filled with columns (one ``concat``)."""
+    parts: list[Column] = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            parts.append(values[field])
+    return F.concat(*parts)
+
+
 def target_message(datetime: Column, ticker: Column, target: Column, current: Column) -> Column:
-    """Target-price alert text (fixed wording of the reference)."""
-    return F.concat(
-        _py_str(datetime),
-        F.lit(" "),
-        _py_str(ticker),
-        F.lit(" price has reached the target of $"),
-        _py_num(target),
-        F.lit(". Current price: $"),
-        _py_num(current),
+    """Target-price alert text."""
+    return fill_template(
+        TARGET_MESSAGE,
+        {
+            "datetime": _py_str(datetime),
+            "ticker": _py_str(ticker),
+            "target_price": _py_num(target),
+            "current_price": _py_num(current),
+        },
     )
 
 
 def change_message(datetime: Column, ticker: Column, pct: Column, current: Column) -> Column:
-    """Price-change alert text: "increased by" when pct > 0, else "decreased by"."""
-    word = F.when((pct > 0) & ~F.isnan(pct), F.lit(" price has increased by ")).otherwise(
-        F.lit(" price has decreased by ")
-    )
-    return F.concat(
-        _py_str(datetime),
-        F.lit(" "),
-        _py_str(ticker),
-        word,
-        _py_num(pct),
-        F.lit("%. Current price: $"),
-        _py_num(current),
+    """Price-change alert text: the increase wording when pct > 0, else
+    the decrease wording (the sign stays in the number)."""
+    values = {
+        "datetime": _py_str(datetime),
+        "ticker": _py_str(ticker),
+        "price_change_percentage": _py_num(pct),
+        "current_price": _py_num(current),
+    }
+    return F.when((pct > 0) & ~F.isnan(pct), fill_template(INCREASE_MESSAGE, values)).otherwise(
+        fill_template(DECREASE_MESSAGE, values)
     )
 
 

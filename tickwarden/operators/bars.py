@@ -23,7 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import bucket_start_ms, iso_datetime, order_key, to_cents
-from tickwarden.schemas import TICK_FIELDS, TIMESPANS
+from tickwarden.schemas import (
+    DATE_FORMAT_ERROR,
+    MULTIPLIER_ERROR,
+    TICK_FIELDS,
+    TIMESPAN_ERROR,
+    TIMESPANS,
+)
 
 BAR_FIELDS = TICK_FIELDS + ["notional_cents"]
 
@@ -33,15 +39,15 @@ def validate_bar_params(
 ) -> None:
     """FLT-8: the reference's parameter checks, with its messages."""
     if multiplier < 1:
-        raise ValueError("Multiplier must be positive")
+        raise ValueError(MULTIPLIER_ERROR)
     if timespan not in TIMESPANS:
-        raise ValueError("Invalid timespan")
+        raise ValueError(TIMESPAN_ERROR)
     try:
         for d in (start_date, end_date):
             if d is not None:
                 datetime.strptime(d, "%Y-%m-%d")
     except ValueError:
-        raise ValueError("Invalid date format. Use YYYY-MM-DD") from None
+        raise ValueError(DATE_FORMAT_ERROR) from None
 
 
 def date_range(

@@ -108,3 +108,18 @@ DEFAULT_MEASUREMENT = "stock_price"
 DEFAULT_TIMESPAN_KEY = "current"
 IGNORED_FIELDS = ("time", "interval")
 TIMESPANS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
+TARGET_MESSAGE = (
+    "{datetime} {ticker} price has reached the target of ${target_price}. "
+    "Current price: ${current_price}"
+)
+INCREASE_MESSAGE = (
+    "{datetime} {ticker} price has increased by {price_change_percentage}%. "
+    "Current price: ${current_price}"
+)
+DECREASE_MESSAGE = (
+    "{datetime} {ticker} price has decreased by {price_change_percentage}%. "
+    "Current price: ${current_price}"
+)
+MULTIPLIER_ERROR = "Multiplier must be positive"
+TIMESPAN_ERROR = "Invalid timespan"
+DATE_FORMAT_ERROR = "Invalid date format. Use YYYY-MM-DD"
