@@ -119,3 +119,40 @@ def test_debug_memory_sink(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tw_debug_tail").count() == 21
+
+
+def test_apps_on_files(spark):
+    import pytest
+
+    from tickwarden.operators import points
+    from tickwarden.streaming import apps
+
+    base = scratch_path(spark, "test-apps")
+    alerts = [
+        '{"ticker":"A","datetime":"t1","target_price":100.0,"current_price":101.0,"alert_type":"target_price"}',
+        '{"ticker":"A","datetime":"t2","timestamp":2,"previous_price":90.0,"current_price":101.0,'
+        '"price_change_percentage":12.22,"alert_type":"percentage_change"}',
+        '{"ticker":"A","alert_type":"other"}', "garbage", "{}",
+    ]
+    spark.createDataFrame([(a, i) for i, a in enumerate(alerts)], "value string, offset long").write.parquet(f"{base}/alerts")
+    q = apps.message_app(files.stream_topic(spark, f"{base}/alerts"), f"{base}/ck1", out=f"{base}/msgs", trigger="availableNow")
+    q.awaitTermination()
+    msgs = sorted(r.message for r in spark.read.parquet(f"{base}/msgs").collect())
+    assert msgs == [
+        "t1 A price has reached the target of $100.0. Current price: $101.0",
+        "t2 A price has increased by 12.22%. Current price: $101.0",
+    ]
+
+    snaps = ['{"current": {"time": "x", "interval": 900, "temperature_2m": 20.5, "rain": 0}}', '{"hourly": {}}']
+    spark.createDataFrame([(v, i) for i, v in enumerate(snaps)], "value string, offset long").write.parquet(f"{base}/snaps")
+    apps.route_app(files.stream_topic(spark, f"{base}/snaps"), f"{base}/ck2", out=f"{base}/routed", trigger="availableNow").awaitTermination()
+    routed = sorted((r.topic, r.value) for r in spark.read.parquet(f"{base}/routed").collect())
+    assert routed == [("rain", "0"), ("temperature_2m", "20.5")]
+
+    pts = ['{"ticker": "A", "close": "1.005", "datetime": "2025-01-01T00:00:00Z"}', '{"ticker": "A", "close": 2.0, "datetime": "2025-01-01T00:00:00"}']
+    spark.createDataFrame([(v, i) for i, v in enumerate(pts)], "value string, offset long").write.parquet(f"{base}/pts")
+    apps.point_app(files.stream_topic(spark, f"{base}/pts"), f"{base}/ck3", f"{base}/points", trigger="availableNow").awaitTermination()
+    assert [r.price for r in points.upsert_points(spark.read.parquet(f"{base}/points")).collect()] == [2.0]
+
+    with pytest.raises(ValueError):
+        apps.message_app(files.stream_topic(spark, f"{base}/alerts"), f"{base}/ck4")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickwarden.functions.exprs import alert_message
 from tickwarden.session import ship_package
 from tickwarden.schemas import (
+    ALERT,
     CHANGE_ALERT_FIELDS,
     PERCENTAGE_CHANGE_ALERT,
     TARGET_ALERT_FIELDS,
@@ -59,3 +60,16 @@ def alert_records(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("ticker").alias("key"), value.alias("value")).where(
         F.col("value").isNotNull()
     )
+
+
+def alerts_from_records(records: DataFrame, value_col: str = "value") -> DataFrame:
+    """SRC-3: decode alert-topic JSON (either shape) into alert rows.
+
+    Text that is not an alert object is dropped (the reference skips
+    falsy or unparseable messages); alerts of an unknown or missing type
+    stay, and get no message downstream.
+    """
+    rec = F.from_json(F.col(value_col).cast("string"), ALERT)
+    # one parse per record, as in the tick decoder
+    parsed = records.select(F.explode(F.array(rec)).alias("a"))
+    return parsed.where(F.col("a").isNotNull() & F.col("a.ticker").isNotNull()).select("a.*")

@@ -26,7 +26,7 @@ from tickwarden.schemas import (
     TARGET_PRICE_ALERT,
 )
 from tickwarden.sources.tables import event_ticks, order_ticks, read_table
-from tickwarden.streaming import jobs
+from tickwarden.streaming import apps, jobs
 from tickwarden.streaming.replay import replay, replay_with_restart
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,14 +216,13 @@ class _Run:
         self.checkpoint = f"{base}/checkpoint"
 
 
-def _alert_run(spark: SparkSession, sf_dir: str, restart: bool = False, with_messages: bool = False) -> DataFrame:
+def _alert_run(spark: SparkSession, sf_dir: str, restart: bool = False) -> DataFrame:
     run = _Run(spark, "alerts")
     feed = landing.tick_feed(spark, sf_dir)
 
     def build() -> DataFrame:
         ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
-        alerts = jobs.alert_stream(ticks, P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD)
-        return jobs.message_stream(alerts) if with_messages else alerts
+        return jobs.alert_stream(ticks, P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD)
 
     if restart:
         replay_with_restart(
@@ -258,7 +257,24 @@ def q_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_messages")
 def q_stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alert_run(spark, sf_dir, with_messages=True)
+    """Two hops through the alert topic: the alert application writes
+    per-type alert JSON, the message application reads and decodes it."""
+    ticks = _Run(spark, "alert-topic")
+    msgs = _Run(spark, "messages")
+    feed = landing.tick_feed(spark, sf_dir)
+    replay(
+        feed,
+        ticks.landing,
+        lambda: apps.alert_app(
+            files.stream_topic(spark, ticks.landing), P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD,
+            ticks.checkpoint, out=ticks.out,
+        ),
+    )
+    query = apps.message_app(
+        files.stream_topic(spark, ticks.out), msgs.checkpoint, out=msgs.out, trigger="availableNow"
+    )
+    query.awaitTermination()
+    return spark.read.parquet(msgs.out)
 
 
 def _split_run(spark: SparkSession, sf_dir: str) -> _Run:
