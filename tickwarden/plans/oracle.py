@@ -149,8 +149,8 @@ def tick_json(close_text: str) -> str:
     )
 
 
-def cut(text: str) -> str:
-    return f"substring({text}, 1, CAST(floor(length({text}) / 2) AS INTEGER))"
+def garble(text: str) -> str:
+    return f"replace({text}, ':', '=')"
 
 
 ORACLE["iso_datetime"] = f"""SELECT event_id, epoch_us(ts) // 1000 AS timestamp,
@@ -168,7 +168,7 @@ SELECT {TICK_COLUMNS}
 FROM event_ticks WHERE event_type NOT IN ('error', 'purchase')"""
 
 ORACLE["quarantine"] = f"""WITH {EVENT_TICKS}
-SELECT CASE WHEN event_type = 'error' THEN {cut(tick_json(dbl('close')))}
+SELECT CASE WHEN event_type = 'error' THEN {garble(tick_json(dbl('close')))}
             ELSE {tick_json(chr(39) + '"' + chr(39) + ' || ' + dbl('close') + ' || ' + chr(39) + '"' + chr(39))}
        END AS value,
        'malformed' AS reason

@@ -6,7 +6,7 @@ are computed by Spark from the tables and written as parquet below the
 shared checkpoint folder; file streams then read them like a topic.
 
 Corrupt records in the dirty feeds follow the data, not row ids: the
-``error`` events carry a cut-off payload, ``purchase`` events a close
+``error`` events carry a garbled payload, ``purchase`` events a close
 sent as quoted text.
 """
 
@@ -24,8 +24,10 @@ from tickwarden.sources.tables import event_ticks
 TOPIC_COLUMNS = ["value", "offset"]
 
 
-def _cut(text: Column) -> Column:
-    return F.substring(text, 1, F.floor(F.length(text) / 2).cast("int"))
+def _garble(text: Column) -> Column:
+    """A corrupt payload: every key-value separator garbled (``:`` -> ``=``);
+    the whole text is kept."""
+    return F.translate(text, ":", "=")
 
 
 def tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +37,12 @@ def tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tick JSON with corrupt records: cut-off text, quoted close."""
+    """Tick JSON with corrupt records: garbled text, quoted close."""
     t = event_ticks(spark, sf_dir)
     quoted = [F.col(c).cast("string").alias(c) if c == "close" else F.col(c) for c in TICK_FIELDS]
     good = F.to_json(F.struct(*TICK_FIELDS), {"ignoreNullFields": "false"})
     text = (
-        F.when(F.col("event_type") == "error", _cut(good))
+        F.when(F.col("event_type") == "error", _garble(good))
         .when(
             F.col("event_type") == "purchase",
             F.to_json(F.struct(*quoted), {"ignoreNullFields": "false"}),
@@ -54,7 +56,7 @@ def point_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick text at hour granularity, so points of one hour collide.
 
     ``purchase`` events send the close as text, ``view`` events a time
-    with a ``Z`` suffix, ``error`` events are cut off.
+    with a ``Z`` suffix, ``error`` events are garbled.
     """
     t = event_ticks(spark, sf_dir)
     hour = bucket_start_ms(F.col("timestamp"), 1, "hour")
@@ -66,7 +68,7 @@ def point_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("ticker"), dt.alias("datetime"), F.col("close").cast("string").alias("close"))
     )
     body = F.when(F.col("event_type") == "purchase", quoted).otherwise(numeric)
-    text = F.when(F.col("event_type") == "error", _cut(body)).otherwise(body)
+    text = F.when(F.col("event_type") == "error", _garble(body)).otherwise(body)
     return t.select(text.alias("value"), F.col("seq").alias("offset"))
 
 
