@@ -1,9 +1,6 @@
 import datetime
 import json
 
-import pytest
-from pyspark.sql import functions as F
-
 from tickwarden.operators import decode, messages, points
 
 TICK = {

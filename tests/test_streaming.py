@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from tickwarden.operators import detectors
 from tickwarden.session import scratch_path
 from tickwarden.streaming import jobs

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickwarden.functions.exprs import bucket_start_ms, ms_to_instant
 from tickwarden.operators import bars as bars_op
-from tickwarden.operators import decode, messages, points, routing
+from tickwarden.operators import decode, points, routing
 from tickwarden.schemas import ALERT, DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
 from tickwarden.session import ship_package, use_rocksdb_state
 from tickwarden.streaming.processor import AlertProcessor
@@ -69,11 +69,6 @@ def alert_stream(
     )
 
 
-def message_stream(alerts: DataFrame) -> DataFrame:
-    """SNK-6: message rows for each alert of a known type."""
-    return messages.alert_messages(alerts)
-
-
 def point_stream(records: DataFrame, measurement: str = DEFAULT_MEASUREMENT) -> DataFrame:
     """SRC-2 + DEC-4 + PRJ-4: points to append to the point log."""
     return points.points_from_records(records, measurement).withColumn(
