@@ -26,19 +26,25 @@ def test_target_filter_reaches_the_scan(spark):
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>", p)
 
 
-def test_change_detector_partitions_by_ticker_and_chunk(spark):
-    p = plan(spark, "price_change_alerts", **{"spark.sql.adaptive.enabled": "false",
-                                             "spark.sql.autoBroadcastJoinThreshold": "-1"})
-    # the row-level window and the join are on (ticker, chunk) ...
-    assert re.search(r"Exchange hashpartitioning\(_k#\d+, _chunk#\d+L?, \d+\)", p)
-    assert "SortMergeJoin [_k" in p and "_chunk" in p
-    # ... only the small summary is partitioned by ticker alone
-    assert len(re.findall(r"Exchange hashpartitioning\(_k#\d+, \d+\)", p)) == 1
-    # the summary uses hash aggregation with map-side partials
-    assert "partial_max_by" in p and "SortAggregate" not in p
-    # the big side is shuffled once: two exchanges on (ticker, chunk) in
-    # total (rows, summary partials) plus the re-keyed small carry side
-    assert len(re.findall(r"Exchange hashpartitioning\(_k#\d+, _chunk#\d+L?, \d+\)", p)) == 3
+def test_change_detector_shuffles_the_input_once_by_ticker_and_chunk(spark):
+    from tickwarden.operators import detectors
+    from tickwarden.sources.tables import event_ticks
+
+    ticks = event_ticks(spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stage = detectors.chunk_stage(ticks, 500.0)._jdf.queryExecution().executedPlan().toString()
+        final = detectors.price_change_alerts(ticks, 500.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    # the pass over all rows: one exchange on (ticker, chunk), one window
+    assert len(re.findall(r"Exchange hashpartitioning\(_k#\d+, _chunk#\d+L?, \d+\)", stage)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(_k#\d+, \d+\)", stage)) == 0
+    assert stage.count("Window [") == 1
+    # everything after it reads the small checkpointed set, never the input again
+    assert "FileScan parquet" not in final
+    assert "events.parquet" not in final
 
 
 def test_bars_use_hash_aggregation(spark):

@@ -13,11 +13,13 @@ Order is explicit (``order_by``), never arrival order of a shuffle.
 Skew: a single ticker may hold a large share of all rows.  The change
 detector therefore never puts a whole ticker in one task: rows are
 windowed by ``(ticker, chunk)`` where a chunk is a time slice of
-``chunk_ms``; the value that crosses a chunk border (the last close of
-the previous non-empty chunk, and whether a zero was seen before) comes
-from a per-chunk summary whose size is bounded by the time span, not by
-the row count.  The target latch is a grouped ``min_by`` with partial
-(map-side) aggregation, which is skew-safe as it is.
+``chunk_ms`` - one shuffle and one sort of the input.  Only each chunk's
+first and last row and the rows already passing the threshold leave
+that pass (checkpointed); the value that crosses a chunk border (the
+last close of the previous non-empty chunk, and whether a zero was seen
+before) comes from the chunks' last rows, a set bounded per ticker by
+the time span, not by the row count.  The target latch is a grouped
+``min_by`` with partial (map-side) aggregation, skew-safe as it is.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwarden.functions.exprs import MS_PER_MINUTE, order_key, pct_change, round2
+from tickwarden.functions.exprs import MS_PER_MINUTE, pct_change, round2
+from tickwarden.session import checkpoint_root
 from tickwarden.schemas import (
     ALERT,
     CHANGE_ALERT_FIELDS,
@@ -88,56 +91,40 @@ def price_change_alerts(
     ``zero_policy="latch"`` (default, as the reference): after the first
     close of 0 a key never alerts again.  ``"skip"``: closes of 0 are not
     usable (dropped like nulls).
-    """
-    if zero_policy not in ("latch", "skip"):
-        raise ValueError("zero_policy must be 'latch' or 'skip'")
-    order = _order(ticks, order_by)
-    close = F.col("close")
-    usable = ticks.where(close.isNotNull())
-    if zero_policy == "skip":
-        usable = usable.where(close != 0)
-    rows = usable.select(
-        F.col(key).alias("_k"),
-        *[F.col(c) for c in dict.fromkeys(order + ["timestamp", "datetime"])],
-        close,
-        F.floor(F.col("timestamp") / F.lit(chunk_ms)).alias("_chunk"),
-        (close == 0).alias("_zero"),
-        order_key(usable, order).alias("_ord"),
-    )
 
-    # Within a chunk: previous close and "a zero came earlier", one sort.
-    in_chunk = Window.partitionBy("_k", "_chunk").orderBy(*order)
-    rows = rows.select(
-        "*",
-        F.lag("close").over(in_chunk).alias("_prev_in"),
-        F.max("_zero")
-        .over(in_chunk.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_zero_in"),
-    )
+    One shuffle and one sort of the input: a window over ``(key, chunk)``
+    gives each row its previous close inside the chunk, whether a zero
+    came earlier in the chunk, and marks the chunk's first and last row.
+    Only a small set of rows leaves that stage - every chunk's first and
+    last row plus the rows that already pass the threshold inside their
+    chunk - and it is checkpointed (reliable, in the shared checkpoint
+    folder).  From it, the per-chunk summary gives every chunk the last
+    close of the previous non-empty chunk and whether a zero came before
+    it; first rows are scored against that close and candidates after a
+    zero are dropped.
+    """
+    kept = chunk_stage(ticks, threshold, key=key, order_by=order_by, chunk_ms=chunk_ms,
+                       zero_policy=zero_policy)
+    checkpoint_root(ticks.sparkSession)
+    kept = kept.checkpoint(eager=True)
+    thr = F.lit(float(threshold))
 
-    # Across chunks: one summary row per (key, chunk), then a window over
-    # the chunks of a key (bounded by time span / chunk_ms rows per key).
-    summary = rows.groupBy("_k", "_chunk").agg(
-        F.max_by("close", "_ord").alias("_last"),
-        F.max("_zero").alias("_has_zero"),
-    )
     by_chunk = Window.partitionBy("_k").orderBy("_chunk")
-    carry = summary.select(
+    carry = kept.where(F.col("_last")).select(
         "_k",
         "_chunk",
-        F.lag("_last").over(by_chunk).alias("_prev_chunk"),
-        F.max("_has_zero")
+        F.lag("close").over(by_chunk).alias("_prev_chunk"),
+        F.max("_chunk_zero")
         .over(by_chunk.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_zero_before"),
     )
-
-    joined = rows.join(carry, ["_k", "_chunk"], "inner")
-    prev = F.coalesce(F.col("_prev_in"), F.col("_prev_chunk"))
-    stuck = F.coalesce(F.col("_zero_before"), F.lit(False)) | F.coalesce(
-        F.col("_zero_in"), F.lit(False)
+    scored = kept.where(F.col("_first") | F.col("_candidate")).join(carry, ["_k", "_chunk"], "inner")
+    is_first = F.col("_first")
+    prev = F.when(is_first, F.col("_prev_chunk")).otherwise(F.col("_prev_in"))
+    chg = F.when(is_first, round2(pct_change(F.col("close"), F.col("_prev_chunk")))).otherwise(
+        F.col("_chg_in")
     )
-    chg = round2(pct_change(F.col("close"), prev))
-    scored = joined.select(
+    out = scored.select(
         F.col("_k").alias("ticker"),
         "datetime",
         "timestamp",
@@ -145,18 +132,71 @@ def price_change_alerts(
         F.col("close").alias("current_price"),
         chg.alias("price_change_percentage"),
         F.lit(alert_type).alias("alert_type"),
-        stuck.alias("_stuck"),
+        F.coalesce(F.col("_zero_before"), F.lit(False)).alias("_stuck"),
     )
     pcp = F.col("price_change_percentage")
-    return scored.where(
+    return out.where(
         F.col("previous_price").isNotNull()
         & ~F.col("_stuck")
         & pcp.isNotNull()
         & ~F.isnan(pcp)
-        & (F.abs(pcp) >= F.lit(float(threshold)))
+        & (F.abs(pcp) >= thr)
     ).select(*CHANGE_ALERT_FIELDS)
 
 
+def chunk_stage(
+    ticks: DataFrame,
+    threshold: float,
+    *,
+    key: str = "ticker",
+    order_by: Sequence[str] | None = None,
+    chunk_ms: int = DEFAULT_CHUNK_MS,
+    zero_policy: str = "latch",
+) -> DataFrame:
+    """The one pass over all rows of ``price_change_alerts``: a window over
+    ``(key, chunk)`` and a filter down to each chunk's first and last row
+    plus in-chunk candidates."""
+    if zero_policy not in ("latch", "skip"):
+        raise ValueError("zero_policy must be 'latch' or 'skip'")
+    order = _order(ticks, order_by)
+    close = F.col("close")
+    usable = ticks.where(close.isNotNull())
+    if zero_policy == "skip":
+        usable = usable.where(close != 0)
+    thr = F.lit(float(threshold))
+    rows = usable.select(
+        F.col(key).alias("_k"),
+        *[F.col(c) for c in dict.fromkeys(order + ["timestamp", "datetime"])],
+        close,
+        F.floor(F.col("timestamp") / F.lit(chunk_ms)).alias("_chunk"),
+        (close == 0).alias("_zero"),
+    )
+
+    in_chunk = Window.partitionBy("_k", "_chunk").orderBy(*order)
+    whole_chunk = in_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "*",
+        F.lag("close").over(in_chunk).alias("_prev_in"),
+        F.max("_zero").over(in_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("_zero_in"),
+        F.lead(F.lit(1)).over(in_chunk).isNull().alias("_last"),
+        F.max("_zero").over(whole_chunk).alias("_chunk_zero"),
+    )
+    chg_in = round2(pct_change(F.col("close"), F.col("_prev_in")))
+    first = F.col("_prev_in").isNull()
+    candidate = (
+        ~first
+        & ~F.coalesce(F.col("_zero_in"), F.lit(False))
+        & chg_in.isNotNull()
+        & ~F.isnan(chg_in)
+        & (F.abs(chg_in) >= thr)
+    )
+    kept = rows.select(
+        "_k", "_chunk", "datetime", "timestamp", "close", "_prev_in", "_last", "_chunk_zero",
+        first.alias("_first"), candidate.alias("_candidate"), chg_in.alias("_chg_in"),
+    ).where(F.col("_first") | F.col("_last") | F.col("_candidate"))
+    return kept
+
+
 def alerts_union(*alerts: DataFrame) -> DataFrame:
     """SET-1: both alert shapes in one table (UNION ALL by name)."""
     out = None
