@@ -154,3 +154,23 @@ def test_apps_on_files(spark):
 
     with pytest.raises(ValueError):
         apps.message_app(files.stream_topic(spark, f"{base}/alerts"), f"{base}/ck4")
+
+
+def test_stream_zero_policy_skip_equals_batch(spark):
+    from tickwarden.operators import decode
+
+    feed = _feed(spark)
+    good, _ = decode.decode(feed, keep=("offset",))
+    expect = _rows(detectors.price_change_alerts(good, 10.0, order_by=("timestamp", "offset"), zero_policy="skip"))
+    base = scratch_path(spark, "test-skip")
+    land, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+
+    def build():
+        ticks = jobs.decoded_ticks(files.stream_topic(spark, land))
+        return jobs.alert_stream(ticks, None, 10.0, zero_policy="skip")
+
+    replay(feed, land, lambda: jobs.start_parquet_sink(build(), out, ckpt), slices=3)
+    got = spark.read.parquet(out).select("ticker", "datetime", "timestamp", "previous_price", "current_price",
+                                         "price_change_percentage", "alert_type")
+    assert _rows(got) == expect
+    assert any("'E'" in r[0] for r in expect)  # ticker E alerts after its zero under "skip"

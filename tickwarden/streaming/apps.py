@@ -58,9 +58,10 @@ def alert_app(
     out: str | None = None,
     kafka: tuple[str, str | None] | None = None,
     trigger: str | None = None,
+    zero_policy: str = "latch",
 ) -> StreamingQuery:
     """Tick topic -> both detectors -> alert topic (per-type JSON, key = ticker)."""
-    alerts = jobs.alert_stream(jobs.decoded_ticks(records), target, threshold)
+    alerts = jobs.alert_stream(jobs.decoded_ticks(records), target, threshold, zero_policy=zero_policy)
     return _start(messages.alert_records(alerts), checkpoint, out, kafka, trigger)
 
 

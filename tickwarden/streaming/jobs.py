@@ -44,20 +44,28 @@ def alert_stream(
     target: float | None,
     threshold: float | None,
     order_by: Sequence[str] = ("timestamp", "offset"),
+    zero_policy: str = "latch",
 ) -> DataFrame:
     """ST-1..3: both detectors over one keyed stream, append mode.
 
     Detectors follow arrival order across micro-batches and
     ``order_by`` inside one.  The watermark is not applied: the
     reference never drops late rows from the detectors.
+    ``zero_policy="skip"`` drops zero closes before the shuffle, as the
+    batch detector does (the target latch never fires on 0 anyway
+    unless the target is <= 0).
     """
+    if zero_policy not in ("latch", "skip"):
+        raise ValueError("zero_policy must be 'latch' or 'skip'")
     use_rocksdb_state(ticks.sparkSession)
     ship_package(ticks.sparkSession)
     cols = list(dict.fromkeys(["ticker", "timestamp", "datetime", "close", *order_by]))
     return (
         # null closes never change either detector's state: drop them here,
         # where null and NaN are still distinct (pandas would merge them)
-        ticks.where(F.col("close").isNotNull())
+        ticks.where(
+            F.col("close").isNotNull() & ((F.col("close") != 0) if zero_policy == "skip" else F.lit(True))
+        )
         .select(*cols)
         .groupBy("ticker")
         .transformWithStateInPandas(
