@@ -17,14 +17,14 @@ from tickwarden.functions.exprs import round2 as round2_expr
 from tickwarden.operators import bars as bars_op
 from tickwarden.operators import decode, detectors, messages, points, records, routing
 from tickwarden.plans import params as P
-from tickwarden.session import scratch_path, ship_package
-from tickwarden.sources import files, landing
 from tickwarden.schemas import (
     CHANGE_ALERT_FIELDS,
     PERCENTAGE_CHANGE_ALERT,
     TARGET_ALERT_FIELDS,
     TARGET_PRICE_ALERT,
 )
+from tickwarden.session import scratch_path, ship_package
+from tickwarden.sources import files, landing
 from tickwarden.sources.tables import event_ticks, order_ticks, read_table
 from tickwarden.streaming import apps, jobs
 from tickwarden.streaming.replay import replay, replay_with_restart
@@ -297,6 +297,23 @@ def q_stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{run.out}/bad").select("value", "reason")
 
 
+@query("stream_pages")
+def q_stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6 as a stream: response pages land as JSON files over time."""
+    run = _Run(spark, "pages")
+    feed = landing.page_feed(spark, sf_dir)
+    replay(
+        feed,
+        run.landing,
+        lambda: jobs.start_parquet_sink(
+            records.explode_pages(files.stream_pages(spark, run.landing)), run.out, run.checkpoint
+        ),
+        fmt="json",
+        order_col="page",
+    )
+    return spark.read.parquet(run.out)
+
+
 @query("scan_ticks")
 def q_scan_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, "scan")

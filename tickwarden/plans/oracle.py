@@ -274,3 +274,5 @@ SELECT ticker AS key,
          CAST(price_change_percentage AS VARCHAR) || ',"alert_type":"' || alert_type || '"}}'
        END AS value
 FROM alerts"""
+
+ORACLE["stream_pages"] = ORACLE["pages_explode"]

@@ -101,6 +101,7 @@ def page_feed(spark: SparkSession, sf_dir: str, page_size: int = 100) -> DataFra
         "ticker",
         F.transform("_r", lambda x: x["bar"]).alias("results"),
         F.lit(None).cast("string").alias("next_url"),
+        "page",
     )
 
 

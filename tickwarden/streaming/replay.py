@@ -16,20 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def offset_slices(feed: DataFrame, slices: int) -> list[tuple[int, int]]:
-    """``slices`` half-open offset ranges covering the feed (one small
-    aggregate row comes back to the driver)."""
-    lo, hi = feed.agg(F.min("offset"), F.max("offset")).first()
+def offset_slices(feed: DataFrame, slices: int, order_col: str = "offset") -> list[tuple[int, int]]:
+    """``slices`` half-open ranges of ``order_col`` covering the feed (one
+    small aggregate row comes back to the driver)."""
+    lo, hi = feed.agg(F.min(order_col), F.max(order_col)).first()
     if lo is None:
         return []
     step = max(1, -(-(hi - lo + 1) // slices))
     return [(a, min(a + step, hi + 1)) for a in range(lo, hi + 1, step)]
 
 
-def land_slice(feed: DataFrame, landing: str, lo: int, hi: int, fmt: str = "parquet") -> None:
-    part = feed.where((F.col("offset") >= lo) & (F.col("offset") < hi))
+def land_slice(
+    feed: DataFrame, landing: str, lo: int, hi: int, fmt: str = "parquet", order_col: str = "offset"
+) -> None:
+    part = feed.where((F.col(order_col) >= lo) & (F.col(order_col) < hi))
     if fmt == "text":
         part.select("value").write.mode("append").text(landing)
+    elif fmt == "json":
+        part.drop(order_col).write.mode("append").json(landing)
     else:
         part.write.mode("append").parquet(landing)
 
@@ -40,18 +44,19 @@ def replay(
     start: Callable[[], StreamingQuery],
     slices: int = 4,
     fmt: str = "parquet",
+    order_col: str = "offset",
 ) -> None:
     """Land slice by slice under one running query, then stop it."""
-    ranges = offset_slices(feed, slices)
+    ranges = offset_slices(feed, slices, order_col)
     if not ranges:
         return
     lo, hi = ranges[0]
-    land_slice(feed, landing, lo, hi, fmt)
+    land_slice(feed, landing, lo, hi, fmt, order_col)
     query = start()
     try:
         query.processAllAvailable()
         for lo, hi in ranges[1:]:
-            land_slice(feed, landing, lo, hi, fmt)
+            land_slice(feed, landing, lo, hi, fmt, order_col)
             query.processAllAvailable()
     finally:
         query.stop()
