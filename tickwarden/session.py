@@ -72,7 +72,10 @@ def ship_package(spark: SparkSession) -> None:
     starts on the driver (the stateful processor is first unpickled
     there).  With ``--py-files`` deployments this only adds a path.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context to add files to
+        return
     if sc.applicationId in _SHIPPED:
         return
     package_dir = os.path.dirname(os.path.abspath(__file__))
@@ -98,12 +101,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     folder of our own is made and registered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        sc = None
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="tickwarden-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
+        if sc is not None:
+            sc.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
+    elif sc is not None and not sc.getCheckpointDir():
+        # Dataset.checkpoint() needs the context's directory
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
