@@ -119,7 +119,11 @@ class AlertProcessor(StatefulProcessor):
         batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         if batch.empty:
             return
-        keys = [batch[c].to_numpy() for c in reversed(self.order_by)]
+        # nulls first, like the batch window's ascending order
+        keys = [
+            pd.to_numeric(batch[c], errors="coerce").astype("float64").fillna(-np.inf).to_numpy()
+            for c in reversed(self.order_by)
+        ]
         order = np.lexsort(keys)
         closes = batch["close"].to_numpy(dtype="float64")[order]
         ticker = batch["ticker"].to_numpy()[order]
