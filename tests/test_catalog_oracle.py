@@ -69,3 +69,14 @@ def test_results_do_not_depend_on_session_time_zone(spark, key):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == other
+
+
+def test_zero_latch_on_real_zero_closes(spark):
+    """sf0.1 is the scale whose events contain zero closes (the latch)."""
+    sf = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    assert c.sql("SELECT count(*) FROM events WHERE value = 0").fetchall()[0][0] > 0
+    df = E.queries()["price_change_alerts"](spark, sf)
+    rel = c.sql(E.oracle_sql()["price_change_alerts"])
+    assert _canon(df.columns, [tuple(r) for r in df.collect()]) == _canon(rel.columns, rel.fetchall())
