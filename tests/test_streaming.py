@@ -176,3 +176,16 @@ def test_stream_zero_policy_skip_equals_batch(spark):
                                          "price_change_percentage", "alert_type")
     assert _rows(got) == expect
     assert any("'E'" in r[0] for r in expect)  # ticker E alerts after its zero under "skip"
+
+
+def test_command_line_alerts_app(spark):
+    from tickwarden.__main__ import run
+
+    feed = _feed(spark)
+    base = scratch_path(spark, "test-cli")
+    feed.write.parquet(f"{base}/in")
+    run(["alerts", "--source", f"{base}/in", "--target", "99", "--threshold", "10",
+         "--checkpoint", f"{base}/ck", "--out", f"{base}/out", "--once"], spark=spark)
+    got = spark.read.parquet(f"{base}/out")
+    assert set(got.columns) == {"key", "value"}
+    assert got.count() == len(_batch_expect(spark, feed).collect())
