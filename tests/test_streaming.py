@@ -47,7 +47,11 @@ def _rows(df):
     return sorted(tuple(repr(x) for x in r) for r in df.collect())
 
 
-def test_stream_equals_batch_with_running_query_and_with_restarts(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("api", ["pandas_with_state", "transform_with_state"])
+def test_stream_equals_batch_with_running_query_and_with_restarts(spark, api):
     feed = _feed(spark)
     expect = _rows(_batch_expect(spark, feed))
     assert len(expect) > 3
@@ -57,7 +61,7 @@ def test_stream_equals_batch_with_running_query_and_with_restarts(spark):
 
         def build():
             ticks = jobs.decoded_ticks(files.stream_topic(spark, land))
-            return jobs.alert_stream(ticks, 99.0, 10.0)
+            return jobs.alert_stream(ticks, 99.0, 10.0, api=api)
 
         if restart:
             replay_with_restart(feed, land, lambda: jobs.start_parquet_sink(build(), out, ckpt, available_now=True), slices=3)

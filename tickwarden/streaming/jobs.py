@@ -21,7 +21,12 @@ from tickwarden.operators import bars as bars_op
 from tickwarden.operators import decode, points, routing
 from tickwarden.schemas import ALERT, DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
 from tickwarden.session import ship_package, use_rocksdb_state
-from tickwarden.streaming.processor import AlertProcessor
+from tickwarden.streaming.processor import (
+    STATE_SCHEMA,
+    AlertLogic,
+    AlertProcessor,
+    pandas_state_function,
+)
 
 # The reference attaches a 15 s bounded-out-of-orderness watermark.
 DEFAULT_WATERMARK = "15 seconds"
@@ -45,6 +50,7 @@ def alert_stream(
     threshold: float | None,
     order_by: Sequence[str] = ("timestamp", "offset"),
     zero_policy: str = "latch",
+    api: str = "pandas_with_state",
 ) -> DataFrame:
     """ST-1..3: both detectors over one keyed stream, append mode.
 
@@ -52,29 +58,34 @@ def alert_stream(
     ``order_by`` inside one.  The watermark is not applied: the
     reference never drops late rows from the detectors.
     ``zero_policy="skip"`` drops zero closes before the shuffle, as the
-    batch detector does (the target latch never fires on 0 anyway
-    unless the target is <= 0).
+    batch detector does.  ``api`` picks ``applyInPandasWithState``
+    (default) or ``transformWithStateInPandas`` (``"transform_with_state"``).
     """
     if zero_policy not in ("latch", "skip"):
         raise ValueError("zero_policy must be 'latch' or 'skip'")
-    use_rocksdb_state(ticks.sparkSession)
-    ship_package(ticks.sparkSession)
+    spark = ticks.sparkSession
+    use_rocksdb_state(spark)
+    ship_package(spark)
     cols = list(dict.fromkeys(["ticker", "timestamp", "datetime", "close", *order_by]))
-    return (
-        # null closes never change either detector's state: drop them here,
-        # where null and NaN are still distinct (pandas would merge them)
-        ticks.where(
-            F.col("close").isNotNull() & ((F.col("close") != 0) if zero_policy == "skip" else F.lit(True))
+    # null closes never change either detector's state: drop them here,
+    # where null and NaN are still distinct (pandas would merge them)
+    keep = F.col("close").isNotNull()
+    if zero_policy == "skip":
+        keep = keep & (F.col("close") != 0)
+    keyed = ticks.where(keep).select(*cols).groupBy("ticker")
+    logic = AlertLogic(target, threshold, order_by)
+    if api == "pandas_with_state":
+        return keyed.applyInPandasWithState(
+            pandas_state_function(logic), ALERT, STATE_SCHEMA, "append", "NoTimeout"
         )
-        .select(*cols)
-        .groupBy("ticker")
-        .transformWithStateInPandas(
-            statefulProcessor=AlertProcessor(target, threshold, order_by),
+    if api == "transform_with_state":
+        return keyed.transformWithStateInPandas(
+            statefulProcessor=AlertProcessor(logic),
             outputStructType=ALERT,
             outputMode="Append",
             timeMode="None",
         )
-    )
+    raise ValueError("api must be 'pandas_with_state' or 'transform_with_state'")
 
 
 def point_stream(records: DataFrame, measurement: str = DEFAULT_MEASUREMENT) -> DataFrame:
