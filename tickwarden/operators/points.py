@@ -77,9 +77,16 @@ def upsert_points(points: DataFrame, order_col: str = "offset") -> DataFrame:
 
 
 def write_point_log(points: DataFrame, path: str, mode: str = "append") -> None:
-    """SNK-3: append points, partitioned by measurement and UTC date."""
+    """SNK-3: append points, partitioned by measurement and UTC date.
+
+    Range partitioning on ``(measurement, date, ticker)`` first: each task
+    then covers a narrow key range and writes to one or two date folders
+    (not one small file per task in every folder), and the sampled range
+    bounds split a hot date over several tasks.
+    """
     (
         points.withColumn("date", F.col("time").cast("date"))
+        .repartitionByRange("measurement", "date", "ticker")
         .write.mode(mode)
         .partitionBy("measurement", "date")
         .parquet(path)
