@@ -102,6 +102,7 @@ def test_kafka_options():
     sink = kafka.sink_options("b:9092", "/ckpt")
     assert "topic" not in sink and sink["kafka.acks"] == "all"
     assert kafka.sink_options("b:9092", "/ckpt", "alerts")["topic"] == "alerts"
+    assert kafka.source_options("b:9092", "t")["maxOffsetsPerTrigger"] == "1000000"
 
 
 def test_alert_records_per_type_keys(spark):

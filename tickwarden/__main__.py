@@ -50,12 +50,15 @@ def run(argv: list[str] | None = None, spark=None):
     args = parser().parse_args(argv)
     spark = spark or build_session(args.master, app_name=f"tickwarden-{args.app}")
     if args.source:
-        records = files.stream_topic(spark, args.source, args.max_per_trigger)
+        records = files.stream_topic(
+            spark, args.source, args.max_per_trigger or files.DEFAULT_MAX_FILES_PER_TRIGGER
+        )
     else:
         if not args.topic:
             raise SystemExit("--topic is needed with --bootstrap")
         records = kafka.read_topic_stream(
-            spark, args.bootstrap, args.topic, max_offsets_per_trigger=args.max_per_trigger
+            spark, args.bootstrap, args.topic,
+            max_offsets_per_trigger=args.max_per_trigger or kafka.DEFAULT_MAX_OFFSETS_PER_TRIGGER,
         )
     trigger = "availableNow" if args.once else args.trigger
     sink_servers = args.sink_bootstrap or args.bootstrap

@@ -22,7 +22,14 @@ def read_topic(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOPIC_RECORD).parquet(path)
 
 
-def stream_topic(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+# Bounds one micro-batch (``availableNow`` splits a backlog accordingly),
+# and so how many rows one key brings to one stateful call.
+DEFAULT_MAX_FILES_PER_TRIGGER = 64
+
+
+def stream_topic(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = DEFAULT_MAX_FILES_PER_TRIGGER
+) -> DataFrame:
     reader = spark.readStream.schema(TOPIC_RECORD)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -40,7 +47,7 @@ def stream_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 
 def stream_text(spark: SparkSession, path: str, whole_text: bool = False,
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = DEFAULT_MAX_FILES_PER_TRIGGER) -> DataFrame:
     """SRC-5 / SRC-7: raw text, one record per line or per file."""
     reader = spark.readStream.option("wholetext", str(whole_text).lower())
     if max_files_per_trigger:

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+DEFAULT_MAX_OFFSETS_PER_TRIGGER = 1_000_000
+
+
 def source_options(
     bootstrap: str,
     topic: str,
     starting_offsets: str = "earliest",
-    max_offsets_per_trigger: int | None = None,
+    max_offsets_per_trigger: int | None = DEFAULT_MAX_OFFSETS_PER_TRIGGER,
     extra: dict[str, str] | None = None,
 ) -> dict[str, str]:
     """Reader options: read committed data only, start at the earliest
