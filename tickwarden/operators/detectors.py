@@ -29,8 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwarden.functions.exprs import MS_PER_MINUTE, pct_change, round2
-from tickwarden.session import checkpoint_root
+from tickwarden.functions.exprs import MS_PER_MINUTE, order_key, pct_change, round2
 from tickwarden.schemas import (
     ALERT,
     CHANGE_ALERT_FIELDS,
@@ -38,6 +37,7 @@ from tickwarden.schemas import (
     TARGET_ALERT_FIELDS,
     TARGET_PRICE_ALERT,
 )
+from tickwarden.session import checkpoint_root
 
 DEFAULT_CHUNK_MS = MS_PER_MINUTE
 
@@ -65,7 +65,7 @@ def target_price_alerts(
     close = F.col("close")
     hits = ticks.where(close.isNotNull() & ~F.isnan(close) & (close >= F.lit(float(target))))
     first = hits.groupBy(key).agg(
-        F.min_by(F.struct("datetime", "close"), F.struct(*order)).alias("hit")
+        F.min_by(F.struct("datetime", "close"), order_key(hits, order)).alias("hit")
     )
     return first.select(
         F.col(key).alias("ticker"),
