@@ -119,3 +119,11 @@ def test_alert_records_per_type_keys(spark):
         '{"ticker":"A","datetime":"t1","timestamp":2000,"previous_price":90.0,"current_price":101.0,'
         '"price_change_percentage":12.22,"alert_type":"percentage_change"}',
     ]
+
+
+def test_bars_keep_rows_with_null_order_values(spark):
+    # a null sequence number sorts first instead of dropping out of open/close
+    rows = [("A", 1000, 5.0, 1, None), ("A", 1000, 6.0, 1, 1), ("A", 2000, 7.0, 1, 2)]
+    ticks = spark.createDataFrame(rows, "ticker string, timestamp long, close double, size long, seq long")
+    bar = bars.bars(ticks, 1, "day").first()
+    assert (bar.open, bar.close, bar.number_of_trades) == (5.0, 7.0, 3)

@@ -64,25 +64,30 @@ def to_cents(col: Column | str) -> Column:
 
 
 def order_key(df: DataFrame, cols: Sequence[str]) -> Column:
-    """One sortable value for an ordering over ``cols``.
+    """One sortable, never-null value for an ordering over ``cols``.
 
     ``min_by`` / ``max_by`` with a struct as ordering force a sort-based
     aggregate; a single fixed-width key keeps them in hash aggregation
     (map-side partial aggregation without sorting).  Two integral columns
     ``(a, b)`` - epoch ms and a sequence number - pack into one
     ``DECIMAL(38,0)`` as ``a * 10^20 + (b + 2^63)``, which preserves the
-    order for any long ``b`` and any ``|a| < 10^17``.  Anything else
-    falls back to a struct.
+    order for any long ``b`` and any ``|a| < 10^17``.  Nulls sort first
+    (as in the windows' ascending order) instead of being skipped by
+    ``min_by`` / ``max_by``.  Anything else falls back to a struct.
     """
     types = dict(df.dtypes)
     integral = {"bigint", "int", "smallint", "tinyint"}
-    if len(cols) == 1 and types.get(cols[0]) in integral | {"double", "float"}:
-        return F.col(cols[0])
+    if len(cols) == 1 and types.get(cols[0]) in integral:
+        return F.coalesce(F.col(cols[0]).cast("bigint"), F.lit(-(2**63)))
+    if len(cols) == 1 and types.get(cols[0]) in ("double", "float"):
+        return F.coalesce(F.col(cols[0]).cast("double"), F.lit(float("-inf")))
     if len(cols) == 2 and all(types.get(c) in integral for c in cols):
         dec = "decimal(38,0)"
         shift = F.expr("CAST('100000000000000000000' AS DECIMAL(38,0))")
         bias = F.expr("CAST('9223372036854775808' AS DECIMAL(38,0))")
-        return F.col(cols[0]).cast(dec) * shift + (F.col(cols[1]).cast(dec) + bias)
+        a = F.coalesce(F.col(cols[0]).cast(dec), F.expr("CAST('-99999999999999999' AS DECIMAL(38,0))"))
+        b = F.coalesce(F.col(cols[1]).cast(dec), -bias)
+        return a * shift + (b + bias)
     return F.struct(*cols)
 
 
