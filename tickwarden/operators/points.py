@@ -70,9 +70,14 @@ def points_from_records(
 
 
 def upsert_points(points: DataFrame, order_col: str = "offset") -> DataFrame:
-    """AGG-4: last write wins per (measurement, ticker, time)."""
+    """AGG-4: last write wins per (measurement, ticker, time).
+
+    A point without an arrival order counts as the oldest write (it is
+    never dropped, as ``max_by`` would drop a null ordering).
+    """
+    arrival = F.coalesce(F.col(order_col).cast("bigint"), F.lit(-(2**63)))
     return points.groupBy("measurement", "ticker", "time").agg(
-        F.max_by("price", F.col(order_col)).alias("price")
+        F.max_by("price", arrival).alias("price")
     ).select(*POINT_FIELDS)
 
 
