@@ -98,7 +98,7 @@ def main() -> None:
                 "value": batch_total,
                 "unit": "sec",
                 "queries": timings,
-                "sf": m.group(1) if m else sf_dir,
+                "sf": float(m.group(1)) if m else sf_dir,
                 **stream_rates,
             }
         )
