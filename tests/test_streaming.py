@@ -152,6 +152,12 @@ def test_apps_on_files(spark):
     apps.route_app(files.stream_topic(spark, f"{base}/snaps"), f"{base}/ck2", out=f"{base}/routed", trigger="availableNow").awaitTermination()
     routed = sorted((r.topic, r.value) for r in spark.read.parquet(f"{base}/routed").collect())
     assert routed == [("rain", "0"), ("temperature_2m", "20.5")]
+    apps.route_app(files.stream_topic(spark, f"{base}/snaps"), f"{base}/ck5", out=f"{base}/routed2",
+                   trigger="availableNow", quarantine=f"{base}/rejected").awaitTermination()
+    routed2 = sorted((r.topic, r.value) for r in spark.read.parquet(f"{base}/routed2").collect())
+    assert routed2 == routed
+    assert [(r.value, r.reason) for r in spark.read.parquet(f"{base}/rejected").collect()] == [
+        ('{"hourly": {}}', "missing_timespan")]
 
     pts = ['{"ticker": "A", "close": "1.005", "datetime": "2025-01-01T00:00:00Z"}', '{"ticker": "A", "close": 2.0, "datetime": "2025-01-01T00:00:00"}']
     spark.createDataFrame([(v, i) for i, v in enumerate(pts)], "value string, offset long").write.parquet(f"{base}/pts")

@@ -5,7 +5,8 @@
                                   --checkpoint DIR (--out DIR | --sink-topic T)
     python -m tickwarden points   ... --out DIR [--measurement stock_price]
     python -m tickwarden messages ... (--out DIR | --sink-topic T)
-    python -m tickwarden route    ... (--out DIR | --sink-bootstrap B) [--timespan current]
+    python -m tickwarden route    ... (--out DIR [--quarantine DIR] | --sink-bootstrap B)
+                                  [--timespan current]
 
 ``--trigger`` takes ``"60 seconds"``-style intervals or ``availableNow``;
 ``--once`` is ``availableNow`` and waits for the end.  A file source is
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--zero-policy", choices=["latch", "skip"], default="latch")
     p.add_argument("--measurement", default=DEFAULT_MEASUREMENT)
     p.add_argument("--timespan", default=DEFAULT_TIMESPAN_KEY)
+    p.add_argument("--quarantine", help="route: folder for snapshots without the timespan object")
     p.add_argument("--trigger", default=None)
     p.add_argument("--once", action="store_true", help="drain what is there and stop")
     p.add_argument("--master", default=None)
@@ -75,7 +77,7 @@ def run(argv: list[str] | None = None, spark=None):
     else:
         query = apps.route_app(
             records, args.checkpoint, out=args.out, bootstrap=args.sink_bootstrap,
-            timespan=args.timespan, trigger=trigger,
+            timespan=args.timespan, trigger=trigger, quarantine=args.quarantine,
         )
     query.awaitTermination()
     return query

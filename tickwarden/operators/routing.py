@@ -53,3 +53,19 @@ def rejected_snapshots(
     """Snapshots without the timespan object: ``(value, reason)``."""
     f = _fields(snapshots, timespan, value_col).where(F.col("_fields").isNull())
     return f.select(F.col("_text").alias("value"), F.lit("missing_timespan").alias("reason"))
+
+
+def split_snapshots(
+    snapshots: DataFrame, timespan: str = DEFAULT_TIMESPAN_KEY, value_col: str = "value",
+    ignore: tuple[str, ...] = IGNORED_FIELDS,
+) -> tuple[DataFrame, DataFrame]:
+    """``(routed, rejected)`` from one parsed frame (persist it to parse once)."""
+    parsed = _fields(snapshots, timespan, value_col)
+    kv = parsed.select(F.explode("_fields").alias("topic", "value"))
+    routed = kv.where(~F.col("topic").isin(*ignore)).select(
+        "topic", F.coalesce(F.col("value"), F.lit("None")).alias("value")
+    )
+    rejected = parsed.where(F.col("_fields").isNull()).select(
+        F.col("_text").alias("value"), F.lit("missing_timespan").alias("reason")
+    )
+    return routed, rejected

@@ -99,9 +99,19 @@ def route_app(
     bootstrap: str | None = None,
     timespan: str = DEFAULT_TIMESPAN_KEY,
     trigger: str | None = None,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Snapshot topic -> one record per field, routed to the topic named
-    after the field (Kafka) or to ``topic=<field>`` folders (files)."""
+    after the field (Kafka) or to ``topic=<field>`` folders (files).
+
+    With ``quarantine`` (files only), each micro-batch is parsed once and
+    written twice: routed fields to ``out/batch_id=N/topic=<field>`` and
+    snapshots without the timespan object to ``quarantine/batch_id=N``.
+    """
+    if quarantine is not None:
+        if out is None:
+            raise ValueError("quarantine= needs out=")
+        return jobs.start_route_split_sink(records, out, quarantine, checkpoint, timespan, trigger)
     routed = jobs.route_stream(records, timespan)
     kafka = (bootstrap, None) if bootstrap else None
     return _start(routed, checkpoint, out, kafka, trigger, () if kafka else ("topic",))

@@ -221,3 +221,33 @@ def start_debug_sink(df: DataFrame, kind: str = "console", name: str | None = No
     if kind == "memory":
         writer = writer.queryName(name or "tickwarden_debug")
     return writer.start()
+
+
+def start_route_split_sink(
+    records: DataFrame,
+    routed_path: str,
+    rejected_path: str,
+    checkpoint: str,
+    timespan: str = DEFAULT_TIMESPAN_KEY,
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """FLT-4 + SNK-4 + DEC-3: routed fields and rejected snapshots of one
+    micro-batch from one parse; per-batch folders make replays idempotent."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        snaps = batch.persist()
+        try:
+            routed, rejected = routing.split_snapshots(snaps, timespan)
+            routed.write.mode("overwrite").partitionBy("topic").parquet(
+                f"{routed_path}/batch_id={batch_id}"
+            )
+            rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+        finally:
+            snaps.unpersist()
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if trigger == "availableNow":
+        writer = writer.trigger(availableNow=True)
+    elif trigger:
+        writer = writer.trigger(processingTime=trigger)
+    return writer.start()
