@@ -199,3 +199,17 @@ def test_command_line_alerts_app(spark):
     got = spark.read.parquet(f"{base}/out")
     assert set(got.columns) == {"key", "value"}
     assert got.count() == len(_batch_expect(spark, feed).collect())
+
+
+def test_whole_file_snapshots_stream_as_one_record_each(spark, tmp_path):
+    from tickwarden.operators import routing
+
+    land = tmp_path / "snaps"
+    land.mkdir()
+    for i in range(2):  # one pretty-printed document per poll, as landed
+        (land / f"poll{i}.json").write_text(json.dumps({"current": {"time": "t", "interval": 900, "rain": i}}, indent=2))
+    base = scratch_path(spark, "test-wholetext")
+    stream = files.stream_text(spark, str(land), whole_text=True)
+    q = jobs.start_parquet_sink(routing.route_fields(stream), f"{base}/out", f"{base}/ck", available_now=True)
+    q.awaitTermination()
+    assert sorted((r.topic, r.value) for r in spark.read.parquet(f"{base}/out").collect()) == [("rain", "0"), ("rain", "1")]
