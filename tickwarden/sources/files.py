@@ -39,21 +39,25 @@ def stream_topic(
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """SRC-6: landed response pages (one JSON page per line, or one
     pretty-printed page per file with ``multi_line``)."""
-    return spark.read.schema(PAGE).option("multiLine", str(multi_line).lower()).json(path)
+    return spark.read.schema(PAGE).json(path, multiLine=multi_line)
 
 
 def stream_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.readStream.schema(PAGE).option("multiLine", str(multi_line).lower()).json(path)
+    return spark.readStream.schema(PAGE).json(path, multiLine=multi_line)
 
 
 def stream_text(spark: SparkSession, path: str, whole_text: bool = False,
                 max_files_per_trigger: int | None = DEFAULT_MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """SRC-5 / SRC-7: raw text, one record per line or per file."""
-    reader = spark.readStream.option("wholetext", str(whole_text).lower())
+    """SRC-5 / SRC-7: raw text, one record per line or per file.
+
+    ``wholetext`` goes as the keyword: ``text()``'s own default would
+    override an option set before it.
+    """
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.text(path)
+    return reader.text(path, wholetext=whole_text)
 
 
 def read_text(spark: SparkSession, path: str, whole_text: bool = False) -> DataFrame:
-    return spark.read.option("wholetext", str(whole_text).lower()).text(path)
+    return spark.read.text(path, wholetext=whole_text)
