@@ -59,3 +59,22 @@ def test_steps_equal_sequential_model_for_any_batching(values, cuts, threshold,
     assert len(got_c) == len(expect_c)
     for g, e in zip(got_c, expect_c):
         assert all(_same(x, y) for x, y in zip(g, e)), (g, e)
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    values=st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), closes), min_size=1, max_size=80),
+    threshold=st.sampled_from([0.0, 5.0, 50.0]),
+)
+def test_chunked_batch_detector_equals_model(spark, values, threshold):
+    from tickwarden.operators import detectors
+
+    rows = [(t, i * 1, f"d{i}", c, i) for i, (t, c) in enumerate(values)]
+    df = spark.createDataFrame(rows, "ticker string, timestamp long, datetime string, close double, seq long")
+    # 2 ms chunks: almost every row sits at a chunk border
+    got = detectors.price_change_alerts(df, threshold, chunk_ms=2).collect()
+    got = sorted((r.ticker, r.datetime, r.previous_price, r.current_price, r.price_change_percentage) for r in got)
+    expect = sorted(change_model([(t, c, d) for t, _, d, c, _ in rows], threshold))
+    assert len(got) == len(expect)
+    for g, e in zip(got, expect):
+        assert all(_same(x, y) for x, y in zip(g, e)), (g, e)
