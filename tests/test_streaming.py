@@ -195,10 +195,13 @@ def test_command_line_alerts_app(spark):
     base = scratch_path(spark, "test-cli")
     feed.write.parquet(f"{base}/in")
     run(["alerts", "--source", f"{base}/in", "--target", "99", "--threshold", "10",
-         "--checkpoint", f"{base}/ck", "--out", f"{base}/out", "--once"], spark=spark)
+         "--checkpoint", f"{base}/ck", "--out", f"{base}/out", "--quarantine", f"{base}/bad", "--once"],
+        spark=spark)
     got = spark.read.parquet(f"{base}/out")
     assert set(got.columns) == {"key", "value"}
     assert got.count() == len(_batch_expect(spark, feed).collect())
+    bad = spark.read.parquet(f"{base}/bad").collect()
+    assert [(r.value, r.reason) for r in bad] == [("not json", "malformed")]
 
 
 def test_whole_file_snapshots_stream_as_one_record_each(spark, tmp_path):

@@ -41,7 +41,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--zero-policy", choices=["latch", "skip"], default="latch")
     p.add_argument("--measurement", default=DEFAULT_MEASUREMENT)
     p.add_argument("--timespan", default=DEFAULT_TIMESPAN_KEY)
-    p.add_argument("--quarantine", help="route: folder for snapshots without the timespan object")
+    p.add_argument("--quarantine", help="alerts: folder for undecodable ticks; "
+                   "route: folder for snapshots without the timespan object")
     p.add_argument("--trigger", default=None)
     p.add_argument("--once", action="store_true", help="drain what is there and stop")
     p.add_argument("--master", default=None)
@@ -68,7 +69,7 @@ def run(argv: list[str] | None = None, spark=None):
     if args.app == "alerts":
         query = apps.alert_app(
             records, args.target, args.threshold, args.checkpoint, out=args.out, kafka=sink,
-            trigger=trigger, zero_policy=args.zero_policy,
+            trigger=trigger, zero_policy=args.zero_policy, quarantine=args.quarantine,
         )
     elif args.app == "points":
         query = apps.point_app(records, args.checkpoint, args.out, args.measurement, trigger)
@@ -79,6 +80,9 @@ def run(argv: list[str] | None = None, spark=None):
             records, args.checkpoint, out=args.out, bootstrap=args.sink_bootstrap,
             timespan=args.timespan, trigger=trigger, quarantine=args.quarantine,
         )
+    for other in spark.streams.active:  # e.g. the alert app's quarantine query
+        if other.id != query.id:
+            other.awaitTermination()
     query.awaitTermination()
     return query
 

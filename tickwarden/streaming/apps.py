@@ -59,8 +59,17 @@ def alert_app(
     kafka: tuple[str, str | None] | None = None,
     trigger: str | None = None,
     zero_policy: str = "latch",
+    quarantine: str | None = None,
 ) -> StreamingQuery:
-    """Tick topic -> both detectors -> alert topic (per-type JSON, key = ticker)."""
+    """Tick topic -> both detectors -> alert topic (per-type JSON, key = ticker).
+
+    With ``quarantine``, a second query on the same source writes the
+    undecodable records ``(value, reason, offset)`` there (its checkpoint
+    is ``<checkpoint>-quarantine``); it runs alongside and shows in
+    ``spark.streams.active``.  The returned query is the alert query.
+    """
+    if quarantine is not None:
+        _start(jobs.quarantined(records), f"{checkpoint}-quarantine", quarantine, None, trigger)
     alerts = jobs.alert_stream(jobs.decoded_ticks(records), target, threshold, zero_policy=zero_policy)
     return _start(messages.alert_records(alerts), checkpoint, out, kafka, trigger)
 
