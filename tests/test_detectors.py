@@ -143,3 +143,11 @@ def test_change_plan_has_no_whole_ticker_partition(spark):
     # ticker alone; only the per-chunk summary is windowed per ticker.
     plan = detectors.price_change_alerts(_ticks(spark, [1.0, 2.0]), 5.0)._jdf.queryExecution().executedPlan().toString()
     assert "_chunk" in plan
+
+
+def test_parameter_checks(spark):
+    ticks = _ticks(spark, [1.0, 2.0])
+    with pytest.raises(ValueError):
+        detectors.price_change_alerts(ticks, 5.0, chunk_ms=0)
+    with pytest.raises(ValueError):
+        detectors.price_change_alerts(ticks, 5.0, zero_policy="other")

@@ -158,6 +158,8 @@ def chunk_stage(
     plus in-chunk candidates."""
     if zero_policy not in ("latch", "skip"):
         raise ValueError("zero_policy must be 'latch' or 'skip'")
+    if chunk_ms <= 0:
+        raise ValueError("chunk_ms must be positive")
     order = _order(ticks, order_by)
     close = F.col("close")
     usable = ticks.where(close.isNotNull())
