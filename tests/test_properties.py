@@ -78,3 +78,45 @@ def test_chunked_batch_detector_equals_model(spark, values, threshold):
     assert len(got) == len(expect)
     for g, e in zip(got, expect):
         assert all(_same(x, y) for x, y in zip(g, e)), (g, e)
+
+
+tick_values = st.one_of(
+    st.none(),
+    st.floats(allow_nan=True, allow_infinity=True, width=64),
+    st.integers(min_value=-(2**53), max_value=2**53).map(float),
+)
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    st.lists(
+        st.fixed_dictionaries(
+            {
+                "ticker": st.one_of(st.none(), st.text(min_size=1, max_size=6)),
+                "timestamp": st.one_of(st.none(), st.integers(min_value=-(2**62), max_value=2**62)),
+                "datetime": st.one_of(st.none(), st.text(max_size=10)),
+                "open": tick_values, "close": tick_values, "high": tick_values,
+                "low": tick_values, "volume": tick_values, "vwap": tick_values,
+                "number_of_trades": st.one_of(st.none(), st.integers(min_value=0, max_value=2**62)),
+            }
+        ),
+        min_size=1,
+        max_size=40,
+    )
+)
+def test_decode_round_trips_python_json(spark, ticks):
+    import json as _json
+
+    from tickwarden.operators import decode
+
+    texts = [(_json.dumps(t), i) for i, t in enumerate(ticks)]
+    good, bad = decode.decode(spark.createDataFrame(texts, "value string, offset long"), keep=("offset",))
+    got = {r.offset: r.asDict() for r in good.collect()}
+    reasons = {r.offset: r.reason for r in bad.collect()}
+    for i, t in enumerate(ticks):
+        if t["ticker"] is None:
+            assert reasons[i] == "missing_ticker"
+            continue
+        row = got[i]
+        for k, v in t.items():
+            assert _same(row[k], v) or row[k] == v, (k, row[k], v)
