@@ -120,3 +120,39 @@ def test_decode_round_trips_python_json(spark, ticks):
         row = got[i]
         for k, v in t.items():
             assert _same(row[k], v) or row[k] == v, (k, row[k], v)
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from(["A", "B"]),
+            st.integers(min_value=1_704_067_200_000, max_value=1_704_067_200_000 + 3 * 86_400_000),
+            st.integers(min_value=1, max_value=99_999).map(lambda c: c / 100),
+            st.integers(min_value=0, max_value=50),
+        ),
+        min_size=1,
+        max_size=120,
+    ),
+    st.sampled_from([(1, "day", 86_400_000), (5, "minute", 300_000)]),
+)
+def test_bars_equal_python_ohlcv(spark, trades, span):
+    from tickwarden.operators import bars
+
+    m, timespan, width = span
+    rows = [(t, ts, c, k, i) for i, (t, ts, c, k) in enumerate(trades)]
+    df = spark.createDataFrame(rows, "ticker string, timestamp long, close double, size long, seq long")
+    got = {(r.ticker, r.timestamp): r for r in bars.bars(df, m, timespan).collect()}
+    groups = {}
+    for t, ts, c, k, i in rows:
+        groups.setdefault((t, ts - ts % width), []).append((ts, i, c, k))
+    assert got.keys() == groups.keys()
+    for key, g in groups.items():
+        g.sort()
+        r = got[key]
+        volume = float(sum(k for *_, k in g))
+        notional = sum(float(round(c * 100)) * k for _, _, c, k in g)
+        assert (r.open, r.close) == (g[0][2], g[-1][2])
+        assert (r.high, r.low) == (max(c for _, _, c, _ in g), min(c for _, _, c, _ in g))
+        assert (r.volume, r.number_of_trades) == (volume, len(g))
+        assert r.vwap == (None if volume == 0 else notional / volume / 100)
