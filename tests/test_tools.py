@@ -1,0 +1,38 @@
+import json
+import os
+import sys
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+import stage_stats  # noqa: E402
+
+
+def _events():
+    def task(stage, inp, shuffle, ms):
+        return {"Event": "SparkListenerTaskEnd", "Stage ID": stage, "Task Metrics": {
+            "Input Metrics": {"Records Read": inp},
+            "Shuffle Read Metrics": {"Total Records Read": shuffle}, "Executor Run Time": ms}}
+
+    return [
+        task(0, 10, 0, 5), task(0, 30, 0, 7),
+        task(1, 0, 35, 9), task(1, 0, 5, 1),
+        {"Event": "SparkListenerStageCompleted", "Stage Info": {"Stage ID": 1, "Stage Name": "window"}},
+    ]
+
+
+def test_stage_stats_plain_and_zstd(tmp_path):
+    import zstandard
+
+    lines = "\n".join(json.dumps(e) for e in _events()) + "\n"
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "events_1_app").write_text(lines)
+    packed = tmp_path / "packed" / "eventlog_v2_app"
+    packed.mkdir(parents=True)
+    (packed / "events_1_app.zstd").write_bytes(zstandard.ZstdCompressor().compress(lines.encode()))
+    (packed / "appstatus_app").write_text("")
+    for folder in (plain, tmp_path / "packed"):
+        rows = {r["stage"]: r for r in stage_stats.stage_stats(str(folder))}
+        assert rows[0]["records"] == 40 and rows[0]["max_task_records"] == 30
+        assert rows[1]["name"] == "window" and rows[1]["max_task_share"] == 0.875
+        assert rows[1]["max_task_ms"] == 9
