@@ -7,7 +7,9 @@ sub-packages are:
                   snapshots, Kafka (behind one function each)
 * ``functions`` - column expressions (rounding, ISO text, messages, buckets)
 * ``operators`` - batch operators (decode, detectors, bars, points, routing)
-* ``streaming`` - the stateful alert processor and stream builders
+* ``streaming`` - the detectors' per-key state logic, stream builders,
+                  and the reference's four programs as streaming apps
+                  (``python -m tickwarden <alerts|points|messages|route>``)
 * ``plans``     - the query catalogue used by ``__spark_entry__`` and bench
 """
 
