@@ -80,3 +80,16 @@ def test_zero_latch_on_real_zero_closes(spark):
     df = E.queries()["price_change_alerts"](spark, sf)
     rel = c.sql(E.oracle_sql()["price_change_alerts"])
     assert _canon(df.columns, [tuple(r) for r in df.collect()]) == _canon(rel.columns, rel.fetchall())
+
+
+@pytest.mark.parametrize("key", ["price_change_alerts", "price_points", "bars_rollup"])
+def test_results_do_not_depend_on_ansi_mode(spark, con, key):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = E.queries()[key](spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+    rel = con.sql(E.oracle_sql()[key])
+    assert _canon(df.columns, rows) == _canon(rel.columns, rel.fetchall())
