@@ -51,11 +51,13 @@ def query(name: str):
 
 @query("price_change_alerts")
 def q_price_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2, PRJ-6, FLT-2: change alerts on events ticks (threshold 500 %)."""
     return detectors.price_change_alerts(event_ticks(spark, sf_dir), P.PRICE_CHANGE_THRESHOLD)
 
 
 @query("target_price_alerts")
 def q_target_price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1, FLT-1: one-shot target alerts on events ticks (target 250)."""
     return detectors.target_price_alerts(event_ticks(spark, sf_dir), P.TARGET_PRICE)
 
 
@@ -69,21 +71,25 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alerts_union")
 def q_alerts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-1, PRJ-9: both alert shapes in one table."""
     return _alerts(spark, sf_dir)
 
 
 @query("alert_messages")
 def q_alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-7, PRJ-8, FLT-5, SNK-6: message text per alert."""
     return messages.alert_messages(_alerts(spark, sf_dir))
 
 
 @query("alert_records")
 def q_alert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1, S16: alert-topic records, per-type JSON, key = ticker."""
     return messages.alert_records(_alerts(spark, sf_dir))
 
 
 @query("order_change_alerts")
 def q_order_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2 on a second series: orders by customer, tie-broken by order key."""
     return detectors.price_change_alerts(
         order_ticks(spark, sf_dir),
         P.ORDER_CHANGE_THRESHOLD,
@@ -96,6 +102,7 @@ def q_order_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("round2")
 def q_round2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-5: half-even rounding to cents of lineitem revenue."""
     li = read_table(spark, sf_dir, "lineitem")
     amount = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
     return li.select(
@@ -108,6 +115,7 @@ def q_round2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("iso_datetime")
 def q_iso_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-2: epoch ms and ISO text of every event."""
     ev = read_table(spark, sf_dir, "events")
     ms = ntz_to_ms(F.col("ts"))
     return ev.select("event_id", ms.alias("timestamp"), iso_datetime(ms).alias("datetime"))
@@ -115,6 +123,7 @@ def q_iso_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("record_json")
 def q_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-3, SNK-5: tick records as JSON text keyed by ticker."""
     return records.tick_records(event_ticks(spark, sf_dir))
 
 
@@ -123,24 +132,28 @@ def q_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decode_ticks")
 def q_decode_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEC-1, DEC-2: typed ticks from the dirty tick feed."""
     good, _ = decode.decode(landing.dirty_tick_feed(spark, sf_dir))
     return good
 
 
 @query("quarantine")
 def q_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEC-3, SNK-7: undecodable records with their reason."""
     _, bad = decode.decode(landing.dirty_tick_feed(spark, sf_dir))
     return bad
 
 
 @query("pages_explode")
 def q_pages_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6, GEN-2: landed response pages unnested."""
     path = landing.land(landing.page_feed(spark, sf_dir), scratch_path(spark, "pages"), "json")
     return records.explode_pages(files.read_pages(spark, path))
 
 
 @query("bar_records")
 def q_bar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-1: day bars in the upstream wire shape, normalised."""
     raw = bars_op.as_raw_bars(bars_op.bars(event_ticks(spark, sf_dir), 1, "day"))
     return records.normalize_bars(raw)
 
@@ -150,12 +163,14 @@ def q_bar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("price_points")
 def q_price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2, DEC-4, PRJ-4, AGG-4: points with last write wins."""
     pts = points.points_from_records(landing.point_feed(spark, sf_dir), P.MEASUREMENT)
     return points.upsert_points(pts)
 
 
 @query("points_range")
 def q_points_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3, FLT-6: point log written, one week read back with pruning."""
     path = scratch_path(spark, "points")
     pts = points.points_from_records(landing.point_feed(spark, sf_dir), P.MEASUREMENT)
     points.write_point_log(pts, path)
@@ -164,6 +179,7 @@ def q_points_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("date_range")
 def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-7: orders of 1997 by UTC date."""
     return bars_op.date_range(
         read_table(spark, sf_dir, "orders"), "o_orderdate", P.DATE_RANGE_START, P.DATE_RANGE_END
     )
@@ -174,21 +190,25 @@ def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bars_day")
 def q_bars_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1: day bars."""
     return bars_op.bars(event_ticks(spark, sf_dir), 1, "day")
 
 
 @query("bars_5min")
 def q_bars_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1: 5-minute bars."""
     return bars_op.bars(event_ticks(spark, sf_dir), 5, "minute")
 
 
 @query("bars_month")
 def q_bars_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1: calendar-month bars."""
     return bars_op.bars(event_ticks(spark, sf_dir), 1, "month")
 
 
 @query("bars_rollup")
 def q_bars_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-2: day bars rolled up to Monday weeks."""
     day = bars_op.bars(event_ticks(spark, sf_dir), 1, "day")
     return bars_op.bars(day, 1, "week")
 
@@ -198,6 +218,7 @@ def q_bars_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("route_fields")
 def q_route_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-4, GEN-1, FLT-3, FLT-4: one routed record per snapshot field."""
     return routing.route_fields(landing.snapshot_feed(spark, sf_dir))
 
 
@@ -235,23 +256,27 @@ def _alert_run(spark: SparkSession, sf_dir: str, restart: bool = False) -> DataF
 
 @query("stream_alerts")
 def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-3, SNK-1: both detectors on one stream."""
     return _alert_run(spark, sf_dir)
 
 
 @query("stream_price_change_alerts")
 def q_stream_price_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2 in streaming."""
     out = _alert_run(spark, sf_dir)
     return out.where(F.col("alert_type") == PERCENTAGE_CHANGE_ALERT).select(*CHANGE_ALERT_FIELDS)
 
 
 @query("stream_target_price_alerts")
 def q_stream_target_price_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 in streaming."""
     out = _alert_run(spark, sf_dir)
     return out.where(F.col("alert_type") == TARGET_PRICE_ALERT).select(*TARGET_ALERT_FIELDS)
 
 
 @query("stream_resume")
 def q_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-4: stop and restart on the checkpoint after every slice."""
     return _alert_run(spark, sf_dir, restart=True)
 
 
@@ -316,6 +341,7 @@ def q_stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_ticks")
 def q_scan_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1: tick topic (file twin) decoded by a stream."""
     run = _Run(spark, "scan")
     feed = landing.tick_feed(spark, sf_dir)
 
@@ -329,6 +355,7 @@ def q_scan_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("raw_tail")
 def q_raw_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-5, SNK-2: raw topic records as they arrive."""
     run = _Run(spark, "tail")
     feed = landing.tick_feed(spark, sf_dir)
     replay(
@@ -341,6 +368,7 @@ def q_raw_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snapshot_scan")
 def q_snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7: landed snapshot text as a stream."""
     run = _Run(spark, "snapshots")
     feed = landing.snapshot_feed(spark, sf_dir)
     replay(
@@ -354,6 +382,7 @@ def q_snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_points")
 def q_stream_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3 in streaming: point log appended, upserted at read."""
     run = _Run(spark, "points")
     feed = landing.point_feed(spark, sf_dir)
     replay(
@@ -371,6 +400,7 @@ def q_stream_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_route")
 def q_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-4 in streaming: routed fields partitioned by topic."""
     run = _Run(spark, "route")
     feed = landing.snapshot_feed(spark, sf_dir)
     replay(
@@ -388,6 +418,7 @@ def q_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_bars")
 def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-3, ST-5: 5-minute bars with the 15 s watermark."""
     run = _Run(spark, "bars")
     feed = landing.tick_feed(spark, sf_dir)
 
