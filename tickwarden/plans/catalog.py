@@ -318,6 +318,7 @@ def _split_run(spark: SparkSession, sf_dir: str) -> _Run:
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEC-3, SNK-7 in streaming: the split sink's quarantine output."""
     run = _split_run(spark, sf_dir)
     return spark.read.parquet(f"{run.out}/bad").select("value", "reason")
 
