@@ -417,15 +417,25 @@ def q_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(run.out).select("topic", "value")
 
 
-@query("stream_bars")
-def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-3, ST-5: 5-minute bars with the 15 s watermark."""
+def _stream_bars(spark: SparkSession, sf_dir: str, multiplier: int, timespan: str) -> DataFrame:
     run = _Run(spark, "bars")
     feed = landing.tick_feed(spark, sf_dir)
 
     def start():
         ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
-        return jobs.start_bar_sink(jobs.bar_stream(ticks, 5, "minute"), run.out, run.checkpoint)
+        return jobs.start_bar_sink(jobs.bar_stream(ticks, multiplier, timespan), run.out, run.checkpoint)
 
     replay(feed, run.landing, start)
     return jobs.latest_bars(spark, run.out)
+
+
+@query("stream_bars")
+def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-3, ST-5: 5-minute bars with the 15 s watermark."""
+    return _stream_bars(spark, sf_dir, 5, "minute")
+
+
+@query("stream_bars_month")
+def q_stream_bars_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-3 on a calendar span: month bars, watermark on the bucket start."""
+    return _stream_bars(spark, sf_dir, 1, "month")

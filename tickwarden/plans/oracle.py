@@ -276,3 +276,4 @@ SELECT ticker AS key,
 FROM alerts"""
 
 ORACLE["stream_pages"] = ORACLE["pages_explode"]
+ORACLE["stream_bars_month"] = ORACLE["bars_month"]
