@@ -151,3 +151,20 @@ def test_parameter_checks(spark):
         detectors.price_change_alerts(ticks, 5.0, chunk_ms=0)
     with pytest.raises(ValueError):
         detectors.price_change_alerts(ticks, 5.0, zero_policy="other")
+
+
+def test_chunks_follow_the_leading_order_column(spark):
+    # arrival order by seq while timestamps are shuffled: chunks must be
+    # cut on seq, or the carry between chunks would follow the wrong order
+    rnd = random.Random(9)
+    rows = random_rows(10, n=1500, tickers=8)
+    stamps = [r[1] for r in rows]
+    rnd.shuffle(stamps)
+    rows = [(t, ts, d, c, seq) for (t, _, d, c, seq), ts in zip(rows, stamps)]
+    expect = sorted(change_model([(t, c, d) for t, _, d, c, _ in rows], 5.0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = detectors.price_change_alerts(df, 5.0, order_by=("seq",), chunk_ms=37).collect()
+    got = sorted((r.ticker, r.datetime, r.previous_price, r.current_price, r.price_change_percentage) for r in got)
+    assert len(got) == len(expect)
+    for g, e in zip(got, expect):
+        assert all(_same(x, y) for x, y in zip(g, e)), (g, e)

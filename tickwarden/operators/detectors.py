@@ -155,7 +155,8 @@ def chunk_stage(
 ) -> DataFrame:
     """The one pass over all rows of ``price_change_alerts``: a window over
     ``(key, chunk)`` and a filter down to each chunk's first and last row
-    plus in-chunk candidates."""
+    plus in-chunk candidates.  A chunk is a range of ``chunk_ms`` units of
+    the leading order column (milliseconds for the default ``timestamp``)."""
     if zero_policy not in ("latch", "skip"):
         raise ValueError("zero_policy must be 'latch' or 'skip'")
     if chunk_ms <= 0:
@@ -170,7 +171,9 @@ def chunk_stage(
         F.col(key).alias("_k"),
         *[F.col(c) for c in dict.fromkeys(order + ["timestamp", "datetime"])],
         close,
-        F.floor(F.col("timestamp") / F.lit(chunk_ms)).alias("_chunk"),
+        # chunks are ranges of the leading order column, so chunk order is
+        # row order whatever the order columns are (epoch ms by default)
+        F.floor(F.col(order[0]) / F.lit(chunk_ms)).alias("_chunk"),
         (close == 0).alias("_zero"),
     )
 
