@@ -127,3 +127,16 @@ def test_bars_keep_rows_with_null_order_values(spark):
     ticks = spark.createDataFrame(rows, "ticker string, timestamp long, close double, size long, seq long")
     bar = bars.bars(ticks, 1, "day").first()
     assert (bar.open, bar.close, bar.number_of_trades) == (5.0, 7.0, 3)
+
+
+def test_order_key_packs_only_epoch_ms_leading(spark):
+    from pyspark.sql import functions as F
+
+    from tickwarden.functions.exprs import order_key
+
+    df = spark.createDataFrame([(2**62, 1, 5)], "a long, b long, timestamp long")
+    # a huge leading value would overflow the packed decimal: kept as a struct
+    assert df.select(order_key(df, ["a", "b"]).alias("k")).schema["k"].dataType.typeName() == "struct"
+    packed = df.select(order_key(df, ["timestamp", "b"]).alias("k"))
+    assert packed.schema["k"].dataType.typeName() == "decimal"
+    assert df.groupBy("b").agg(F.max_by("a", order_key(df, ["a", "b"])).alias("m")).first().m == 2**62

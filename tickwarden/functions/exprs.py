@@ -68,12 +68,14 @@ def order_key(df: DataFrame, cols: Sequence[str]) -> Column:
 
     ``min_by`` / ``max_by`` with a struct as ordering force a sort-based
     aggregate; a single fixed-width key keeps them in hash aggregation
-    (map-side partial aggregation without sorting).  Two integral columns
-    ``(a, b)`` - epoch ms and a sequence number - pack into one
-    ``DECIMAL(38,0)`` as ``a * 10^20 + (b + 2^63)``, which preserves the
-    order for any long ``b`` and any ``|a| < 10^17``.  Nulls sort first
-    (as in the windows' ascending order) instead of being skipped by
-    ``min_by`` / ``max_by``.  Anything else falls back to a struct.
+    (map-side partial aggregation without sorting).  ``(timestamp, b)`` -
+    epoch ms and an integral sequence number - packs into one
+    ``DECIMAL(38,0)`` as ``timestamp * 10^20 + (b + 2^63)``, which
+    preserves the order for any long ``b`` while ``|timestamp| < 10^17``
+    (epoch ms up to year 3 million); other leading columns could
+    overflow that, so they keep the struct.  Nulls sort first (as in the
+    windows' ascending order) instead of being skipped by ``min_by`` /
+    ``max_by``.
     """
     types = dict(df.dtypes)
     integral = {"bigint", "int", "smallint", "tinyint"}
@@ -81,7 +83,7 @@ def order_key(df: DataFrame, cols: Sequence[str]) -> Column:
         return F.coalesce(F.col(cols[0]).cast("bigint"), F.lit(-(2**63)))
     if len(cols) == 1 and types.get(cols[0]) in ("double", "float"):
         return F.coalesce(F.col(cols[0]).cast("double"), F.lit(float("-inf")))
-    if len(cols) == 2 and all(types.get(c) in integral for c in cols):
+    if len(cols) == 2 and cols[0] == "timestamp" and all(types.get(c) in integral for c in cols):
         dec = "decimal(38,0)"
         shift = F.expr("CAST('100000000000000000000' AS DECIMAL(38,0))")
         bias = F.expr("CAST('9223372036854775808' AS DECIMAL(38,0))")
