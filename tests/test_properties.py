@@ -156,3 +156,24 @@ def test_bars_equal_python_ohlcv(spark, trades, span):
         assert (r.high, r.low) == (max(c for _, _, c, _ in g), min(c for _, _, c, _ in g))
         assert (r.volume, r.number_of_trades) == (volume, len(g))
         assert r.vwap == (None if volume == 0 else notional / volume / 100)
+
+
+def test_streaming_step_orders_text_and_null_keys_like_the_batch_window():
+    import pandas as pd
+
+    from tickwarden.streaming.processor import AlertLogic
+
+    logic = AlertLogic(None, 5.0, order_by=("dt", "offset"))
+    frame = pd.DataFrame({
+        "ticker": ["A"] * 4,
+        "timestamp": [3, 1, 2, 4],
+        "datetime": ["c", "a", "b", None],
+        "dt": ["2024-01-03", "2024-01-01", "2024-01-02", None],  # text order column, one null
+        "close": [30.0, 10.0, 20.0, 5.0],
+        "offset": [0, 1, 2, 3],
+    })
+    out, _, last = logic.step([frame], False, None)
+    # order: null (5.0), 01 (10.0), 02 (20.0), 03 (30.0)
+    assert list(out["current_price"]) == [10.0, 20.0, 30.0]
+    assert list(out["previous_price"]) == [5.0, 10.0, 20.0]
+    assert last == 30.0

@@ -129,11 +129,7 @@ class AlertLogic:
         if batch.empty:
             return None, latched, prev_state
         # nulls first, like the batch window's ascending order
-        keys = [
-            pd.to_numeric(batch[c], errors="coerce").astype("float64").fillna(-np.inf).to_numpy()
-            for c in reversed(self.order_by)
-        ]
-        order = np.lexsort(keys)
+        order = np.lexsort([_sort_key(batch[c]) for c in reversed(self.order_by)])
         closes = batch["close"].to_numpy(dtype="float64")[order]
         ticker = batch["ticker"].to_numpy()[order]
         dt = batch["datetime"].to_numpy()[order]
@@ -183,6 +179,16 @@ class AlertLogic:
         return out, new_latched, new_close
 
 
+def _sort_key(col: pd.Series) -> np.ndarray:
+    """Sortable values, nulls first: numbers as float64 (exact below 2^53,
+    which covers epoch ms and offsets), anything else as text."""
+    if pd.api.types.is_numeric_dtype(col):
+        return col.astype("float64").fillna(-np.inf).to_numpy()
+    text = col.astype(object).where(col.notna(), None)
+    # a leading character keeps every null before every value
+    return np.array(["" if v is None else "\x01" + str(v) for v in text], dtype=str)
+
+
 def _unpack(stored) -> tuple[bool, float | None]:
     if stored is None:
         return False, None
