@@ -1,4 +1,4 @@
-"""Structured Streaming builders: alerts, points, routing, messages, bars.
+"""Structured Streaming builders: alerts, points, routing, bars, and sinks.
 
 Every builder takes a streaming DataFrame of topic records
 ``(value, offset)`` (a Kafka source or its file twin) and returns a
