@@ -216,3 +216,23 @@ def test_whole_file_snapshots_stream_as_one_record_each(spark, tmp_path):
     q = jobs.start_parquet_sink(routing.route_fields(stream), f"{base}/out", f"{base}/ck", available_now=True)
     q.awaitTermination()
     assert sorted((r.topic, r.value) for r in spark.read.parquet(f"{base}/out").collect()) == [("rain", "0"), ("rain", "1")]
+
+
+def test_command_line_points_messages_route(spark):
+    from tickwarden.__main__ import run
+
+    base = scratch_path(spark, "test-cli2")
+    pts = ['{"ticker": "A", "close": "1.5", "datetime": "2025-01-01T00:00:00Z"}']
+    alerts = ['{"ticker":"A","datetime":"t","target_price":1.0,"current_price":2.0,"alert_type":"target_price"}']
+    snaps = ['{"current": {"time": "x", "rain": 1}}', '{"other": {}}']
+    for name, values in (("pts", pts), ("alerts", alerts), ("snaps", snaps)):
+        spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, offset long").write.parquet(f"{base}/{name}")
+    run(["points", "--source", f"{base}/pts", "--checkpoint", f"{base}/c1", "--out", f"{base}/o1", "--once"], spark=spark)
+    run(["messages", "--source", f"{base}/alerts", "--checkpoint", f"{base}/c2", "--out", f"{base}/o2", "--once"], spark=spark)
+    run(["route", "--source", f"{base}/snaps", "--checkpoint", f"{base}/c3", "--out", f"{base}/o3",
+         "--quarantine", f"{base}/q3", "--once"], spark=spark)
+    assert [r.price for r in spark.read.parquet(f"{base}/o1").collect()] == [1.5]
+    assert [r.message for r in spark.read.parquet(f"{base}/o2").collect()] == [
+        "t A price has reached the target of $1.0. Current price: $2.0"]
+    assert [(r.topic, r.value) for r in spark.read.parquet(f"{base}/o3").collect()] == [("rain", "1")]
+    assert spark.read.parquet(f"{base}/q3").count() == 1
