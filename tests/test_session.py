@@ -1,0 +1,57 @@
+"""Shipping the package and the shared folder."""
+
+import os
+import zipfile
+
+import pytest
+
+from tickwarden import session
+from tickwarden.plans.catalog import QUERIES
+from conftest import SF_SMALL
+
+
+class _Context:
+    def __init__(self, master="spark://host:7077"):
+        self.applicationId, self.master = f"app-{id(self)}", master
+        self.environment, self._python_includes, self.added = {}, [], []
+
+    def addPyFile(self, path):
+        self.added.append(path)
+
+    def addFile(self, *args, **kwargs):
+        raise AssertionError("a cluster refuses local folders")
+
+    def getCheckpointDir(self):
+        return None
+
+
+class _Session:
+    def __init__(self, context):
+        self.sparkContext = context
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+
+def test_package_is_shipped_once_as_a_zip():
+    context = _Context()
+    for _ in range(2):
+        session.ship_package(_Session(context))
+    (path,) = context.added
+    assert os.path.isfile(path) and zipfile.is_zipfile(path)
+    assert "tickwarden/session.py" in zipfile.ZipFile(path).namelist()
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(_Session(_Context()))
+
+
+@pytest.mark.parametrize("key", ["round2", "bars_day", "price_change_alerts", "date_range"])
+def test_built_in_queries_ship_nothing(spark, monkeypatch, key):
+    def refuse(*_):
+        raise AssertionError("shipped")
+
+    monkeypatch.setattr(session, "ship_package", refuse)
+    session._SHIPPED.discard(spark.sparkContext.applicationId)
+    before = set(session._SHIPPED)
+    assert QUERIES[key](spark, SF_SMALL).count() > 0
+    assert session._SHIPPED == before

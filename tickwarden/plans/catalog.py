@@ -6,7 +6,6 @@ from the fixture tables (or from files Spark derives from them).
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from tickwarden.schemas import (
     TARGET_ALERT_FIELDS,
     TARGET_PRICE_ALERT,
 )
-from tickwarden.session import scratch_path, ship_package
+from tickwarden.session import scratch_path
 from tickwarden.sources import files, landing
 from tickwarden.sources.tables import event_ticks, order_ticks, read_table
 from tickwarden.streaming import apps, jobs
@@ -35,12 +34,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str):
     def register(fn: Query) -> Query:
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         return fn
 
     return register

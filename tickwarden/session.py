@@ -4,7 +4,7 @@ Everything written by the library (landed fixture files, stream
 checkpoints, point tables) goes below ``spark.checkpoint.dir``: on a
 cluster that names a shared file system, so files survive the loss of
 any executor.  A folder of our own is created only when the session has
-no such setting (local runs and tests).
+no such setting and the master is local.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -63,16 +64,32 @@ def build_session(
 _SHIPPED: set[str] = set()
 
 
+def package_zip() -> str:
+    """The package as a zip file, whether it is a folder or inside a zip already."""
+    package_dir = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(package_dir)
+    if os.path.isfile(parent):  # imported from a zip
+        return parent
+    base = os.path.join(tempfile.mkdtemp(prefix="tickwarden-ship-"), "tickwarden")
+    with zipfile.ZipFile(f"{base}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(package_dir)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, parent))
+    return f"{base}.zip"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``tickwarden`` importable in the executors' Python workers.
 
-    The stateful processor and the pandas UDF are pickled by reference,
-    so Python workers import this package.  The package directory is
-    shipped with ``addFile`` (once per application) - executor workers
-    put the SparkFiles root on ``sys.path`` - and its parent directory
-    goes on the ``PYTHONPATH`` Spark hands to the Python runners it
-    starts on the driver (the stateful processor is first unpickled
-    there).  With ``--py-files`` deployments this only adds a path.
+    Functions that run in Python workers are pickled by reference, so the
+    workers import this package.  It is shipped as a zip file with
+    ``addPyFile`` (once per application; a folder cannot be added on a
+    cluster), from a folder of the driver that Spark serves to executors.
+    The stateful processor is first unpickled in a Python runner on the
+    driver, which finds the package through its ``PYTHONPATH``.  With a
+    ``--py-files`` deployment the zip that is already there is used.
     """
     try:
         sc = spark.sparkContext
@@ -80,12 +97,13 @@ def ship_package(spark: SparkSession) -> None:
         return
     if sc.applicationId in _SHIPPED:
         return
-    package_dir = os.path.dirname(os.path.abspath(__file__))
-    parent = os.path.dirname(package_dir)
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     current = sc.environment.get("PYTHONPATH", "")
     if parent not in current.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (parent, current) if p)
-    sc.addFile(package_dir, recursive=True)
+    archive = package_zip()
+    if os.path.basename(archive) not in {os.path.basename(f) for f in sc._python_includes}:
+        sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
 
 
@@ -99,8 +117,9 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) a
-    folder of our own is made and registered.
+    Read from the session; only when it is unset and the master is local
+    (tests, local runs) a folder of our own is made and registered.  On a
+    cluster every host would write to its own disk, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -110,6 +129,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        if sc is None or not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tickwarden-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(root)
