@@ -270,8 +270,8 @@ def verdicts(stats: DataFrame, groups: DataFrame, model: DataFrame, tail: float
 
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """Per row: doc_id, the statistics, base_failed, distance, kept."""
-    slim = with_statistics(docs).select("doc_id", "lang", "source", "_q")
-    stats = stored(slim, "quality-stats")
+    own = docs.select("doc_id", "lang", "source", "text")
+    stats = stored(with_statistics(own).drop("text"), "quality-stats")
     out = verdicts(stats, *estimate(stats), tail)
     return out.select("doc_id", *[f"_q.{s}" for s in STATS], "_v.base_failed", "_v.distance", "_v.kept")
 
@@ -282,7 +282,8 @@ def keep(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     The texts are read twice (statistics for the estimates, then the
     verdicts) rather than shuffled to meet a table of verdicts.
     """
-    stats = stored(with_statistics(docs).select("lang", "source", "_q"), "quality-stats")
+    own = docs.select("lang", "source", "text")
+    stats = stored(with_statistics(own).drop("text"), "quality-stats")
     groups, model = estimate(stats)
     # the rows travel in one struct, so that their names cannot clash with ours
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text", "lang", "source")
