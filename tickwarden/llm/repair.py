@@ -31,8 +31,8 @@ import numpy as np
 
 MAGIC = b"REPAIR1\n"
 HEADER = struct.Struct("<8s8Q")
-ROUNDS = 4
-RULES_PER_ROUND = 2048
+ROUNDS = 3
+RULES_PER_ROUND = 4096
 MIN_COUNT = 8
 _BINS = 20
 
@@ -41,21 +41,39 @@ class RepairError(ValueError):
     """The file is not a shard of this format."""
 
 
-def _frequent_pairs(s: np.ndarray, valid: np.ndarray, most: int, min_count: int):
-    """(keys of the most frequent pairs, positions whose pair may be one,
-    the keys at those positions)."""
-    keys = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-    bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
-    counts = np.bincount(bins[valid], minlength=1 << _BINS)
-    # a pair is no more frequent than its bin
-    edge = max(min_count, int(np.partition(counts, -most)[-most]))
-    at = np.flatnonzero(valid & (counts >= edge)[bins])
-    found, n = np.unique(keys[at], return_counts=True)
-    good = n >= min_count
-    found, n = found[good], n[good]
-    if len(found) > most:
-        found = np.sort(found[np.lexsort((found, -n))[:most]])
-    return found, at, keys[at]
+def _frequent_pairs(s: np.ndarray, ends: np.ndarray, most: int, min_count: int):
+    """The most frequent pairs (their keys), the positions that hold one and
+    the pair's number there.  ``ends``: positions that begin no pair."""
+    if s.dtype == np.uint16:
+        keys = (s[:-1].astype(np.uint32) << np.uint32(16)) | s[1:]
+        bins = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS)).astype(np.int32)
+    else:
+        keys = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
+        bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+    bins[ends] = 1 << _BINS
+    counts = np.bincount(bins, minlength=(1 << _BINS) + 1)
+    counts[-1] = 0
+    # a pair is no more frequent than its bin: take the bins of the highest counts
+    ladder = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
+    edge = max(min_count, int(np.searchsorted(-ladder, -most, side="right")) - 1)
+    at = np.flatnonzero((counts >= edge)[bins])
+    here = keys[at]
+    found, n = np.unique(here, return_counts=True)
+    order = np.lexsort((found, -n))[:most]
+    found = found[order[n[order] >= min_count]]
+    # one pair per bin; a less frequent one in its bin waits for a later round
+    number = np.full((1 << _BINS) + 1, -1, np.int32)
+    if found.dtype == np.uint32:
+        own = ((found * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS)).astype(np.int32)
+    else:
+        own = ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+    _, first = np.unique(own, return_index=True)
+    first.sort()
+    found, own = found[first], own[first]
+    number[own] = np.arange(len(found))
+    which = number[bins[at]]
+    hit = (which >= 0) & (found[which] == here) if len(found) else np.zeros(len(at), bool)
+    return found, at[hit], which[hit]
 
 
 def compress(
@@ -64,7 +82,9 @@ def compress(
 ):
     """ids of documents that begin at ``starts`` to (symbols, first symbol
     of each document and the end, rules)."""
-    s = ids.astype(np.uint32)
+    narrow = vocabulary + rounds * per_round <= 1 << 16
+    s = ids.astype(np.uint16 if narrow else np.uint32)
+    half = np.uint64(16 if narrow else 32)
     n = len(s)
     last = np.zeros(n, bool)  # last symbol of its document
     if n:
@@ -75,23 +95,21 @@ def compress(
     for _ in range(rounds):
         if len(s) < 2:
             break
-        pairs, at, keys = _frequent_pairs(s, ~last[:-1], per_round, min_count)
+        pairs, at, which = _frequent_pairs(s, np.flatnonzero(last[:-1]), per_round, min_count)
         if not len(pairs):
             break
-        which = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        hit = pairs[which] == keys
-        at, which = at[hit], which[hit]
         # in a run of overlapping candidates every other one is replaced
         begins = np.concatenate(([True], np.diff(at) != 1))
         run_start = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, which = at[take], which[take]
-        s[at] = (symbol + which).astype(np.uint32)
+        s[at] = (symbol + which).astype(s.dtype)
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s, last = s[keep], last[keep]
-        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        pairs = pairs.astype(np.uint64)
+        rules.append(np.stack((pairs >> half, pairs & ((np.uint64(1) << half) - np.uint64(1))), axis=1).astype(np.uint32))
         symbol += len(pairs)
     ends = np.flatnonzero(last) + 1
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)

@@ -13,11 +13,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 
 END_ID = 2
-MEMO_PIECES = 400_000  # pieces remembered per Python worker
+MEMO_PIECES = 600_000  # pieces remembered per Python worker
 LATIN = "ɐ"
 TAIL = ".,;:!?"
 RUN = re.compile(r" \s")
@@ -47,27 +48,27 @@ class PieceEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.memo = memo
         self._ids: dict[str, bytes] = {}
+        self._heads: dict[str, bytes] = {}
         # ids whose token starts with a blank
         self._starts = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self._starts[i] = token.startswith("Ġ")
 
     def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces of the form blank + text without blanks: encoded as
-        one text, split again where a token starts with a blank."""
+        """Ids of blank + piece, for pieces without blanks: encoded as one
+        text, split again where a token starts with a blank."""
         out: dict[str, bytes] = {}
-        for i in range(0, len(pieces), 2000):
-            block = pieces[i : i + 2000]
-            ids = np.array(self.tokenizer.encode("".join(block), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self._starts[ids])
+        blocks = [pieces[i : i + 2000] for i in range(0, len(pieces), 2000)]
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(b) for b in blocks], add_special_tokens=False)
+        for block, code in zip(blocks, encoded):
+            ids = np.array(code.ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self._starts[ids])).tolist()
             if len(cuts) == len(block):
-                ends = [*cuts[1:].tolist(), len(ids)]
                 raw = ids.tobytes()
-                for piece, a, b in zip(block, cuts.tolist(), ends):
-                    out[piece] = raw[4 * a : 4 * b]
+                cuts.append(len(raw))
+                out.update(zip(block, [raw[a:b] for a, b in pairwise(cuts)]))
             else:  # a vocabulary of another kind
-                for piece in block:
-                    out[piece] = self._whole(piece)
+                out.update((p, self._whole(" " + p)) for p in block)
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -76,30 +77,35 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         ids = self._ids
-        split: list[tuple[str, list[str]]] = []
-        missing: set[str] = set()
+        heads: list[str] = []
+        tails: list[list[str]] = []
         for text in texts:
             text = text or ""
             first, *rest = text.split(" ")
             if rest and (text[-1] == " " or RUN.search(text)):
                 first, rest = _join_runs(first, rest)
-            missing.update(rest)
-            split.append((first, rest))
-        missing.difference_update(ids)
+            heads.append(first)
+            tails.append(rest)
+        missing = [p for p in set().union(*tails) if p not in ids]
         found = self._new_pieces(missing) if missing else {}
+        ids.update(found)
         get = ids.__getitem__
-        out = []
-        for first, rest in split:
-            head = self._whole(first) if first else b""
-            if found:
-                out.append(head + b"".join([ids[p] if p in ids else found[p] for p in rest]))
-            else:
-                out.append(head + b"".join(map(get, rest)))
-        if len(ids) < self.memo:
-            ids.update(found)
+        out = [self._head(first) + b"".join(map(get, rest)) for first, rest in zip(heads, tails)]
+        if len(ids) > self.memo:
+            for p in found:
+                del ids[p]
         return out
 
-    def _new_pieces(self, missing: set[str]) -> dict[str, bytes]:
+    def _head(self, text: str) -> bytes:
+        """Ids of a text's first piece, which has no blank before it."""
+        if text in self._heads:
+            return self._heads[text]
+        found = self._whole(text) if text else b""
+        if len(self._heads) < self.memo // 4 and len(text) < 64:
+            self._heads[text] = found
+        return found
+
+    def _new_pieces(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces not yet known.  Keys are pieces without their leading blank."""
         ids = self._ids
         plain: set[str] = set()
@@ -118,7 +124,7 @@ class PieceEncoder:
                 odd.append(p)
             else:
                 plain.add(p)
-        found = {k[1:]: v for k, v in self._encode_new([" " + p for p in plain]).items()}
+        found = self._encode_new(list(plain))
         tail_ids = {t: self._whole(t) for t in tails}
         for p, (core, tail) in parts.items():
             found[p] = (ids[core] if core in ids else found[core]) + tail_ids[tail]
