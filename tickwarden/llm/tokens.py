@@ -18,9 +18,10 @@ from itertools import pairwise
 import numpy as np
 
 END_ID = 2
-MEMO_PIECES = 600_000  # pieces remembered per Python worker
+MEMO_PIECES = 400_000  # pieces remembered per Python worker
 LATIN = "ɐ"
 TAIL = ".,;:!?"
+_SLOTS = (1 << 22) - 1
 RUN = re.compile(r" \s")
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -49,6 +50,7 @@ class PieceEncoder:
         self.memo = memo
         self._ids: dict[str, bytes] = {}
         self._heads: dict[str, bytes] = {}
+        self._seen = bytearray(_SLOTS + 1)  # marks of pieces met before
         # ids whose token starts with a blank
         self._starts = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -91,8 +93,14 @@ class PieceEncoder:
         ids.update(found)
         get = ids.__getitem__
         out = [self._head(first) + b"".join(map(get, rest)) for first, rest in zip(heads, tails)]
-        if len(ids) > self.memo:
-            for p in found:
+        # remember what was new for the second time; most new pieces never recur
+        seen, room = self._seen, self.memo - (len(ids) - len(found))
+        for p in found:
+            slot = hash(p) & _SLOTS
+            if seen[slot] and room > 0:
+                room -= 1
+            else:
+                seen[slot] = 1
                 del ids[p]
         return out
 
@@ -101,7 +109,7 @@ class PieceEncoder:
         if text in self._heads:
             return self._heads[text]
         found = self._whole(text) if text else b""
-        if len(self._heads) < self.memo // 4 and len(text) < 64:
+        if len(self._heads) < self.memo // 8 and len(text) < 64:
             self._heads[text] = found
         return found
 
