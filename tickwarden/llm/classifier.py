@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import column, id_remainder, prepare, stored, words
+from tickwarden.llm.common import column, id_remainder, prepare, stored, words, worker_task
 
 BUCKETS = 1 << 18
 ALPHA = 1.0
@@ -92,7 +92,7 @@ def _count_classes(rows: DataFrame) -> DataFrame:
                     names=["code", "label", "n"],
                 )
 
-    partial = rows.mapInArrow(run, "code int, label int, n bigint")
+    partial = rows.mapInArrow(worker_task(run), "code int, label int, n bigint")
     return partial.groupBy("code", "label").agg(F.sum("n").alias("n"))
 
 
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 names=["_id", "found", "label"],
             )
 
-    fitted = sample.mapInArrow(run, "_id bigint, found binary, label int").toPandas().sort_values("_id")
+    fitted = sample.mapInArrow(worker_task(run), "_id bigint, found binary, label int").toPandas().sort_values("_id")
     found = [np.frombuffer(b, np.int32) for b in fitted["found"]]
     y = np.where(fitted["label"].to_numpy() > 0, 1.0, -1.0)
     if len(set(y.tolist())) < 2:
@@ -220,7 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
             )
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, score double").select(
+    return slim.mapInArrow(worker_task(run), "doc_id bigint, score double").select(
         "doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

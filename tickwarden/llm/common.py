@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -36,6 +38,30 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def worker_task(run: Callable[[Iterator], Iterator], pieces: bool = False) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that leaves its Python worker small.
+
+    Workers are reused by later tasks: what the task freed goes back to the
+    system, and the tokeniser's memo stays only for tasks that use it
+    (``pieces``).
+    """
+
+    def task(parts: Iterator) -> Iterator:
+        tokens = sys.modules.get("tickwarden.llm.tokens")
+        if tokens and not pieces:
+            tokens.forget()
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, as UTF-8 (``bytes.split`` splits on exactly
     blank and U+0009..U+000D)."""

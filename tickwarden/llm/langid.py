@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import column, id_remainder, prepare, stored
+from tickwarden.llm.common import column, id_remainder, prepare, stored, worker_task
 
 CODES = 1 << 16
 SMOOTH = 0.5
@@ -90,7 +90,7 @@ def train(rows: DataFrame) -> DataFrame:
                 )
 
     usable = rows.select("text", "lang").where("text is not null and lang is not null")
-    partial = usable.mapInArrow(run, "lang string, code int, n bigint")
+    partial = usable.mapInArrow(worker_task(run), "lang string, code int, n bigint")
     return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -173,7 +173,7 @@ def predict(rows: DataFrame, model: Model, row: str, text: str = "text") -> Data
     schema = T.StructType([
         rows.schema[row], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())
     ])
-    return rows.select(row, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+    return rows.select(row, F.col(text).cast("string").alias(text)).mapInArrow(worker_task(run), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import RangeReader, SharedFile, column, prepare, stored, words
+from tickwarden.llm.common import RangeReader, SharedFile, column, prepare, stored, words, worker_task
 from tickwarden.session import scratch_path
 
 BACKOFF = 0.4
@@ -271,7 +271,7 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    asked = slim.mapInArrow(_explode(folder, parts), ASK_DDL)
+    asked = slim.mapInArrow(worker_task(_explode(folder, parts)), ASK_DDL)
     answers = asked.groupBy("part").applyInPandas(_answer, ANSWER_DDL)
     scored = stored(answers.groupBy("block").applyInPandas(_score(folder, backoff, min_count), SCORE_DDL), "lm-scores")
     total = scored.agg(F.sum("n_words")).first()[0] or 1

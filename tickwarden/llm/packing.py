@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import batches, column, prepare, stored
+from tickwarden.llm.common import batches, column, prepare, stored, worker_task
 from tickwarden.llm.tokens import END_ID, default_tokenizer, encoder
 
 MAX_TOKENS = 1024
@@ -128,7 +128,7 @@ def document_pieces(
         yield from batches(rows(), PIECES)
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, PIECES_DDL)
+    return chosen.mapInArrow(worker_task(run, pieces=True), PIECES_DDL)
 
 
 def _pack_task(max_tokens: int, open_bins: int, tag: int):
@@ -185,7 +185,7 @@ def pack_pieces(
         order = [F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32"), *(F.col(c) for c in names[:5])]
         placed = stored(
             waiting.repartition(tasks, order[0]).sortWithinPartitions(*order)
-            .mapInArrow(_pack_task(max_tokens, open_bins, tag), PLACED_DDL),
+            .mapInArrow(worker_task(_pack_task(max_tokens, open_bins, tag), pieces=True), PLACED_DDL),
             "packed",
         )
         last = tasks == 1

@@ -50,7 +50,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import prepare, stored, words
+from tickwarden.llm.common import prepare, stored, words, worker_task
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -108,9 +108,13 @@ def with_statistics(docs: DataFrame, name: str = "_q") -> DataFrame:
     """``docs`` with a struct column of the statistics of ``text``."""
     prepare(docs.sparkSession)
 
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            yield pd.DataFrame([text_statistics(t) for t in text], columns=STATS, dtype="int64")
+
     @F.pandas_udf(", ".join(f"{s} bigint" for s in STATS))
-    def stats(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_statistics(t) for t in text], columns=STATS, dtype="int64")
+    def stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from worker_task(count)(texts)
 
     return docs.select("*", stats(docs["text"].cast("string")).alias(name))
 

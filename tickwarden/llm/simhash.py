@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import batches, column, prepare, stored
+from tickwarden.llm.common import batches, column, prepare, stored, worker_task
 from tickwarden.llm.components import connected_components
 
 SHINGLE = 3
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             )
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, bits bigint")
+    return chosen.mapInArrow(worker_task(run), "doc_id bigint, bits bigint")
 
 
 class BKTree:
@@ -267,7 +267,7 @@ def fingerprint_links(entries: DataFrame, max_bits: int = MAX_BITS, tree_limit:
 
     key = ["shard", "i", "j"]
     ordered = cells.select(*key, "node", "bits", "side").repartition(*key).sortWithinPartitions(*key)
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    return ordered.mapInArrow(worker_task(run), "a bigint, b bigint")
 
 
 def near_duplicates(

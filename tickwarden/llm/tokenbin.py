@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import RangeReader, SharedFile, batches, column, prepare, stored
+from tickwarden.llm.common import RangeReader, SharedFile, batches, column, prepare, stored, worker_task
 from tickwarden.llm.repair import Shard, shard_bytes
 from tickwarden.llm.tokens import END_ID, default_tokenizer, encoder
 from tickwarden.session import scratch_path
@@ -82,7 +82,7 @@ def write_shards(
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
     ordered = slim.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, SHARDS_DDL), "token-shards")
+    return stored(ordered.mapInArrow(worker_task(run, pieces=True), SHARDS_DDL), "token-shards")
 
 
 def with_offsets(shards: DataFrame, block: int = 1024) -> DataFrame:
@@ -126,7 +126,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
 
     listed = stored(with_offsets(shards).select("part", "number", "file", "base"), "token-offsets")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(width, "file").mapInArrow(run, DOCS_DDL)
+    return listed.repartition(width, "file").mapInArrow(worker_task(run, pieces=True), DOCS_DDL)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -40,6 +40,11 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the remembered pieces (tasks of other operators need the memory)."""
+    _ENCODERS.clear()
+
+
 class PieceEncoder:
     def __init__(self, path: str, memo: int = MEMO_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,15 +98,17 @@ class PieceEncoder:
         ids.update(found)
         get = ids.__getitem__
         out = [self._head(first) + b"".join(map(get, rest)) for first, rest in zip(heads, tails)]
-        # remember what was new for the second time; most new pieces never recur
-        seen, room = self._seen, self.memo - (len(ids) - len(found))
-        for p in found:
-            slot = hash(p) & _SLOTS
-            if seen[slot] and room > 0:
-                room -= 1
-            else:
-                seen[slot] = 1
-                del ids[p]
+        if 2 * len(ids) > self.memo:
+            # from here on remember what is new for the second time; most
+            # new pieces never recur
+            seen, room = self._seen, self.memo - (len(ids) - len(found))
+            for p in found:
+                slot = hash(p) & _SLOTS
+                if seen[slot] and room > 0:
+                    room -= 1
+                else:
+                    seen[slot] = 1
+                    del ids[p]
         return out
 
     def _head(self, text: str) -> bytes:
