@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     (doc_id, label)."""
     prepare(docs.sparkSession)
     one = labels.where("label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(one, F.col("_id") == F.col("doc_id"))
+    # labels grow with the documents: always a merge join, at any size
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(one.hint("merge"), F.col("_id") == F.col("doc_id"))
     rows = stored(rows.select("_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "label"), "nbsvm-rows")
     table = _count_classes(rows).toPandas()  # at most 2 x (BUCKETS + 1) rows
     docs_of, counts = np.zeros(2), np.zeros((2, BUCKETS))
