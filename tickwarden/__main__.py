@@ -67,6 +67,8 @@ def run(argv: list[str] | None = None, spark=None):
     sink_servers = args.sink_bootstrap or args.bootstrap
     sink = (sink_servers, args.sink_topic) if args.sink_topic else None
     if args.app == "alerts":
+        if args.target is None and args.threshold is None:
+            raise SystemExit("alerts needs --target or --threshold")
         query = apps.alert_app(
             records, args.target, args.threshold, args.checkpoint, out=args.out, kafka=sink,
             trigger=trigger, zero_policy=args.zero_policy, quarantine=args.quarantine,
@@ -77,12 +79,15 @@ def run(argv: list[str] | None = None, spark=None):
         query = apps.message_app(records, args.checkpoint, out=args.out, kafka=sink, trigger=trigger)
     else:
         query = apps.route_app(
-            records, args.checkpoint, out=args.out, bootstrap=args.sink_bootstrap,
+            records, args.checkpoint, out=args.out, bootstrap=sink_servers,
             timespan=args.timespan, trigger=trigger, quarantine=args.quarantine,
         )
-    for other in spark.streams.active:  # e.g. the alert app's quarantine query
-        if other.id != query.id:
-            other.awaitTermination()
+    # also e.g. the alert app's quarantine query; the first failure is raised
+    running = [query, *(q for q in spark.streams.active if q.id != query.id)]
+    while running:
+        for q in running:
+            q.awaitTermination(1)
+        running = [q for q in running if q.isActive]
     query.awaitTermination()
     return query
 

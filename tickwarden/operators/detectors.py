@@ -167,13 +167,17 @@ def chunk_stage(
     if zero_policy == "skip":
         usable = usable.where(close != 0)
     thr = F.lit(float(threshold))
+    # only integral columns have ranges; any other leading column (text,
+    # dates) is one chunk per key.  Nulls come first, in a chunk of their own.
+    integral = dict(usable.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
+    chunk = F.floor(F.col(order[0]) / F.lit(chunk_ms)) if integral else F.lit(0).cast("bigint")
     rows = usable.select(
         F.col(key).alias("_k"),
         *[F.col(c) for c in dict.fromkeys(order + ["timestamp", "datetime"])],
         close,
         # chunks are ranges of the leading order column, so chunk order is
         # row order whatever the order columns are (epoch ms by default)
-        F.floor(F.col(order[0]) / F.lit(chunk_ms)).alias("_chunk"),
+        F.coalesce(chunk, F.lit(-(1 << 62)).cast("bigint")).alias("_chunk"),
         (close == 0).alias("_zero"),
     )
 

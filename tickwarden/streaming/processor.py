@@ -180,8 +180,10 @@ class AlertLogic:
 
 
 def _sort_key(col: pd.Series) -> np.ndarray:
-    """Sortable values, nulls first: numbers as float64 (exact below 2^53,
-    which covers epoch ms and offsets), anything else as text."""
+    """Sortable values, nulls first: integers as int64, other numbers (and
+    integers among nulls) as float64, anything else as text."""
+    if pd.api.types.is_integer_dtype(col) and not col.isna().any():
+        return col.to_numpy(np.int64)
     if pd.api.types.is_numeric_dtype(col):
         return col.astype("float64").fillna(-np.inf).to_numpy()
     text = col.astype(object).where(col.notna(), None)
