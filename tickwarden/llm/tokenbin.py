@@ -31,6 +31,7 @@ from tickwarden.session import scratch_path
 SHARD_TOKENS = 2_000_000
 RANGE_BYTES = 16 << 20  # of text for each task
 READ_DOCS = 256
+MEMO_PIECES = 800_000
 
 SHARDS = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("documents", pa.int64()),
                     ("tokens", pa.int64()), ("bytes", pa.int64())])
@@ -51,7 +52,7 @@ def write_shards(
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, MEMO_PIECES)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
 
         def write(number: int, ids: list, found: list[bytes]) -> tuple:

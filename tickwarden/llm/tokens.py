@@ -24,7 +24,7 @@ TAIL = ".,;:!?"
 _SLOTS = (1 << 22) - 1
 RUN = re.compile(r" \s")
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -33,11 +33,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, memo: int = MEMO_PIECES) -> PieceEncoder:
     """The encoder of a vocabulary file, one per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    key = (path, memo)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, memo)
+    return _ENCODERS[key]
 
 
 def forget() -> None:
