@@ -105,3 +105,53 @@ def test_message_texts_of_the_reference(spark):
     ]
     bad = {r.reason for r in messages.undeliverable(df).collect()}
     assert bad == {"unknown_alert_type", "missing_alert_type"}
+
+
+def test_custom_alert_types_end_to_end(spark):
+    rows = [("T", "d", None, 100.0, None, 105.0, None, "level"), ("T", "d", 1, None, 1.0, 105.0, 5.0, "jump"),
+            ("T", "d", 1, None, 1.0, 105.0, 5.0, "percentage_change"), ("T", "d", 1, None, 1.0, 1.0, 5.0, None)]
+    types = {"target_type": "level", "change_type": "jump"}
+    topic = messages.alert_records(_alerts(spark, rows), **types)
+    more = spark.createDataFrame([("T", "not json"), ("T", None)], "key string, value string")
+    topic = topic.unionByName(more)
+    msgs = messages.alert_messages(messages.alerts_from_records(topic, **types), **types).collect()
+    assert sorted(m.alert_type for m in msgs) == ["jump", "level"] and all(m.message for m in msgs)
+    bad = sorted(r.reason for r in messages.rejected_records(topic, **types).collect())
+    assert bad == ["empty", "malformed", "missing_alert_type", "unknown_alert_type"]
+
+
+def test_point_times(spark):
+    cases = {
+        "2025-01-01T12:00:00+05": datetime.datetime(2025, 1, 1, 7), "2025-01-01T12:00:00+0530": datetime.datetime(2025, 1, 1, 6, 30),
+        "2025-01-01T12:00:00-05:30": datetime.datetime(2025, 1, 1, 17, 30), "2025-01-01T12:00:00 Europe/Berlin": None,
+        "2025-01-01T12:00Z": datetime.datetime(2025, 1, 1, 12), "2025-01-01 12:00:00.25": datetime.datetime(2025, 1, 1, 12, 0, 0, 250000),
+        "2025-01-01": datetime.datetime(2025, 1, 1), "soon": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.at for r in df.select("t", points.parse_point_time(df.t).alias("at")).collect()}
+    assert got == cases
+
+
+def test_last_write_wins_across_partitions(spark):
+    text = '{"ticker": "A", "close": %s, "datetime": "2025-01-01T00:00:00"}'
+    rows = [(text % 1.0, 900, 0, 1), (text % 2.0, 5, 1, 2)]
+    recs = spark.createDataFrame(rows, "value string, offset long, partition int, record_time int")
+    assert [r.price for r in points.upsert_points(points.points_from_records(recs)).collect()] == [2.0]
+
+
+def test_one_hot_ticker_day_is_written_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tickwarden.streaming import jobs
+
+    text = F.format_string('{"ticker":"A","close":1.0,"datetime":"2025-01-01T%02d:%02d:00"}',
+                           F.col("id") % 24, (F.col("id") / 24).cast("int") % 60)
+    recs = spark.range(20_000).select(text.alias("value"), F.col("id").alias("offset"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = jobs.point_stream(recs).select(F.spark_partition_id()).distinct().count()
+        points.write_point_log(points.points_from_records(recs), str(tmp_path / "log"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert tasks > 1 and log.select(F.input_file_name()).distinct().count() > 1

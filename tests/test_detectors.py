@@ -31,7 +31,7 @@ def _same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isnan(a) and math.isnan(b))
 
 
-@pytest.mark.parametrize("seed,chunk_ms", [(1, 60_000), (2, 5_000), (3, 3_600_000)])
+@pytest.mark.parametrize("seed,chunk_ms", [(1, 60_000), (2, 5_000), (3, 3_600_000), (11, None)])
 @pytest.mark.parametrize("threshold", [0.0, 5.0, 50.0])
 def test_change_detector_matches_sequential_model(spark, seed, chunk_ms, threshold):
     rows = random_rows(seed)
@@ -138,11 +138,44 @@ def test_alert_union_has_both_shapes(spark):
     ]
 
 
-def test_change_plan_has_no_whole_ticker_partition(spark):
-    # The row-level window is partitioned by (ticker, chunk), never by
-    # ticker alone; only the per-chunk summary is windowed per ticker.
-    plan = detectors.price_change_alerts(_ticks(spark, [1.0, 2.0]), 5.0)._jdf.queryExecution().executedPlan().toString()
-    assert "_chunk" in plan
+def test_measured_chunks_match_the_model(spark):
+    # a third of all rows in one ticker, windows of about 50 rows
+    rows = [(("HOT" if i % 3 == 0 else r[0]), *r[1:]) for i, r in enumerate(random_rows(12))]
+    expect = sorted(change_model([(t, c, d) for t, _, d, c, _ in rows], 5.0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = detectors.price_change_alerts(df, 5.0, task_rows=50)
+    assert "_chunk" in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.ticker, r.datetime, r.previous_price, r.current_price, r.price_change_percentage) for r in out.collect())
+    assert len(got) == len(expect)
+    for g, e in zip(got, expect):
+        assert all(_same(x, y) for x, y in zip(g, e)), (g, e)
+
+
+def test_the_carried_set_is_small_on_sparse_and_on_dense_skewed_data(spark):
+    # sparse: a row a day; dense: one ticker with 30,000 rows a second apart
+    sparse = spark.range(3000).selectExpr("string(id % 30) AS ticker", "(id div 30) * 86400000 AS timestamp")
+    dense = spark.range(30_000).selectExpr("'HOT' AS ticker", "id * 1000 AS timestamp")
+    assert detectors.chunk_width(sparse, "ticker", "timestamp", 1000) is None  # windowed whole
+    width = detectors.chunk_width(sparse.unionByName(dense), "ticker", "timestamp", 1000)
+    both = sparse.unionByName(dense).selectExpr("*", "'x' AS datetime", "double(timestamp) AS close")
+    carry = detectors.chunk_carry(
+        detectors.chunk_rows(both, "ticker", ["timestamp"], width), ["timestamp"]
+    ).groupBy("_k").count().collect()
+    per_key = {r["_k"]: r["count"] for r in carry}
+    assert per_key["HOT"] <= 31 and max(n for k, n in per_key.items() if k != "HOT") <= 100
+
+
+def test_alerts_do_not_depend_on_the_chunk_width(spark):
+    from pyspark.sql import functions as F
+
+    from tickwarden.sources.tables import event_ticks
+
+    ticks = event_ticks(spark, "/root/testdata/sf0.01")
+    whole = detectors.price_change_alerts(ticks, 500.0)
+    for width in (60_000, 86_400_000):
+        cut = detectors.price_change_alerts(ticks, 500.0, chunk_ms=width)
+        assert cut.exceptAll(whole).count() == 0 and whole.exceptAll(cut).count() == 0
+    assert whole.where(F.col("previous_price").isNull()).count() == 0
 
 
 def test_parameter_checks(spark):

@@ -34,17 +34,22 @@ def test_change_detector_shuffles_the_input_once_by_ticker_and_chunk(spark):
     old = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        stage = detectors.chunk_stage(ticks, 500.0)._jdf.queryExecution().executedPlan().toString()
-        final = detectors.price_change_alerts(ticks, 500.0)._jdf.queryExecution().executedPlan().toString()
+        rows = detectors.chunk_rows(ticks, "ticker", ["timestamp", "seq"], 60_000)
+        stage = detectors.window_stage(rows, ["_k", "_chunk"], ["timestamp", "seq"])
+        stage = stage._jdf.queryExecution().executedPlan().toString()
+        carry = detectors.chunk_carry(rows, ["timestamp", "seq"])
+        carry = carry._jdf.queryExecution().executedPlan().toString()
+        whole = detectors.price_change_alerts(ticks, 500.0)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     # the pass over all rows: one exchange on (ticker, chunk), one window
     assert len(re.findall(r"Exchange hashpartitioning\(_k#\d+, _chunk#\d+L?, \d+\)", stage)) == 1
     assert len(re.findall(r"Exchange hashpartitioning\(_k#\d+, \d+\)", stage)) == 0
     assert stage.count("Window [") == 1
-    # everything after it reads the small checkpointed set, never the input again
-    assert "FileScan parquet" not in final
-    assert "events.parquet" not in final
+    # the summary is combined before its shuffle
+    assert carry.index("partial_max_by") > 0 and "SortAggregate" not in carry
+    # no ticker is larger than a task: one exchange, one window, no join
+    assert whole.count("Exchange ") == 1 and whole.count("Window [") == 1 and "Join" not in whole
 
 
 def test_bars_use_hash_aggregation(spark):

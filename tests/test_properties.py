@@ -5,6 +5,7 @@ the alerts of the sequential model.  No Spark needed: the functions are
 the numpy core of the stateful processor.
 """
 
+from decimal import Decimal
 import math
 
 import numpy as np
@@ -151,11 +152,11 @@ def test_bars_equal_python_ohlcv(spark, trades, span):
         g.sort()
         r = got[key]
         volume = float(sum(k for *_, k in g))
-        notional = sum(float(round(c * 100)) * k for _, _, c, k in g)
+        notional = float(sum(Decimal(str(c)) * k for _, _, c, k in g))
         assert (r.open, r.close) == (g[0][2], g[-1][2])
         assert (r.high, r.low) == (max(c for _, _, c, _ in g), min(c for _, _, c, _ in g))
         assert (r.volume, r.number_of_trades) == (volume, len(g))
-        assert r.vwap == (None if volume == 0 else notional / volume / 100)
+        assert r.vwap == (None if volume == 0 else notional / volume)
 
 
 def test_streaming_step_orders_text_and_null_keys_like_the_batch_window():

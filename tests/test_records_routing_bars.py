@@ -30,7 +30,9 @@ def test_pages_explode(spark, tmp_path):
         (path / f"page{i}.json").write_text(json.dumps(p, indent=2))
     from tickwarden.sources.files import read_pages
 
-    out = records.explode_pages(read_pages(spark, str(path), multi_line=True)).collect()
+    good, bad = records.decode_pages(read_pages(spark, str(path), multi_line=True))
+    out = records.explode_pages(good).collect()
+    assert bad.count() == 0
     assert sorted(r.t for r in out) == [RAW["t"], RAW["t"] + 86400000, RAW["t"] + 2 * 86400000]
 
 
@@ -51,7 +53,7 @@ def test_route_fields_edges(spark):
     out = sorted((r.topic, r.value) for r in routing.route_fields(df).collect())
     assert out == [("flag", "true"), ("list", "[1.2,3]"), ("none", "None"), ("rain", "0"), ("temperature_2m", "20.5")]
     rej = routing.rejected_snapshots(df).collect()
-    assert len(rej) == 3 and {r.reason for r in rej} == {"missing_timespan"}
+    assert sorted(r.reason for r in rej) == ["malformed", "missing_timespan", "missing_timespan"]
 
 
 def test_bar_parameter_checks():
@@ -140,3 +142,42 @@ def test_order_key_packs_only_epoch_ms_leading(spark):
     packed = df.select(order_key(df, ["timestamp", "b"]).alias("k"))
     assert packed.schema["k"].dataType.typeName() == "decimal"
     assert df.groupBy("b").agg(F.max_by("a", order_key(df, ["a", "b"])).alias("m")).first().m == 2**62
+
+
+def test_pages_and_bars_that_cannot_be_used_go_to_the_quarantine(spark):
+    whole = json.dumps({"ticker": "A", "results": [RAW, {**RAW, "n": 5.0}, {**RAW, "vw": None}]})
+    short = {k: v for k, v in RAW.items() if k != "vw"}
+    odd = json.dumps({"ticker": "B", "results": [short, {**RAW, "o": "x"}, None, RAW]})
+    df = spark.createDataFrame([(whole,), (odd,), (whole[:-40],), ('{"results": []}',), (None,)], "value string")
+    good, bad = records.decode_pages(df)
+    out = records.explode_pages(good).collect()
+    assert sorted((r.ticker, r.n, r.vw) for r in out if r.vw) == [("A", 5, 150.5), ("A", 500, 150.5), ("B", 500, 150.5)]
+    assert len(out) == 4  # the bar whose vw is null stays
+    assert sorted(r.reason for r in bad.collect()) == ["empty", "malformed", "missing_ticker"]
+    left = records.incomplete_bars(good).collect()
+    assert len(left) == 3 and {r.reason for r in left} == {"incomplete_bar"}
+    assert records.ingest(good).count() == 4
+    assert records.ingest(good, "2022-01-02", "2022-01-03").count() == 0
+
+
+def test_bars_of_sub_cent_nan_and_infinite_prices(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("S", 1000, 0.0042, 1, 0), ("S", 2000, 0.0048, 1, 1), ("N", 1000, nan, 1, 2), ("N", 2000, 2.0, 1, 3),
+            ("I", 1000, inf, 1, 4), ("Z", 1000, nan, 0, 5), ("Z", 2000, 3.0, 2, 6), ("U", 1000, None, 1, 7)]
+    ticks = spark.createDataFrame(rows, "ticker string, timestamp long, close double, size long, seq long")
+    day = bars.bars(ticks, 1, "day")
+    got = {r.ticker: r for r in day.collect()}
+    assert got["S"].vwap == 0.0045
+    assert got["N"].vwap is None and got["N"].close == 2.0 and got["N"].number_of_trades == 2
+    assert got["I"].vwap is None and got["I"].high == inf
+    assert got["Z"].vwap == 3.0  # volume 0 weighs nothing
+    assert got["U"].vwap is None
+    assert {r.ticker: r.vwap for r in bars.bars(day, 1, "week").collect()} == {k: r.vwap for k, r in got.items()}
+
+
+def test_large_weighted_sums_are_exact(spark):
+    ticks = spark.range(3000).selectExpr(
+        "'A' AS ticker", "id AS timestamp", "double(99999999.99) AS close", "99999999L AS size", "id AS seq")
+    from decimal import Decimal
+
+    assert bars.bars(ticks, 1, "day").first().notional == 3000 * Decimal("99999999.99") * 99999999

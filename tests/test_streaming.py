@@ -100,7 +100,7 @@ def test_stream_bars_all_spans_equal_batch_bars(spark):
             return jobs.start_bar_sink(jobs.bar_stream(ticks, m, span), out, ckpt)
 
         replay(feed, land, start, slices=3)
-        got = jobs.latest_bars(spark, out).select(*bars_op.BAR_FIELDS)
+        got = jobs.latest_bars(spark, out, m, span).select(*bars_op.BAR_FIELDS)
         assert sorted(tuple(repr(x) for x in r) for r in got.collect()) == expect, span
 
 
@@ -236,3 +236,38 @@ def test_command_line_points_messages_route(spark):
         "t A price has reached the target of $1.0. Current price: $2.0"]
     assert [(r.topic, r.value) for r in spark.read.parquet(f"{base}/o3").collect()] == [("rain", "1")]
     assert spark.read.parquet(f"{base}/q3").count() == 1
+
+
+def test_month_bars_keep_a_row_two_seconds_late(spark, tmp_path):
+    from tickwarden.streaming import jobs
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "ticker string, timestamp long, close double, size long, offset long"
+    month = 1_706_745_600_000  # 2024-02-01
+
+    def bars():
+        ticks = spark.readStream.schema(schema).parquet(src)
+        return jobs.start_bar_sink(jobs.bar_stream(ticks, 1, "month"), out, ckpt)
+    batches = [("A", month - 5000, 1.0, 1, 0)], [("A", month + 1000, 2.0, 1, 1)], [("A", month - 1000, 3.0, 1, 2)]
+    query = None
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        query = query or bars()
+        query.processAllAvailable()
+    query.stop()
+    got = {r.timestamp: r for r in jobs.latest_bars(spark, out, 1, "month").collect()}
+    assert got[1_704_067_200_000].number_of_trades == 2 and got[1_704_067_200_000].close == 3.0
+    assert got[month].number_of_trades == 1
+
+
+def test_message_app_quarantine(spark, tmp_path):
+    from tickwarden.sources import files
+    from tickwarden.streaming import apps
+
+    src, out, bad = (str(tmp_path / n) for n in ("in", "out", "bad"))
+    good = '{"ticker":"A","datetime":"d","target_price":1.0,"current_price":2.0,"alert_type":"level"}'
+    spark.createDataFrame([(good, 0), (good.replace("level", "x"), 1), ("?", 2)], "value string, offset long").write.parquet(src)
+    apps.message_app(files.stream_topic(spark, src), str(tmp_path / "ck"), out=out, trigger="availableNow",
+                     quarantine=bad, target_type="level").awaitTermination()
+    assert spark.read.parquet(out).count() == 1
+    assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["malformed", "unknown_alert_type"]

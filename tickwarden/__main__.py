@@ -18,7 +18,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from tickwarden.schemas import DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
+from tickwarden.schemas import (
+    DEFAULT_MEASUREMENT,
+    DEFAULT_TIMESPAN_KEY,
+    PERCENTAGE_CHANGE_ALERT,
+    TARGET_PRICE_ALERT,
+)
 from tickwarden.session import build_session
 from tickwarden.sources import files, kafka
 from tickwarden.streaming import apps
@@ -39,9 +44,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--target", type=float, default=None)
     p.add_argument("--threshold", type=float, default=None)
     p.add_argument("--zero-policy", choices=["latch", "skip"], default="latch")
+    p.add_argument("--target-type", default=TARGET_PRICE_ALERT, help="alert type of target alerts")
+    p.add_argument("--change-type", default=PERCENTAGE_CHANGE_ALERT, help="alert type of change alerts")
     p.add_argument("--measurement", default=DEFAULT_MEASUREMENT)
     p.add_argument("--timespan", default=DEFAULT_TIMESPAN_KEY)
     p.add_argument("--quarantine", help="alerts: folder for undecodable ticks; "
+                   "messages: folder for undeliverable alerts; "
                    "route: folder for snapshots without the timespan object")
     p.add_argument("--trigger", default=None)
     p.add_argument("--once", action="store_true", help="drain what is there and stop")
@@ -72,11 +80,15 @@ def run(argv: list[str] | None = None, spark=None):
         query = apps.alert_app(
             records, args.target, args.threshold, args.checkpoint, out=args.out, kafka=sink,
             trigger=trigger, zero_policy=args.zero_policy, quarantine=args.quarantine,
+            target_type=args.target_type, change_type=args.change_type,
         )
     elif args.app == "points":
         query = apps.point_app(records, args.checkpoint, args.out, args.measurement, trigger)
     elif args.app == "messages":
-        query = apps.message_app(records, args.checkpoint, out=args.out, kafka=sink, trigger=trigger)
+        query = apps.message_app(
+            records, args.checkpoint, out=args.out, kafka=sink, trigger=trigger,
+            quarantine=args.quarantine, target_type=args.target_type, change_type=args.change_type,
+        )
     else:
         query = apps.route_app(
             records, args.checkpoint, out=args.out, bootstrap=sink_servers,

@@ -58,11 +58,6 @@ def pct_change(cur: Column | str, prev: Column | str) -> Column:
     return F.try_divide(cur - prev, prev) * F.lit(100.0)
 
 
-def to_cents(col: Column | str) -> Column:
-    """Price as whole cents (exact integer sums, order independent)."""
-    return F.rint(_c(col) * F.lit(100.0)).cast("bigint")
-
-
 def order_key(df: DataFrame, cols: Sequence[str]) -> Column:
     """One sortable, never-null value for an ordering over ``cols``.
 
@@ -242,18 +237,20 @@ def change_message(datetime: Column, ticker: Column, pct: Column, current: Colum
     )
 
 
-def alert_message() -> Column:
+def alert_message(
+    target_type: str = TARGET_PRICE_ALERT, change_type: str = PERCENTAGE_CHANGE_ALERT
+) -> Column:
     """Message for one alert row of either shape; null for an unknown type."""
     at = F.col("alert_type")
     return (
         F.when(
-            at == F.lit(TARGET_PRICE_ALERT),
+            at == F.lit(target_type),
             target_message(
                 F.col("datetime"), F.col("ticker"), F.col("target_price"), F.col("current_price")
             ),
         )
         .when(
-            at == F.lit(PERCENTAGE_CHANGE_ALERT),
+            at == F.lit(change_type),
             change_message(
                 F.col("datetime"),
                 F.col("ticker"),

@@ -6,9 +6,15 @@ ticks and on bars alike.  Per ticker and bucket of ``m x span``: open of
 the first row, close of the last (by ``order_by``), max high, min low,
 summed volume and trade count, volume-weighted average price.
 
-The weighted sum is kept in whole cents (``notional_cents``), so sums
-are exact and independent of the order rows are added in, and rolling
-day bars up to weeks gives exactly the week bars built from ticks.
+The weighted sum (``notional``) is a decimal: prices count to
+``PRICE_SCALE`` and volumes to ``VOLUME_SCALE`` decimals (rounded half
+up beyond), so sums are exact and independent of the order rows are
+added in, and rolling day bars up to weeks gives exactly the week bars
+built from ticks.  Volume 0 weighs nothing whatever the price.  A bar
+holding a row whose price or volume is null, NaN or infinite has a null
+``notional`` and ``vwap`` (and so has a roll-up of it); its other
+columns are built from the values as they are (NaN counts as the
+largest price, as in Spark's ordering).
 
 Grouping is a hash aggregation with partial (map-side) aggregation, so
 a hot ticker is combined per input partition before the shuffle.
@@ -22,7 +28,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.functions.exprs import bucket_start_ms, iso_datetime, order_key, to_cents
+from tickwarden.functions.exprs import bucket_start_ms, iso_datetime, order_key
 from tickwarden.schemas import (
     DATE_FORMAT_ERROR,
     MULTIPLIER_ERROR,
@@ -31,7 +37,9 @@ from tickwarden.schemas import (
     TIMESPANS,
 )
 
-BAR_FIELDS = TICK_FIELDS + ["notional_cents"]
+BAR_FIELDS = TICK_FIELDS + ["notional"]
+# decimals kept of a price and of a volume in the weighted sum
+PRICE_SCALE, VOLUME_SCALE = 6, 4
 
 
 def validate_bar_params(
@@ -86,10 +94,12 @@ def bar_inputs(rows: DataFrame, order_by: Sequence[str] | None = None, key: str
     volume = F.col("volume") if "volume" in cols else F.col("size").cast("double")
     trades = F.col("number_of_trades") if "number_of_trades" in cols else F.lit(1).cast("bigint")
     notional = (
-        F.col("notional_cents")
-        if "notional_cents" in cols
-        else to_cents(vwap).cast("double") * volume
-    )
+        F.col("notional")
+        if "notional" in cols
+        else F.when(volume == 0, F.lit(0)).otherwise(
+            vwap.try_cast(f"decimal(18,{PRICE_SCALE})") * volume.try_cast(f"decimal(18,{VOLUME_SCALE})")
+        )
+    ).cast(f"decimal(38,{PRICE_SCALE + VOLUME_SCALE})")
     extra = [c for c in ("event_time",) if c in cols]
     return rows.select(
         F.col(key).alias("ticker"),
@@ -114,12 +124,14 @@ def bar_aggregates() -> list[Column]:
         F.min("_low").alias("low"),
         F.sum("_volume").alias("volume"),
         F.sum("_trades").alias("number_of_trades"),
-        F.sum("_notional").alias("notional_cents"),
+        F.try_sum("_notional").alias("notional"),
+        F.max(F.col("_notional").isNull()).alias("_unweighted"),
     ]
 
 
 def bar_output(agg: DataFrame) -> DataFrame:
     """Aggregated ``(ticker, bucket, ...)`` rows to the bar record shape."""
+    notional = F.when(~F.col("_unweighted"), F.col("notional"))
     return agg.select(
         "ticker",
         F.col("bucket").alias("timestamp"),
@@ -129,9 +141,9 @@ def bar_output(agg: DataFrame) -> DataFrame:
         "high",
         "low",
         "volume",
-        (F.try_divide(F.col("notional_cents"), F.col("volume")) / F.lit(100.0)).alias("vwap"),
+        F.try_divide(notional.cast("double"), F.col("volume")).alias("vwap"),
         "number_of_trades",
-        "notional_cents",
+        notional.alias("notional"),
     )
 
 

@@ -10,26 +10,27 @@
 
 Order is explicit (``order_by``), never arrival order of a shuffle.
 
-Skew: a single ticker may hold a large share of all rows.  The change
-detector therefore never puts a whole ticker in one task: rows are
-windowed by ``(ticker, chunk)`` where a chunk is a time slice of
-``chunk_ms`` - one shuffle and one sort of the input.  Only each chunk's
-first and last row and the rows already passing the threshold leave
-that pass (checkpointed); the value that crosses a chunk border (the
-last close of the previous non-empty chunk, and whether a zero was seen
-before) comes from the chunks' last rows, a set bounded per ticker by
-the time span, not by the row count.  The target latch is a grouped
-``min_by`` with partial (map-side) aggregation, skew-safe as it is.
+Skew: a single ticker may hold a large share of all rows.  Tickers up
+to ``task_rows`` rows are windowed whole.  Beyond that the change
+detector cuts time into chunks (``chunk_ms``, taken from the densest
+ticker unless given) and windows rows by ``(ticker, chunk)``: one
+shuffle and one sort of the input.  The value that crosses a chunk
+border (the last close of the previous non-empty chunk, and whether a
+zero was seen before) comes from one summary row per chunk, a grouped
+aggregation with map-side combine; it is joined to the chunks' first
+rows and to the rows that already pass the threshold only.  The width
+never changes the alerts.  The target latch is a grouped ``min_by`` with
+partial (map-side) aggregation, skew-safe as it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwarden.functions.exprs import MS_PER_MINUTE, order_key, pct_change, round2
+from tickwarden.functions.exprs import order_key, pct_change, round2
 from tickwarden.schemas import (
     ALERT,
     CHANGE_ALERT_FIELDS,
@@ -37,9 +38,9 @@ from tickwarden.schemas import (
     TARGET_ALERT_FIELDS,
     TARGET_PRICE_ALERT,
 )
-from tickwarden.session import checkpoint_root
 
-DEFAULT_CHUNK_MS = MS_PER_MINUTE
+# rows of one ticker that one task may window whole
+DEFAULT_TASK_ROWS = 1_000_000
 
 
 def _order(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
@@ -82,7 +83,8 @@ def price_change_alerts(
     *,
     key: str = "ticker",
     order_by: Sequence[str] | None = None,
-    chunk_ms: int = DEFAULT_CHUNK_MS,
+    chunk_ms: int | None = None,
+    task_rows: int = DEFAULT_TASK_ROWS,
     zero_policy: str = "latch",
     alert_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> DataFrame:
@@ -92,118 +94,124 @@ def price_change_alerts(
     close of 0 a key never alerts again.  ``"skip"``: closes of 0 are not
     usable (dropped like nulls).
 
-    One shuffle and one sort of the input: a window over ``(key, chunk)``
-    gives each row its previous close inside the chunk, whether a zero
-    came earlier in the chunk, and marks the chunk's first and last row.
-    Only a small set of rows leaves that stage - every chunk's first and
-    last row plus the rows that already pass the threshold inside their
-    chunk - and it is checkpointed (reliable, in the shared checkpoint
-    folder).  From it, the per-chunk summary gives every chunk the last
-    close of the previous non-empty chunk and whether a zero came before
-    it; first rows are scored against that close and candidates after a
-    zero are dropped.
+    ``order_by`` should order a key's rows totally; rows that tie on a
+    single order column count in the order of their closes.  Without
+    ``chunk_ms`` the width comes from ``chunk_width``, one small
+    aggregation over the key and the leading order column.
     """
-    kept = chunk_stage(ticks, threshold, key=key, order_by=order_by, chunk_ms=chunk_ms,
-                       zero_policy=zero_policy)
-    checkpoint_root(ticks.sparkSession)
-    kept = kept.checkpoint(eager=True)
-    thr = F.lit(float(threshold))
-
-    by_chunk = Window.partitionBy("_k").orderBy("_chunk")
-    carry = kept.where(F.col("_last")).select(
-        "_k",
-        "_chunk",
-        F.lag("close").over(by_chunk).alias("_prev_chunk"),
-        F.max("_chunk_zero")
-        .over(by_chunk.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_zero_before"),
-    )
-    scored = kept.where(F.col("_first") | F.col("_candidate")).join(carry, ["_k", "_chunk"], "inner")
-    is_first = F.col("_first")
-    prev = F.when(is_first, F.col("_prev_chunk")).otherwise(F.col("_prev_in"))
-    chg = F.when(is_first, round2(pct_change(F.col("close"), F.col("_prev_chunk")))).otherwise(
-        F.col("_chg_in")
-    )
-    out = scored.select(
-        F.col("_k").alias("ticker"),
-        "datetime",
-        "timestamp",
-        prev.alias("previous_price"),
-        F.col("close").alias("current_price"),
-        chg.alias("price_change_percentage"),
-        F.lit(alert_type).alias("alert_type"),
-        F.coalesce(F.col("_zero_before"), F.lit(False)).alias("_stuck"),
-    )
-    pcp = F.col("price_change_percentage")
-    return out.where(
-        F.col("previous_price").isNotNull()
-        & ~F.col("_stuck")
-        & pcp.isNotNull()
-        & ~F.isnan(pcp)
-        & (F.abs(pcp) >= thr)
-    ).select(*CHANGE_ALERT_FIELDS)
-
-
-def chunk_stage(
-    ticks: DataFrame,
-    threshold: float,
-    *,
-    key: str = "ticker",
-    order_by: Sequence[str] | None = None,
-    chunk_ms: int = DEFAULT_CHUNK_MS,
-    zero_policy: str = "latch",
-) -> DataFrame:
-    """The one pass over all rows of ``price_change_alerts``: a window over
-    ``(key, chunk)`` and a filter down to each chunk's first and last row
-    plus in-chunk candidates.  A chunk is a range of ``chunk_ms`` units of
-    the leading order column (milliseconds for the default ``timestamp``)."""
     if zero_policy not in ("latch", "skip"):
         raise ValueError("zero_policy must be 'latch' or 'skip'")
-    if chunk_ms <= 0:
+    if chunk_ms is not None and chunk_ms <= 0:
         raise ValueError("chunk_ms must be positive")
     order = _order(ticks, order_by)
     close = F.col("close")
     usable = ticks.where(close.isNotNull())
     if zero_policy == "skip":
         usable = usable.where(close != 0)
-    thr = F.lit(float(threshold))
-    # only integral columns have ranges; any other leading column (text,
-    # dates) is one chunk per key.  Nulls come first, in a chunk of their own.
-    integral = dict(usable.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
-    chunk = F.floor(F.col(order[0]) / F.lit(chunk_ms)) if integral else F.lit(0).cast("bigint")
+    if chunk_ms is None:
+        chunk_ms = chunk_width(usable, key, order[0], task_rows)
+    rows = chunk_rows(usable, key, order, chunk_ms)
+    if "_chunk" not in rows.columns:  # every key in one window
+        scored = window_stage(rows, ["_k"], order).select(
+            "*", F.col("_prev_in").alias("_prev"), F.col("_zero_in").alias("_stuck")
+        )
+    else:
+        carry = chunk_carry(rows, order)
+        kept = window_stage(rows, ["_k", "_chunk"], order)
+        passes = _passes(F.col("close"), F.col("_prev_in"), threshold) & ~F.col("_zero_in")
+        scored = (
+            kept.where(F.col("_first") | passes)
+            .join(carry, ["_k", "_chunk"])
+            .select(
+                "*",
+                F.when(F.col("_first"), F.col("_prev_chunk")).otherwise(F.col("_prev_in")).alias("_prev"),
+                (F.col("_zero_before") | F.col("_zero_in")).alias("_stuck"),
+            )
+        )
+    return scored.where(_passes(F.col("close"), F.col("_prev"), threshold) & ~F.col("_stuck")).select(
+        F.col("_k").alias("ticker"),
+        "datetime",
+        "timestamp",
+        F.col("_prev").alias("previous_price"),
+        F.col("close").alias("current_price"),
+        round2(pct_change(F.col("close"), F.col("_prev"))).alias("price_change_percentage"),
+        F.lit(alert_type).alias("alert_type"),
+    ).select(*CHANGE_ALERT_FIELDS)
+
+
+def _passes(close: Column, prev: Column, threshold: float) -> Column:
+    pct = round2(pct_change(close, prev))
+    ok = prev.isNotNull() & pct.isNotNull() & ~F.isnan(pct) & (F.abs(pct) >= F.lit(float(threshold)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _integral(df: DataFrame, col: str) -> bool:
+    return dict(df.dtypes)[col] in ("tinyint", "smallint", "int", "bigint")
+
+
+def chunk_width(rows: DataFrame, key: str, leading: str, task_rows: int) -> int | None:
+    """The chunk width that gives the densest key about ``task_rows`` rows a
+    chunk; ``None`` when no key has more rows than that, or when the leading
+    order column has no ranges to cut (text, dates).
+
+    A grouped aggregation over two columns; one row reaches the driver.
+    """
+    if not _integral(rows, leading):
+        return None
+    per_key = rows.groupBy(key).agg(
+        F.count("*").alias("n"), (F.max(leading) - F.min(leading) + F.lit(1)).alias("span")
+    )
+    wide = F.col("span").cast("double") / F.col("n") * F.lit(float(task_rows))
+    width = per_key.where(F.col("n") > task_rows).agg(F.min(wide).alias("w")).first().w
+    return None if width is None else max(1, int(width))
+
+
+def chunk_rows(usable: DataFrame, key: str, order: list[str], chunk_ms: int | None) -> DataFrame:
+    """The detector's columns; with a width, and a leading order column
+    that has ranges, also ``_chunk``.  Chunks are ranges of the leading
+    order column, so chunk order is row order; rows without a leading
+    value come first, in a chunk of their own."""
     rows = usable.select(
         F.col(key).alias("_k"),
         *[F.col(c) for c in dict.fromkeys(order + ["timestamp", "datetime"])],
-        close,
-        # chunks are ranges of the leading order column, so chunk order is
-        # row order whatever the order columns are (epoch ms by default)
-        F.coalesce(chunk, F.lit(-(1 << 62)).cast("bigint")).alias("_chunk"),
-        (close == 0).alias("_zero"),
+        F.col("close"),
+        (F.col("close") == 0).alias("_zero"),
     )
-
-    in_chunk = Window.partitionBy("_k", "_chunk").orderBy(*order)
-    whole_chunk = in_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(
+    if chunk_ms is None or not _integral(usable, order[0]):
+        return rows
+    chunk = F.floor(F.col(order[0]) / F.lit(chunk_ms))
+    return rows.withColumn("_chunk", F.coalesce(chunk, F.lit(-(1 << 62)).cast("bigint")))
+
+
+def window_stage(rows: DataFrame, parts: list[str], order: list[str]) -> DataFrame:
+    """The one pass over all rows: previous close in the window, whether a
+    zero came before, and the first row's mark."""
+    w = Window.partitionBy(*parts).orderBy(*order, "close")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(
         "*",
-        F.lag("close").over(in_chunk).alias("_prev_in"),
-        F.max("_zero").over(in_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("_zero_in"),
-        F.lead(F.lit(1)).over(in_chunk).isNull().alias("_last"),
-        F.max("_zero").over(whole_chunk).alias("_chunk_zero"),
+        F.lag("close").over(w).alias("_prev_in"),
+        F.coalesce(F.max("_zero").over(before), F.lit(False)).alias("_zero_in"),
+        F.lag(F.lit(1)).over(w).isNull().alias("_first"),
     )
-    chg_in = round2(pct_change(F.col("close"), F.col("_prev_in")))
-    first = F.col("_prev_in").isNull()
-    candidate = (
-        ~first
-        & ~F.coalesce(F.col("_zero_in"), F.lit(False))
-        & chg_in.isNotNull()
-        & ~F.isnan(chg_in)
-        & (F.abs(chg_in) >= thr)
+
+
+def chunk_carry(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Per ``(key, chunk)``: the last close of the previous non-empty chunk
+    and whether a zero came before the chunk.  One row per chunk leaves
+    the map-side combine."""
+    last = order_key(rows, order) if len(order) > 1 else F.struct(*order, "close")
+    ends = rows.groupBy("_k", "_chunk").agg(
+        F.max_by("close", last).alias("_end"), F.max("_zero").alias("_any_zero")
+    )
+    w = Window.partitionBy("_k").orderBy("_chunk")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(
+        "_k",
+        "_chunk",
+        F.lag("_end").over(w).alias("_prev_chunk"),
+        F.coalesce(F.max("_any_zero").over(before), F.lit(False)).alias("_zero_before"),
     )
-    kept = rows.select(
-        "_k", "_chunk", "datetime", "timestamp", "close", "_prev_in", "_last", "_chunk_zero",
-        first.alias("_first"), candidate.alias("_candidate"), chg_in.alias("_chg_in"),
-    ).where(F.col("_first") | F.col("_last") | F.col("_candidate"))
-    return kept
 
 
 def alerts_union(*alerts: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 One message per alert; the wording is fixed by the reference.  An alert
 whose ``alert_type`` is unknown or missing gets no message and goes to
-the quarantine frame instead of stopping the job.
+the quarantine frame instead of stopping the job.  The two type names
+are parameters everywhere, as they are in the detectors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import alert_message
+from tickwarden.operators import decode
 from tickwarden.session import ship_package
 from tickwarden.schemas import (
     ALERT,
@@ -21,55 +23,91 @@ from tickwarden.schemas import (
 )
 
 
-def alert_messages(alerts: DataFrame) -> DataFrame:
+def alert_messages(
+    alerts: DataFrame,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> DataFrame:
     """``(ticker, alert_type, datetime, message)`` for alerts of a known type."""
-    return with_messages(alerts).where(F.col("message").isNotNull()).select(
-        "ticker", "alert_type", "datetime", "message"
-    )
-
-
-def with_messages(alerts: DataFrame) -> DataFrame:
     ship_package(alerts.sparkSession)  # the message text uses a pandas UDF
-    return alerts.withColumn("message", alert_message())
+    known = alerts.where(F.col("alert_type").isin(target_type, change_type))
+    return known.select(
+        "ticker", "alert_type", "datetime", alert_message(target_type, change_type).alias("message")
+    )
 
 
-def undeliverable(alerts: DataFrame) -> DataFrame:
+def undeliverable(
+    alerts: DataFrame,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> DataFrame:
     """Alerts without a message: ``(value, reason)`` rows for the quarantine."""
-    bad = with_messages(alerts).where(F.col("message").isNull())
-    return bad.select(
+    reason = _type_reason(F.col("alert_type"), target_type, change_type)
+    return alerts.select(
         F.to_json(F.struct(*alerts.columns), {"ignoreNullFields": "false"}).alias("value"),
-        F.when(F.col("alert_type").isNull(), F.lit("missing_alert_type"))
-        .otherwise(F.lit("unknown_alert_type"))
-        .alias("reason"),
+        reason.alias("reason"),
+    ).where(F.col("reason").isNotNull())
+
+
+def _type_reason(alert_type: Column, target_type: str, change_type: str) -> Column:
+    return F.when(alert_type.isNull(), F.lit("missing_alert_type")).when(
+        ~alert_type.isin(target_type, change_type), F.lit("unknown_alert_type")
     )
 
 
-def alert_records(alerts: DataFrame) -> DataFrame:
+def alert_records(
+    alerts: DataFrame,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> DataFrame:
     """SNK-1 / S16: ``(key, value)`` for the alert topic.
 
     Each alert type has its own key set and key order, so the JSON text
-    is built per type (nulls kept); ``key`` is the ticker.
+    is built per type (nulls kept); ``key`` is the ticker.  An alert of
+    another type keeps all its columns, so the topic's readers can
+    quarantine it.
     """
     opts = {"ignoreNullFields": "false"}
-    target = F.to_json(F.struct(*TARGET_ALERT_FIELDS), opts)
-    change = F.to_json(F.struct(*CHANGE_ALERT_FIELDS), opts)
     at = F.col("alert_type")
-    value = F.when(at == F.lit(TARGET_PRICE_ALERT), target).when(
-        at == F.lit(PERCENTAGE_CHANGE_ALERT), change
+    value = (
+        F.when(at == F.lit(target_type), F.to_json(F.struct(*TARGET_ALERT_FIELDS), opts))
+        .when(at == F.lit(change_type), F.to_json(F.struct(*CHANGE_ALERT_FIELDS), opts))
+        .otherwise(F.to_json(F.struct(*[f.name for f in ALERT.fields]), opts))
     )
-    return alerts.select(F.col("ticker").alias("key"), value.alias("value")).where(
-        F.col("value").isNotNull()
+    return alerts.select(F.col("ticker").alias("key"), value.alias("value"))
+
+
+def parse_records(
+    records: DataFrame,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+    value_col: str = "value",
+) -> DataFrame:
+    """SRC-3: alert-topic JSON parsed once: ``rec``, and ``reason`` where
+    there is no alert to deliver (not an alert object, or of an unknown or
+    missing type).  Persist it to write both outputs from one parse."""
+    parsed = decode.parse(records, ALERT, value_col)
+    return parsed.withColumn(
+        "reason",
+        F.coalesce("reason", _type_reason(F.col("rec.alert_type"), target_type, change_type)),
     )
 
 
-def alerts_from_records(records: DataFrame, value_col: str = "value") -> DataFrame:
-    """SRC-3: decode alert-topic JSON (either shape) into alert rows.
-
-    Text that is not an alert object is dropped (the reference skips
-    falsy or unparseable messages); alerts of an unknown or missing type
-    stay, and get no message downstream.
-    """
-    rec = F.from_json(F.col(value_col).cast("string"), ALERT)
-    # one parse per record, as in the tick decoder
-    parsed = records.select(F.explode(F.array(rec)).alias("a"))
-    return parsed.where(F.col("a").isNotNull() & F.col("a.ticker").isNotNull()).select("a.*")
+def alerts_from_records(
+    records: DataFrame,
+    value_col: str = "value",
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> DataFrame:
+    """SRC-3: the deliverable alerts of alert-topic JSON (either shape)."""
+    return decode.good_rows(parse_records(records, target_type, change_type, value_col), ALERT)
+
+
+def rejected_records(
+    records: DataFrame,
+    value_col: str = "value",
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> DataFrame:
+    """The other alert-topic records: ``(value, reason)`` for the quarantine."""
+    return decode.bad_rows(parse_records(records, target_type, change_type, value_col), value_col)

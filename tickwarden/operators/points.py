@@ -21,14 +21,20 @@ POINT_FIELDS = ["measurement", "time", "ticker", "price"]
 def parse_point_time(text: Column) -> Column:
     """ISO text to a UTC ``TIMESTAMP_NTZ``.
 
-    Text with ``Z`` or an offset is an instant (converted to UTC); text
-    without a zone is UTC already.  Unparseable text gives null.
+    Text with ``Z`` or an offset (``+05``, ``+0530``, ``+05:30``) is an
+    instant (converted to UTC); text without a zone is UTC already.
+    Anything else, named zones included, gives null.
     """
-    has_zone = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
-    instant = text.try_cast("timestamp")
+    date, clock = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
+    text = F.trim(text)
+    has_zone = text.rlike(f"^{date}[T ]{clock}(Z|[+-][0-9]{{2}}(:?[0-9]{{2}})?)$")
+    hours_only = F.regexp_replace(text, r"(:[0-9.]+[+-][0-9]{2})$", "$1:00")
+    instant = F.regexp_replace(hours_only, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp")
     micros = F.unix_micros(instant)
     as_utc = F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
-    return F.when(has_zone, as_utc).otherwise(text.try_cast("timestamp_ntz"))
+    return F.when(has_zone, as_utc).when(
+        text.rlike(f"^{date}([T ]{clock})?$"), text.try_cast("timestamp_ntz")
+    )
 
 
 def points_from_records(
@@ -38,18 +44,22 @@ def points_from_records(
     order_col: str = "offset",
 ) -> DataFrame:
     """SRC-2/DEC-4/PRJ-4: JSON tick text to ``(measurement, time, ticker,
-    price, offset)``.
+    price, offset)``, with the record's ``record_time`` and ``partition``
+    where the source has them (offsets of several partitions do not
+    compare).
 
     ``close`` may be a number or numeric text; records whose close does
     not convert, or whose ticker or time is missing, are dropped.  NaN
     and infinite prices are dropped too (the store rejects them).
     """
+    source = [c for c in ("record_time", "partition") if c in records.columns]
     # json_tuple parses each record once (numbers come back as their text)
     rec = records.select(
         F.json_tuple(F.col(value_col).cast("string"), "ticker", "datetime", "close").alias(
             "ticker", "datetime", "close"
         ),
         F.col(order_col).alias("offset"),
+        *source,
     )
     price = round2(F.trim(F.col("close")).try_cast("double"))
     pts = rec.select(
@@ -58,6 +68,7 @@ def points_from_records(
         F.col("ticker"),
         price.alias("price"),
         "offset",
+        *source,
     )
     p = F.col("price")
     return pts.where(
@@ -72,10 +83,15 @@ def points_from_records(
 def upsert_points(points: DataFrame, order_col: str = "offset") -> DataFrame:
     """AGG-4: last write wins per (measurement, ticker, time).
 
-    A point without an arrival order counts as the oldest write (it is
-    never dropped, as ``max_by`` would drop a null ordering).
+    Writes are ordered by the time their source recorded them, then by
+    partition and offset; a source without the first two has one offset
+    sequence.  A point without an arrival order counts as the oldest
+    write (it is never dropped, as ``max_by`` would drop a null ordering).
     """
+    source = [c for c in ("record_time", "partition") if c in points.columns]
     arrival = F.coalesce(F.col(order_col).cast("bigint"), F.lit(-(2**63)))
+    if source:
+        arrival = F.struct(*source, arrival)
     return points.groupBy("measurement", "ticker", "time").agg(
         F.max_by("price", arrival).alias("price")
     ).select(*POINT_FIELDS)
@@ -84,14 +100,15 @@ def upsert_points(points: DataFrame, order_col: str = "offset") -> DataFrame:
 def write_point_log(points: DataFrame, path: str, mode: str = "append") -> None:
     """SNK-3: append points, partitioned by measurement and UTC date.
 
-    Range partitioning on ``(measurement, date, ticker)`` first: each task
-    then covers a narrow key range and writes to one or two date folders
-    (not one small file per task in every folder), and the sampled range
-    bounds split a hot date over several tasks.
+    Range partitioning on ``(measurement, date, ticker, time)`` first: each
+    task then covers a narrow key range and writes to one or two date
+    folders (not one small file per task in every folder), and the sampled
+    range bounds split a hot date, or one ticker's hot day, over several
+    tasks.
     """
     (
         points.withColumn("date", F.col("time").cast("date"))
-        .repartitionByRange("measurement", "date", "ticker")
+        .repartitionByRange("measurement", "date", "ticker", "time")
         .write.mode(mode)
         .partitionBy("measurement", "date")
         .parquet(path)

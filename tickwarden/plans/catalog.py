@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import iso_datetime, ntz_to_ms
@@ -26,7 +26,7 @@ from tickwarden.session import scratch_path
 from tickwarden.sources import files, landing
 from tickwarden.sources.tables import event_ticks, order_ticks, read_table
 from tickwarden.streaming import apps, jobs
-from tickwarden.streaming.replay import replay, replay_with_restart
+from tickwarden.streaming.replay import land_slice, offset_slices, replay, replay_with_restart
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +81,34 @@ def q_alert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.alert_records(_alerts(spark, sf_dir))
 
 
+@query("alerts_custom_type")
+def q_alerts_custom_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-9, SNK-1, SRC-3, SNK-6 with configured alert types: detectors,
+    topic records, and messages read back from them."""
+    ticks = event_ticks(spark, sf_dir)
+    types = {"target_type": P.CUSTOM_TARGET_TYPE, "change_type": P.CUSTOM_CHANGE_TYPE}
+    alerts = detectors.alerts_union(
+        detectors.target_price_alerts(ticks, P.TARGET_PRICE, alert_type=P.CUSTOM_TARGET_TYPE),
+        detectors.price_change_alerts(
+            ticks, P.PRICE_CHANGE_THRESHOLD, alert_type=P.CUSTOM_CHANGE_TYPE
+        ),
+    )
+    topic = messages.alert_records(alerts, **types)
+    return messages.alert_messages(messages.alerts_from_records(topic, **types), **types)
+
+
+@query("alert_quarantine")
+def q_alert_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-5, SNK-7: alert records that give no message.  The reader knows
+    another target type than the writer, and the records of tickers ending
+    in 3 are garbled."""
+    topic = messages.alert_records(_alerts(spark, sf_dir))
+    text = F.when(F.col("key").endswith("3"), F.translate("value", ":", "=")).otherwise(F.col("value"))
+    return messages.rejected_records(
+        topic.select(text.alias("value")), target_type=P.CUSTOM_TARGET_TYPE
+    )
+
+
 @query("order_change_alerts")
 def q_order_change_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2 on a second series: orders by customer, tie-broken by order key."""
@@ -142,7 +170,17 @@ def q_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_pages_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-6, GEN-2: landed response pages unnested."""
     path = landing.land(landing.page_feed(spark, sf_dir), scratch_path(spark, "pages"), "json")
-    return records.explode_pages(files.read_pages(spark, path))
+    pages, _ = records.decode_pages(files.read_pages(spark, path))
+    return records.explode_pages(pages)
+
+
+@query("ingest_ticks")
+def q_ingest_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6, GEN-2, PRJ-1, FLT-7, SNK-5: landed pages to tick-topic
+    records of one week."""
+    path = landing.land(landing.page_feed(spark, sf_dir), scratch_path(spark, "pages"), "json")
+    pages, _ = records.decode_pages(files.read_pages(spark, path))
+    return records.ingest(pages, P.INGEST_START, P.INGEST_END)
 
 
 @query("bar_records")
@@ -185,26 +223,41 @@ def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bars_day")
 def q_bars_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-1: day bars."""
-    return bars_op.bars(event_ticks(spark, sf_dir), 1, "day")
+    return _plain_notional(bars_op.bars(event_ticks(spark, sf_dir), 1, "day"))
 
 
 @query("bars_5min")
 def q_bars_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-1: 5-minute bars."""
-    return bars_op.bars(event_ticks(spark, sf_dir), 5, "minute")
+    return _plain_notional(bars_op.bars(event_ticks(spark, sf_dir), 5, "minute"))
 
 
 @query("bars_month")
 def q_bars_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-1: calendar-month bars."""
-    return bars_op.bars(event_ticks(spark, sf_dir), 1, "month")
+    return _plain_notional(bars_op.bars(event_ticks(spark, sf_dir), 1, "month"))
 
 
 @query("bars_rollup")
 def q_bars_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-2: day bars rolled up to Monday weeks."""
     day = bars_op.bars(event_ticks(spark, sf_dir), 1, "day")
-    return bars_op.bars(day, 1, "week")
+    return _plain_notional(bars_op.bars(day, 1, "week"))
+
+
+def _plain_notional(bars: DataFrame) -> DataFrame:
+    # the exact decimal sum as the nearest double
+    return bars.withColumn("notional", F.col("notional").cast("double"))
+
+
+@query("bars_sub_cent")
+def q_bars_sub_cent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1, AGG-2 on prices below a cent: day bars rolled up to weeks."""
+    ticks = event_ticks(spark, sf_dir)
+    small = ticks.select(
+        "ticker", "timestamp", "seq", "size", (F.col("close") / F.lit(P.SUB_CENT)).alias("close")
+    )
+    return _plain_notional(bars_op.bars(bars_op.bars(small, 1, "day"), 1, "week"))
 
 
 # --------------------------------------------------------------- routing
@@ -326,7 +379,9 @@ def q_stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         feed,
         run.landing,
         lambda: jobs.start_parquet_sink(
-            records.explode_pages(files.stream_pages(spark, run.landing)), run.out, run.checkpoint
+            records.explode_pages(records.decode_pages(files.stream_pages(spark, run.landing))[0]),
+            run.out,
+            run.checkpoint,
         ),
         fmt="json",
         order_col="page",
@@ -411,16 +466,18 @@ def q_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(run.out).select("topic", "value")
 
 
-def _stream_bars(spark: SparkSession, sf_dir: str, multiplier: int, timespan: str) -> DataFrame:
+def _stream_bars(
+    spark: SparkSession, sf_dir: str, multiplier: int, timespan: str, late: Column | None = None
+) -> DataFrame:
     run = _Run(spark, "bars")
-    feed = landing.tick_feed(spark, sf_dir)
+    feed = landing.tick_feed(spark, sf_dir, late)
 
     def start():
         ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
         return jobs.start_bar_sink(jobs.bar_stream(ticks, multiplier, timespan), run.out, run.checkpoint)
 
     replay(feed, run.landing, start)
-    return jobs.latest_bars(spark, run.out)
+    return _plain_notional(jobs.latest_bars(spark, run.out, multiplier, timespan))
 
 
 @query("stream_bars")
@@ -431,5 +488,33 @@ def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_bars_month")
 def q_stream_bars_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-3 on a calendar span: month bars, watermark on the bucket start."""
+    """AGG-3 on a calendar span: month bars from streamed day bars."""
     return _stream_bars(spark, sf_dir, 1, "month")
+
+
+@query("stream_bars_month_late")
+def q_stream_bars_month_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-3: month bars of rows that arrive up to 10 s late."""
+    late = (F.col("seq") % F.lit(3)) * F.lit(P.LATE_MS)
+    return _stream_bars(spark, sf_dir, 1, "month", late)
+
+
+@query("stream_alerts_disorder")
+def q_stream_alerts_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-3: alerts follow arrival order (disordered times) and are the
+    same for every number of files a micro-batch takes."""
+    run = _Run(spark, "disorder")
+    feed = landing.tick_feed(spark, sf_dir, (F.col("seq") * F.lit(7) % F.lit(13)) * F.lit(P.DISORDER_MS))
+    for lo, hi in offset_slices(feed, 8):
+        # one file a slice: the files' order is then the topic's order
+        land_slice(feed.coalesce(1), run.landing, lo, hi)
+    out = None
+    for n in P.FILES_PER_TRIGGER:
+        ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing, n))
+        alerts = jobs.alert_stream(ticks, P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD)
+        jobs.start_parquet_sink(
+            alerts, f"{run.out}-{n}", f"{run.checkpoint}-{n}", available_now=True
+        ).awaitTermination()
+        got = spark.read.parquet(f"{run.out}-{n}").withColumn("files_per_trigger", F.lit(n))
+        out = got if out is None else out.unionByName(got)
+    return out

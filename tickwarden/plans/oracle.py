@@ -180,8 +180,10 @@ SELECT ticker, CAST(size AS DOUBLE) AS v, close AS vw, close AS o, close AS c, c
 FROM event_ticks"""
 
 
-def bars_sql(bucket: str) -> str:
+def bars_sql(bucket: str, ticks: str = "SELECT * FROM event_ticks") -> str:
+    # an exact decimal sum; through its text to the nearest double
     return f"""WITH {EVENT_TICKS},
+t AS ({ticks}),
 b AS (
   SELECT ticker, {bucket} AS bucket,
          arg_min(close, (timestamp, seq)) AS open,
@@ -189,11 +191,12 @@ b AS (
          max(close) AS high, min(close) AS low,
          sum(CAST(size AS DOUBLE)) AS volume,
          count(*) AS number_of_trades,
-         sum(round_even(close * 100, 0) * CAST(size AS DOUBLE)) AS notional_cents
-  FROM event_ticks GROUP BY 1, 2)
+         CAST(CAST(sum(CAST(close AS DECIMAL(18,6)) * CAST(size AS DECIMAL(18,4))) AS VARCHAR) AS DOUBLE)
+           AS notional
+  FROM t GROUP BY 1, 2)
 SELECT ticker, bucket AS timestamp, {iso('bucket')} AS datetime, open, close, high, low, volume,
-       CASE WHEN volume = 0 THEN NULL ELSE notional_cents / volume / 100 END AS vwap,
-       number_of_trades, notional_cents
+       CASE WHEN volume = 0 THEN NULL ELSE notional / volume END AS vwap,
+       number_of_trades, notional
 FROM b"""
 
 
@@ -211,9 +214,7 @@ ORACLE["bars_rollup"] = bars_sql(
 ORACLE["bar_records"] = f"""WITH bars AS ({bars_sql('(timestamp // 86400000) * 86400000')})
 SELECT ticker, timestamp, {iso('timestamp')} AS datetime, open, close, high, low, volume, vwap,
        number_of_trades
-FROM bars
--- a bar missing any field is dropped (null and absent are the same after decoding)
-WHERE vwap IS NOT NULL"""
+FROM bars"""
 
 POINTS = f"""WITH p AS (
   SELECT CAST(user_id AS VARCHAR) AS ticker, date_trunc('hour', ts) AS time,
@@ -277,3 +278,46 @@ FROM alerts"""
 
 ORACLE["stream_pages"] = ORACLE["pages_explode"]
 ORACLE["stream_bars_month"] = ORACLE["bars_month"]
+
+ORACLE["bars_sub_cent"] = bars_sql(
+    "epoch_us(date_trunc('week', make_timestamp(timestamp * 1000))) // 1000",
+    f"SELECT * REPLACE (close / {P.SUB_CENT} AS close) FROM event_ticks",
+)
+ORACLE["stream_bars_month_late"] = bars_sql(
+    "epoch_us(date_trunc('month', make_timestamp(timestamp * 1000))) // 1000",
+    f"SELECT * REPLACE (timestamp - (seq % 3) * {P.LATE_MS} AS timestamp) FROM event_ticks",
+)
+ORACLE["ingest_ticks"] = f"""WITH {EVENT_TICKS}
+SELECT ticker AS key, {tick_json(dbl('close'))} AS value FROM event_ticks
+WHERE CAST(make_timestamp(timestamp * 1000) AS DATE)
+      BETWEEN DATE '{P.INGEST_START}' AND DATE '{P.INGEST_END}'"""
+
+ORACLE["alerts_custom_type"] = f"""SELECT * REPLACE (
+  CASE WHEN alert_type = '{TARGET_PRICE_ALERT}' THEN '{P.CUSTOM_TARGET_TYPE}'
+       ELSE '{P.CUSTOM_CHANGE_TYPE}' END AS alert_type)
+FROM ({ORACLE['alert_messages']})"""
+ORACLE["alert_quarantine"] = f"""SELECT CASE WHEN key LIKE '%3' THEN {garble('value')} ELSE value END AS value,
+       CASE WHEN key LIKE '%3' THEN 'malformed' ELSE 'unknown_alert_type' END AS reason
+FROM ({ORACLE['alert_records']})
+WHERE key LIKE '%3' OR value LIKE '%"alert_type":"{TARGET_PRICE_ALERT}"%'"""
+
+# arrival order (seq) decides; every number of files per trigger gives the same rows
+DISORDERED = f"""disordered AS (
+  SELECT * REPLACE (timestamp - (seq * 7 % 13) * {P.DISORDER_MS} AS timestamp,
+                    {iso(f'(timestamp - (seq * 7 % 13) * {P.DISORDER_MS})')} AS datetime)
+  FROM event_ticks)"""
+ORACLE["stream_alerts_disorder"] = f"""WITH {EVENT_TICKS},
+{DISORDERED},
+{change_alerts_sql('disordered', P.PRICE_CHANGE_THRESHOLD, 'seq')},
+{target_alerts_sql('disordered', P.TARGET_PRICE, 'seq')},
+alerts AS (
+  SELECT ticker, datetime, CAST(NULL AS BIGINT) AS timestamp, target_price,
+         CAST(NULL AS DOUBLE) AS previous_price, current_price,
+         CAST(NULL AS DOUBLE) AS price_change_percentage, alert_type
+  FROM target_alerts
+  UNION ALL
+  SELECT ticker, datetime, timestamp, CAST(NULL AS DOUBLE), previous_price, current_price,
+         price_change_percentage, alert_type
+  FROM change_alerts)
+SELECT alerts.*, CAST(n AS INTEGER) AS files_per_trigger
+FROM alerts, (VALUES {', '.join(f'({n})' for n in P.FILES_PER_TRIGGER)}) AS v(n)"""

@@ -21,11 +21,12 @@ RAW_BAR = T.StructType(
     ]
 )
 
-# One page of the paged aggregates response.
+# One page of the paged aggregates response; a bar's fields stay JSON text,
+# so an absent field and a null one differ.
 PAGE = T.StructType(
     [
         T.StructField("ticker", T.StringType()),
-        T.StructField("results", T.ArrayType(RAW_BAR)),
+        T.StructField("results", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
         T.StructField("next_url", T.StringType()),
     ]
 )
@@ -86,21 +87,6 @@ ALERT = T.StructType(
     ]
 )
 
-# A time-series point (measurement, time, tag ticker, field price).
-POINT = T.StructType(
-    [
-        T.StructField("measurement", T.StringType()),
-        T.StructField("time", T.TimestampNTZType()),
-        T.StructField("ticker", T.StringType()),
-        T.StructField("price", T.DoubleType()),
-    ]
-)
-
-# A routed sensor field: the topic is the field name.
-ROUTED = T.StructType(
-    [T.StructField("topic", T.StringType()), T.StructField("value", T.StringType())]
-)
-
 # Fixed values that must equal the reference's for right results.
 TARGET_PRICE_ALERT = "target_price"
 PERCENTAGE_CHANGE_ALERT = "percentage_change"

@@ -11,17 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tickwarden.schemas import PAGE
-
 TOPIC_RECORD = T.StructType(
     [T.StructField("value", T.StringType()), T.StructField("offset", T.LongType())]
 )
 
 
-def read_topic(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TOPIC_RECORD).parquet(path)
-
-
 # Bounds one micro-batch (``availableNow`` splits a backlog accordingly),
 # and so how many rows one key brings to one stateful call.
 DEFAULT_MAX_FILES_PER_TRIGGER = 64
@@ -37,13 +31,13 @@ def stream_topic(
 
 
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """SRC-6: landed response pages (one JSON page per line, or one
-    pretty-printed page per file with ``multi_line``)."""
-    return spark.read.schema(PAGE).json(path, multiLine=multi_line)
+    """SRC-6: the text of landed response pages (one JSON page per line, or
+    one pretty-printed page per file with ``multi_line``)."""
+    return spark.read.text(path, wholetext=multi_line)
 
 
 def stream_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.readStream.schema(PAGE).json(path, multiLine=multi_line)
+    return stream_text(spark, path, multi_line, max_files_per_trigger=None)
 
 
 def stream_text(spark: SparkSession, path: str, whole_text: bool = False,
@@ -57,7 +51,3 @@ def stream_text(spark: SparkSession, path: str, whole_text: bool = False,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.text(path, wholetext=whole_text)
-
-
-def read_text(spark: SparkSession, path: str, whole_text: bool = False) -> DataFrame:
-    return spark.read.text(path, wholetext=whole_text)

@@ -40,12 +40,13 @@ def source_options(
 
 
 def read_topic_stream(spark: SparkSession, bootstrap: str, topic: str, **kwargs) -> DataFrame:
-    """SRC-1..5: ``(value STRING, offset, partition, topic, key)`` rows."""
+    """SRC-1..5: ``(value STRING, offset, partition, record_time, topic, key)`` rows."""
     raw = spark.readStream.format("kafka").options(**source_options(bootstrap, topic, **kwargs)).load()
     return raw.select(
         F.col("value").cast("string").alias("value"),
         "offset",
         "partition",
+        F.col("timestamp").alias("record_time"),
         "topic",
         F.col("key").cast("string").alias("key"),
     )

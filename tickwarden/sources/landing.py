@@ -30,9 +30,13 @@ def _garble(text: Column) -> Column:
     return F.translate(text, ":", "=")
 
 
-def tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as tick JSON text (the stock topic)."""
+def tick_feed(spark: SparkSession, sf_dir: str, late: Column | None = None) -> DataFrame:
+    """Every event as tick JSON text (the stock topic), in event order;
+    ``late`` (milliseconds) sets its time back, so times arrive disordered."""
     t = event_ticks(spark, sf_dir)
+    if late is not None:
+        t = t.withColumn("timestamp", F.col("timestamp") - late)
+        t = t.withColumn("datetime", iso_datetime(F.col("timestamp")))
     return t.select(record_json(t, TICK_FIELDS).alias("value"), F.col("seq").alias("offset"))
 
 

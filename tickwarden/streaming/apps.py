@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tickwarden.operators import messages
-from tickwarden.schemas import DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
+from tickwarden.schemas import (
+    DEFAULT_MEASUREMENT,
+    DEFAULT_TIMESPAN_KEY,
+    PERCENTAGE_CHANGE_ALERT,
+    TARGET_PRICE_ALERT,
+)
 from tickwarden.sources import kafka as kafka_io
 from tickwarden.streaming import jobs
 
@@ -60,6 +65,8 @@ def alert_app(
     trigger: str | None = None,
     zero_policy: str = "latch",
     quarantine: str | None = None,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> StreamingQuery:
     """Tick topic -> both detectors -> alert topic (per-type JSON, key = ticker).
 
@@ -70,8 +77,12 @@ def alert_app(
     """
     if quarantine is not None:
         _start(jobs.quarantined(records), f"{checkpoint}-quarantine", quarantine, None, trigger)
-    alerts = jobs.alert_stream(jobs.decoded_ticks(records), target, threshold, zero_policy=zero_policy)
-    return _start(messages.alert_records(alerts), checkpoint, out, kafka, trigger)
+    alerts = jobs.alert_stream(
+        jobs.decoded_ticks(records), target, threshold, zero_policy=zero_policy,
+        target_type=target_type, change_type=change_type,
+    )
+    recs = messages.alert_records(alerts, target_type, change_type)
+    return _start(recs, checkpoint, out, kafka, trigger)
 
 
 def point_app(
@@ -93,9 +104,24 @@ def message_app(
     out: str | None = None,
     kafka: tuple[str, str | None] | None = None,
     trigger: str | None = None,
+    quarantine: str | None = None,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> StreamingQuery:
-    """Alert topic -> message text (key = ticker, value = message)."""
-    msgs = messages.alert_messages(messages.alerts_from_records(records))
+    """Alert topic -> message text (key = ticker, value = message).
+
+    With ``quarantine`` (files only), records that are no alert or of an
+    unknown or missing type go there, from the same parse; both outputs
+    then lie in ``batch_id=N`` folders.
+    """
+    if quarantine is not None:
+        if out is None:
+            raise ValueError("quarantine= needs out=")
+        return jobs.start_message_split_sink(
+            records, out, quarantine, checkpoint, target_type, change_type, trigger
+        )
+    alerts = messages.alerts_from_records(records, target_type=target_type, change_type=change_type)
+    msgs = messages.alert_messages(alerts, target_type, change_type)
     if kafka is not None:
         msgs = msgs.selectExpr("ticker AS key", "message AS value")
     return _start(msgs, checkpoint, out, kafka, trigger)

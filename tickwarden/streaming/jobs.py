@@ -16,10 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickwarden.functions.exprs import bucket_start_ms, ms_to_instant
+from tickwarden.functions.exprs import ms_to_instant
 from tickwarden.operators import bars as bars_op
-from tickwarden.operators import decode, points, routing
-from tickwarden.schemas import ALERT, DEFAULT_MEASUREMENT, DEFAULT_TIMESPAN_KEY
+from tickwarden.operators import decode, messages, points, routing
+from tickwarden.schemas import (
+    ALERT,
+    DEFAULT_MEASUREMENT,
+    DEFAULT_TIMESPAN_KEY,
+    PERCENTAGE_CHANGE_ALERT,
+    TARGET_PRICE_ALERT,
+)
 from tickwarden.session import ship_package, use_rocksdb_state
 from tickwarden.streaming.processor import (
     STATE_SCHEMA,
@@ -30,14 +36,23 @@ from tickwarden.streaming.processor import (
 
 # The reference attaches a 15 s bounded-out-of-orderness watermark.
 DEFAULT_WATERMARK = "15 seconds"
+# spans without a fixed length
+CALENDAR_SPANS = ("month", "quarter", "year")
 
 
 def decoded_ticks(records: DataFrame) -> DataFrame:
-    """DEC-1: good tick rows of a topic stream (bad rows: ``quarantined``)."""
-    good, _ = decode.decode(records, keep=("offset",))
+    """DEC-1: good tick rows of a topic stream (bad rows: ``quarantined``),
+    with their arrival columns."""
+    good, _ = decode.decode(records, keep=arrival_columns(records))
     return good
 
 
+def arrival_columns(df: DataFrame) -> tuple[str, ...]:
+    """The columns that give a topic's arrival order.  A ticker's records
+    share one partition, so partition and offset order them."""
+    return tuple(c for c in ("partition", "offset") if c in df.columns)
+
+
 def quarantined(records: DataFrame) -> DataFrame:
     """DEC-3 / SNK-7: ``(value, reason, offset)`` of undecodable records."""
     _, bad = decode.decode(records, keep=("offset",))
@@ -48,14 +63,18 @@ def alert_stream(
     ticks: DataFrame,
     target: float | None,
     threshold: float | None,
-    order_by: Sequence[str] = ("timestamp", "offset"),
+    order_by: Sequence[str] | None = None,
     zero_policy: str = "latch",
     api: str = "pandas_with_state",
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> DataFrame:
     """ST-1..3: both detectors over one keyed stream, append mode.
 
-    Detectors follow arrival order across micro-batches and
-    ``order_by`` inside one.  The watermark is not applied: the
+    Detectors follow arrival order, across micro-batches and (by the
+    topic's partition and offset, unless ``order_by`` is given) inside
+    one, so the micro-batch borders never show in the alerts.  The
+    watermark is not applied: the
     reference never drops late rows from the detectors.
     ``zero_policy="skip"`` drops zero closes before the shuffle, as the
     batch detector does.  ``api`` picks ``applyInPandasWithState``
@@ -66,6 +85,7 @@ def alert_stream(
     spark = ticks.sparkSession
     use_rocksdb_state(spark)
     ship_package(spark)
+    order_by = list(order_by or arrival_columns(ticks) or ("timestamp",))
     cols = list(dict.fromkeys(["ticker", "timestamp", "datetime", "close", *order_by]))
     # null closes never change either detector's state: drop them here,
     # where null and NaN are still distinct (pandas would merge them)
@@ -73,7 +93,7 @@ def alert_stream(
     if zero_policy == "skip":
         keep = keep & (F.col("close") != 0)
     keyed = ticks.where(keep).select(*cols).groupBy("ticker")
-    logic = AlertLogic(target, threshold, order_by)
+    logic = AlertLogic(target, threshold, order_by, target_type, change_type)
     if api == "pandas_with_state":
         return keyed.applyInPandasWithState(
             pandas_state_function(logic), ALERT, STATE_SCHEMA, "append", "NoTimeout"
@@ -92,13 +112,14 @@ def point_stream(records: DataFrame, measurement: str = DEFAULT_MEASUREMENT) ->
     """SRC-2 + DEC-4 + PRJ-4: points to append to the point log.
 
     Each micro-batch (bounded by the trigger) is hash-partitioned by
-    ``(measurement, date)``, so one task writes each date folder instead
-    of every task writing a small file into every folder.
+    measurement, date and hour, so at most 24 tasks write a date folder
+    instead of every task writing a small file into every folder, and
+    the one date of a live feed still spreads over the tasks.
     """
     return (
         points.points_from_records(records, measurement)
         .withColumn("date", F.col("time").cast("date"))
-        .repartition("measurement", "date")
+        .repartition("measurement", "date", F.hour("time"))
     )
 
 
@@ -118,44 +139,44 @@ def bar_stream(
     Emitted in ``update`` mode: every micro-batch re-emits the bars it
     changed, and the latest emission of a bar is its value
     (``latest_bars``).  Fixed spans use ``window()`` on the event time
-    (weeks start on Monday); calendar spans (month, quarter, year) group
-    on the bucket start, which then carries the watermark.  Rows later
-    than the watermark are dropped - the documented streaming trade-off.
+    (weeks start on Monday).  Calendar spans (month, quarter, year) have
+    no ``window()``: the stream keeps day bars, whose windows carry the
+    watermark, and ``latest_bars`` rolls them up to the calendar bars
+    when reading.  Rows later than the watermark are dropped - the
+    documented streaming trade-off.
     """
     bars_op.validate_bar_params(multiplier, timespan)
     rows = ticks.withColumn("event_time", ms_to_instant(F.col("timestamp")))
     inputs = bars_op.bar_inputs(rows, order_by=("timestamp", "offset"))
     fixed = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
-    if timespan in fixed:
-        seconds = fixed[timespan] * multiplier
-        start = "4 days" if timespan == "week" else None  # 1970-01-05 was a Monday
-        w = F.window("event_time", f"{seconds} seconds", startTime=start)
-        agg = (
-            inputs.withWatermark("event_time", delay)
-            .groupBy("ticker", w.alias("w"))
-            .agg(*bars_op.bar_aggregates())
-            .withColumn("bucket", F.unix_millis(F.col("w.start")))
-        )
-    else:
-        bucket_ms = bucket_start_ms(F.col("timestamp"), multiplier, timespan)
-        agg = (
-            inputs.withColumn("bucket_time", ms_to_instant(bucket_ms))
-            .withWatermark("bucket_time", delay)
-            .groupBy("ticker", "bucket_time")
-            .agg(*bars_op.bar_aggregates())
-            .withColumn("bucket", F.unix_millis(F.col("bucket_time")))
-        )
+    seconds = fixed[timespan] * multiplier if timespan in fixed else fixed["day"]
+    start = "4 days" if timespan == "week" else None  # 1970-01-05 was a Monday
+    w = F.window("event_time", f"{seconds} seconds", startTime=start)
+    agg = (
+        inputs.withWatermark("event_time", delay)
+        .groupBy("ticker", w.alias("w"))
+        .agg(*bars_op.bar_aggregates())
+        .withColumn("bucket", F.unix_millis(F.col("w.start")))
+    )
     return bars_op.bar_output(agg)
 
 
-def latest_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Read bars written per micro-batch and keep each bar's last version."""
+def latest_bars(
+    spark: SparkSession, path: str, multiplier: int = 1, timespan: str | None = None
+) -> DataFrame:
+    """Read bars written per micro-batch and keep each bar's last version.
+
+    A restart on a new checkpoint counts batches from 0 again, so the
+    time of emission comes before the batch number.  For a calendar span
+    give ``multiplier`` and ``timespan``: the day bars are rolled up.
+    """
     emitted = spark.read.parquet(path)
-    cols = [c for c in emitted.columns if c not in ("ticker", "timestamp", "batch_id")]
+    cols = [c for c in emitted.columns if c not in ("ticker", "timestamp", "batch_id", "emitted_at")]
     last = emitted.groupBy("ticker", "timestamp").agg(
-        F.max_by(F.struct(*cols), F.col("batch_id")).alias("b")
+        F.max_by(F.struct(*cols), F.struct("emitted_at", "batch_id")).alias("b")
     )
-    return last.select("ticker", "timestamp", *[F.col(f"b.{c}").alias(c) for c in cols])
+    bars = last.select("ticker", "timestamp", *[F.col(f"b.{c}").alias(c) for c in cols])
+    return bars_op.bars(bars, multiplier, timespan) if timespan in CALENDAR_SPANS else bars
 
 
 def start_bar_sink(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -163,7 +184,9 @@ def start_bar_sink(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     batch replayed after a failure replaces, never duplicates, its rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.withColumn("emitted_at", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{path}/batch_id={batch_id}"
+        )
 
     return (
         bars.writeStream.outputMode("update")
@@ -242,15 +265,48 @@ def start_route_split_sink(
     micro-batch from one parse; per-batch folders make replays idempotent."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        snaps = batch.persist()
+        parsed = routing.parse_snapshots(batch, timespan).persist()
         try:
-            routed, rejected = routing.split_snapshots(snaps, timespan)
+            routed, rejected = routing.routed(parsed), routing.rejected(parsed)
             routed.write.mode("overwrite").partitionBy("topic").parquet(
                 f"{routed_path}/batch_id={batch_id}"
             )
             rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
         finally:
-            snaps.unpersist()
+            parsed.unpersist()
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if trigger == "availableNow":
+        writer = writer.trigger(availableNow=True)
+    elif trigger:
+        writer = writer.trigger(processingTime=trigger)
+    return writer.start()
+
+
+def start_message_split_sink(
+    records: DataFrame,
+    out: str,
+    quarantine: str,
+    checkpoint: str,
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """SNK-6 + SNK-7: messages and undeliverable alert records of one
+    micro-batch from one parse; per-batch folders make replays idempotent."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = messages.parse_records(batch, target_type, change_type).persist()
+        try:
+            alerts = decode.good_rows(parsed, ALERT)
+            messages.alert_messages(alerts, target_type, change_type).write.mode(
+                "overwrite"
+            ).parquet(f"{out}/batch_id={batch_id}")
+            decode.bad_rows(parsed).write.mode("overwrite").parquet(
+                f"{quarantine}/batch_id={batch_id}"
+            )
+        finally:
+            parsed.unpersist()
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if trigger == "availableNow":
