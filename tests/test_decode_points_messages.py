@@ -124,7 +124,8 @@ def test_point_times(spark):
     cases = {
         "2025-01-01T12:00:00+05": datetime.datetime(2025, 1, 1, 7), "2025-01-01T12:00:00+0530": datetime.datetime(2025, 1, 1, 6, 30),
         "2025-01-01T12:00:00-05:30": datetime.datetime(2025, 1, 1, 17, 30), "2025-01-01T12:00:00 Europe/Berlin": None,
-        "2025-01-01T12:00Z": datetime.datetime(2025, 1, 1, 12), "2025-01-01 12:00:00.25": datetime.datetime(2025, 1, 1, 12, 0, 0, 250000),
+        "2025-01-01T12:00Z": datetime.datetime(2025, 1, 1, 12), "2025-01-01T12:00+05": datetime.datetime(2025, 1, 1, 7),
+        "2025-01-01 12:00:00.25": datetime.datetime(2025, 1, 1, 12, 0, 0, 250000),
         "2025-01-01": datetime.datetime(2025, 1, 1), "soon": None, None: None,
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")

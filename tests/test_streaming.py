@@ -38,8 +38,8 @@ def _batch_expect(spark, feed):
 
     good, _ = decode.decode(feed, keep=("offset",))
     return detectors.alerts_union(
-        detectors.target_price_alerts(good, 99.0, order_by=("timestamp", "offset")),
-        detectors.price_change_alerts(good, 10.0, order_by=("timestamp", "offset")),
+        detectors.target_price_alerts(good, 99.0, order_by=("offset",)),
+        detectors.price_change_alerts(good, 10.0, order_by=("offset",)),
     )
 
 
@@ -173,7 +173,7 @@ def test_stream_zero_policy_skip_equals_batch(spark):
 
     feed = _feed(spark)
     good, _ = decode.decode(feed, keep=("offset",))
-    expect = _rows(detectors.price_change_alerts(good, 10.0, order_by=("timestamp", "offset"), zero_policy="skip"))
+    expect = _rows(detectors.price_change_alerts(good, 10.0, order_by=("offset",), zero_policy="skip"))
     base = scratch_path(spark, "test-skip")
     land, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
 

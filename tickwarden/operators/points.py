@@ -28,7 +28,9 @@ def parse_point_time(text: Column) -> Column:
     date, clock = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
     text = F.trim(text)
     has_zone = text.rlike(f"^{date}[T ]{clock}(Z|[+-][0-9]{{2}}(:?[0-9]{{2}})?)$")
-    hours_only = F.regexp_replace(text, r"(:[0-9.]+[+-][0-9]{2})$", "$1:00")
+    # the cast wants seconds before a zone, and hours and minutes in an offset
+    seconds = F.regexp_replace(text, "([T ][0-9]{2}:[0-9]{2})(Z|[+-])", "$1:00$2")
+    hours_only = F.regexp_replace(seconds, r"(:[0-9.]+[+-][0-9]{2})$", "$1:00")
     instant = F.regexp_replace(hours_only, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2").try_cast("timestamp")
     micros = F.unix_micros(instant)
     as_utc = F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
