@@ -6,6 +6,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from tickwarden.operators import messages
 
 
 def plan(spark, key, **conf):
@@ -76,6 +77,16 @@ def test_each_record_is_parsed_once(spark, key):
     assert optimized.count("from_json") == 1
 
 
+def test_messages_run_without_python(spark):
+    alerts = E.queries()["alert_messages"](spark, SF_SMALL)
+    read = messages.alert_messages(
+        messages.alerts_from_records(E.queries()["alert_records"](spark, SF_SMALL))
+    )  # what the message application computes
+    for df in (alerts, read):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEval" not in text and "BatchEval" not in text
+
+
 def test_no_join_hint_broadcasts(spark):
     for key in E.queries():
         if key.startswith("stream_") or key in ("scan_ticks", "raw_tail", "snapshot_scan", "points_range", "pages_explode"):

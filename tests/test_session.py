@@ -45,7 +45,7 @@ def test_no_machine_local_folder_on_a_cluster():
         session.checkpoint_root(_Session(_Context()))
 
 
-@pytest.mark.parametrize("key", ["round2", "bars_day", "price_change_alerts", "date_range"])
+@pytest.mark.parametrize("key", ["round2", "bars_day", "price_change_alerts", "date_range", "alert_messages"])
 def test_built_in_queries_ship_nothing(spark, monkeypatch, key):
     def refuse(*_):
         raise AssertionError("shipped")

@@ -11,10 +11,8 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickwarden.schemas import (
     DECREASE_MESSAGE,
@@ -176,26 +174,60 @@ def bucket_start_ms(ms: Column | str, multiplier: int, timespan: str) -> Column:
 # ------------------------------------------------------------------- text
 
 
-@F.pandas_udf(T.StringType())
-def _py_repr(x: pd.Series) -> pd.Series:
-    # nulls arrive as NaN; both are handled outside, so NaN maps to None
-    return pd.Series([None if v != v else repr(float(v)) for v in x], dtype=object)
+# Shortest digits that read back as the same double, from the JSON library
+# on Spark's own class path.  A cast to string (Java 17's text) sometimes
+# has a digit too many.
+SHORTEST_DIGITS = "com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal"
+# Below this, one digit may do where that text has two.
+TWO_DIGIT_LIMIT = 1e-322
 
 
 def num_text(x: Column | str) -> Column:
     """Python ``repr`` text of a double (what an f-string shows).
 
-    Python's shortest round-trip digits and its layout (``1e+16``,
-    ``1e-05``, ``nan``, ``inf``) differ from Java's (``1.0E16``,
-    ``1.0E-5``, ``NaN``), and Java 17 sometimes prints extra digits, so
-    this is the one place that calls into Python: an Arrow-batched
-    pandas UDF, applied to alert rows only.
+    Digits through the built-in ``java_method``, Python's layout
+    (``1e+16``, ``1e-05``, ``nan``, ``inf``) through text functions; no
+    Python in a task.
     """
-    x = _c(x)
-    return (
+    x = _c(x).cast("double")
+    one = F.format_string("%.0e", x)
+    digits = (
         F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), F.lit("nan"))
-        .otherwise(_py_repr(x))
+        .when((F.abs(x) < F.lit(TWO_DIGIT_LIMIT)) & (x != 0) & (one.cast("double") == x), one)
+        .otherwise(F.call_function("java_method", F.lit(SHORTEST_DIGITS), F.lit("toString"), x))
+    )
+    # the transform computes the digits once for all their uses
+    return F.transform(F.array(digits), _python_layout)[0]
+
+
+def _python_layout(text: Column) -> Column:
+    """``1.25E10`` and the like as Python lays them out: plain from 1e-4
+    up to 1e16, else ``d.ddde±xx``."""
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1)
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    fraction = F.substring_index(mantissa, ".", -1)
+    fraction = F.when(fraction == "0", "").otherwise(fraction)
+    digits = F.concat(F.substring(mantissa, 1, 1), fraction)
+    whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
+    rest = F.substring(digits, exponent + 2, F.lit(17))
+    scientific = F.concat(
+        F.substring(mantissa, 1, 1),
+        F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)),
+        F.when(exponent < 0, "e-").otherwise("e+"),
+        F.when(F.abs(exponent) < 10, "0").otherwise(""),
+        F.abs(exponent).cast("string"),
+    )
+    return (
+        F.when(text == "NaN", "nan")
+        .when(text.endswith("Infinity"), F.concat(sign, F.lit("inf")))
+        .when(~text.contains("E"), text)
+        .when(exponent == -4, F.concat(sign, F.lit("0.000"), digits))
+        .when(
+            (exponent >= 0) & (exponent < 16),
+            F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest)),
+        )
+        .otherwise(F.concat(sign, scientific))
     )
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import alert_message
 from tickwarden.operators import decode
-from tickwarden.session import ship_package
 from tickwarden.schemas import (
     ALERT,
     CHANGE_ALERT_FIELDS,
@@ -29,7 +28,6 @@ def alert_messages(
     change_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> DataFrame:
     """``(ticker, alert_type, datetime, message)`` for alerts of a known type."""
-    ship_package(alerts.sparkSession)  # the message text uses a pandas UDF
     known = alerts.where(F.col("alert_type").isin(target_type, change_type))
     return known.select(
         "ticker", "alert_type", "datetime", alert_message(target_type, change_type).alias("message")
