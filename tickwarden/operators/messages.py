@@ -34,6 +34,11 @@ def alert_messages(
     )
 
 
+def keyed(texts: DataFrame) -> DataFrame:
+    """Messages as topic records ``(key, value)``, key = ticker."""
+    return texts.select(F.col("ticker").alias("key"), F.col("message").alias("value"))
+
+
 def undeliverable(
     alerts: DataFrame,
     target_type: str = TARGET_PRICE_ALERT,

@@ -466,6 +466,38 @@ def q_stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(run.out).select("topic", "value")
 
 
+@query("stream_snapshot_route")
+def q_stream_snapshot_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7 to SNK-4: whole-file snapshot documents routed by field, one
+    parse for the routed fields and the quarantine."""
+    run = _Run(spark, "documents")
+    landing.land_documents(landing.snapshot_documents(spark, sf_dir), run.landing)
+    apps.route_app(
+        files.stream_text(spark, f"{run.landing}/*", whole_text=True, max_files_per_trigger=None),
+        run.checkpoint, out=f"{run.out}/routed", quarantine=f"{run.out}/rejected",
+        trigger="availableNow", partition_by=(),
+    ).awaitTermination()
+    return spark.read.parquet(f"{run.out}/routed").select("topic", "value")
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6 to SNK-5 as an application: pages landing over time to
+    tick-topic records of one week, refused bars to a quarantine."""
+    run = _Run(spark, "ingest")
+    replay(
+        landing.page_feed(spark, sf_dir),
+        run.landing,
+        lambda: apps.ingest_app(
+            files.stream_pages(spark, run.landing), run.checkpoint, out=f"{run.out}/good",
+            start_date=P.INGEST_START, end_date=P.INGEST_END, quarantine=f"{run.out}/bad",
+        ),
+        fmt="json",
+        order_col="page",
+    )
+    return spark.read.parquet(f"{run.out}/good").select("key", "value")
+
+
 def _stream_bars(
     spark: SparkSession, sf_dir: str, multiplier: int, timespan: str, late: Column | None = None
 ) -> DataFrame:
@@ -477,6 +509,7 @@ def _stream_bars(
         return jobs.start_bar_sink(jobs.bar_stream(ticks, multiplier, timespan), run.out, run.checkpoint)
 
     replay(feed, run.landing, start)
+    jobs.compact_bars(spark, run.out)
     return _plain_notional(jobs.latest_bars(spark, run.out, multiplier, timespan))
 
 

@@ -321,3 +321,8 @@ alerts AS (
   FROM change_alerts)
 SELECT alerts.*, CAST(n AS INTEGER) AS files_per_trigger
 FROM alerts, (VALUES {', '.join(f'({n})' for n in P.FILES_PER_TRIGGER)}) AS v(n)"""
+
+ORACLE["stream_ingest"] = ORACLE["ingest_ticks"]
+ORACLE["stream_snapshot_route"] = f"""WITH {EVENT_TICKS}
+SELECT ticker AS topic, arg_max({dbl('close')}, seq) AS value FROM event_ticks
+GROUP BY ticker, timestamp // 86400000"""

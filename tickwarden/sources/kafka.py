@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
 
 DEFAULT_MAX_OFFSETS_PER_TRIGGER = 1_000_000
 
@@ -61,15 +59,16 @@ def sink_options(bootstrap: str, checkpoint: str, topic: str | None = None) -> d
     return opts
 
 
-def write_topic_stream(
-    records: DataFrame, bootstrap: str, checkpoint: str, topic: str | None = None
-) -> StreamingQuery:
-    """SNK-1/4/5/7: ``(key, value[, topic])`` rows to Kafka, at-least-once."""
-    cols = [c for c in ("key", "value", "topic") if c in records.columns]
-    return (
-        records.select(*cols)
-        .writeStream.format("kafka")
-        .options(**sink_options(bootstrap, checkpoint, topic))
-        .outputMode("append")
-        .start()
-    )
+def write_topic(rows: DataFrame, bootstrap: str, topic: str) -> None:
+    """One micro-batch's ``(key, value)`` rows to a topic, at least once."""
+    rows.write.format("kafka").options(**batch_sink_options(bootstrap, topic)).save()
+
+
+def batch_sink_options(bootstrap: str, topic: str) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": bootstrap, "kafka.acks": "all", "topic": topic}
+
+
+def dead_letter_records(rejected: DataFrame) -> DataFrame:
+    """SNK-7: ``(value, reason)`` rows as ``(key, value)`` of a dead-letter
+    topic: the record's own text, its reason as key."""
+    return rejected.select(F.col("reason").alias("key"), "value")

@@ -92,6 +92,26 @@ def snapshot_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(snap.alias("value"), F.col("seq").alias("offset"))
 
 
+def snapshot_documents(spark: SparkSession, sf_dir: str, block: int = 100) -> DataFrame:
+    """Pretty-printed snapshots of each day's last closes, at most ``block``
+    tickers in a document (``current`` holds a field per ticker)."""
+    t = event_ticks(spark, sf_dir).withColumn("day", bucket_start_ms(F.col("timestamp"), 1, "day"))
+    last = t.groupBy("day", "ticker").agg(F.max_by("close", "seq").alias("close"))
+    fields = F.map_from_entries(F.collect_list(F.struct(F.col("ticker"), F.col("close"))))
+    docs = last.groupBy("day", F.floor(F.col("ticker").cast("bigint") / F.lit(block)).alias("block"))
+    doc = F.create_map(F.lit("current"), F.col("fields"))
+    return docs.agg(fields.alias("fields")).select(
+        F.concat_ws("-", "day", "block").alias("poll"),
+        F.to_json(doc, {"pretty": "true"}).alias("value"),
+    )
+
+
+def land_documents(docs: DataFrame, path: str) -> str:
+    """One file per document, as polls land them."""
+    docs.repartition("poll").write.mode("errorifexists").partitionBy("poll").text(path)
+    return path
+
+
 def page_feed(spark: SparkSession, sf_dir: str, page_size: int = 100) -> DataFrame:
     """Paged aggregates: events as one-trade raw bars, at most
     ``page_size`` per page.  Pages are cut on the event sequence, so a

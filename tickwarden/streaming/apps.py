@@ -1,4 +1,4 @@
-"""The reference's four programs as Structured Streaming applications.
+"""The reference's programs as Structured Streaming applications.
 
 Each takes a streaming DataFrame of topic records ``(value, offset)`` -
 from ``sources.kafka.read_topic_stream`` or the file twin
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tickwarden.operators import messages
+from tickwarden.operators import bars, messages
+from tickwarden.operators import records as records_op
 from tickwarden.schemas import (
     DEFAULT_MEASUREMENT,
     DEFAULT_TIMESPAN_KEY,
@@ -26,6 +27,12 @@ from tickwarden.sources import kafka as kafka_io
 from tickwarden.streaming import jobs
 
 
+def _one(out: str | None, kafka: tuple[str, str | None] | None) -> jobs.Target:
+    if (out is None) == (kafka is None):
+        raise ValueError("give exactly one of out= or kafka=")
+    return out if kafka is None else kafka
+
+
 def _start(
     df: DataFrame,
     checkpoint: str,
@@ -34,8 +41,7 @@ def _start(
     trigger: str | None,
     partition_by: tuple[str, ...] = (),
 ) -> StreamingQuery:
-    if (out is None) == (kafka is None):
-        raise ValueError("give exactly one of out= or kafka=")
+    _one(out, kafka)
     if kafka is not None:
         bootstrap, topic = kafka
         writer = (
@@ -48,11 +54,7 @@ def _start(
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer = writer.option("path", out).outputMode("append")
-    if trigger == "availableNow":
-        writer = writer.trigger(availableNow=True)
-    elif trigger:
-        writer = writer.trigger(processingTime=trigger)
-    return writer.start()
+    return jobs.triggered(writer, trigger).start()
 
 
 def alert_app(
@@ -64,19 +66,27 @@ def alert_app(
     kafka: tuple[str, str | None] | None = None,
     trigger: str | None = None,
     zero_policy: str = "latch",
-    quarantine: str | None = None,
+    quarantine: jobs.Target | None = None,
     target_type: str = TARGET_PRICE_ALERT,
     change_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> StreamingQuery:
     """Tick topic -> both detectors -> alert topic (per-type JSON, key = ticker).
 
-    With ``quarantine``, a second query on the same source writes the
-    undecodable records ``(value, reason, offset)`` there (its checkpoint
+    With ``quarantine`` (a folder, or a dead-letter topic as ``(bootstrap,
+    topic)``), a second query on the same source writes the undecodable
+    records ``(value, reason, offset)`` there (its checkpoint
     is ``<checkpoint>-quarantine``); it runs alongside and shows in
     ``spark.streams.active``.  The returned query is the alert query.
     """
     if quarantine is not None:
-        _start(jobs.quarantined(records), f"{checkpoint}-quarantine", quarantine, None, trigger)
+        bad, folder = jobs.quarantined(records), isinstance(quarantine, str)
+        _start(
+            bad if folder else kafka_io.dead_letter_records(bad),
+            f"{checkpoint}-quarantine",
+            quarantine if folder else None,
+            None if folder else quarantine,
+            trigger,
+        )
     alerts = jobs.alert_stream(
         jobs.decoded_ticks(records), target, threshold, zero_policy=zero_policy,
         target_type=target_type, change_type=change_type,
@@ -104,26 +114,24 @@ def message_app(
     out: str | None = None,
     kafka: tuple[str, str | None] | None = None,
     trigger: str | None = None,
-    quarantine: str | None = None,
+    quarantine: jobs.Target | None = None,
     target_type: str = TARGET_PRICE_ALERT,
     change_type: str = PERCENTAGE_CHANGE_ALERT,
 ) -> StreamingQuery:
     """Alert topic -> message text (key = ticker, value = message).
 
-    With ``quarantine`` (files only), records that are no alert or of an
-    unknown or missing type go there, from the same parse; both outputs
-    then lie in ``batch_id=N`` folders.
+    With ``quarantine`` (a folder or a dead-letter topic), records that are
+    no alert or of an unknown or missing type go there, from the same
+    parse; folders then hold one folder per micro-batch.
     """
     if quarantine is not None:
-        if out is None:
-            raise ValueError("quarantine= needs out=")
         return jobs.start_message_split_sink(
-            records, out, quarantine, checkpoint, target_type, change_type, trigger
+            records, _one(out, kafka), quarantine, checkpoint, target_type, change_type, trigger
         )
     alerts = messages.alerts_from_records(records, target_type=target_type, change_type=change_type)
     msgs = messages.alert_messages(alerts, target_type, change_type)
     if kafka is not None:
-        msgs = msgs.selectExpr("ticker AS key", "message AS value")
+        msgs = messages.keyed(msgs)
     return _start(msgs, checkpoint, out, kafka, trigger)
 
 
@@ -134,19 +142,73 @@ def route_app(
     bootstrap: str | None = None,
     timespan: str = DEFAULT_TIMESPAN_KEY,
     trigger: str | None = None,
-    quarantine: str | None = None,
+    quarantine: jobs.Target | None = None,
+    partition_by: tuple[str, ...] = ("topic",),
 ) -> StreamingQuery:
     """Snapshot topic -> one record per field, routed to the topic named
     after the field (Kafka) or to ``topic=<field>`` folders (files).
 
-    With ``quarantine`` (files only), each micro-batch is parsed once and
-    written twice: routed fields to ``out/batch_id=N/topic=<field>`` and
-    snapshots without the timespan object to ``quarantine/batch_id=N``.
+    With ``quarantine`` (a folder or a dead-letter topic; ``out=`` only),
+    each micro-batch is parsed once and written twice: routed fields below
+    ``out``, by batch and topic, and snapshots without the timespan object.
+    With very many fields, ``partition_by=()`` keeps the topic a column
+    instead of a folder for each.
     """
     if quarantine is not None:
         if out is None:
             raise ValueError("quarantine= needs out=")
-        return jobs.start_route_split_sink(records, out, quarantine, checkpoint, timespan, trigger)
+        return jobs.start_route_split_sink(records, out, quarantine, checkpoint, timespan, trigger, partition_by)
     routed = jobs.route_stream(records, timespan)
     kafka = (bootstrap, None) if bootstrap else None
-    return _start(routed, checkpoint, out, kafka, trigger, () if kafka else ("topic",))
+    return _start(routed, checkpoint, out, kafka, trigger, () if kafka else partition_by)
+
+
+def ingest_app(
+    pages: DataFrame,
+    checkpoint: str,
+    out: str | None = None,
+    kafka: tuple[str, str | None] | None = None,
+    multiplier: int = 1,
+    timespan: str = "day",
+    start_date: str | None = None,
+    end_date: str | None = None,
+    trigger: str | None = None,
+    quarantine: jobs.Target | None = None,
+) -> StreamingQuery:
+    """History pages (``sources.files.stream_pages``) -> tick topic.
+
+    The request's parameters are checked; bars outside the dates are left
+    out.  With ``quarantine`` (a folder or a dead-letter topic), text that
+    is no page and bars that lack a field go there, from the same parse.
+    """
+    bars.validate_bar_params(multiplier, timespan, start_date, end_date)
+    if quarantine is not None:
+        return jobs.start_ingest_split_sink(
+            pages, _one(out, kafka), quarantine, checkpoint, start_date, end_date, trigger
+        )
+    good, _ = records_op.decode_pages(pages)
+    return _start(records_op.ingest(good, start_date, end_date), checkpoint, out, kafka, trigger)
+
+
+def bar_app(
+    records: DataFrame,
+    checkpoint: str,
+    out: str,
+    multiplier: int = 5,
+    timespan: str = "minute",
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """Tick topic -> bar folders (read with ``jobs.latest_bars``, merged
+    now and then with ``jobs.compact_bars``)."""
+    ticks = jobs.decoded_ticks(records)
+    return jobs.start_bar_sink(jobs.bar_stream(ticks, multiplier, timespan), out, checkpoint, trigger)
+
+
+def tail_app(
+    records: DataFrame, checkpoint: str, out: str | None = None, trigger: str | None = None
+) -> StreamingQuery:
+    """Any topic as it arrives, undecoded: to a folder, or (for a look at
+    it) to the console."""
+    if out is None:
+        return jobs.start_debug_sink(records, trigger=trigger)
+    return _start(records, checkpoint, out, None, trigger)

@@ -10,23 +10,27 @@ data); the Kafka sink is at-least-once and alerts carry ``ticker``,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tickwarden.functions.exprs import ms_to_instant
 from tickwarden.operators import bars as bars_op
 from tickwarden.operators import decode, messages, points, routing
+from tickwarden.operators import records as records_op
 from tickwarden.schemas import (
     ALERT,
     DEFAULT_MEASUREMENT,
     DEFAULT_TIMESPAN_KEY,
+    PAGE,
     PERCENTAGE_CHANGE_ALERT,
     TARGET_PRICE_ALERT,
 )
 from tickwarden.session import ship_package, use_rocksdb_state
+from tickwarden.sources import kafka
 from tickwarden.streaming.processor import (
     STATE_SCHEMA,
     AlertLogic,
@@ -38,6 +42,8 @@ from tickwarden.streaming.processor import (
 DEFAULT_WATERMARK = "15 seconds"
 # spans without a fixed length
 CALENDAR_SPANS = ("month", "quarter", "year")
+# the run folder of merged bar versions
+COMPACTED = "compacted"
 
 
 def decoded_ticks(records: DataFrame) -> DataFrame:
@@ -164,36 +170,88 @@ def bar_stream(
 def latest_bars(
     spark: SparkSession, path: str, multiplier: int = 1, timespan: str | None = None
 ) -> DataFrame:
-    """Read bars written per micro-batch and keep each bar's last version.
-
-    A restart on a new checkpoint counts batches from 0 again, so the
-    time of emission comes before the batch number.  For a calendar span
-    give ``multiplier`` and ``timespan``: the day bars are rolled up.
+    """Read bars written per micro-batch and keep each bar's last version,
+    by the time of its emission.  For a calendar span give ``multiplier``
+    and ``timespan``: the day bars are rolled up.
     """
-    emitted = spark.read.parquet(path)
-    cols = [c for c in emitted.columns if c not in ("ticker", "timestamp", "batch_id", "emitted_at")]
+    last = _last_versions(spark.read.parquet(path)).drop("emitted_at")
+    return bars_op.bars(last, multiplier, timespan) if timespan in CALENDAR_SPANS else last
+
+
+def _last_versions(emitted: DataFrame) -> DataFrame:
+    cols = [c for c in emitted.columns if c not in ("ticker", "timestamp", "run", "batch_id")]
     last = emitted.groupBy("ticker", "timestamp").agg(
         F.max_by(F.struct(*cols), F.struct("emitted_at", "batch_id")).alias("b")
     )
-    bars = last.select("ticker", "timestamp", *[F.col(f"b.{c}").alias(c) for c in cols])
-    return bars_op.bars(bars, multiplier, timespan) if timespan in CALENDAR_SPANS else bars
+    return last.select("ticker", "timestamp", *[F.col(f"b.{c}").alias(c) for c in cols])
+
 
+def compact_bars(spark: SparkSession, path: str) -> int:
+    """Replace the folders of finished micro-batches by one that holds the
+    last version of each of their bars; returns how many it replaced.
+
+    Each run's newest folder stays, since a replay may write it again, so
+    this may run beside the stream.  The new folder is complete before an
+    old one goes, and the versions keep their time of emission: a reader
+    or a crash in between sees some bars twice and the same result.  The
+    driver handles folder names only.
+    """
+    emitted = spark.read.parquet(path)
+    folders = emitted.select("run", "batch_id").distinct().collect()
+    newest: dict[str, int] = {}
+    for f in folders:
+        newest[f.run] = max(newest.get(f.run, -1), f.batch_id)
+    old = [f for f in folders if f.run == COMPACTED or f.batch_id < newest[f.run]]
+    if len(old) < 2:
+        return 0
+    # finished means below its run's newest: a condition per run, not per folder
+    finished = F.col("run") == COMPACTED
+    for run, batch in newest.items():
+        if run != COMPACTED:
+            finished = finished | ((F.col("run") == run) & (F.col("batch_id") < batch))
+    _last_versions(emitted.where(finished)).write.mode("errorifexists").parquet(
+        f"{path}/run={COMPACTED}/batch_id={newest.get(COMPACTED, -1) + 1}"
+    )
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in old:
+        store.delete(hadoop.Path(root, f"run={f.run}/batch_id={f.batch_id}"), True)
+    return len(old)
 
-def start_bar_sink(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch overwrites its own ``batch_id=N`` folder, so a
-    batch replayed after a failure replaces, never duplicates, its rows."""
+
+def batch_folder(path: str, checkpoint: str, batch_id: int) -> str:
+    """The folder of one micro-batch.  Batches count from 0 again on a new
+    checkpoint, so each checkpoint has a folder of its own."""
+    return f"{path}/run=r{zlib.crc32(checkpoint.encode()):08x}/batch_id={batch_id}"
+
+
+def triggered(writer: DataStreamWriter, trigger: str | None) -> DataStreamWriter:
+    """``trigger``: ``"availableNow"``, an interval such as ``"60 seconds"``,
+    or None for micro-batches back to back."""
+    if trigger == "availableNow":
+        return writer.trigger(availableNow=True)
+    return writer.trigger(processingTime=trigger) if trigger else writer
+
+
+def start_bar_sink(
+    bars: DataFrame, path: str, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
+    """Each micro-batch overwrites its own folder, so a batch replayed
+    after a failure replaces, never duplicates, its rows (``compact_bars``
+    merges the folders)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("emitted_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}"
+            batch_folder(path, checkpoint, batch_id)
         )
 
-    return (
+    writer = (
         bars.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .start()
     )
+    return triggered(writer, trigger).start()
 
 
 def start_parquet_sink(
@@ -210,107 +268,151 @@ def start_parquet_sink(
         writer = writer.trigger(availableNow=True)
     return writer.outputMode("append").start(path)
 
+# A folder, or a Kafka topic as (bootstrap servers, topic).
+Target = str | tuple[str, str]
 
 
-def start_split_sink(
-    records: DataFrame, good_path: str, bad_path: str, checkpoint: str, available_now: bool = False
+def start_split_outputs(
+    records: DataFrame,
+    parse: Callable[[DataFrame], DataFrame],
+    outputs: Sequence[tuple[Callable[[DataFrame], DataFrame], Target, Sequence[str]]],
+    checkpoint: str,
+    trigger: str | None = None,
 ) -> StreamingQuery:
-    """DEC-3 + SNK-7: one parse per micro-batch, two outputs.
+    """One parse per micro-batch, several outputs ``(rows, target,
+    partition columns)``.
 
-    The batch is decoded once, persisted, and written as good ticks and
-    as quarantine rows; each output goes to its own ``batch_id=N`` folder
-    with overwrite, so a micro-batch replayed after a failure replaces
-    its files.  The cache holds one micro-batch, bounded by the trigger.
+    The parsed batch is persisted (one micro-batch, bounded by the
+    trigger) while the outputs are written.  Folders are overwritten per
+    batch, so a replayed batch replaces its files; topics get it again
+    (at least once).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = decode.parse(batch).persist()
+        parsed = parse(batch).persist()
         try:
-            decode.good_rows(parsed, keep=("offset",)).write.mode("overwrite").parquet(
-                f"{good_path}/batch_id={batch_id}"
-            )
-            decode.bad_rows(parsed, keep=("offset",)).write.mode("overwrite").parquet(
-                f"{bad_path}/batch_id={batch_id}"
-            )
+            for rows, target, partition_by in outputs:
+                out = rows(parsed)
+                if isinstance(target, str):
+                    out.write.mode("overwrite").partitionBy(*partition_by).parquet(
+                        batch_folder(target, checkpoint, batch_id)
+                    )
+                else:
+                    kafka.write_topic(out, *target)
         finally:
             parsed.unpersist()
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return triggered(writer, trigger).start()
 
 
-def start_debug_sink(df: DataFrame, kind: str = "console", name: str | None = None) -> StreamingQuery:
-    """SNK-2: print (``console``) or keep in driver memory (``memory``).
+def dead_letters(rows: Callable[[DataFrame], DataFrame], target: Target):
+    """An output of ``(value, reason)`` rows: a folder takes them as they
+    are, a topic takes the text with the reason as key."""
+    if isinstance(target, str):
+        return rows, target, ()
+    return lambda parsed: kafka.dead_letter_records(rows(parsed)), target, ()
 
-    Both bring every row to the driver: for inspecting small streams
-    only, never for a production job.
-    """
-    writer = df.writeStream.format(kind).outputMode("append")
-    if kind == "memory":
-        writer = writer.queryName(name or "tickwarden_debug")
-    return writer.start()
+
+def start_split_sink(
+    records: DataFrame, good: str, bad: Target, checkpoint: str, trigger: str | None = None
+) -> StreamingQuery:
+    """DEC-3 + SNK-7: good ticks and quarantine rows."""
+    return start_split_outputs(
+        records,
+        decode.parse,
+        [
+            (lambda parsed: decode.good_rows(parsed, keep=("offset",)), good, ()),
+            dead_letters(lambda parsed: decode.bad_rows(parsed, keep=("offset",)), bad),
+        ],
+        checkpoint,
+        trigger,
+    )
 
 
 def start_route_split_sink(
     records: DataFrame,
-    routed_path: str,
-    rejected_path: str,
+    routed: str,
+    rejected: Target,
     checkpoint: str,
     timespan: str = DEFAULT_TIMESPAN_KEY,
     trigger: str | None = None,
+    partition_by: Sequence[str] = ("topic",),
 ) -> StreamingQuery:
-    """FLT-4 + SNK-4 + DEC-3: routed fields and rejected snapshots of one
-    micro-batch from one parse; per-batch folders make replays idempotent."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = routing.parse_snapshots(batch, timespan).persist()
-        try:
-            routed, rejected = routing.routed(parsed), routing.rejected(parsed)
-            routed.write.mode("overwrite").partitionBy("topic").parquet(
-                f"{routed_path}/batch_id={batch_id}"
-            )
-            rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
-        finally:
-            parsed.unpersist()
-
-    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    if trigger == "availableNow":
-        writer = writer.trigger(availableNow=True)
-    elif trigger:
-        writer = writer.trigger(processingTime=trigger)
-    return writer.start()
+    """FLT-4 + SNK-4 + DEC-3: routed fields and rejected snapshots."""
+    return start_split_outputs(
+        records,
+        lambda batch: routing.parse_snapshots(batch, timespan),
+        [(routing.routed, routed, partition_by), dead_letters(routing.rejected, rejected)],
+        checkpoint,
+        trigger,
+    )
 
 
 def start_message_split_sink(
     records: DataFrame,
-    out: str,
-    quarantine: str,
+    out: Target,
+    quarantine: Target,
     checkpoint: str,
     target_type: str = TARGET_PRICE_ALERT,
     change_type: str = PERCENTAGE_CHANGE_ALERT,
     trigger: str | None = None,
 ) -> StreamingQuery:
-    """SNK-6 + SNK-7: messages and undeliverable alert records of one
-    micro-batch from one parse; per-batch folders make replays idempotent."""
+    """SNK-6 + SNK-7: messages and undeliverable alert records."""
+
+    def texts(parsed: DataFrame) -> DataFrame:
+        alerts = decode.good_rows(parsed, ALERT)
+        return messages.alert_messages(alerts, target_type, change_type)
+
+    return start_split_outputs(
+        records,
+        lambda batch: messages.parse_records(batch, target_type, change_type),
+        [
+            (texts, out, ()) if isinstance(out, str) else (lambda p: messages.keyed(texts(p)), out, ()),
+            dead_letters(decode.bad_rows, quarantine),
+        ],
+        checkpoint,
+        trigger,
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = messages.parse_records(batch, target_type, change_type).persist()
-        try:
-            alerts = decode.good_rows(parsed, ALERT)
-            messages.alert_messages(alerts, target_type, change_type).write.mode(
-                "overwrite"
-            ).parquet(f"{out}/batch_id={batch_id}")
-            decode.bad_rows(parsed).write.mode("overwrite").parquet(
-                f"{quarantine}/batch_id={batch_id}"
-            )
-        finally:
-            parsed.unpersist()
 
-    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    if trigger == "availableNow":
-        writer = writer.trigger(availableNow=True)
-    elif trigger:
-        writer = writer.trigger(processingTime=trigger)
-    return writer.start()
+def start_ingest_split_sink(
+    pages: DataFrame,
+    out: Target,
+    quarantine: Target,
+    checkpoint: str,
+    start_date: str | None = None,
+    end_date: str | None = None,
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """SRC-6 + SNK-5 + SNK-7: tick records, and the text that is no page
+    together with the bars that lack a field."""
+
+    def refused(parsed: DataFrame) -> DataFrame:
+        bars = records_op.incomplete_bars(decode.good_rows(parsed, PAGE))
+        return decode.bad_rows(parsed).unionByName(bars)
+
+    return start_split_outputs(
+        pages,
+        lambda batch: decode.parse(batch, PAGE),
+        [
+            (lambda p: records_op.ingest(decode.good_rows(p, PAGE), start_date, end_date), out, ()),
+            dead_letters(refused, quarantine),
+        ],
+        checkpoint,
+        trigger,
+    )
+
+
+def start_debug_sink(
+    df: DataFrame, kind: str = "console", name: str | None = None, trigger: str | None = None
+) -> StreamingQuery:
+    """SNK-2: print (``console``) or keep in driver memory (``memory``).
+
+    Both bring every row to the driver: for inspecting small streams
+    only, never for a production job.
+    """
+    writer = df.writeStream.format(kind).outputMode("append")
+    if kind == "memory":
+        writer = writer.queryName(name or "tickwarden_debug")
+    return triggered(writer, trigger).start()
