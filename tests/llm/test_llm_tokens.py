@@ -145,6 +145,48 @@ def test_repair_rules_are_pairs_of_earlier_symbols():
         repair.Shard(lambda at, n: b"x" * n)
 
 
+def most_frequent_pair(symbols, firsts):
+    """Count of the most frequent pair inside documents, overlaps left out."""
+    counts, ends = {}, set(firsts.tolist())
+    previous = None
+    for i in range(len(symbols) - 1):
+        pair = None if i + 1 in ends else (int(symbols[i]), int(symbols[i + 1]))
+        if pair is not None and pair != previous:
+            counts[pair] = counts.get(pair, 0) + 1
+        previous = None if pair == previous else pair
+    return max(counts.values(), default=0)
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50_257, 500)
+    docs = [np.concatenate((rng.integers(0, 50_257, 20), passage, rng.integers(0, 50_257, 20))) for _ in range(300)]
+    # more frequent pairs than 16-bit symbols are left
+    docs += [np.stack((np.arange(17_000), np.full(17_000, 50_256)), axis=1).ravel()] * 8
+    ids = np.concatenate(docs).astype("<u4")
+    lengths = [len(d) for d in docs]
+    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    symbols, firsts, rules = repair.compress(ids, starts, 50_257)
+    assert most_frequent_pair(symbols, firsts) < repair.MIN_COUNT
+    assert 50_257 + len(rules) > 1 << 16
+    data = repair.shard_bytes(list(range(len(docs))), lengths, ids.tobytes(), 50_257)
+    shard = repair.Shard(lambda at, n: data[at : at + n])
+    assert shard.rule_sizes.max() > 400 and shard.wide.itemsize == 4
+    assert np.array_equal(shard.documents(0, len(docs)), ids)
+    assert shard.slice(7, 100, 300).tolist() == docs[7][100:300].tolist()
+
+
+def test_repair_finds_a_frequent_pair_behind_a_full_bin_of_rare_ones():
+    pairs = np.stack(np.meshgrid(np.arange(3000), np.arange(3000)), axis=-1).reshape(-1, 2).astype(np.uint32)
+    keys = (pairs[:, 0] << np.uint32(16)) | pairs[:, 1]
+    bins = (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - repair._BINS)
+    rare = pairs[bins == np.bincount(bins).argmax()][:12]
+    assert len(rare) == 12
+    ids = np.concatenate((rare.ravel(), np.tile([4000, 4001], 9))).astype("<u4")
+    symbols, _, rules = repair.compress(ids, np.arange(0, len(ids), 2), 50_257, per_round=1)
+    assert rules.tolist() == [[4000, 4001]] and len(symbols) == len(ids) - 9
+
+
 def expected_token_rows(rows):
     start, out = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, r[1] or ""))):

@@ -3,8 +3,10 @@
 A shard holds the ids of consecutive documents.  Rounds count the
 adjacent pairs inside documents and replace the most frequent ones, each
 by a new symbol (a nonterminal) with the rule "symbol -> pair"; later
-rounds pair nonterminals too.  Where chosen pairs overlap, the leftmost
-is replaced.
+rounds pair nonterminals too, until no pair is found ``MIN_COUNT`` times.
+Where chosen pairs overlap, the leftmost is replaced; a rule that this
+leaves without a use is not kept.  Symbols have 16 bits until those are
+used up, then 32.
 
 File layout (little-endian):
 
@@ -24,6 +26,7 @@ by range reads: expansion lengths tell where a symbol's ids begin.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Callable
 
@@ -31,7 +34,7 @@ import numpy as np
 
 MAGIC = b"REPAIR1\n"
 HEADER = struct.Struct("<8s8Q")
-ROUNDS = 3
+ROUNDS = None  # until no pair is frequent
 RULES_PER_ROUND = 4096
 MIN_COUNT = 8
 _BINS = 20
@@ -56,11 +59,15 @@ def _frequent_pairs(s: np.ndarray, ends: np.ndarray, most: int, min_count: int):
     # a pair is no more frequent than its bin: take the bins of the highest counts
     ladder = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
     edge = max(min_count, int(np.searchsorted(-ladder, -most, side="right")) - 1)
-    at = np.flatnonzero((counts >= edge)[bins])
-    here = keys[at]
-    found, n = np.unique(here, return_counts=True)
-    order = np.lexsort((found, -n))[:most]
-    found = found[order[n[order] >= min_count]]
+    while True:
+        at = np.flatnonzero((counts >= edge)[bins])
+        here = keys[at]
+        found, n = np.unique(here, return_counts=True)
+        order = np.lexsort((found, -n))[:most]
+        found = found[order[n[order] >= min_count]]
+        if len(found) or edge == min_count:
+            break
+        edge = min_count  # full bins of rare pairs: a frequent one may be in any other
     # one pair per bin; a less frequent one in its bin waits for a later round
     number = np.full((1 << _BINS) + 1, -1, np.int32)
     if found.dtype == np.uint32:
@@ -77,14 +84,12 @@ def _frequent_pairs(s: np.ndarray, ends: np.ndarray, most: int, min_count: int):
 
 
 def compress(
-    ids: np.ndarray, starts: np.ndarray, vocabulary: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND,
+    ids: np.ndarray, starts: np.ndarray, vocabulary: int, rounds: int | None = ROUNDS, per_round: int = RULES_PER_ROUND,
     min_count: int = MIN_COUNT,
 ):
     """ids of documents that begin at ``starts`` to (symbols, first symbol
-    of each document and the end, rules)."""
-    narrow = vocabulary + rounds * per_round <= 1 << 16
-    s = ids.astype(np.uint16 if narrow else np.uint32)
-    half = np.uint64(16 if narrow else 32)
+    of each document and the end, rules).  ``rounds``: at most so many."""
+    s = ids.astype(np.uint16 if vocabulary <= 1 << 16 else np.uint32)
     n = len(s)
     last = np.zeros(n, bool)  # last symbol of its document
     if n:
@@ -92,7 +97,7 @@ def compress(
         last[-1] = True
     rules: list[np.ndarray] = []
     symbol = vocabulary
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(s) < 2:
             break
         pairs, at, which = _frequent_pairs(s, np.flatnonzero(last[:-1]), per_round, min_count)
@@ -103,6 +108,11 @@ def compress(
         run_start = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, which = at[take], which[take]
+        used = np.bincount(which, minlength=len(pairs)) > 0
+        pairs, which = pairs[used], (np.cumsum(used) - 1)[which]
+        half = np.uint64(16 if s.dtype == np.uint16 else 32)
+        if symbol + len(pairs) > 1 << 16:
+            s = s.astype(np.uint32, copy=False)
         s[at] = (symbol + which).astype(s.dtype)
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
