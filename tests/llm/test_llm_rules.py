@@ -69,6 +69,33 @@ def test_quality_rules_resist_a_contaminated_source(spark):
     assert not any(got[i] for i in range(0, 400, 5)) and all(got[i] for i in range(400) if i % 5)
 
 
+def test_quality_rules_reject_repetition_and_symbols_in_a_clean_source(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(PROSE.split()) + str(rng.randrange(10_000)) for _ in range(8))
+    mixed = lambda n, menus: "\n".join(x for i in range(n) for x in ([line(), "menu"] if i < menus else [line()]))
+
+    def repeated(share):  # a passage twice, across lines that differ
+        words_ = [w for _ in range(15) for w in line().split()][: 120 - int(share * 60)]
+        return " ".join(words_ + words_[: int(share * 60)])
+
+    rows = [(i, "\n".join(line() for _ in range(15)), "en", "a", 0) for i in range(400)]
+    bad = [mixed(13, 7), mixed(12, 8), mixed(9, 9), repeated(0.35), repeated(0.45), mixed(12, 4) + "\n" + "# " * 14]
+    rows += [(1000 + i, t, "en", "a", 0) for i, t in enumerate(bad)]
+    got = {r.doc_id: r for r in quality_rules.judge(documents(spark, rows)).collect()}
+    assert not any(got[1000 + i].base_failed for i in range(len(bad)))
+    assert [i for i in range(len(bad)) if got[1000 + i].kept] == []
+    assert all(got[i].kept for i in range(400))
+
+
+def test_covariance_floors_leave_wide_directions_alone():
+    floors = np.array(quality_rules.FLOORS)
+    wide = np.diag(np.square(2 * floors))
+    _, inverse, _ = quality_rules._shape(np.zeros(4), wide)
+    assert np.allclose(np.linalg.inv(np.reshape(inverse, (4, 4))), wide)
+    _, inverse, _ = quality_rules._shape(np.zeros(4), np.zeros((4, 4)))
+    assert np.allclose(np.linalg.inv(np.reshape(inverse, (4, 4))), np.diag(np.square(floors)))
+
+
 def test_quality_rules_odd_documents(spark):
     docs = documents(spark, clash=True)
     got = rows_of(quality_rules.judge(docs), "doc_id", *quality_rules.STATS, "base_failed", "kept")

@@ -17,11 +17,12 @@ documents that pass the base rules: from two deterministic starts
 concentration steps keep the ``core`` fraction of smallest Mahalanobis
 distance and recompute centre and covariance; the start with the smaller
 determinant wins.  The covariance is scaled to be consistent at the
-normal distribution, and the squares of ``FLOORS`` are added to its
-diagonal, so that a statistic that is constant in the core (no symbols
-at all, say) does not reject documents for a trace of it.  A document is
-rejected if its squared distance exceeds the ``tail`` quantile of the
-chi-square distribution.
+normal distribution.  Where the core is degenerate (no symbols at all,
+say), its variance is raised to the square of ``FLOORS``, so that a trace
+of what the core lacks does not reject a document; a wider variance stays
+as it is.  A document is rejected if its squared distance exceeds the
+``tail`` quantile of the chi-square distribution: where the core has none
+at all, for about a tenth symbol a word, or 30 % repeated lines or words.
 
 Scale: a concentration step is one grouped aggregation.  Rows are put in
 logarithmic bins of distance, and the moments summed per bin; the core
@@ -60,7 +61,7 @@ TAIL = 0.9999
 STEPS = 4
 MIN_ROWS = 200
 # smallest standard deviation of each component, in its own unit
-FLOORS = (0.08, 0.05, 0.15, 0.15)
+FLOORS = (0.08, 0.02, 0.06, 0.06)
 UNIT = 1000
 DIMS = len(FLOORS)
 BIN_STEPS = 8  # bins per doubling of the squared distance
@@ -146,7 +147,10 @@ MODEL_DDL = "grp string, start int, mean array<double>, inverse array<double>, l
 
 
 def _shape(mean: np.ndarray, cov: np.ndarray) -> tuple[list, list, float]:
-    cov = cov + np.diag(np.square(FLOORS))
+    # in units of the floors: no direction has a variance below 1, none above 1 is changed
+    floors = np.array(FLOORS)
+    values, axes = np.linalg.eigh(cov / np.outer(floors, floors))
+    cov = (axes * np.maximum(values, 1.0)) @ axes.T * np.outer(floors, floors)
     return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
