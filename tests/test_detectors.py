@@ -31,6 +31,16 @@ def _same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isnan(a) and math.isnan(b))
 
 
+def test_null_keys_alert_alike_at_every_width(spark):
+    rows = [(None if t in ("T0", "T1") else t, *rest) for t, *rest in random_rows(5, n=900, tickers=6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = detectors.price_change_alerts(df, 5.0)
+    cut = detectors.price_change_alerts(df, 5.0, task_rows=20)
+    alerts = [sorted(map(str, out.collect())) for out in (whole, cut)]
+    assert alerts[0] == alerts[1]
+    assert whole.where("ticker is null").count() > 0
+
+
 @pytest.mark.parametrize("seed,chunk_ms", [(1, 60_000), (2, 5_000), (3, 3_600_000), (11, None)])
 @pytest.mark.parametrize("threshold", [0.0, 5.0, 50.0])
 def test_change_detector_matches_sequential_model(spark, seed, chunk_ms, threshold):

@@ -119,9 +119,12 @@ def price_change_alerts(
         carry = chunk_carry(rows, order)
         kept = window_stage(rows, ["_k", "_chunk"], order)
         passes = _passes(F.col("close"), F.col("_prev_in"), threshold) & ~F.col("_zero_in")
+        carry = carry.withColumnRenamed("_k", "_carry_k").withColumnRenamed("_chunk", "_carry_chunk")
+        # null is a key like any other, as in the windows
+        same = F.col("_k").eqNullSafe(F.col("_carry_k")) & (F.col("_chunk") == F.col("_carry_chunk"))
         scored = (
             kept.where(F.col("_first") | passes)
-            .join(carry, ["_k", "_chunk"])
+            .join(carry, same)
             .select(
                 "*",
                 F.when(F.col("_first"), F.col("_prev_chunk")).otherwise(F.col("_prev_in")).alias("_prev"),
