@@ -90,6 +90,48 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(b, 0)::BIGINT AS backed_of
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
+# crc32 of the decimal id, bit by bit (0xEDB88320 = 3988292384)
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), z AS (
+  SELECT c, count(*) AS n, c - ((c % 20) + 20) % 20 AS base,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda v, w: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM t GROUP BY c
+), r AS (
+  SELECT z.c, t.k AS d, t.role, t.txt FROM z JOIN t ON t.c = z.base AND t.k <= z.h
+  UNION ALL
+  SELECT z.c, t.k - z.h + least(z.h, coalesce(b.n, 0)), t.role, t.txt
+  FROM z JOIN t ON t.c = z.c AND t.k > z.h LEFT JOIN z b ON b.c = z.base
+), s AS (
+  SELECT c, d, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS w,
+    sha256(string_agg(sha256(len(role) || '|' || role || txt), '') OVER (PARTITION BY c ORDER BY d)) AS node
+  FROM r
+  UNION ALL SELECT c, 0, 0, 'root' FROM z
+), e AS (
+  SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS ends FROM s
+), g AS (
+  SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM e GROUP BY node
+), f AS (
+  SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN (
+    SELECT parent, count(*) AS n FROM g WHERE parent IS NOT NULL GROUP BY parent) k ON k.parent = g.node
+), u AS (  -- the nodes on the way from the root to each node
+  SELECT s.node, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.w) AS saved_tokens
+  FROM f JOIN s ON s.c = f.conv_id AND s.d <= f.depth GROUP BY s.node
+)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
+  f.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN u ON u.node = f.node LEFT JOIN f p ON p.node = f.parent
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": OP1, "op3_exact_top_k": OP3, "op5_mixing": OP5, "op7_lm_scoring": OP7,
+    "op11_prefix_trie": OP11,
 }

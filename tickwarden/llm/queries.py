@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwarden.llm import (
-    classifier, langid, lm, mixing, packing, quality_rules, simhash, tokenbin, topk, warc,
+    classifier, langid, lm, mixing, packing, prefix_trie, quality_rules, simhash, tokenbin, topk, warc,
 )
 from tickwarden.llm.common import read_table
 
@@ -79,10 +79,17 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_best_fit_packing, op3_exact_top_k, op4_quality_rules, op5_mixing, op6_language_id,
-        op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_token_ids,
+        op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_token_ids, op11_prefix_trie,
     )
 }
