@@ -42,14 +42,14 @@ def worker_task(run: Callable[[Iterator], Iterator], pieces: bool = False) -> Ca
     """A function for ``mapInArrow`` that leaves its Python worker small.
 
     Workers are reused by later tasks: what the task freed goes back to the
-    system, and the tokeniser's memo stays only for tasks that use it
+    system, and the tokenisers' memos stay only for tasks that use them
     (``pieces``).
     """
 
     def task(parts: Iterator) -> Iterator:
-        tokens = sys.modules.get("tickwarden.llm.tokens")
-        if tokens and not pieces:
-            tokens.forget()
+        for name in () if pieces else ("tokens", "bytebpe"):
+            if module := sys.modules.get(f"tickwarden.llm.{name}"):
+                module.forget()
         try:
             yield from run(parts)
         finally:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwarden.llm import (
-    classifier, langid, lm, mixing, packing, prefix_trie, quality_rules, simhash, tokenbin, topk, warc,
+    bytebpe, classifier, langid, lm, mixing, packing, prefix_trie, quality_rules, simhash, tokenbin, topk, warc,
 )
 from tickwarden.llm.common import read_table
 
@@ -86,10 +86,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document and the bytes that they decode to, as digests."""
+    return bytebpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_best_fit_packing, op3_exact_top_k, op4_quality_rules, op5_mixing, op6_language_id,
-        op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_token_ids, op11_prefix_trie,
+        op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_token_ids, op11_prefix_trie, op12_byte_bpe,
     )
 }
