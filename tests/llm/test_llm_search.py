@@ -1,4 +1,4 @@
-"""Exact top-k, SimHash components and LM scores against brute force."""
+"""SimHash components and LM scores against brute force."""
 
 import math
 import random
@@ -10,45 +10,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from llm_rows import documents, odd_documents, rows_of
-from tickwarden.llm import components, lm, simhash, topk
+from tickwarden.llm import components, lm, simhash
 from tickwarden.llm.common import words
 
-VECTORS = "vec_id bigint, embedding array<float>, label int, w string"
-
-
-def _brute_top(rows, k=5, every=50):
-    best = {}
-    for i, x, *_ in rows:
-        if i is None or x is None or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        key = list(map(float, x))
-        best[i] = min(best.get(i, key), key)
-    w = {i: [math.floor(256 * float(np.float32(v))) for v in x] for i, x in best.items()}
-    out = []
-    for q in (i for i in w if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(w[q], w[c])), c) for c in w if c != q)
-        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
-    return sorted(out, key=str)
-
-
-@pytest.mark.parametrize("block_rows,query_rows", [(16_384, 4_096), (37, 2)])
-def test_top_k_with_ties_nulls_and_sparse_rows(spark, block_rows, query_rows):
-    rng = random.Random(2)
-    rows = [(i, [rng.choice([0.0, 0.0, 0.5, -0.25, 0.1]) for _ in range(6)], 0, "") for i in range(230)]
-    rows += [(300, None, 0, ""), (350, [1.0, None], 0, ""), (400, [float("nan")] * 6, 0, ""), (None, [1.0] * 6, 0, ""),
-             (450, [1.0, 2.0], 0, ""), (500, [], 0, ""), (7, rows[7][1], 0, ""), (550, [float("inf")], 0, "")]
-    df = spark.createDataFrame(rows, VECTORS)
-    got = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, block_rows=block_rows, query_rows=query_rows)
-    assert rows_of(got, "query_id", "rank", "vec_id", "score") == _brute_top(rows)
-
-
-def test_top_k_few_rows_and_empty(spark):
-    df = spark.createDataFrame([(0, [0.5], 0, ""), (1, [1e30], 0, ""), (50, [-0.5], 0, "")], VECTORS)
-    got = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0)
-    assert rows_of(got, "query_id", "rank", "vec_id") == [(0, 1, 1), (0, 2, 50), (50, 1, 0), (50, 2, 1)]
-    assert topk.top_k(topk.quantised(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
-
-
 # ------------------------------------------------------------------ SimHash
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwarden.llm import (
-    bytebpe, classifier, langid, lm, mixing, packing, prefix_trie, quality_rules, simhash, tokenbin, topk, warc,
+    bytebpe, classifier, hardneg, langid, lm, mixing, packing, prefix_trie, quality_rules, simhash, tokenbin, topk, warc,
 )
 from tickwarden.llm.common import read_table
 
@@ -33,7 +33,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector against all others."""
-    vectors = topk.quantised(read_table(spark, sf_dir, "embeddings"))
+    vectors = topk.searchable(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
@@ -91,10 +91,18 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score 50 to 95 % of an anchor's positives."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return hardneg.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_best_fit_packing, op3_exact_top_k, op4_quality_rules, op5_mixing, op6_language_id,
         op7_lm_scoring, op8_quality_classifier, op9_simhash, op10_token_ids, op11_prefix_trie, op12_byte_bpe,
+        op13_hard_negatives,
     )
 }

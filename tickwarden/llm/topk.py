@@ -14,59 +14,53 @@ of blocks is one task's unit of work, with a bounded number of rows on
 both sides.  Only k rows per query and block leave it.
 
 Defined cases: vectors that are null or hold a null or non-finite
-component take no part, nor do rows with a null id.  Of several rows of
-one id the smallest vector counts.  Vectors of unequal length meet on
-their common positions (a missing one weighs zero).  Components beyond
-+-2^28 are set to that bound, so that scores fit in 64 bits for up to 128
-components.  A query never finds its own id.
+component take no part, nor do rows with a null id.  Every row of a
+repeated id is a candidate, and as a query row asks for itself; rows of a
+query's own id are none of its results.  Vectors of unequal length meet on
+their common positions (a missing one weighs zero).  Scores are exact
+(see ``vectors``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwarden.llm.common import prepare, stored
+from tickwarden.llm.vectors import NARROW, SCALE, SCORE, Rows, as_long, as_score, exact, usable
 
 K = 5
-SCALE = 256
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
-BOUND = float(1 << 28)
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, w array<bigint>), one row per id that takes part."""
-    x = F.col(vector_col)
-    usable = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(
-        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    )
-    chosen = vectors.where(usable).groupBy(F.col(id_col).cast("bigint").alias("vec_id")).agg(F.min(x).alias("x"))
-    weight = F.transform("x", lambda v: F.floor(
-        F.greatest(F.least(v.cast("double") * scale, F.lit(BOUND)), F.lit(-BOUND))
-    ).cast("bigint"))
-    return chosen.select("vec_id", weight.alias("w"))
+def searchable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, x array<double>), one row per row that takes part."""
+    return usable(vectors, id_col, vector_col)
 
 
 class Block:
     """Postings of a block of candidate rows (ids ascending)."""
 
-    def __init__(self, ids: np.ndarray, rows: list[np.ndarray]) -> None:
+    def __init__(self, ids: np.ndarray, vectors: list, scale: int = SCALE) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        width = max((len(r) for r in rows), default=0)
-        dense = np.zeros((width, len(rows)), np.int64)
-        for at, i in enumerate(order):
-            dense[: len(rows[i]), at] = rows[i]
+        self.ids, self.scale = ids[order], scale
+        self.rows = Rows([vectors[i] for i in order], scale)
         self.postings = []
-        for weights in dense:
+        for weights in self.rows.matrix.T.astype(np.int64):
             at = np.flatnonzero(weights)
             # a list that names most rows is kept as a whole row
             self.postings.append((None, weights) if 2 * len(at) > len(weights) else (at, weights[at]))
 
-    def scores(self, query: np.ndarray, out: np.ndarray, work: np.ndarray) -> np.ndarray:
+    def scores(self, vector: np.ndarray, out: np.ndarray, work: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            query = np.floor(vector * self.scale)
+        if np.abs(query).max(initial=0.0) > NARROW:
+            whole = exact(vector, self.scale)
+            return np.array([self.rows.product(i, whole) for i in range(len(self.ids))] + [None], object)[:-1]
+        query = query.astype(np.int64)
         out[:] = 0
         for term in np.flatnonzero(query[: len(self.postings)]):
             at, weights = self.postings[term]
@@ -75,35 +69,33 @@ class Block:
                 out += work
             elif len(at):
                 out[at] += weights * query[term]
-        return out
-
-    def best(self, scores: np.ndarray, own: int, k: int) -> np.ndarray:
-        """Positions of the k best (score descending, id ascending), not ``own``."""
-        n = len(scores)
-        most = min(n, k + 1)  # the own id may be among them
-        edge = np.partition(scores, n - most)[n - most]
-        at = np.flatnonzero(scores >= edge)  # with all ties, ids ascending
-        at = at[np.argsort(-scores[at], kind="stable")]
-        return at[self.ids[at] != own][:k]
+        if not self.rows.wide:
+            return out
+        scores, whole = out.astype(object), [int(v) for v in query]
+        for i in self.rows.wide:
+            scores[i] = self.rows.product(i, whole)
+        return scores
+
+    def best(self, scores: np.ndarray, own: int, k: int) -> list[int]:
+        """Positions of the k best (score descending, id ascending), of other ids than ``own``."""
+        others = np.flatnonzero(self.ids != own)
+        if len(others) > k:
+            found = scores[others]
+            edge = np.partition(found, len(found) - k)[len(found) - k]
+            others = others[found >= edge]  # with all ties, ids ascending
+        return sorted(others.tolist(), key=lambda i: -scores[i])[:k]
 
 
 def _search(k: int):
     def run(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        if candidates.empty or queries.empty:
-            return empty
-        block = Block(candidates["vec_id"].to_numpy(np.int64), list(candidates["w"]))
-        out, work = np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64)
-        asked, found, scored = [], [], []
-        for own, query in zip(queries["vec_id"], queries["w"]):
-            scores = block.scores(np.asarray(query, np.int64), out, work)
-            at = block.best(scores, own, k)
-            asked.append(np.full(len(at), own, np.int64))
-            found.append(block.ids[at])
-            scored.append(scores[at])
-        return pd.DataFrame(
-            {"query_id": np.concatenate(asked), "vec_id": np.concatenate(found), "score": np.concatenate(scored)}
-        )
+        out = []
+        if len(candidates) and len(queries):
+            block = Block(candidates["vec_id"].to_numpy(np.int64), list(candidates["x"]))
+            sums, work = np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64)
+            for q, own, vector in zip(queries["q"], queries["query_id"], queries["x"]):
+                scores = block.scores(np.asarray(vector, np.float64), sums, work)
+                out += [(q, own, int(block.ids[i]), as_score(scores[i])) for i in block.best(scores, own, k)]
+        return pd.DataFrame(out, columns=["q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -111,22 +103,21 @@ def _search(k: int):
 def top_k(
     rows: DataFrame, is_query: Column, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """rows(vec_id, w) to (query_id, rank, vec_id, score)."""
+    """rows(vec_id, x) to (query_id, rank, vec_id, score)."""
     prepare(rows.sparkSession)
-    rows = stored(rows.select("vec_id", "w"), "vectors")
-    queries = rows.where(is_query)
+    # the number of a row tells the rows of one id apart
+    rows = stored(rows.select("vec_id", "x", F.monotonically_increasing_id().alias("q")), "vectors")
+    queries = rows.where(is_query).select("q", F.col("vec_id").alias("query_id"), "x")
     n, q = rows.count(), queries.count()
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-q // query_rows))
 
     def dealt(df: DataFrame, own: int, name: str, other: int, other_name: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int").alias(name)
-        return df.select("vec_id", "w", mine, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name))
+        mine = F.pmod(F.xxhash64("q"), F.lit(own)).cast("int").alias(name)
+        return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name))
 
     left = dealt(rows, blocks, "block", groups, "part").groupBy("block", "part")
     right = dealt(queries, groups, "part", blocks, "block").groupBy("block", "part")
-    partial = left.cogroup(right).applyInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    partial = left.cogroup(right).applyInPandas(_search(k), f"q bigint, query_id bigint, vec_id bigint, score {SCORE}")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", as_long(F.col("score")).alias("score"))
