@@ -161,18 +161,59 @@ def test_measured_chunks_match_the_model(spark):
         assert all(_same(x, y) for x, y in zip(g, e)), (g, e)
 
 
-def test_the_carried_set_is_small_on_sparse_and_on_dense_skewed_data(spark):
-    # sparse: a row a day; dense: one ticker with 30,000 rows a second apart
-    sparse = spark.range(3000).selectExpr("string(id % 30) AS ticker", "(id div 30) * 86400000 AS timestamp")
-    dense = spark.range(30_000).selectExpr("'HOT' AS ticker", "id * 1000 AS timestamp")
-    assert detectors.chunk_width(sparse, "ticker", "timestamp", 1000) is None  # windowed whole
-    width = detectors.chunk_width(sparse.unionByName(dense), "ticker", "timestamp", 1000)
-    both = sparse.unionByName(dense).selectExpr("*", "'x' AS datetime", "double(timestamp) AS close")
-    carry = detectors.chunk_carry(
-        detectors.chunk_rows(both, "ticker", ["timestamp"], width), ["timestamp"]
-    ).groupBy("_k").count().collect()
-    per_key = {r["_k"]: r["count"] for r in carry}
-    assert per_key["HOT"] <= 31 and max(n for k, n in per_key.items() if k != "HOT") <= 100
+def _counts(df, task_rows, order=("timestamp", "seq")):
+    rows = detectors.even_chunks(detectors.detector_rows(df, "ticker", order), order, task_rows)
+    if "_chunk" not in rows.columns:
+        return None
+    return {(r["_k"], r["_chunk"]): r["count"] for r in rows.groupBy("_k", "_chunk").count().collect()}
+
+
+def test_a_burst_spreads_over_even_chunks(spark):
+    # HOT: 95 % of its rows in one minute, many of them in the same millisecond
+    burst = spark.range(19_000).selectExpr("'HOT' AS ticker", "1000000 + (id div 400) AS timestamp", "id AS seq")
+    rest = spark.range(1_000).selectExpr("'HOT' AS ticker", "id * 3600000 AS timestamp", "id AS seq")
+    cold = spark.range(900).selectExpr("string(id % 30) AS ticker", "id * 1000 AS timestamp", "id AS seq")
+    both = burst.unionByName(rest).unionByName(cold).selectExpr("*", "'x' AS datetime", "double(seq % 97) + 1 AS close")
+    counts = _counts(both, 2_000)
+    hot = [n for (k, _), n in counts.items() if k == "HOT"]
+    assert len(hot) >= 10 and sum(hot) == 20_000 and max(hot) <= 4_000
+    assert {c for (k, c) in counts if k != "HOT"} == {0}
+    assert _counts(both, 20_000) is None  # windowed whole
+
+
+def _tied_rows(seed, n=600):
+    """Rows that tie on all order columns, null order values, few closes."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        ts = rnd.choice([None, *range(1000, 1040)])
+        rows.append((rnd.choice(["A", "A", "A", "B", None]), ts, f"d{i % 7}",
+                     rnd.choice([1.0, 2.0, 4.0, float("nan"), 3.0]), rnd.choice([None, 1, 2])))
+    return rows
+
+
+@pytest.mark.parametrize("order", [("timestamp", "seq"), ("timestamp",), ("datetime",), ("day", "seq")])
+def test_alerts_are_equal_at_every_width_on_ties_nulls_text_and_dates(spark, order):
+    df = spark.createDataFrame(_tied_rows(21), SCHEMA).selectExpr(
+        "*", "date_add(DATE'2024-01-01', cast(timestamp % 9 AS int)) AS day"
+    )
+    whole = sorted(map(str, detectors.price_change_alerts(df, 5.0, order_by=order).collect()))
+    assert whole
+    for task_rows in (7, 40, 200):
+        cut = detectors.price_change_alerts(df, 5.0, order_by=order, task_rows=task_rows)
+        assert sorted(map(str, cut.collect())) == whole, task_rows
+    for chunk_ms in (1, 10, 1000):
+        cut = detectors.price_change_alerts(df, 5.0, order_by=order, chunk_ms=chunk_ms)
+        assert sorted(map(str, cut.collect())) == whole, chunk_ms
+
+
+def test_zero_latch_crosses_borders(spark):
+    rows = [("A", 1000 + i, f"t{i}", 0.0 if i == 130 else float(1 + i % 5), i) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = detectors.price_change_alerts(df, 5.0)
+    cut = detectors.price_change_alerts(df, 5.0, task_rows=30)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    assert cut.agg({"timestamp": "max"}).first()[0] == 1130
 
 
 def test_alerts_do_not_depend_on_the_chunk_width(spark):

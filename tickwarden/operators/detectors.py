@@ -10,17 +10,22 @@
 
 Order is explicit (``order_by``), never arrival order of a shuffle.
 
+Rows of a key follow one total order: the order columns, then close,
+time and ISO text, nulls first; rows equal in all of them are
+interchangeable.
+
 Skew: a single ticker may hold a large share of all rows.  Tickers up
-to ``task_rows`` rows are windowed whole.  Beyond that the change
-detector cuts time into chunks (``chunk_ms``, taken from the densest
-ticker unless given) and windows rows by ``(ticker, chunk)``: one
-shuffle and one sort of the input.  The value that crosses a chunk
-border (the last close of the previous non-empty chunk, and whether a
-zero was seen before) comes from one summary row per chunk, a grouped
-aggregation with map-side combine; it is joined to the chunks' first
-rows and to the rows that already pass the threshold only.  The width
-never changes the alerts.  The target latch is a grouped ``min_by`` with
-partial (map-side) aggregation, skew-safe as it is.
+to ``task_rows`` rows are windowed whole.  Beyond that a ticker is cut at
+quantiles of the total order into chunks of about ``task_rows`` rows, and
+rows are windowed by ``(ticker, chunk)``: one shuffle and one sort of the
+input, and as many tasks for a hot ticker as it has chunks, however
+unevenly its rows lie in time and whatever the order columns' types.  The
+value that crosses a chunk border (the last close of the previous chunk,
+and whether a zero was seen before) comes from one summary row per chunk,
+a grouped aggregation with map-side combine; it is joined to the chunks'
+first rows and to the rows that already pass the threshold only.  Where
+the borders lie never changes the alerts.  The target latch is a grouped
+``min_by`` with partial (map-side) aggregation, skew-safe as it is.
 """
 
 from __future__ import annotations
@@ -38,9 +43,12 @@ from tickwarden.schemas import (
     TARGET_ALERT_FIELDS,
     TARGET_PRICE_ALERT,
 )
+from tickwarden.session import scratch_path
 
 # rows of one ticker that one task may window whole
 DEFAULT_TASK_ROWS = 1_000_000
+# rows looked at per chunk to place the borders
+BORDER_ROWS = 64
 
 
 def _order(df: DataFrame, order_by: Sequence[str] | None) -> list[str]:
@@ -94,10 +102,8 @@ def price_change_alerts(
     close of 0 a key never alerts again.  ``"skip"``: closes of 0 are not
     usable (dropped like nulls).
 
-    ``order_by`` should order a key's rows totally; rows that tie on a
-    single order column count in the order of their closes.  Without
-    ``chunk_ms`` the width comes from ``chunk_width``, one small
-    aggregation over the key and the leading order column.
+    ``chunk_ms`` cuts chunks of a fixed width of an integral leading order
+    column instead of quantiles.
     """
     if zero_policy not in ("latch", "skip"):
         raise ValueError("zero_policy must be 'latch' or 'skip'")
@@ -108,9 +114,11 @@ def price_change_alerts(
     usable = ticks.where(close.isNotNull())
     if zero_policy == "skip":
         usable = usable.where(close != 0)
-    if chunk_ms is None:
-        chunk_ms = chunk_width(usable, key, order[0], task_rows)
-    rows = chunk_rows(usable, key, order, chunk_ms)
+    rows = detector_rows(usable, key, order)
+    if chunk_ms is not None and _integral(usable, order[0]):
+        rows = fixed_chunks(rows, order[0], chunk_ms)
+    elif chunk_ms is None:
+        rows = even_chunks(rows, order, task_rows)
     if "_chunk" not in rows.columns:  # every key in one window
         scored = window_stage(rows, ["_k"], order).select(
             "*", F.col("_prev_in").alias("_prev"), F.col("_zero_in").alias("_stuck")
@@ -152,44 +160,91 @@ def _integral(df: DataFrame, col: str) -> bool:
     return dict(df.dtypes)[col] in ("tinyint", "smallint", "int", "bigint")
 
 
-def chunk_width(rows: DataFrame, key: str, leading: str, task_rows: int) -> int | None:
-    """The chunk width that gives the densest key about ``task_rows`` rows a
-    chunk; ``None`` when no key has more rows than that, or when the leading
-    order column has no ranges to cut (text, dates).
-
-    A grouped aggregation over two columns; one row reaches the driver.
-    """
-    if not _integral(rows, leading):
-        return None
-    per_key = rows.groupBy(key).agg(
-        F.count("*").alias("n"), (F.max(leading) - F.min(leading) + F.lit(1)).alias("span")
-    )
-    wide = F.col("span").cast("double") / F.col("n") * F.lit(float(task_rows))
-    width = per_key.where(F.col("n") > task_rows).agg(F.min(wide).alias("w")).first().w
-    return None if width is None else max(1, int(width))
+def total_order(order: Sequence[str]) -> list[str]:
+    """The order columns, then what else tells two rows apart."""
+    return list(dict.fromkeys([*order, "close", "timestamp", "datetime"]))
 
 
-def chunk_rows(usable: DataFrame, key: str, order: list[str], chunk_ms: int | None) -> DataFrame:
-    """The detector's columns; with a width, and a leading order column
-    that has ranges, also ``_chunk``.  Chunks are ranges of the leading
-    order column, so chunk order is row order; rows without a leading
-    value come first, in a chunk of their own."""
-    rows = usable.select(
+def detector_rows(usable: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The detector's columns: the key as ``_k``, order columns, close."""
+    return usable.select(
         F.col(key).alias("_k"),
-        *[F.col(c) for c in dict.fromkeys(order + ["timestamp", "datetime"])],
-        F.col("close"),
+        *[F.col(c) for c in total_order(order)],
         (F.col("close") == 0).alias("_zero"),
     )
-    if chunk_ms is None or not _integral(usable, order[0]):
-        return rows
-    chunk = F.floor(F.col(order[0]) / F.lit(chunk_ms))
+
+
+def fixed_chunks(rows: DataFrame, leading: str, chunk_ms: int) -> DataFrame:
+    """Chunks of a fixed width of the leading order column; rows without a
+    leading value come first, in a chunk of their own."""
+    chunk = F.floor(F.col(leading) / F.lit(chunk_ms))
     return rows.withColumn("_chunk", F.coalesce(chunk, F.lit(-(1 << 62)).cast("bigint")))
 
 
-def window_stage(rows: DataFrame, parts: list[str], order: list[str]) -> DataFrame:
+def even_chunks(rows: DataFrame, order: Sequence[str], task_rows: int) -> DataFrame:
+    """Chunks of about ``task_rows`` rows of every key that has more; the
+    rows as they are when no key has.
+
+    A border is a quantile of the key's rows in the total order, taken from
+    the rows that a hash of their content picks (about ``BORDER_ROWS`` a
+    chunk; every row stays, the picked ones only place borders).  The
+    borders, one row per hot key, are written to the shared folder, so that
+    every reader cuts at the same places.  A row finds its chunk by binary
+    search.
+    """
+    per_key = rows.groupBy("_k").agg(F.count("*").alias("_n"))
+    most = per_key.agg(F.max("_n")).first()[0] or 0
+    if most <= task_rows:
+        return rows
+    total = total_order(order)
+    hot = per_key.where(F.col("_n") > task_rows).select(
+        F.col("_k").alias("_hot"), F.ceil(F.col("_n") / F.lit(float(task_rows))).alias("_chunks")
+    )
+    picked = rows.where(F.pmod(F.xxhash64(*total), F.lit(max(1, task_rows // BORDER_ROWS))) == 0)
+    by_key = Window.partitionBy("_k")
+    place = F.row_number().over(by_key.orderBy(*total)) * F.col("_chunks") / F.count("*").over(by_key)
+    # the first row of every further share of the key's picked rows
+    ranked = picked.join(hot, F.col("_k").eqNullSafe(F.col("_hot"))).select(
+        "_hot", F.struct(*total).alias("_at"), F.floor(place).alias("_share")
+    )
+    borders = (
+        ranked.where("_share > 0").groupBy("_hot", "_share").agg(F.min("_at").alias("_at"))
+        .groupBy("_hot").agg(F.array_sort(F.collect_list("_at")).alias("_borders"))
+    )
+    spark = rows.sparkSession
+    path = scratch_path(spark, "chunk-borders")
+    borders.write.parquet(path)
+    kept = spark.read.schema(borders.schema).parquet(path)
+    steps = (-(-most // task_rows)).bit_length() + 1
+    chunk = F.coalesce(borders_passed(F.col("_borders"), F.struct(*total), steps), F.lit(0))
+    return (
+        rows.join(kept, F.col("_k").eqNullSafe(F.col("_hot")), "left")
+        .withColumn("_chunk", chunk.cast("bigint")).drop("_hot", "_borders")
+    )
+
+
+def borders_passed(borders: Column, row: Column, steps: int) -> Column:
+    """How many of the sorted borders are not after the row (null borders:
+    null), by ``steps`` halvings."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / F.lit(2)).cast("int")
+        passed = F.get(borders, middle) <= row
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(
+            F.when(open_ & passed, middle + 1).otherwise(acc["lo"]).alias("lo"),
+            F.when(open_ & ~passed, middle).otherwise(acc["hi"]).alias("hi"),
+        )
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"])
+    return F.when(borders.isNotNull(), found)
+
+
+def window_stage(rows: DataFrame, parts: list[str], order: Sequence[str]) -> DataFrame:
     """The one pass over all rows: previous close in the window, whether a
     zero came before, and the first row's mark."""
-    w = Window.partitionBy(*parts).orderBy(*order, "close")
+    w = Window.partitionBy(*parts).orderBy(*total_order(order))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         "*",
@@ -199,20 +254,19 @@ def window_stage(rows: DataFrame, parts: list[str], order: list[str]) -> DataFra
     )
 
 
-def chunk_carry(rows: DataFrame, order: list[str]) -> DataFrame:
+def chunk_carry(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Per ``(key, chunk)``: the last close of the previous non-empty chunk
     and whether a zero came before the chunk.  One row per chunk leaves
     the map-side combine."""
-    last = order_key(rows, order) if len(order) > 1 else F.struct(*order, "close")
     ends = rows.groupBy("_k", "_chunk").agg(
-        F.max_by("close", last).alias("_end"), F.max("_zero").alias("_any_zero")
+        F.max(F.struct(*total_order(order))).alias("_last"), F.max("_zero").alias("_any_zero")
     )
     w = Window.partitionBy("_k").orderBy("_chunk")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return ends.select(
         "_k",
         "_chunk",
-        F.lag("_end").over(w).alias("_prev_chunk"),
+        F.lag("_last.close").over(w).alias("_prev_chunk"),
         F.coalesce(F.max("_any_zero").over(before), F.lit(False)).alias("_zero_before"),
     )
 
