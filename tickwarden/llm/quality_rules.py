@@ -9,20 +9,27 @@ Base rules reject texts of fewer than ``MIN_WORDS`` words, or with over
 half of their words in repeated windows.
 
 Method: the statistics become a vector of four transformed ratios (mean
-word length on a log scale, symbols per word on a log scale, repeated
-lines per line, repeated words per word).  Per language and source a
+word length on a log scale, symbols per word on a log scale, repeated lines per
+line with ``FEW_LINES`` lines added, so that one repeat among few lines is
+no large share, repeated words per word).  Per language and source a
 minimum-covariance-determinant estimate is made of the vectors of all
 documents that pass the base rules: from two deterministic starts
 (medians with interquartile scales, medians with the floor scales),
 concentration steps keep the ``core`` fraction of smallest Mahalanobis
 distance and recompute centre and covariance; the start with the smaller
 determinant wins.  The covariance is scaled to be consistent at the
-normal distribution.  Where the core is degenerate (no symbols at all,
-say), its variance is raised to the square of ``FLOORS``, so that a trace
-of what the core lacks does not reject a document; a wider variance stays
-as it is.  A document is rejected if its squared distance exceeds the
-``tail`` quantile of the chi-square distribution: where the core has none
-at all, for about a tenth symbol a word, or 30 % repeated lines or words.
+normal distribution.  Where the core is degenerate, its variance is raised
+to the square of ``FLOORS``; a wider variance stays as it is, so the word
+length is judged by the group's own spread (a floor of a hundredth decides
+only where all words are equally long).  Most texts have no symbol and no
+repeated line or word at all, whatever the group; there the core has no
+spread and the floors decide.  A document is rejected if its squared
+distance exceeds the ``tail`` quantile of the chi-square distribution,
+widened by ``1 + SMALL / rows`` as an estimate from few rows is rough.
+The tail is a far one, as the ratios of short texts spread wider than
+those of long ones: about 7.8 standard deviations in one direction; where
+the core has none at all, some 0.04 symbols a word, a quarter of repeated
+lines, or a third of repeated words.
 
 Scale: a concentration step is one grouped aggregation.  Rows are put in
 logarithmic bins of distance, and the moments summed per bin; the core
@@ -51,17 +58,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import prepare, stored, words, worker_task
+from tickwarden.llm.common import prepare, stored, whole_row, words, worker_task
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 CORE = 0.75
-TAIL = 0.9999
+TAIL = 1 - 1e-12
 STEPS = 4
-MIN_ROWS = 200
+MIN_ROWS = 40
+SMALL = 32
+FEW_LINES = 3
 # smallest standard deviation of each component, in its own unit
-FLOORS = (0.08, 0.02, 0.06, 0.06)
+FLOORS = (0.01, 0.005, 0.03, 0.04)
 UNIT = 1000
 DIMS = len(FLOORS)
 BIN_STEPS = 8  # bins per doubling of the squared distance
@@ -130,7 +139,7 @@ def vector(q: str = "_q") -> list:
     parts = [
         F.log(F.greatest(F.col(f"{q}.word_chars"), F.lit(1)) / n),
         F.log1p(F.col(f"{q}.n_symbols") / n),
-        F.col(f"{q}.n_dup_lines") / F.greatest(F.col(f"{q}.n_lines"), F.lit(1)),
+        F.col(f"{q}.n_dup_lines") / (F.col(f"{q}.n_lines") + FEW_LINES),
         F.col(f"{q}.n_repeat_words") / n,
     ]
     return [F.round(p * UNIT).cast("bigint") for p in parts]
@@ -259,7 +268,7 @@ def verdicts(stats: DataFrame, groups: DataFrame, model: DataFrame, tail: float
     """``stats`` rows with base_failed, distance (squared, null without an
     estimate) and kept, as a struct column ``_v``."""
     by_group = groups.join(model, "grp", "left").select(
-        F.col("lang").alias("_mcd_lang"), F.col("source").alias("_mcd_source"), F.struct("mean", "inverse").alias("_mcd")
+        F.col("lang").alias("_mcd_lang"), F.col("source").alias("_mcd_source"), F.struct("mean", "inverse", "rows").alias("_mcd")
     )
     by_group = stored(by_group, "mcd-by-group")
     on = stats["lang"].eqNullSafe(by_group["_mcd_lang"]) & stats["source"].eqNullSafe(by_group["_mcd_source"])
@@ -269,7 +278,8 @@ def verdicts(stats: DataFrame, groups: DataFrame, model: DataFrame, tail: float
     for i, j in PAIRS:
         term = diff[i] * diff[j] * F.element_at("_mcd.inverse", DIMS * i + j + 1) * (1.0 if i == j else 2.0)
         total = term if total is None else total + term
-    far = F.coalesce(total > chi_square_quantile(tail), F.lit(False))
+    limit = (F.lit(float(SMALL)) / F.col("_mcd.rows") + 1.0) * chi_square_quantile(tail)
+    far = F.coalesce(total > limit, F.lit(False))
     return joined.select(
         *[stats[c] for c in stats.columns],
         F.struct(base_failed().alias("base_failed"), total.alias("distance"), (~base_failed() & ~far).alias("kept")).alias("_v"),
@@ -294,6 +304,6 @@ def keep(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     stats = stored(with_statistics(own).drop("text"), "quality-stats")
     groups, model = estimate(stats)
     # the rows travel in one struct, so that their names cannot clash with ours
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text", "lang", "source")
+    row = docs.select(whole_row(docs).alias("_row"), "text", "lang", "source")
     judged = verdicts(with_statistics(row), groups, model, tail)
     return judged.where("_v.kept").select("_row.*")
