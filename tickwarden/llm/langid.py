@@ -14,14 +14,16 @@ log-likelihood (proportions refitted on the set) rises by more than
 ``PENALTY`` times the logarithm of the number of trigrams.  The
 prediction is the set's largest proportion and that proportion its score.
 
-Distribution: each task counts its rows in dense arrays and emits one
-row per (language, trigram); the sums are a table of at most
-``MAX_LANGS`` x 65,536 numbers, which is checked before it is
-broadcast.  Prediction is a pass over the rows.
+Distribution: each task counts its rows in dense arrays, at most ``HELD``
+of them at a time, and emits one row per (language, trigram); the sums are
+packed to one row per language.  At most ``max_langs`` languages are
+learned, those with the most training rows (ties: the smaller code), so the
+model is at most ``max_langs`` x 65,536 numbers of eight bytes (67 MB at
+the default) wherever it goes.  Prediction is a pass over the rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with
 score 0; so is every text if nothing was learned.  A null lang is not
-learned from; a row with a null doc_id is neither learned from nor held
+learned from, nor are labels beyond the ``max_langs`` most frequent; a row with a null doc_id is neither learned from nor held
 out (held_out is null).  Ties go to the smaller language code.
 """
 
@@ -30,17 +32,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import column, id_remainder, prepare, stored, worker_task
+from tickwarden.llm.common import column, id_remainder, prepare, stored, whole_row, worker_task
 
 CODES = 1 << 16
 SMOOTH = 0.5
 PENALTY = 3.0
 STEPS = 12
-MAX_LANGS = 512
+MAX_LANGS = 128
+HELD = 64
 UNDETERMINED = "und"
 MIN_SCORE = 0.34
 
@@ -67,29 +71,36 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True)
 
 
-def train(rows: DataFrame) -> DataFrame:
-    """(text, lang) rows to trigram counts (lang, code, n), over all rows."""
+def train(rows: DataFrame, max_langs: int = MAX_LANGS) -> DataFrame:
+    """(text, lang) rows to trigram counts (lang, code, n), over all rows of
+    the ``max_langs`` most frequent labels."""
     prepare(rows.sparkSession)
 
+    def counts(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, dense in sums.items():
+            found = np.flatnonzero(dense).astype(np.int32)
+            for i in range(0, len(found), 16384):
+                part = found[i : i + 16384]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part)), pa.array(part), pa.array(dense[part])], schema=COUNTS
+                )
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in parts:
             for text, lang in zip(column(batch, "text"), column(batch, "lang")):
                 if lang not in sums:
+                    if len(sums) >= HELD:
+                        yield from counts(sums)
+                        sums = {}
                     sums[lang] = np.zeros(CODES, np.int64)
                 codes, n = _counted(trigram_codes(text))
                 sums[lang][codes] += n
-                if len(sums) > MAX_LANGS:
-                    raise ValueError(f"more than {MAX_LANGS} languages")
-        for lang, dense in sums.items():
-            found = np.flatnonzero(dense).astype(np.int32)
-            for i in range(0, len(found), 16384):
-                part = found[i : i + 16384]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array(part), pa.array(dense[part])], schema=COUNTS
-                )
+        yield from counts(sums)
 
-    usable = rows.select("text", "lang").where("text is not null and lang is not null")
+    usable = rows.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    usable = usable.where(F.col("lang").isin([r["lang"] for r in frequent.collect()]))
     partial = usable.mapInArrow(worker_task(run), "lang string, code int, n bigint")
     return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
@@ -104,16 +115,24 @@ class Model:
         self.prob = (dense / dense.sum(axis=1, keepdims=True)) if langs else dense
         self.log = np.log(self.prob)
 
+    def __reduce__(self):
+        return _restored, (self.langs, self.prob)
+
     @classmethod
     def of(cls, counts: DataFrame) -> Model:
-        """From a counts table; its size is bounded by MAX_LANGS x CODES."""
-        counts = stored(counts, "lang-counts")
-        langs = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-        if len(langs) > MAX_LANGS:
-            raise ValueError(f"more than {MAX_LANGS} languages")
-        rows = counts.toPandas()
-        number = {lang: i for i, lang in enumerate(langs)}
-        return cls(langs, rows["code"].to_numpy(int), rows["lang"].map(number).to_numpy(int), rows["n"].to_numpy())
+        """From a counts table: one row of CODES numbers per language."""
+
+        def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            dense = np.zeros(CODES, np.int64)
+            dense[rows["code"].to_numpy()] = rows["n"].to_numpy()
+            return pd.DataFrame([(key[0], dense.tobytes())], columns=["lang", "dense"])
+
+        packed = stored(counts.groupBy("lang").applyInPandas(pack, "lang string, dense binary"), "lang-counts")
+        rows = sorted((r["lang"], bytes(r["dense"])) for r in packed.collect())
+        dense = [np.frombuffer(d, np.int64) for _, d in rows]
+        which = np.repeat(np.arange(len(rows)), CODES)
+        codes = np.tile(np.arange(CODES), len(rows))
+        return cls([lang for lang, _ in rows], codes, which, np.concatenate(dense) if rows else np.zeros(0))
 
     def mixture(self, codes: np.ndarray, n: np.ndarray, members: list[int], steps: int = STEPS):
         """Proportions of the member languages and the log-likelihood, by EM."""
@@ -150,6 +169,13 @@ class Model:
         return self.langs[chosen[top]], float(min(1.0, share[top]))
 
 
+def _restored(langs: list[str], prob: np.ndarray) -> Model:
+    """A model on a worker: the logarithms are not sent."""
+    model = Model.__new__(Model)
+    model.langs, model.prob, model.log = langs, prob, np.log(prob)
+    return model
+
+
 def predict(rows: DataFrame, model: Model, row: str, text: str = "text") -> DataFrame:
     """(row struct, lang_pred, score) of every row; the struct is carried along."""
     spark = rows.sparkSession
@@ -194,7 +220,7 @@ def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is determined: those without a
     letter, and those whose largest proportion is below ``min_score``, go."""
     model = Model.of(train(training_rows(docs)))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text"))
+    rows = docs.select(whole_row(docs).alias("_row"), docs["text"].alias("text"))
     return predict(rows, model, "_row").where(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
     ).select("_row.*")
