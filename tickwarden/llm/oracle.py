@@ -43,7 +43,8 @@ SELECT * FROM r WHERE rank <= 5
 
 OP5 = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len({_WORDS}), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len({_WORDS}), 0)::BIGINT AS size, md5(coalesce(text, '')) AS mark,
+    row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) AS number FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [3, 1, 2][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS w
@@ -62,7 +63,7 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || mark || '|' || number), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
