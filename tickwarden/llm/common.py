@@ -68,6 +68,16 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
+def col_of(name: str) -> Column:
+    """The column of exactly this name (which may hold dots)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that their names cannot clash with ours."""
+    return F.struct(*[col_of(c) for c in df.columns])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

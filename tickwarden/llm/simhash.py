@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import batches, column, prepare, stored, worker_task
+from tickwarden.llm.common import batches, col_of, column, prepare, stored, whole_row, worker_task
 from tickwarden.llm.components import connected_components
 
 SHINGLE = 3
@@ -48,7 +48,6 @@ MAX_BITS = 3
 SEED = 42
 TREE_LIMIT = 4096
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 _UPPER = bytes(range(65, 91))
@@ -76,20 +75,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, bits): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, bits), the fingerprint as a signed 64-bit integer, and the
+    columns ``keep``."""
     prepare(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             prints = [fingerprint(t, shingle, seed) for t in column(batch, "text")]
             signed = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(signed)], schema=PRINTS
-            )
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *keep)]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(signed), *own[1:]], names=["doc_id", "bits", *keep])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(worker_task(run), "doc_id bigint, bits bigint")
+    chosen = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep
+    )
+    others = "".join(f", {c} {chosen.schema[c].dataType.simpleString()}" for c in keep)
+    return chosen.mapInArrow(worker_task(run), f"doc_id bigint, bits bigint{others}")
 
 
 class BKTree:
@@ -287,16 +289,34 @@ def near_duplicates(
     )
 
 
+def row_mark(docs: DataFrame):
+    """SHA-256 of a row's content: its text, and its other columns as JSON."""
+    others = [col_of(c).alias(c) for c in docs.columns if c != "text"]
+    rest = F.to_json(F.struct(*others, F.col("text").isNull().alias("null text")), {"ignoreNullFields": "false"})
+    content = F.concat(rest, F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.unhex(F.sha2(content.cast("binary"), 256))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the document whose
-    id is the component's stays.  Of several rows of that id the one with
-    the smallest text stays; rows without an id are in no component and stay."""
-    found = near_duplicates(docs, shingle, max_bits, seed)
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    ids = stored(ids, "simhash-kept")
-    kept = docs.join(ids, docs["doc_id"] == ids["_keep_id"], "left_semi")
-    row = F.min_by(F.struct(*[docs[c] for c in docs.columns]), docs["text"]).alias("row")
-    # a null text is ignored by min_by: such a document is its id and nulls
-    single = kept.groupBy(docs["doc_id"].alias("_keep_id")).agg(row, F.first(F.struct(*[docs[c] for c in docs.columns])).alias("any"))
-    single = single.select(F.coalesce("row", "any").alias("row")).select("row.*")
-    return single.unionByName(docs.where(docs["doc_id"].isNull()))
+    """``docs`` without near-duplicates: one row of each component of linked
+    fingerprints stays, that of the smallest doc_id (rows without an id come
+    last; rows of one id by their content).
+
+    Components are of fingerprints, so rows that share an id but not a
+    fingerprint stay apart, and rows without an id are compared like any
+    other.  The choice is made on ids and content hashes; whole rows travel
+    once, to meet the hashes that stay.
+    """
+    marked = docs.select("doc_id", "text", row_mark(docs).alias("mark"))
+    prints = stored(fingerprints(marked, shingle, seed, keep=("mark",)), "simhash")
+    entries = stored(prints.select("bits", F.col("bits").alias("node")).distinct(), "simhash-heads")
+    labels = connected_components(fingerprint_links(entries, max_bits))
+    placed = prints.join(labels.withColumnRenamed("node", "bits"), "bits", "left")
+    rows = placed.groupBy(F.coalesce("root", "bits").alias("component"), "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "n"))
+    chosen = stored(rows.groupBy("component").agg(first.alias("r")).select("r.mark", "r.n"), "simhash-kept")
+    whole = docs.select(whole_row(docs).alias("row"), row_mark(docs).alias("mark"))
+    kept = whole.join(chosen, "mark")
+    # equal rows of one component: one of them
+    again = kept.where("n > 1").groupBy("mark").agg(F.first("row").alias("row"))
+    return kept.where("n = 1").select("row").unionByName(again.select("row")).select("row.*")
