@@ -67,6 +67,9 @@ class Bucket:
         self.unit = matrix[self.listed] / self.lengths[:, None]
         self.order = np.argsort(self.unit, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.unit, self.order, axis=0)
+        self.most = float(np.abs(matrix).max(initial=0.0))
+        # products that stay below 2^24 are exact in 32 bits too
+        self.small = matrix.astype(np.float32) if self.rows.width * self.most * self.most < 1 << 24 else None
 
     def feasible(self, query: np.ndarray, length: float, floor: int | None) -> np.ndarray:
         """Rows (of the listed ones) that can reach the floor."""
@@ -99,25 +102,38 @@ class Bucket:
             found = found[self.lengths[found] * length * (1 + SLACK) >= float(floor)]
         return found
 
-    def scores(self, vector: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of all rows that can reach the floor."""
+    def _products(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact inner products with the listed rows ``at``."""
+        matrix, width = self.rows.matrix, min(self.rows.width, len(query))
+        query = query[:width]
+        if self.small is not None and width * self.most * np.abs(query).max(initial=0.0) < 1 << 24:
+            matrix, query = self.small, query.astype(np.float32)
+        if width < self.rows.width:
+            matrix = matrix[:, :width]
+        if 4 * len(at) > len(self.ids):  # cheaper than gathering the rows
+            return (matrix @ query)[at].astype(np.int64)
+        return (matrix[at] @ query).astype(np.int64)
+
+    def scores(self, vector: np.ndarray, floor: int | None, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and exact scores of the rows of ``kind`` (a mask) that
+        can reach the floor."""
         with np.errstate(over="ignore"):
             query = np.floor(vector * SCALE)
         if np.abs(query).max(initial=0.0) > NARROW:
             whole = exact(vector)
-            at = np.arange(len(self.ids))
+            at = np.flatnonzero(kind)
             return at, np.array([self.rows.product(i, whole) for i in at] + [None], object)[:-1]
         at = self.listed[self.feasible(query, math.sqrt(float(query @ query)), floor)]
-        width = min(self.rows.width, len(query))
-        products = (self.rows.matrix[at, :width] @ query[:width]).astype(np.int64)
-        if not len(self.always):
+        at = at[kind[at]]
+        products, always = self._products(query, at), self.always[kind[self.always]]
+        if not len(always):
             return at, products
         # zero rows score 0; products with wide rows need wide integers
         whole = [int(v) for v in query]
-        rest = [self.rows.product(i, whole) for i in self.always]
+        rest = [self.rows.product(i, whole) for i in always]
         if self.rows.wide:
-            return np.concatenate([at, self.always]), np.array([*products.tolist(), *rest, None], object)[:-1]
-        return np.concatenate([at, self.always]), np.concatenate([products, np.zeros(len(rest), np.int64)])
+            return np.concatenate([at, always]), np.array([*products.tolist(), *rest, None], object)[:-1]
+        return np.concatenate([at, always]), np.concatenate([products, np.zeros(len(rest), np.int64)])
 
     def best(self, at: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(id, score) of the k best: score descending, id ascending."""
@@ -151,10 +167,8 @@ def _search(same: bool, k: int, low: int, high: int):
                 least = [a for a, b in windows if a is None or b is None or a <= b]
                 if not least:
                     continue
-                at, scores = bucket.scores(np.asarray(x, np.float64), None if None in least else min(least))
-                kind = (bucket.labels[at] == label) == same
-                kind &= bucket.ids[at] != own
-                at, scores = at[kind], scores[kind]
+                kind = ((bucket.labels == label) == same) & (bucket.ids != own)
+                at, scores = bucket.scores(np.asarray(x, np.float64), None if None in least else min(least), kind)
                 for slot, (a, b) in enumerate(windows):
                     inside = np.ones(len(at), bool)
                     if a is not None:
