@@ -43,7 +43,7 @@ from tickwarden.schemas import (
     TARGET_ALERT_FIELDS,
     TARGET_PRICE_ALERT,
 )
-from tickwarden.session import scratch_path
+from tickwarden.session import materialized
 
 # rows of one ticker that one task may window whole
 DEFAULT_TASK_ROWS = 1_000_000
@@ -211,10 +211,7 @@ def even_chunks(rows: DataFrame, order: Sequence[str], task_rows: int) -> DataFr
         ranked.where("_share > 0").groupBy("_hot", "_share").agg(F.min("_at").alias("_at"))
         .groupBy("_hot").agg(F.array_sort(F.collect_list("_at")).alias("_borders"))
     )
-    spark = rows.sparkSession
-    path = scratch_path(spark, "chunk-borders")
-    borders.write.parquet(path)
-    kept = spark.read.schema(borders.schema).parquet(path)
+    kept = materialized(borders, "chunk-borders")
     steps = (-(-most // task_rows)).bit_length() + 1
     chunk = F.coalesce(borders_passed(F.col("_borders"), F.struct(*total), steps), F.lit(0))
     return (

@@ -180,6 +180,36 @@ SELECT ticker, CAST(size AS DOUBLE) AS v, close AS vw, close AS o, close AS c, c
 FROM event_ticks"""
 
 
+# the links walked one by one from every page that no page names
+LINKED_PAGES = f"""{EVENT_TICKS},
+numbered AS (
+  SELECT ticker, (row_number() OVER (PARTITION BY ticker ORDER BY seq) - 1) // 5 AS page,
+         (count(*) OVER (PARTITION BY ticker) - 1) // 5 AS last FROM event_ticks),
+p AS (
+  SELECT '/bars/' || ticker || '/' || page AS url, any_value(ticker) AS ticker, count(*) AS bars,
+         CASE WHEN page < last THEN '/bars/' || ticker || '/' || (page + 1)
+              WHEN CAST(ticker AS BIGINT) % 11 = 0 THEN '/bars/' || ticker || '/0' END AS next_url
+  FROM numbered WHERE NOT (CAST(ticker AS BIGINT) % 13 = 5 AND page = 1) GROUP BY ticker, page, last),
+walk AS (
+  SELECT url, next_url, url AS chain, 0 AS position FROM p
+  WHERE url NOT IN (SELECT next_url FROM p WHERE next_url IS NOT NULL)
+  UNION ALL
+  SELECT p.url, p.next_url, walk.chain, walk.position + 1 FROM walk JOIN p ON p.url = walk.next_url),
+placed AS (
+  SELECT url, next_url, chain, position FROM walk
+  UNION ALL
+  SELECT url, next_url, min(url) OVER (PARTITION BY ticker), NULL FROM p WHERE url NOT IN (SELECT url FROM walk))"""
+ORACLE["pages_chain"] = f"""WITH RECURSIVE {LINKED_PAGES}
+SELECT placed.url, chain, CAST(position AS BIGINT) AS position, bars FROM placed JOIN p ON p.url = placed.url"""
+ORACLE["pages_chain_report"] = f"""WITH RECURSIVE {LINKED_PAGES},
+ends AS (
+  SELECT chain, count(*) AS pages, bool_or(position IS NULL) AS closed,
+         arg_max({{'next_url': next_url}}, position).next_url AS next_url FROM placed GROUP BY chain)
+SELECT chain, pages, CASE WHEN closed THEN 'cycle' WHEN next_url IS NULL THEN 'complete' ELSE 'broken' END AS status,
+       CASE WHEN NOT closed THEN next_url END AS next_url
+FROM ends"""
+
+
 def bars_sql(bucket: str, ticks: str = "SELECT * FROM event_ticks") -> str:
     # an exact decimal sum; through its text to the nearest double
     return f"""WITH {EVENT_TICKS},

@@ -31,6 +31,9 @@ PAGE = T.StructType(
     ]
 )
 
+# A landed page together with the request it answered.
+LINKED_PAGE = T.StructType([T.StructField("url", T.StringType()), *PAGE.fields])
+
 # The main stream record (a normalised bar or tick).
 TICK = T.StructType(
     [

@@ -14,7 +14,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -141,6 +141,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """Written below the shared root and read back: the lineage is cut, and
+    every reader sees the same rows."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh, unique folder path below the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/tickwarden/{purpose}-{uuid.uuid4().hex[:12]}"

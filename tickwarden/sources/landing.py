@@ -12,7 +12,7 @@ sent as quoted text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickwarden.functions.exprs import bucket_start_ms, iso_datetime
@@ -129,6 +129,32 @@ def page_feed(spark: SparkSession, sf_dir: str, page_size: int = 100) -> DataFra
     )
 
 
+def linked_page_feed(spark: SparkSession, sf_dir: str, page_size: int = 5) -> DataFrame:
+    """Each ticker's bars as a chain of pages of ``page_size``, linked by
+    ``next_url`` and landing in no order.  Of tickers divisible by 11 the
+    last page names the first again; of tickers that leave 5 modulo 13 the
+    second page has not landed."""
+    t = event_ticks(spark, sf_dir)
+    by_ticker = Window.partitionBy("ticker")
+    number = F.floor((F.row_number().over(by_ticker.orderBy("seq")) - 1) / F.lit(page_size))
+    raw = as_raw_bars(
+        t.withColumn("page", number).withColumn("last", F.floor((F.count("*").over(by_ticker) - 1) / F.lit(page_size))),
+        keep=("page", "last"),
+    )
+    raw = raw.withColumn("bar", F.struct("v", "vw", "o", "c", "h", "l", "t", "n"))
+    pages = raw.groupBy("ticker", "page", "last").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("t").alias("_t"), F.col("bar")))).alias("_r")
+    )
+    url = lambda page: F.concat(F.lit("/bars/"), F.col("ticker"), F.lit("/"), page.cast("string"))
+    again = F.col("ticker").cast("bigint") % 11 == 0
+    following = F.when(F.col("page") < F.col("last"), url(F.col("page") + 1)).when(again, url(F.lit(0)))
+    landed = ~((F.col("ticker").cast("bigint") % 13 == 5) & (F.col("page") == 1))
+    return pages.where(landed).select(
+        url(F.col("page")).alias("url"), "ticker", F.transform("_r", lambda x: x["bar"]).alias("results"),
+        following.alias("next_url"),
+    ).repartition(F.xxhash64("url"))
+
+
 def land(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write a feed (one Spark job) and return its path."""
     df.write.mode("errorifexists").format(fmt).save(path)
