@@ -134,7 +134,7 @@ def run(argv: list[str] | None = None, spark=None):
         )
     else:
         query = apps.tail_app(records, args.checkpoint, args.out, trigger)
-    # also e.g. the alert app's quarantine query; the first failure is raised
+    # the first failure is raised
     running = [query, *(q for q in spark.streams.active if q.id != query.id)]
     while running:
         for q in running:

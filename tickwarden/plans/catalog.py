@@ -15,6 +15,7 @@ from tickwarden.functions.exprs import iso_datetime, ntz_to_ms
 from tickwarden.functions.exprs import round2 as round2_expr
 from tickwarden.operators import bars as bars_op
 from tickwarden.operators import chains, decode, detectors, messages, points, records, routing
+from tickwarden.operators.pointlog import PointLog
 from tickwarden.plans import params as P
 from tickwarden.schemas import (
     CHANGE_ALERT_FIELDS,
@@ -232,6 +233,19 @@ def q_points_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.read_points_range(spark, path, P.RANGE_START, P.RANGE_STOP, P.MEASUREMENT)
 
 
+@query("points_log_range")
+def q_points_log_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3, AGG-4, FLT-6: the point table written in five runs, four of
+    them merged, one week read from the files that hold it."""
+    feed = landing.point_feed(spark, sf_dir)
+    log = PointLog(spark, scratch_path(spark, "point-log"))
+    for lo, hi in offset_slices(feed, 5):
+        part = feed.where((F.col("offset") >= lo) & (F.col("offset") < hi))
+        log.append(points.points_from_records(part, P.MEASUREMENT))
+        log.merge()
+    return log.read_range(P.RANGE_START, P.RANGE_STOP, P.MEASUREMENT)
+
+
 @query("date_range")
 def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-7: orders of 1997 by UTC date."""

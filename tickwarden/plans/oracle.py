@@ -261,6 +261,8 @@ ORACLE["points_range"] = (
     + "\nGROUP BY ticker, time"
 )
 
+ORACLE["points_log_range"] = ORACLE["points_range"]
+
 ORACLE["date_range"] = f"""SELECT * FROM orders
 WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{P.DATE_RANGE_START}' AND DATE '{P.DATE_RANGE_END}'"""
 

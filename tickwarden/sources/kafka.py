@@ -59,13 +59,15 @@ def sink_options(bootstrap: str, checkpoint: str, topic: str | None = None) -> d
     return opts
 
 
-def write_topic(rows: DataFrame, bootstrap: str, topic: str) -> None:
-    """One micro-batch's ``(key, value)`` rows to a topic, at least once."""
+def write_topic(rows: DataFrame, bootstrap: str, topic: str | None) -> None:
+    """One micro-batch's ``(key, value)`` rows to a topic, at least once;
+    without ``topic`` each row's ``topic`` column routes it."""
     rows.write.format("kafka").options(**batch_sink_options(bootstrap, topic)).save()
 
 
-def batch_sink_options(bootstrap: str, topic: str) -> dict[str, str]:
-    return {"kafka.bootstrap.servers": bootstrap, "kafka.acks": "all", "topic": topic}
+def batch_sink_options(bootstrap: str, topic: str | None) -> dict[str, str]:
+    opts = {"kafka.bootstrap.servers": bootstrap, "kafka.acks": "all"}
+    return {**opts, "topic": topic} if topic else opts
 
 
 def dead_letter_records(rejected: DataFrame) -> DataFrame:

@@ -73,19 +73,14 @@ def alert_app(
     """Tick topic -> both detectors -> alert topic (per-type JSON, key = ticker).
 
     With ``quarantine`` (a folder, or a dead-letter topic as ``(bootstrap,
-    topic)``), a second query on the same source writes the undecodable
-    records ``(value, reason, offset)`` there (its checkpoint
-    is ``<checkpoint>-quarantine``); it runs alongside and shows in
-    ``spark.streams.active``.  The returned query is the alert query.
+    topic)``), undecodable records ``(value, reason, offset)`` go there, from
+    the same scan and decode: one query, whose outputs a ledger keeps apart
+    (folders then hold one folder per micro-batch).
     """
     if quarantine is not None:
-        bad, folder = jobs.quarantined(records), isinstance(quarantine, str)
-        _start(
-            bad if folder else kafka_io.dead_letter_records(bad),
-            f"{checkpoint}-quarantine",
-            quarantine if folder else None,
-            None if folder else quarantine,
-            trigger,
+        return jobs.start_alert_split_sink(
+            records, target, threshold, _one(out, kafka), quarantine, checkpoint, trigger, zero_policy,
+            target_type, change_type,
         )
     alerts = jobs.alert_stream(
         jobs.decoded_ticks(records), target, threshold, zero_policy=zero_policy,
@@ -148,16 +143,16 @@ def route_app(
     """Snapshot topic -> one record per field, routed to the topic named
     after the field (Kafka) or to ``topic=<field>`` folders (files).
 
-    With ``quarantine`` (a folder or a dead-letter topic; ``out=`` only),
-    each micro-batch is parsed once and written twice: routed fields below
-    ``out``, by batch and topic, and snapshots without the timespan object.
+    With ``quarantine`` (a folder or a dead-letter topic), each micro-batch
+    is parsed once and written twice: routed fields (below ``out``, by batch
+    and topic, or to the topics they name), and snapshots without the
+    timespan object.
     With very many fields, ``partition_by=()`` keeps the topic a column
     instead of a folder for each.
     """
     if quarantine is not None:
-        if out is None:
-            raise ValueError("quarantine= needs out=")
-        return jobs.start_route_split_sink(records, out, quarantine, checkpoint, timespan, trigger, partition_by)
+        target = _one(out, (bootstrap, None) if bootstrap else None)
+        return jobs.start_route_split_sink(records, target, quarantine, checkpoint, timespan, trigger, partition_by)
     routed = jobs.route_stream(records, timespan)
     kafka = (bootstrap, None) if bootstrap else None
     return _start(routed, checkpoint, out, kafka, trigger, () if kafka else partition_by)
@@ -197,11 +192,13 @@ def bar_app(
     multiplier: int = 5,
     timespan: str = "minute",
     trigger: str | None = None,
+    compact_every: int = 0,
 ) -> StreamingQuery:
-    """Tick topic -> bar folders (read with ``jobs.latest_bars``, merged
-    now and then with ``jobs.compact_bars``)."""
+    """Tick topic -> bar folders (read with ``jobs.latest_bars``), merged
+    every ``compact_every`` micro-batches."""
     ticks = jobs.decoded_ticks(records)
-    return jobs.start_bar_sink(jobs.bar_stream(ticks, multiplier, timespan), out, checkpoint, trigger)
+    bars_out = jobs.bar_stream(ticks, multiplier, timespan)
+    return jobs.start_bar_sink(bars_out, out, checkpoint, trigger, compact_every)
 
 
 def tail_app(

@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tickwarden.functions.exprs import ms_to_instant
@@ -36,6 +37,7 @@ from tickwarden.streaming.processor import (
     AlertLogic,
     AlertProcessor,
     pandas_state_function,
+    tagged_state_function,
 )
 
 # The reference attaches a 15 s bounded-out-of-orderness watermark.
@@ -44,6 +46,12 @@ DEFAULT_WATERMARK = "15 seconds"
 CALENDAR_SPANS = ("month", "quarter", "year")
 # the run folder of merged bar versions
 COMPACTED = "compacted"
+# what a merge replaced, removed by the merge after it
+REPLACED = "_replaced"
+# tasks that write the points of one hour of a micro-batch
+WRITERS = 8
+# A folder, or a Kafka topic as (bootstrap servers, topic).
+Target = str | tuple[str, str]
 
 
 def decoded_ticks(records: DataFrame) -> DataFrame:
@@ -114,18 +122,95 @@ def alert_stream(
     raise ValueError("api must be 'pandas_with_state' or 'transform_with_state'")
 
 
+# records that give no tick spread over so many keys
+REJECTED_PARTS = 64
+TAGGED = T.StructType(
+    [*ALERT.fields, T.StructField("value", T.StringType()), T.StructField("reason", T.StringType()),
+     T.StructField("offset", T.LongType())]
+)
+
+
+def tagged_alert_stream(
+    records: DataFrame,
+    target: float | None,
+    threshold: float | None,
+    zero_policy: str = "latch",
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> DataFrame:
+    """KEY-2, DEC-3: one scan and one decode for alerts and rejected records.
+
+    Rows are alerts (``reason`` null) or records that gave no tick
+    (``value``, ``reason``, ``offset``).  Rejected records pass the
+    detectors' shuffle under keys of their own and leave no state.
+    """
+    if zero_policy not in ("latch", "skip"):
+        raise ValueError("zero_policy must be 'latch' or 'skip'")
+    spark = records.sparkSession
+    use_rocksdb_state(spark)
+    ship_package(spark)
+    arrival = arrival_columns(records)
+    parsed = decode.parse(records)
+    bad, close = F.col("reason").isNotNull(), F.col("rec.close")
+    usable = close.isNotNull() if zero_policy == "latch" else close.isNotNull() & (close != 0)
+    own_part = F.pmod(F.xxhash64("value", *arrival), F.lit(REJECTED_PARTS)).cast("int")
+    rows = parsed.where(bad | usable).select(
+        F.when(~bad, F.col("rec.ticker")).alias("ticker"),
+        F.when(bad, own_part).otherwise(F.lit(-1)).alias("part"),
+        *[F.col(f"rec.{c}").alias(c) for c in ("timestamp", "datetime", "close")],
+        F.when(bad, F.col("value").cast("string")).alias("value"),
+        "reason",
+        *arrival,
+    )
+    logic = AlertLogic(target, threshold, list(arrival or ("timestamp",)), target_type, change_type)
+    if "offset" not in arrival:
+        rows = rows.withColumn("offset", F.lit(None).cast("bigint"))
+    return rows.groupBy("ticker", "part").applyInPandasWithState(
+        tagged_state_function(logic), TAGGED, STATE_SCHEMA, "append", "NoTimeout"
+    )
+
+
+def start_alert_split_sink(
+    records: DataFrame,
+    target: float | None,
+    threshold: float | None,
+    out: Target,
+    quarantine: Target,
+    checkpoint: str,
+    trigger: str | None = None,
+    zero_policy: str = "latch",
+    target_type: str = TARGET_PRICE_ALERT,
+    change_type: str = PERCENTAGE_CHANGE_ALERT,
+) -> StreamingQuery:
+    """ST-3 + SNK-1 + SNK-7 in one query: alert records, rejected records."""
+    tagged = tagged_alert_stream(records, target, threshold, zero_policy, target_type, change_type)
+
+    def alerts(batch: DataFrame) -> DataFrame:
+        found = batch.where(F.col("reason").isNull()).select(*[f.name for f in ALERT.fields])
+        return messages.alert_records(found, target_type, change_type)
+
+    def rejected(batch: DataFrame) -> DataFrame:
+        return batch.where(F.col("reason").isNotNull()).select("value", "reason", "offset")
+
+    return start_split_outputs(
+        tagged, lambda batch: batch, [(alerts, out, ()), dead_letters(rejected, quarantine)], checkpoint, trigger
+    )
+
+
 def point_stream(records: DataFrame, measurement: str = DEFAULT_MEASUREMENT) -> DataFrame:
     """SRC-2 + DEC-4 + PRJ-4: points to append to the point log.
 
     Each micro-batch (bounded by the trigger) is hash-partitioned by
-    measurement, date and hour, so at most 24 tasks write a date folder
-    instead of every task writing a small file into every folder, and
-    the one date of a live feed still spreads over the tasks.
+    measurement, date, hour and a share of the tickers, so at most
+    ``24 x WRITERS`` tasks write a date folder instead of every task
+    writing a small file into every folder, and a live feed, whose batch
+    lies within one hour, spreads over ``WRITERS`` tasks.
     """
+    share = F.pmod(F.xxhash64("ticker"), F.lit(WRITERS))
     return (
         points.points_from_records(records, measurement)
         .withColumn("date", F.col("time").cast("date"))
-        .repartition("measurement", "date", F.hour("time"))
+        .repartition("measurement", "date", F.hour("time"), share)
     )
 
 
@@ -179,45 +264,80 @@ def latest_bars(
 
 
 def _last_versions(emitted: DataFrame) -> DataFrame:
+    """A bar only gains trades, so the version with most trades is the last,
+    whatever the writers' clocks say; the time decides among equal ones."""
     cols = [c for c in emitted.columns if c not in ("ticker", "timestamp", "run", "batch_id")]
     last = emitted.groupBy("ticker", "timestamp").agg(
-        F.max_by(F.struct(*cols), F.struct("emitted_at", "batch_id")).alias("b")
+        F.max_by(F.struct(*cols), F.struct("number_of_trades", "emitted_at", "batch_id")).alias("b")
     )
     return last.select("ticker", "timestamp", *[F.col(f"b.{c}").alias(c) for c in cols])
 
 
-def compact_bars(spark: SparkSession, path: str) -> int:
+def compact_bars(spark: SparkSession, path: str, grace: bool = False) -> int:
     """Replace the folders of finished micro-batches by one that holds the
     last version of each of their bars; returns how many it replaced.
 
     Each run's newest folder stays, since a replay may write it again, so
     this may run beside the stream.  The new folder is complete before an
-    old one goes, and the versions keep their time of emission: a reader
-    or a crash in between sees some bars twice and the same result.  The
-    driver handles folder names only.
+    old one goes.  With ``grace`` the folders that a merge has replaced are
+    removed by the next merge only, so a reader that has listed them still
+    finds them; until then some bars are there twice, with the same result.
+    A merge that broke off is made good by the next one, whatever step it
+    had reached.  The driver handles folder names only.
     """
+    ledger = Ledger(spark, f"{path}/{REPLACED}")
+    replaced = ledger.names()  # "<run>,<batch>" of folders merged before
     emitted = spark.read.parquet(path)
-    folders = emitted.select("run", "batch_id").distinct().collect()
+    folders = [f"{f.run},{f.batch_id}" for f in emitted.select("run", "batch_id").distinct().collect()]
     newest: dict[str, int] = {}
-    for f in folders:
-        newest[f.run] = max(newest.get(f.run, -1), f.batch_id)
-    old = [f for f in folders if f.run == COMPACTED or f.batch_id < newest[f.run]]
-    if len(old) < 2:
+    for run, batch in (f.split(",") for f in folders):
+        newest[run] = max(newest.get(run, -1), int(batch))
+    gone = set(replaced)
+    merged = [f for f in folders if f.startswith(f"{COMPACTED},") and f not in gone]
+    finished = [f for f in folders if not f.startswith(f"{COMPACTED},") and f not in gone
+                and int(f.split(",")[1]) < newest[f.split(",")[0]]]
+    if len(merged) + len(finished) < 2:
         return 0
     # finished means below its run's newest: a condition per run, not per folder
-    finished = F.col("run") == COMPACTED
+    below = F.col("run") == COMPACTED
     for run, batch in newest.items():
         if run != COMPACTED:
-            finished = finished | ((F.col("run") == run) & (F.col("batch_id") < batch))
-    _last_versions(emitted.where(finished)).write.mode("errorifexists").parquet(
+            below = below | ((F.col("run") == run) & (F.col("batch_id") < batch))
+    _last_versions(emitted.where(below)).write.mode("overwrite").parquet(
         f"{path}/run={COMPACTED}/batch_id={newest.get(COMPACTED, -1) + 1}"
     )
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in old:
-        store.delete(hadoop.Path(root, f"run={f.run}/batch_id={f.batch_id}"), True)
-    return len(old)
+    for name in [*merged, *finished]:
+        ledger.add(name)
+    folder = Ledger(spark, path)
+    for name in replaced if grace else ledger.names():
+        run, batch = name.split(",")
+        folder.drop([f"run={run}/batch_id={batch}"])
+        ledger.drop([name])
+    return len(merged) + len(finished)
+
+
+class Ledger:
+    """Names of finished steps: empty files in a shared folder."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.folder = self._path(folder)
+        self.store = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def holds(self, name: str) -> bool:
+        return self.store.exists(self._path(self.folder, name))
+
+    def add(self, name: str) -> None:
+        self.store.create(self._path(self.folder, name), True).close()
+
+    def drop(self, names: Sequence[str]) -> None:
+        for name in names:
+            self.store.delete(self._path(self.folder, name), True)
+
+    def names(self) -> list[str]:
+        if not self.store.exists(self.folder):
+            return []
+        return sorted(f.getPath().getName() for f in self.store.listStatus(self.folder))
 
 
 def batch_folder(path: str, checkpoint: str, batch_id: int) -> str:
@@ -235,16 +355,19 @@ def triggered(writer: DataStreamWriter, trigger: str | None) -> DataStreamWriter
 
 
 def start_bar_sink(
-    bars: DataFrame, path: str, checkpoint: str, trigger: str | None = None
+    bars: DataFrame, path: str, checkpoint: str, trigger: str | None = None, compact_every: int = 0
 ) -> StreamingQuery:
     """Each micro-batch overwrites its own folder, so a batch replayed
-    after a failure replaces, never duplicates, its rows (``compact_bars``
-    merges the folders)."""
+    after a failure replaces, never duplicates, its rows.  After every
+    ``compact_every`` batches (0: never) the folders are merged
+    (``compact_bars``)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("emitted_at", F.current_timestamp()).write.mode("overwrite").parquet(
             batch_folder(path, checkpoint, batch_id)
         )
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_bars(batch.sparkSession, path, grace=True)
 
     writer = (
         bars.writeStream.outputMode("update")
@@ -268,9 +391,6 @@ def start_parquet_sink(
         writer = writer.trigger(availableNow=True)
     return writer.outputMode("append").start(path)
 
-# A folder, or a Kafka topic as (bootstrap servers, topic).
-Target = str | tuple[str, str]
-
 
 def start_split_outputs(
     records: DataFrame,
@@ -283,15 +403,21 @@ def start_split_outputs(
     partition columns)``.
 
     The parsed batch is persisted (one micro-batch, bounded by the
-    trigger) while the outputs are written.  Folders are overwritten per
-    batch, so a replayed batch replaces its files; topics get it again
-    (at least once).
+    trigger) while the outputs are written.  A ledger beside the checkpoint
+    names the outputs that a batch has finished: when the batch runs again
+    after a failure, those are left alone.  A folder that was being written
+    is overwritten, so its rows never double; a topic that was being
+    written may get them again (at least once).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        ledger = Ledger(batch.sparkSession, f"{checkpoint}-ledger")
+        open_outputs = [(i, o) for i, o in enumerate(outputs) if not ledger.holds(f"{batch_id}-{i}")]
+        if not open_outputs:
+            return
         parsed = parse(batch).persist()
         try:
-            for rows, target, partition_by in outputs:
+            for i, (rows, target, partition_by) in open_outputs:
                 out = rows(parsed)
                 if isinstance(target, str):
                     out.write.mode("overwrite").partitionBy(*partition_by).parquet(
@@ -299,8 +425,10 @@ def start_split_outputs(
                     )
                 else:
                     kafka.write_topic(out, *target)
+                ledger.add(f"{batch_id}-{i}")
         finally:
             parsed.unpersist()
+        ledger.drop([f"{batch_id - 2}-{i}" for i in range(len(outputs))])
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return triggered(writer, trigger).start()
@@ -332,7 +460,7 @@ def start_split_sink(
 
 def start_route_split_sink(
     records: DataFrame,
-    routed: str,
+    routed: Target,
     rejected: Target,
     checkpoint: str,
     timespan: str = DEFAULT_TIMESPAN_KEY,

@@ -213,6 +213,31 @@ def pandas_state_function(logic: AlertLogic):
     return detect
 
 
+REJECTED_COLUMNS = ["value", "reason", "offset"]
+
+
+def tagged_state_function(logic: AlertLogic):
+    """Both detectors for keys ``(ticker, -1)``; records that gave no tick come
+    under ``(null, n)`` with n >= 0 and pass through, without state.  A row of
+    the output has a ``reason`` if and only if it is such a record."""
+    alerts = pandas_state_function(logic)
+
+    def detect(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if key[1] >= 0:
+            for frame in frames:
+                out = frame[REJECTED_COLUMNS].reset_index(drop=True)
+                for c in ALERT_COLUMNS:
+                    out[c] = pd.Series([None] * len(out), dtype=_dtype(c))
+                yield out[ALERT_COLUMNS + REJECTED_COLUMNS]
+            return
+        for out in alerts(key, frames, state):
+            for c in REJECTED_COLUMNS:
+                out[c] = pd.Series([None] * len(out), index=out.index, dtype="Int64" if c == "offset" else "object")
+            yield out
+
+    return detect
+
+
 class AlertProcessor(StatefulProcessor):
     """The same logic for ``transformWithStateInPandas`` (RocksDB state;
     one read and at most one write of the state value per key and batch)."""
