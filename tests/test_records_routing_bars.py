@@ -181,3 +181,34 @@ def test_large_weighted_sums_are_exact(spark):
     from decimal import Decimal
 
     assert bars.bars(ticks, 1, "day").first().notional == 3000 * Decimal("99999999.99") * 99999999
+
+
+def test_large_prices_and_volumes_have_exact_weighted_sums(spark):
+    from decimal import Context, Decimal
+
+    from pyspark.sql import functions as F
+
+    from tickwarden.operators import bars as bars_op
+
+    exact = Context(prec=80)
+    pairs = [(2e12, 3.0), (0.5, 2e14), (2e12, 2e14), (1.25e12, 1e10), (123456789.123456, 7e15), (-2.5e12, 4.5),
+             (1e18, 1e9), (3.5, 2.25), (0.000001, 5e17)]
+    rows = [("A", 1000 + i, p, v) for i, (p, v) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "ticker string, timestamp long, close double, volume double")
+    want = Decimal(0)
+    for p, v in pairs:
+        want = exact.add(want, exact.multiply(Decimal(repr(p)), Decimal(repr(v))))
+    for part in (df, df.repartition(3), df.orderBy(F.desc("close"))):
+        bar = bars_op.bars(part, 1, "day").first()
+        assert bar.notional == want
+        assert bar.vwap == float(want) / sum(v for _, v in pairs)
+    one = bars_op.bars(df.where("timestamp in (1000, 1001)"), 1, "day").first()
+    assert one.vwap == (2e12 * 3 + 0.5 * 2e14) / (3 + 2e14)
+    # rolled up: the same
+    rolled = bars_op.bars(bars_op.bars(df, 1, "second"), 1, "day").first()
+    assert rolled.notional == want
+    # beyond the range: null, and said so
+    for p, v in ((1e19, 1.0), (1.0, 1e18), (1e18, 1e17), (float("inf"), 1.0), (None, 1.0)):
+        far = spark.createDataFrame([("A", 1000, p, v)], "ticker string, timestamp long, close double, volume double")
+        assert bars_op.bars(far, 1, "day").first().vwap is None
+    assert bars_op.bars(spark.createDataFrame([("A", 1000, 1e30, 0.0)], df.schema), 1, "day").first().notional == 0

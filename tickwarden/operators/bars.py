@@ -10,9 +10,11 @@ The weighted sum (``notional``) is a decimal: prices count to
 ``PRICE_SCALE`` and volumes to ``VOLUME_SCALE`` decimals (rounded half
 up beyond), so sums are exact and independent of the order rows are
 added in, and rolling day bars up to weeks gives exactly the week bars
-built from ticks.  Volume 0 weighs nothing whatever the price.  A bar
-holding a row whose price or volume is null, NaN or infinite has a null
-``notional`` and ``vwap`` (and so has a roll-up of it); its other
+built from ticks.  Prices below 10^19, volumes below 10^18 and weighted
+sums below 10^28 have room.  Volume 0 weighs nothing whatever the price.
+A bar holding a row whose price or volume is null, NaN, infinite or out of
+that range has a null ``notional`` and ``vwap`` (and so has a roll-up of
+it); its other
 columns are built from the values as they are (NaN counts as the
 largest price, as in Spark's ordering).
 
@@ -40,6 +42,7 @@ from tickwarden.schemas import (
 BAR_FIELDS = TICK_FIELDS + ["notional"]
 # decimals kept of a price and of a volume in the weighted sum
 PRICE_SCALE, VOLUME_SCALE = 6, 4
+NOTIONAL = f"decimal(38,{PRICE_SCALE + VOLUME_SCALE})"
 
 
 def validate_bar_params(
@@ -80,6 +83,26 @@ def _to_date(col: Column) -> Column:
     return col.cast("date")
 
 
+def weighted(price: Column, volume: Column) -> Column:
+    """The exact product of a price and a volume (of their kept decimals), as
+    ``NOTIONAL``; null from 10^28 up.
+
+    Up to 18 digits each, one decimal product has room.  Larger ones are
+    split into a whole part and a fraction; each of the four products is
+    exact, and so is their sum.
+    """
+    narrow = price.try_cast(f"decimal(18,{PRICE_SCALE})") * volume.try_cast(f"decimal(18,{VOLUME_SCALE})")
+    p, v = price.try_cast(f"decimal(25,{PRICE_SCALE})"), volume.try_cast(f"decimal(22,{VOLUME_SCALE})")
+    p_whole, v_whole = F.floor(p).try_cast("decimal(19,0)"), F.floor(v).try_cast("decimal(18,0)")
+    p_rest = (p - p_whole).try_cast(f"decimal({PRICE_SCALE + 1},{PRICE_SCALE})")
+    v_rest = (v - v_whole).try_cast(f"decimal({VOLUME_SCALE + 1},{VOLUME_SCALE})")
+    wide = None
+    for a, b in ((p_whole, v_whole), (p_whole, v_rest), (p_rest, v_whole), (p_rest, v_rest)):
+        part = (a * b).try_cast(NOTIONAL)
+        wide = part if wide is None else F.try_add(wide, part).try_cast(NOTIONAL)
+    return F.coalesce(narrow.try_cast(NOTIONAL), wide)
+
+
 def bar_inputs(rows: DataFrame, order_by: Sequence[str] | None = None, key: str = "ticker") -> DataFrame:
     """Per-row inputs of the bar aggregates (ticks or bars alike)."""
     order = list(order_by) if order_by else (
@@ -96,10 +119,8 @@ def bar_inputs(rows: DataFrame, order_by: Sequence[str] | None = None, key: str
     notional = (
         F.col("notional")
         if "notional" in cols
-        else F.when(volume == 0, F.lit(0)).otherwise(
-            vwap.try_cast(f"decimal(18,{PRICE_SCALE})") * volume.try_cast(f"decimal(18,{VOLUME_SCALE})")
-        )
-    ).cast(f"decimal(38,{PRICE_SCALE + VOLUME_SCALE})")
+        else F.when(volume == 0, F.lit(0).cast(NOTIONAL)).otherwise(weighted(vwap, volume))
+    ).cast(NOTIONAL)
     extra = [c for c in ("event_time",) if c in cols]
     return rows.select(
         F.col(key).alias("ticker"),
