@@ -72,7 +72,8 @@ def test_long_piece_and_short_stretches(code, library, monkeypatch):
 def test_memo_stays_bounded(code):
     for i in range(300):
         code.encode(f"some new words number{i} and{i}")
-    assert len(code.young) <= 50 and len(code.old) <= 50
+        code.encode(f"again number{i} and{i}")
+    assert 25 <= len(code.memo) <= 50
 
 
 def test_round_trip_of_odd_documents(spark, library):

@@ -10,7 +10,7 @@ no neighbours form an entry.  Decoding joins the entries' bytes.
 
 Distribution: every row is encoded by itself, without a shuffle.  A worker
 builds the table once from the vocabulary file and remembers the ids of
-recent chunks of text, at most ``MEMO_CHUNKS`` of them in two generations.
+chunks of text that recur, at most ``MEMO_CHUNKS`` of them.
 A chunk starts at a blank that no white space follows: pre-tokens of this
 pattern hold a blank only as their first character, so such a place is
 always a border.  A text is handled in stretches of whole chunks of about
@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,10 @@ from pyspark.sql import functions as F
 
 from tickwarden.llm.common import batches, column, prepare, worker_task
 
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 600_000
 STRETCH = 1 << 20
 KEYS_PER_BUCKET = 4
+SLOTS = 1 << 22
 
 _CODERS: dict[tuple[str, str], Coder] = {}
 
@@ -128,56 +131,66 @@ class PerfectHash:
         ]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def short_ranks(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int | None]]:
+    """Ranks of all single bytes, and of all pairs of bytes (256 a + b)."""
+    single = [ranks.get(bytes([a])) for a in range(256)]
+    return single, [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], single: list, double: list) -> list[int]:
     """Ids of one pre-token: a heap over its linked bytes."""
     n = len(piece)
-    following, before = list(range(1, n + 2)), list(range(-1, n))
-    gone = bytearray(n + 1)
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            heap.append(rank << 32 | i)
+    get = ranks.get
+    place = n.bit_length()  # low bits of a heap entry: where the pair starts
+    low = (1 << place) - 1
+    ids = [single[a] for a in piece]
+    pair = [double[a << 8 | b] for a, b in pairwise(piece)]  # rank of the pair that starts here
+    heap = [rank << place | i for i, rank in enumerate(pair) if rank is not None]
     heapify(heap)
+    pair.append(None)
+    following, before = list(range(1, n + 2)), list(range(-1, n))
     while heap:
         top = heappop(heap)
-        i = top & 0xFFFFFFFF
-        if gone[i]:
+        i, rank = top & low, top >> place
+        if pair[i] != rank:  # merged away or changed since
             continue
         j = following[i]
-        if j >= n:
-            continue
         k = following[j]
-        if ranks.get(piece[i:k]) != top >> 32:  # the pair has changed since
-            continue
-        gone[j] = 1
+        ids[i] = rank
+        ids[j] = pair[j] = None
         following[i], before[k] = k, i
         if k < n:
-            rank = ranks.get(piece[i : following[k]])
+            pair[i] = rank = get(piece[i : following[k]])
             if rank is not None:
-                heappush(heap, rank << 32 | i)
+                heappush(heap, rank << place | i)
+        else:
+            pair[i] = None
         p = before[i]
         if p >= 0:
-            rank = ranks.get(piece[p:k])
+            pair[p] = rank = get(piece[p:k])
             if rank is not None:
-                heappush(heap, rank << 32 | p)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : following[i]]])
-        i = following[i]
-    return out
+                heappush(heap, rank << place | p)
+    return [i for i in ids if i is not None]
+
 
+RUN = regex.compile(r" \s")
 
-def chunks(text: str) -> list[str]:
-    """The text cut before every blank that no white space follows."""
+
+def chunks(text: str) -> tuple[str, list[str]]:
+    """The text cut before every blank that no white space follows: the first
+    piece, and the others without their blank."""
     first, *rest = text.split(" ")
-    out = [first]
+    if not rest or not (text[-1] == " " or RUN.search(text)):
+        return first, rest
+    out: list[str] = []
     for s in rest:
         if s and not s[0].isspace():
-            out.append(" " + s)
-        else:
+            out.append(s)
+        elif out:
             out[-1] += " " + s
-    return out
+        else:
+            first += " " + s
+    return first, out
 
 
 class Coder:
@@ -191,33 +204,54 @@ class Coder:
             self.bytes[rank] = token
         self.digits = [str(i) for i in range(len(self.bytes))]
         self.split = regex.compile(pattern).findall
-        self.half = max(1, memo // 2)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, wanted: set[str]) -> None:
-        """Put the ids of all wanted chunks into the young generation."""
-        missing = wanted - self.young.keys()
-        if len(self.young) + len(missing) > self.half:
-            self.old, self.young = self.young, {}
-            missing = wanted
-        new = []
-        for chunk in missing:
-            known = self.old.get(chunk)
-            if known is None:
-                new.append(chunk)
-            else:
-                self.young[chunk] = known
+        self.single, self.double = short_ranks(self.ranks)
+        self.limit = memo
+        self.memo: dict[str, bytes] = {}
+        self.seen = bytearray(SLOTS)  # marks of chunks met before
+
+    def _resolve(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: the perfect hash, else merges."""
+        codes, tables = self.codes, (self.ranks, self.single, self.double)
+        raw = [p.encode() for p in pieces]
+        return [
+            array("I", [codes[at]] if at >= 0 else merge(text, *tables)).tobytes()
+            for text, at in zip(raw, self.table.find(raw))
+        ]
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Put the ids of all wanted chunks (with a blank before them) into
+        the memo; returns those that are not to stay.  Once it is half full, a
+        chunk stays from its second time on, as most new ones never recur."""
+        new = list(wanted.difference(self.memo))
         if not new:
-            return
-        pieces = [[p.encode() for p in self.split(chunk)] for chunk in new]
-        distinct = list({p for ps in pieces for p in ps})
-        ids = {
-            piece: np.array([self.codes[at]] if at >= 0 else merge(piece, self.ranks), "<u4").tobytes()
-            for piece, at in zip(distinct, self.table.find(distinct))
-        }
-        get = ids.__getitem__
-        self.young.update((chunk, b"".join(map(get, ps))) for chunk, ps in zip(new, pieces))
+            return []
+        memo = self.memo
+        room = self.limit - len(memo)
+        pieces = [self.split(" " + chunk) for chunk in new]
+        # the first pre-token may be known as a chunk of its own
+        inner = {p for ps in pieces for p in ps[1:]}
+        known = {p for ps in pieces if (p := ps[0][1:]) in memo}
+        heads = list({ps[0] for ps in pieces if ps[0][1:] not in known})
+        tails = list(inner)
+        found = dict(zip(heads, self._resolve(heads)))
+        rest = dict(zip(tails, self._resolve(tails)))
+        for head, ids in found.items():
+            memo[head[1:]] = ids
+        get = rest.__getitem__
+        for chunk, ps in zip(new, pieces):
+            if len(ps) > 1:
+                memo[chunk] = memo[ps[0][1:]] + b"".join(map(get, ps[1:]))
+        if 2 * room > self.limit + 2 * len(new):
+            return []
+        passing, seen = [], self.seen
+        for chunk in {*new, *(h[1:] for h in heads)}:
+            slot = hash(chunk) % SLOTS
+            if seen[slot] and room > 0:
+                room -= 1
+            else:
+                seen[slot] = 1
+                passing.append(chunk)
+        return passing
 
     def stretches(self, text: str | None) -> Iterator[bytes]:
         """A text's ids, as little-endian unsigned 32-bit integers, stretch by stretch."""
@@ -229,9 +263,11 @@ class Coder:
                 while end >= 0 and (end + 1 >= n or text[end + 1].isspace()):
                     end = text.find(" ", end + 1)
                 end = n if end < 0 else end
-            parts = chunks(text[at:end])
-            self._learn(set(parts))
-            yield b"".join(map(self.young.__getitem__, parts))
+            first, rest = chunks(text[at:end])
+            passing = self._learn(set(rest))
+            yield b"".join([*self._resolve(self.split(first)), *map(self.memo.__getitem__, rest)])
+            for chunk in passing:
+                del self.memo[chunk]
             at = end
 
     def encode(self, text: str | None) -> bytes:
