@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickwarden.llm import langid, mixing, packing, quality_rules, simhash
 from tickwarden.llm.common import stored
+from tickwarden.llm.tokens import MEMO_PIECES
 
 # The estimates, the language model and the packing have no SQL form.
 ORACLE_SQL = None
@@ -38,8 +39,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 1,024 tokens."""
-    return packing.pack_documents(docs)
+    """The documents' pieces in sequences of at most 1,024 tokens (a smaller
+    memo, as the earlier stages' memory is still held)."""
+    return packing.pack_documents(docs, memo=MEMO_PIECES)
 
 
 STAGES = [

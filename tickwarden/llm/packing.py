@@ -40,6 +40,7 @@ MAX_TOKENS = 1024
 OPEN_BINS = 2048
 ROWS_PER_TASK = 250_000
 ROUND_SHRINK = 16
+MEMO = 800_000  # pieces remembered per Python worker
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -101,7 +102,7 @@ class OpenSequences:
 
 def document_pieces(
     docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
-    with_ids: bool = False,
+    with_ids: bool = False, memo: int = MEMO,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and the
     piece's ids as ``token_ids``, little-endian 32-bit, if asked for)."""
@@ -110,7 +111,7 @@ def document_pieces(
     end = end_id.to_bytes(4, "little")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, memo)
 
         def rows():
             for batch in parts:
@@ -203,10 +204,10 @@ def pack_pieces(
 
 def pack_documents(
     docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS,
-    rows_per_task: int = ROWS_PER_TASK, with_ids: bool = False,
+    rows_per_task: int = ROWS_PER_TASK, with_ids: bool = False, memo: int = MEMO,
 ) -> DataFrame:
     """Documents to packed pieces (see the module's text)."""
-    pieces = document_pieces(docs, tokenizer, max_tokens, with_ids=with_ids)
+    pieces = document_pieces(docs, tokenizer, max_tokens, with_ids=with_ids, memo=memo)
     out = pack_pieces(pieces, max_tokens, open_bins, rows_per_task)
     return out if with_ids else out.drop("token_ids")
 

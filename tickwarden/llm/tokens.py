@@ -94,7 +94,7 @@ class PieceEncoder:
                 first, rest = _join_runs(first, rest)
             heads.append(first)
             tails.append(rest)
-        missing = [p for p in set().union(*tails) if p not in ids]
+        missing = list(set().union(*tails).difference(ids))
         found = self._new_pieces(missing) if missing else {}
         ids.update(found)
         get = ids.__getitem__
