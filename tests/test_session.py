@@ -55,3 +55,19 @@ def test_built_in_queries_ship_nothing(spark, monkeypatch, key):
     before = set(session._SHIPPED)
     assert QUERIES[key](spark, SF_SMALL).count() > 0
     assert session._SHIPPED == before
+
+
+def test_a_bare_folder_is_the_default_file_systems(spark, tmp_path):
+    from tickwarden.session import qualified
+
+    assert qualified(spark, str(tmp_path)) == str(tmp_path)
+    assert qualified(spark, "hdfs://host/x") == "hdfs://host/x"
+    conf = spark._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.shared.link./ckpt", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    try:
+        assert qualified(spark, "/ckpt/a") == "viewfs://shared/ckpt/a"
+        assert qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    finally:
+        conf.set("fs.defaultFS", old or "file:///")

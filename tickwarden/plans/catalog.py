@@ -569,6 +569,20 @@ def q_stream_bars_month_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_bars(spark, sf_dir, 1, "month", late)
 
 
+@query("stream_bars_closed")
+def q_stream_bars_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-3, ST-5: day bars emitted once, when the watermark closes them."""
+    run = _Run(spark, "closed-bars")
+    replay(
+        landing.tick_feed(spark, sf_dir),
+        run.landing,
+        lambda: apps.closing_bar_app(
+            files.stream_topic(spark, run.landing), run.checkpoint, f"{run.out}/bars", f"{run.out}/late", 1, "day",
+        ),
+    )
+    return _plain_notional(spark.read.parquet(f"{run.out}/bars").select(*bars_op.BAR_FIELDS))
+
+
 @query("stream_alerts_disorder")
 def q_stream_alerts_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-3: alerts follow arrival order (disordered times) and are the

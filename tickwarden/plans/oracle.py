@@ -358,3 +358,6 @@ ORACLE["stream_ingest"] = ORACLE["ingest_ticks"]
 ORACLE["stream_snapshot_route"] = f"""WITH {EVENT_TICKS}
 SELECT ticker AS topic, arg_max({dbl('close')}, seq) AS value FROM event_ticks
 GROUP BY ticker, timestamp // 86400000"""
+
+ORACLE["stream_bars_closed"] = f"""SELECT * FROM ({ORACLE['bars_day']}) AS b
+WHERE timestamp + 86400000 <= (SELECT max(epoch_us(ts) // 1000) - 15000 FROM events)"""

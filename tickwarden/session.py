@@ -138,7 +138,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     elif sc is not None and not sc.getCheckpointDir():
         # Dataset.checkpoint() needs the context's directory
         sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    return qualified(spark, root).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without scheme as the URI that Spark resolves it to, so that
+    readers outside Spark open the same place; one on a local file system
+    stays as it is."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # Spark Connect: the path goes to Spark only
+        return path
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    whole = there.getFileSystem(conf).makeQualified(there).toString()
+    return path if whole.startswith("file:") else whole
 
 
 def materialized(df: DataFrame, purpose: str) -> DataFrame:

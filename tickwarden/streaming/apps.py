@@ -13,6 +13,7 @@ is there and stops.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickwarden.operators import bars, messages
@@ -24,7 +25,7 @@ from tickwarden.schemas import (
     TARGET_PRICE_ALERT,
 )
 from tickwarden.sources import kafka as kafka_io
-from tickwarden.streaming import jobs
+from tickwarden.streaming import closing, jobs
 
 
 def _one(out: str | None, kafka: tuple[str, str | None] | None) -> jobs.Target:
@@ -201,6 +202,32 @@ def bar_app(
     return jobs.start_bar_sink(bars_out, out, checkpoint, trigger, compact_every)
 
 
+def closing_bar_app(
+    records: DataFrame,
+    checkpoint: str,
+    out: str,
+    late: jobs.Target,
+    multiplier: int = 5,
+    timespan: str = "minute",
+    delay: str = jobs.DEFAULT_WATERMARK,
+    trigger: str | None = None,
+) -> StreamingQuery:
+    """Tick topic -> bars, each written once when the watermark closes it, and
+    the ticks that come too late for theirs (a folder, or a topic of tick
+    text); one folder per micro-batch."""
+    tagged = closing.closing_bars(jobs.decoded_ticks(records), multiplier, timespan, delay)
+
+    def too_late(batch: DataFrame) -> DataFrame:
+        rows = closing.late_rows(batch)
+        if isinstance(late, str):
+            return rows
+        return rows.select(F.col("ticker").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+    return jobs.start_split_outputs(
+        tagged, lambda batch: batch, [(closing.closed_bars, out, ()), (too_late, late, ())], checkpoint, trigger
+    )
+
+
 def tail_app(
     records: DataFrame, checkpoint: str, out: str | None = None, trigger: str | None = None
 ) -> StreamingQuery:

@@ -23,6 +23,7 @@ what one key brings into one call.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,6 +32,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tickwarden.schemas import ALERT, PERCENTAGE_CHANGE_ALERT, TARGET_PRICE_ALERT
 
+# Spark joins a task's result frames itself, and some have columns of nulls only.
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation", category=FutureWarning)
+
 ALERT_COLUMNS = [f.name for f in ALERT.fields]
 STATE_SCHEMA = "latched BOOLEAN, last_close DOUBLE"
 
