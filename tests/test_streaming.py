@@ -271,3 +271,38 @@ def test_message_app_quarantine(spark, tmp_path):
                      quarantine=bad, target_type="level").awaitTermination()
     assert spark.read.parquet(out).count() == 1
     assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["malformed", "unknown_alert_type"]
+
+
+def test_a_fresh_stream_goes_on_from_the_state_of_a_history(spark):
+    from tickwarden.operators import detectors
+    from tickwarden.session import scratch_path
+    from tickwarden.streaming import jobs
+
+    nan = float("nan")
+    closes = {"A": [10.0, 300.0, 20.0, 40.0], "B": [5.0, 0.0, 7.0, 9.0], "C": [1.0, nan, 2.0, 9.0], "D": [None, None, 3.0, 400.0]}
+    rows = [(t, 1000 * i, f"d{i}", c, i) for t, cs in closes.items() for i, c in enumerate(cs)]
+    rows.append(("E", 5000, "d5", 260.0, 5))
+    ddl = "ticker string, timestamp long, datetime string, close double, offset long"
+    df = spark.createDataFrame(rows, ddl)
+    whole = detectors.alerts_union(
+        detectors.target_price_alerts(df, 250.0, order_by=["offset"]),
+        detectors.price_change_alerts(df, 50.0, order_by=["offset"]),
+    )
+    history = df.where("offset < 2")
+    state = detectors.detector_state(history, 250.0, order_by=["offset"])
+    assert {r.ticker: (r.latched, str(r.last_close)) for r in state.collect()} == {
+        "A": (True, "300.0"), "B": (False, "0.0"), "C": (False, "nan")}
+    base = scratch_path(spark, "test-state")
+    df.where("offset >= 2").coalesce(1).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ddl).parquet(f"{base}/in")
+    later = jobs.alert_stream(stream, 250.0, 50.0, api="transform_with_state", initial_state=state)
+    jobs.start_parquet_sink(later, f"{base}/out", f"{base}/ck", available_now=True).awaitTermination()
+    both = detectors.alerts_union(
+        detectors.target_price_alerts(history, 250.0, order_by=["offset"]),
+        detectors.price_change_alerts(history, 50.0, order_by=["offset"]), spark.read.parquet(f"{base}/out"))
+    assert sorted(map(str, both.collect())) == sorted(map(str, whole.collect()))
+    # what the checkpoint holds is the state of the whole history
+    want = detectors.detector_state(df, 250.0, order_by=["offset"])
+    assert sorted(map(str, jobs.stored_state(spark, f"{base}/ck").collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        jobs.alert_stream(stream, 250.0, 50.0, initial_state=state)

@@ -268,6 +268,34 @@ def chunk_carry(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def detector_state(
+    ticks: DataFrame,
+    target: float | None,
+    *,
+    key: str = "ticker",
+    order_by: Sequence[str] | None = None,
+    zero_policy: str = "latch",
+) -> DataFrame:
+    """ST-4: ``(ticker, latched, last_close)`` after a history, as the stream
+    would hold it: whether the target was reached, and the last usable close
+    (0 for good after a close of 0).  One grouped aggregation; keys without a
+    usable close have no state."""
+    order = _order(ticks, order_by)
+    close = F.col("close")
+    usable = ticks.where(close.isNotNull())
+    if zero_policy == "skip":
+        usable = usable.where(close != 0)
+    reached = F.lit(False) if target is None else ~F.isnan(close) & (close >= F.lit(float(target)))
+    rows = detector_rows(usable, key, order).withColumn("_hit", reached)
+    ends = rows.groupBy("_k").agg(
+        F.max("_hit").alias("latched"), F.max("_zero").alias("_any_zero"), F.max(F.struct(*total_order(order))).alias("_last")
+    )
+    return ends.select(
+        F.col("_k").alias("ticker"), "latched",
+        F.when(F.col("_any_zero"), F.lit(0.0)).otherwise(F.col("_last.close")).alias("last_close"),
+    )
+
+
 def alerts_union(*alerts: DataFrame) -> DataFrame:
     """SET-1: both alert shapes in one table (UNION ALL by name)."""
     out = None

@@ -364,6 +364,43 @@ def q_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alert_run(spark, sf_dir, restart=True)
 
 
+@query("stream_alerts_midway")
+def q_stream_alerts_midway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-4: a fresh stream that starts in the middle of the history with the
+    state of its first half; with the first half's alerts, those of the whole."""
+    run = _Run(spark, "midway")
+    ticks, feed = event_ticks(spark, sf_dir), landing.tick_feed(spark, sf_dir)
+    (lo, middle), (_, hi) = offset_slices(feed, 2)
+    history = ticks.where(F.col("seq") < middle)
+    state = materialized(detectors.detector_state(history, P.TARGET_PRICE), "state")
+    land_slice(feed, run.landing, middle, hi)
+    later = jobs.alert_stream(
+        jobs.decoded_ticks(files.stream_topic(spark, run.landing, None)), P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD,
+        api="transform_with_state", initial_state=state,
+    )
+    jobs.start_parquet_sink(later, run.out, run.checkpoint, available_now=True).awaitTermination()
+    return detectors.alerts_union(
+        detectors.target_price_alerts(history, P.TARGET_PRICE),
+        detectors.price_change_alerts(history, P.PRICE_CHANGE_THRESHOLD),
+        spark.read.parquet(run.out),
+    )
+
+
+@query("stream_state")
+def q_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-4: what the alert stream's checkpoint holds after the whole feed."""
+    run = _Run(spark, "state")
+    feed = landing.tick_feed(spark, sf_dir)
+
+    def start():
+        ticks = jobs.decoded_ticks(files.stream_topic(spark, run.landing))
+        alerts = jobs.alert_stream(ticks, P.TARGET_PRICE, P.PRICE_CHANGE_THRESHOLD)
+        return jobs.start_parquet_sink(alerts, run.out, run.checkpoint)
+
+    replay(feed, run.landing, start)
+    return jobs.stored_state(spark, run.checkpoint)
+
+
 @query("stream_messages")
 def q_stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops through the alert topic: the alert application writes

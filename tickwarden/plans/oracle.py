@@ -361,3 +361,8 @@ GROUP BY ticker, timestamp // 86400000"""
 
 ORACLE["stream_bars_closed"] = f"""SELECT * FROM ({ORACLE['bars_day']}) AS b
 WHERE timestamp + 86400000 <= (SELECT max(epoch_us(ts) // 1000) - 15000 FROM events)"""
+ORACLE["stream_alerts_midway"] = ORACLE["alerts_union"]
+ORACLE["stream_state"] = f"""WITH {EVENT_TICKS}
+SELECT ticker, coalesce(bool_or(close >= {P.TARGET_PRICE} AND NOT isnan(close)), false) AS latched,
+       CASE WHEN bool_or(close = 0) THEN 0.0::DOUBLE ELSE arg_max(close, seq) END AS last_close
+FROM event_ticks WHERE close IS NOT NULL GROUP BY ticker"""

@@ -82,6 +82,7 @@ def alert_stream(
     api: str = "pandas_with_state",
     target_type: str = TARGET_PRICE_ALERT,
     change_type: str = PERCENTAGE_CHANGE_ALERT,
+    initial_state: DataFrame | None = None,
 ) -> DataFrame:
     """ST-1..3: both detectors over one keyed stream, append mode.
 
@@ -93,7 +94,11 @@ def alert_stream(
     ``zero_policy="skip"`` drops zero closes before the shuffle, as the
     batch detector does.  ``api`` picks ``applyInPandasWithState``
     (default) or ``transformWithStateInPandas`` (``"transform_with_state"``).
+    ``initial_state`` (``detectors.detector_state`` of the history before the
+    stream; the second API only) lets a fresh stream go on where it ended.
     """
+    if initial_state is not None and api != "transform_with_state":
+        raise ValueError("initial_state needs api='transform_with_state'")
     if zero_policy not in ("latch", "skip"):
         raise ValueError("zero_policy must be 'latch' or 'skip'")
     spark = ticks.sparkSession
@@ -118,10 +123,24 @@ def alert_stream(
             outputStructType=ALERT,
             outputMode="Append",
             timeMode="None",
+            initialState=None if initial_state is None else initial_state.groupBy("ticker"),
         )
     raise ValueError("api must be 'pandas_with_state' or 'transform_with_state'")
 
 
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ST-4: ``(ticker, latched, last_close)`` as an alert stream's checkpoint
+    holds them now (either API), by the state data source."""
+    reader = spark.read.format("statestore")
+    try:
+        held = reader.option("stateVarName", "detectors").load(checkpoint)
+        state = "value"
+    except Exception:  # no named variables: applyInPandasWithState
+        held = spark.read.format("statestore").load(checkpoint)
+        state = "value.groupState"
+    return held.select("key.ticker", F.col(f"{state}.latched").alias("latched"), F.col(f"{state}.last_close").alias("last_close"))
+
+
 # records that give no tick spread over so many keys
 REJECTED_PARTS = 64
 TAGGED = T.StructType(

@@ -252,6 +252,11 @@ class AlertProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("detectors", STATE_SCHEMA)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Takes over the state of a history (ST-4)."""
+        for latched, last_close in zip(initialState["latched"], initialState["last_close"]):
+            self.state.update((bool(latched), float(last_close)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latched, prev_state = _unpack(self.state.get())
         out, new_latched, new_close = self.logic.step(list(rows), latched, prev_state)
