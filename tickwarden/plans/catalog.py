@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickwarden.functions.exprs import iso_datetime, ntz_to_ms
 from tickwarden.functions.exprs import round2 as round2_expr
 from tickwarden.operators import bars as bars_op
-from tickwarden.operators import chains, decode, detectors, messages, points, records, routing
+from tickwarden.operators import chains, decode, detectors, messages, points, records, routing, schedule
 from tickwarden.operators.pointlog import PointLog
 from tickwarden.plans import params as P
 from tickwarden.schemas import (
@@ -99,6 +99,14 @@ def q_alerts_custom_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.alert_messages(messages.alerts_from_records(topic, **types), **types)
 
 
+@query("message_schedule")
+def q_message_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-6: when each alert's message goes out on a channel that takes one
+    every 1.2 s."""
+    alerts = _alerts(spark, sf_dir).select("ticker", "alert_type", "current_price", schedule.alert_time().alias("arrived"))
+    return schedule.send_schedule(alerts, "arrived")
+
+
 @query("alert_quarantine")
 def q_alert_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-5, SNK-7: alert records that give no message.  The reader knows
@@ -423,6 +431,25 @@ def q_stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(msgs.out)
 
 
+@query("stream_messages_once")
+def q_stream_messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1, SNK-6: an alert topic that holds each record one to three times,
+    the repeats in later micro-batches, gives each message once."""
+    run = _Run(spark, "once")
+    topic = messages.alert_records(_alerts(spark, sf_dir))
+    copies = F.explode(F.sequence(F.lit(0), F.pmod(F.xxhash64("value"), F.lit(3)).cast("int"))).alias("copy")
+    feed = materialized(topic.select("value", copies), "once")
+    replay(
+        feed.select("value", F.col("copy").cast("bigint").alias("offset")),
+        run.landing,
+        lambda: apps.message_app(
+            files.stream_topic(spark, run.landing), run.checkpoint, out=run.out, once_within=P.ONCE_WITHIN
+        ),
+        slices=3,
+    )
+    return spark.read.parquet(run.out)
+
+
 def _split_run(spark: SparkSession, sf_dir: str) -> _Run:
     """Dirty tick feed through the one-parse, two-output split sink."""
     run = _Run(spark, "split")

@@ -366,3 +366,11 @@ ORACLE["stream_state"] = f"""WITH {EVENT_TICKS}
 SELECT ticker, coalesce(bool_or(close >= {P.TARGET_PRICE} AND NOT isnan(close)), false) AS latched,
        CASE WHEN bool_or(close = 0) THEN 0.0::DOUBLE ELSE arg_max(close, seq) END AS last_close
 FROM event_ticks WHERE close IS NOT NULL GROUP BY ticker"""
+ORACLE["stream_messages_once"] = ORACLE["alert_messages"]
+# message by message as the running form: spacing * i + max(t_j - spacing * j)
+ORACLE["message_schedule"] = f"""WITH a AS (
+  SELECT ticker, alert_type, current_price, coalesce(timestamp, epoch_us(CAST(datetime AS TIMESTAMP)) // 1000) AS arrived
+  FROM ({ORACLE["alerts_union"]}) AS u),
+n AS (SELECT *, row_number() OVER (ORDER BY arrived, ticker, alert_type, current_price) AS i FROM a)
+SELECT ticker, alert_type, current_price, arrived,
+       1200 * i + max(arrived - 1200 * i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS send_ms FROM n"""

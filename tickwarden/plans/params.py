@@ -16,3 +16,4 @@ SUB_CENT = 10_000.0  # events values are divided by it
 LATE_MS = 5_000  # times arrive 0, 1 or 2 of these late (within the watermark)
 DISORDER_MS = 6 * 3_600_000  # and here 0 to 12 of these
 FILES_PER_TRIGGER = (1, 4, 64)
+ONCE_WITHIN = "60 days"  # longer than the events ticks are apart

@@ -113,18 +113,27 @@ def message_app(
     quarantine: jobs.Target | None = None,
     target_type: str = TARGET_PRICE_ALERT,
     change_type: str = PERCENTAGE_CHANGE_ALERT,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Alert topic -> message text (key = ticker, value = message).
 
+    With ``once_within`` (such as ``"1 day"``, longer than alerts are apart
+    in time within a micro-batch), alerts that the at-least-once topic
+    repeats give one message.
+
     With ``quarantine`` (a folder or a dead-letter topic), records that are
     no alert or of an unknown or missing type go there, from the same
     parse; folders then hold one folder per micro-batch.
     """
     if quarantine is not None:
+        if once_within:
+            raise ValueError("once_within= and quarantine= exclude each other")
         return jobs.start_message_split_sink(
             records, _one(out, kafka), quarantine, checkpoint, target_type, change_type, trigger
         )
     alerts = messages.alerts_from_records(records, target_type=target_type, change_type=change_type)
+    if once_within:
+        alerts = jobs.once(alerts, once_within)
     msgs = messages.alert_messages(alerts, target_type, change_type)
     if kafka is not None:
         msgs = messages.keyed(msgs)

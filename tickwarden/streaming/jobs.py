@@ -20,7 +20,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tickwarden.functions.exprs import ms_to_instant
 from tickwarden.operators import bars as bars_op
-from tickwarden.operators import decode, messages, points, routing
+from tickwarden.operators import decode, messages, points, routing, schedule
 from tickwarden.operators import records as records_op
 from tickwarden.schemas import (
     ALERT,
@@ -128,6 +128,19 @@ def alert_stream(
     raise ValueError("api must be 'pandas_with_state' or 'transform_with_state'")
 
 
+def once(alerts: DataFrame, within: str) -> DataFrame:
+    """SNK-1's at-least-once topic read exactly once: alerts equal in all
+    fields count once if they come within ``within`` of each other's time.
+    Those without a time (no watermark can retire them) are kept in state for
+    good."""
+    at = F.timestamp_millis(schedule.alert_time())
+    fields = [f.name for f in ALERT.fields]
+    timed = alerts.withColumn("event_time", at)
+    first = timed.where(F.col("event_time").isNotNull()).withWatermark("event_time", within)
+    untimed = timed.where(F.col("event_time").isNull()).dropDuplicates(fields)
+    return first.dropDuplicatesWithinWatermark(fields).select(*fields).unionByName(untimed.select(*fields))
+
+
 def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """ST-4: ``(ticker, latched, last_close)`` as an alert stream's checkpoint
     holds them now (either API), by the state data source."""
