@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_rows import PROSE, documents, rows_of
-from tickwarden.llm import langid, mixing, packing, quality_rules, simhash
+from tickwarden.llm import classifier, langid, mixing, packing, quality_rules, simhash
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -197,3 +197,41 @@ def test_stages_carry_columns_with_dots(spark):
         assert out.columns == docs.columns, stage
         out.count()
     assert packing.pack_documents(docs).count() >= 60
+
+
+# --------------------------------------------------------------- classifier
+
+
+def test_dual_descent_matches_a_plain_solver():
+    rng = np.random.default_rng(3)
+    ratio = rng.normal(size=30)
+    rows = [np.sort(rng.choice(30, rng.integers(3, 12), replace=False)).astype(np.int32) for _ in range(60)]
+    y = np.where([ratio[f].sum() + rng.normal() > 0 for f in rows], 1.0, -1.0)
+    w, bias = classifier.dual_descent(rows, y, ratio, epochs=2000)
+    # the dual problem by projected gradient steps over the whole kernel
+    x = np.zeros((60, 31))
+    for i, f in enumerate(rows):
+        x[i, f] = ratio[f] / np.sqrt(np.square(ratio[f]).sum())
+        x[i, 30] = 1.0
+    kernel = (x * y[:, None]) @ (x * y[:, None]).T
+    upper = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+    dual, step = np.zeros(60), 1 / np.linalg.eigvalsh(kernel).max()
+    for _ in range(60_000):
+        dual = np.clip(dual - step * (kernel @ dual - 1), 0, upper)
+    plain = (dual * y) @ x
+    assert np.allclose(w, plain[:30], atol=2e-3) and abs(bias - plain[30]) < 2e-3
+
+
+def test_the_fit_is_bounded_by_bytes_and_takes_very_long_texts(spark):
+    rng = random.Random(8)
+    good = lambda n: " ".join(rng.choice(PROSE.split()) for _ in range(n))
+    bad = lambda n: " ".join(rng.choice(["x1", "##", "zz9", "qq"]) for _ in range(n))
+    rows = [(i, good(60) if i % 2 else bad(60), "en", "a", 0) for i in range(400)]
+    rows += [(400, text_of(rng, 60_000, lambda: 7), "en", "a", 0), (401, good(100_000), "en", "a", 0), (402, None, "en", "a", 0)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(403)], "doc_id bigint, label int")
+    whole = classifier.train(docs, labels)
+    small = classifier.train(docs, labels, fit_bytes=60_000)
+    for model in (whole, small):
+        assert model.score(good(50)) > 0.5 > model.score(bad(50))
+    assert small.bias != whole.bias

@@ -9,8 +9,10 @@ the scaled, length-normalised indicators by dual coordinate descent.
 
 The counts cover all labelled training rows.  The descent runs on a
 bounded sample of them, ``FIT_ROWS`` in expectation, half of each class,
-chosen by a hash of the id; it is one task's work on compact arrays.  A
-logistic curve fitted to the sample's margins maps margins to scores.
+chosen by a hash of the id, and fewer where their indicators would exceed
+``FIT_BYTES``; it is one task's work on compact arrays, and only the
+weights (2 MB) come to the driver.  A logistic curve fitted to the
+sample's margins maps margins to scores.
 
 Defined cases: empty and null texts have no indicators and get the score
 of the bias alone.  Several labels of one id: their mean, 0.5 or more
@@ -35,6 +37,7 @@ ALPHA = 1.0
 COST = 1.0
 EPOCHS = 8
 FIT_ROWS = 12_000
+FIT_BYTES = 256 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 18)
 
@@ -164,7 +167,33 @@ def _logistic(margins: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[fl
     return max(float(a), 1e-3), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+FIT_DDL = "weights binary, bias double, slope double, offset double"
+
+
+def _fit(ratio: np.ndarray, prior: np.ndarray):
+    """The descent over all rows of one task; no row without both classes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, labels = [], []
+        for batch in parts:
+            found += [np.frombuffer(b, np.int32) for b in column(batch, "found")]
+            labels += column(batch, "label")
+        if len(set(labels)) < 2:
+            return
+        y = np.where(np.array(labels) > 0, 1.0, -1.0)
+        w, bias = dual_descent(found, y, ratio)
+        norms = [np.sqrt(np.square(ratio[f]).sum()) for f in found]
+        margins = np.array([(ratio[f] * w[f]).sum() / n + bias if n else bias for f, n in zip(found, norms)])
+        slope, offset = _logistic(margins, y, prior)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w.tobytes()], pa.binary()), *(pa.array([float(v)]) for v in (bias, slope, offset))],
+            names=["weights", "bias", "slope", "offset"],
+        )
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """``docs``: (doc_id, text) rows that may be learned from; ``labels``:
     (doc_id, label)."""
     prepare(docs.sparkSession)
@@ -194,15 +223,18 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 names=["_id", "found", "label"],
             )
 
-    fitted = sample.mapInArrow(worker_task(run), "_id bigint, found binary, label int").toPandas().sort_values("_id")
-    found = [np.frombuffer(b, np.int32) for b in fitted["found"]]
-    y = np.where(fitted["label"].to_numpy() > 0, 1.0, -1.0)
-    if len(set(y.tolist())) < 2:
+    found = sample.mapInArrow(worker_task(run), "_id bigint, found binary, label int")
+    found = stored(found.withColumn("draw", F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)), "nbsvm-fit")
+    size = found.agg(F.sum(F.octet_length("found"))).first()[0] or 0
+    if size > fit_bytes:  # a smaller share by the same hash
+        keep = fit_bytes / size
+        found = found.where(F.col("draw") < F.when(F.col("label") == 1, share[1] * keep).otherwise(share[0] * keep))
+    order = found.select("_id", "found", "label").repartition(1).sortWithinPartitions("_id", "found", "label")
+    fitted = order.mapInArrow(worker_task(_fit(ratio, docs_of / docs_of.sum())), FIT_DDL).first()
+    if fitted is None:
         return constant(float(docs_of[1] / docs_of.sum()))
-    w, bias = dual_descent(found, y, ratio)
-    norms = [np.sqrt(np.square(ratio[f]).sum()) for f in found]
-    margins = np.array([(ratio[f] * w[f]).sum() / n + bias if n else bias for f, n in zip(found, norms)])
-    return Model(ratio, w, bias, *_logistic(margins, y, docs_of / docs_of.sum()))
+    weights = np.frombuffer(bytes(fitted["weights"]), np.float64)
+    return Model(ratio, weights, fitted["bias"], fitted["slope"], fitted["offset"])
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
