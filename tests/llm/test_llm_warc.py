@@ -1,5 +1,6 @@
 """ZIP packages and WARC records."""
 
+import gzip
 import base64
 import hashlib
 import io
@@ -123,3 +124,69 @@ def test_damaged_records_are_noticed():
         warc.parse_record(raw.replace(b"payload", b"pAyload"))
     with pytest.raises(warc.WarcError):
         warc.parse_record(b"HTTP/1.1 200\r\n\r\n")
+
+
+# ------------------------------------------------- packages of other writers
+
+
+def _record(kind, rid, payload=b"", refers=None, digest=True):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    block = {"response": http + payload, "revisit": http}.get(kind, b"software: some\r\n")
+    head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <" + rid.encode() + b">",
+            b"WARC-Target-URI: http://x/" + rid[-4:].encode()]
+    if digest and kind in ("response", "revisit"):
+        head.append(b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(payload).digest()))
+    if refers:
+        head.append(b"WARC-Refers-To: <" + refers.encode() + b">")
+    head.append(b"Content-Length: %d" % len(block))
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _other_package(path, indexed):
+    """Two archive members, gzipped and plain, with every kind of record."""
+    ids = [f"urn:uuid:0000-{i:04d}" for i in range(8)]
+    one = [_record("warcinfo", ids[0]), _record("request", ids[1]), _record("response", ids[2], b"<p>one</p>"),
+           _record("metadata", ids[3]), _record("revisit", ids[4], b"<p>one</p>", ids[2])]
+    two = [_record("warcinfo", ids[5]), _record("response", ids[6], b"\r\n\r\ntwo" * 9000, digest=False), _record("response", ids[7])]
+    packed = [gzip.compress(r) for r in one]
+    lines = {"indexes/index.cdxj": [], "indexes/other.cdx.gz": [" CDX N b a m s k r M S V g"]}
+    at = 0
+    for r, raw in zip(one, packed):
+        if b"response" in r or b"revisit" in r:
+            lines["indexes/index.cdxj"].insert(0, 'x,y 2020 {"filename": "a.warc.gz", "offset": "%d", "length": "%d"}' % (at, len(raw)))
+        at += len(raw)
+    at = 0
+    for r in two:
+        lines["indexes/other.cdx.gz"].append(f"k 2020 u text/html 200 d - - {len(r)} {at} b.warc")
+        at += len(r)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as out:
+        out.writestr("datapackage.json", "{}")
+        out.writestr("archive/a.warc.gz", b"".join(packed))
+        out.writestr("archive/b.warc", b"".join(two))
+        for name, content in lines.items() if indexed else ():
+            data = "\n".join(content).encode() + b"\n"
+            out.writestr(name, gzip.compress(data) if name.endswith(".gz") else data)
+    return ids
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_packages_of_other_writers(spark, tmp_path, indexed):
+    ids = _other_package(tmp_path / "other.wacz", indexed)
+    packages = spark.createDataFrame([("other.wacz",)], "package string")
+    got = warc.read_packages(spark, packages, str(tmp_path))
+    rows = {r.record_id: r for r in got.collect()}
+    assert sorted(rows) == [ids[2], ids[4], ids[6], ids[7]]
+    assert bytes(rows[ids[2]].payload) == b"<p>one</p>" and rows[ids[2]].page_id is None
+    assert (rows[ids[4]].record_type, rows[ids[4]].refers_to_id, rows[ids[4]].payload) == ("revisit", ids[2], None)
+    assert rows[ids[4]].payload_digest == rows[ids[2]].payload_digest
+    assert bytes(rows[ids[6]].payload) == b"\r\n\r\ntwo" * 9000 and rows[ids[7]].payload_bytes == 0
+
+
+def test_an_index_that_names_no_member_is_noticed(tmp_path):
+    path = tmp_path / "bad.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as out:
+        out.writestr("archive/a.warc", _record("response", "urn:uuid:1", b"x"))
+        out.writestr("indexes/i.cdxj", 'k 1 {"filename": "c.warc", "offset": 0, "length": 1}\n')
+    data = path.read_bytes()
+    with pytest.raises(warc.WarcError):
+        list(warc._ranges(lambda at, n: data[at : at + n], len(data), "bad"))

@@ -5,8 +5,12 @@ A package is a ZIP file with two stored members: ``archive/data.warc.gz``
 line of JSON per record with its offset and length in the archive
 member).  The writer streams a package per task and rolls to a new one
 at ``records_per_package``; the reader parses the central directory (and
-ZIP64 records), reads the index member, and fetches runs of records by
-byte range; nothing is extracted.
+ZIP64 records), locates the stored archive members (``archive/*.warc`` and
+``archive/*.warc.gz``) and the index members (``indexes/*.cdxj``, ``.cdx``,
+plain or ``.gz``), and fetches runs of records by byte range; nothing is
+extracted.  A member that no index names is walked for its records'
+ranges.  Records other than ``response`` and ``revisit`` are passed over;
+record ids that are no page ids are kept as text.
 
 Records with equal payloads are written once: the one with the smallest
 page_id is a ``response``, the others are ``revisit`` records that name
@@ -31,6 +35,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,14 +56,17 @@ LEVEL = 6
 
 PACKAGES = pa.schema([("package", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 RUNS = pa.schema(
-    [("package", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("lengths", pa.list_(pa.int64()))]
+    [("package", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("lengths", pa.list_(pa.int64())),
+     ("packed", pa.bool_())]
 )
+RUNS_DDL = "package string, start bigint, length bigint, lengths array<bigint>, packed boolean"
 RECORDS = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-     ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("package", pa.string())]
+     ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()),
+     ("refers_to_id", pa.string()), ("payload", pa.binary()), ("package", pa.string())]
 )
 RECORDS_DDL = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
-               "refers_to bigint, payload binary, package string")
+               "refers_to bigint, record_id string, refers_to_id string, payload binary, package string")
 
 
 def _digest_text(sha1: bytes) -> str:
@@ -70,8 +78,9 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str) -> int | None:
+    """The page id of a record id (null: another kind of id)."""
     tail = urn.strip("<>").removeprefix("urn:page:")
-    return None if tail == "none" else int(tail)
+    return int(tail) if re.fullmatch("-?[0-9]+", tail) else None
 
 
 def _uri(url: str | None, page_id: int | None) -> str:
@@ -114,26 +123,35 @@ def _headers(data: bytes, at: int = 0) -> tuple[str, dict[str, str], int]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
 
 
-def parse_record(raw: bytes, with_payload: bool = False) -> tuple:
+def parse_record(raw: bytes, with_payload: bool = False) -> tuple | None:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to,
-    payload) of an uncompressed record; a response's digest is checked."""
+    record_id, refers_to_id, payload) of an uncompressed record, none for one
+    that is neither response nor revisit; a response's SHA-1 is checked where
+    it is given."""
     version, head, at = _headers(raw)
     if not version.startswith("WARC/"):
         raise WarcError("not a WARC record")
+    kind = head.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
     block = raw[at : at + int(head["content-length"])]
-    _, http, body = _headers(block)
-    kind = head["warc-type"]
-    digest = head["warc-payload-digest"].removeprefix("sha1:")
-    size, refers, payload = int(http["content-length"]), None, None
+    http, body = {}, 0
+    if b"\r\n\r\n" in block:  # a revisit may come without the HTTP headers
+        _, http, body = _headers(block)
+    given = head.get("warc-payload-digest", "")
+    digest = given.removeprefix("sha1:") if given.startswith("sha1:") else None
+    length = http.get("content-length")
+    own, refers = head["warc-record-id"].strip("<>"), head.get("warc-refers-to", "").strip("<>") or None
+    payload, size = None, int(length) if length else 0
     if kind == "response":
-        payload = block[body:]
-        if len(payload) != size or _digest_text(hashlib.sha1(payload).digest()) != digest:
-            raise WarcError(f"payload of {head['warc-record-id']} differs from its digest")
-    else:
-        refers = _page(head["warc-refers-to"])
-    own = head["warc-record-id"].strip("<>")
-    uri = head["warc-target-uri"]
-    return (_page(own), None if uri == own else uri, size, digest, kind, refers, payload if with_payload else None)
+        payload, size = block[body:], len(block) - body
+        found = _digest_text(hashlib.sha1(payload).digest())
+        if digest not in (None, found) or (length and int(length) != size):
+            raise WarcError(f"payload of {own} differs from its digest")
+        digest, refers = found, None
+    uri = head.get("warc-target-uri")
+    return (_page(own), None if uri == own else uri, size, digest, kind, _page(refers or ""), own, refers,
+            payload if with_payload else None)
 
 
 def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -205,41 +223,104 @@ def write_packages(
     return stored(marked.mapInArrow(run, "package string, records bigint, bytes bigint"), "warc-packages")
 
 
+# the fields of a CDX line without a header: the usual eleven
+CDX_FIELDS = "N b a m s k r M S V g"
+
+
+def index_entries(name: str, data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of the records that an index lists."""
+    if name.endswith(".gz"):
+        data = b"".join(_unpacked(data))
+    fields = CDX_FIELDS.split()
+    for line in data.decode("utf-8", "replace").split("\n"):
+        if line.startswith(" CDX "):
+            fields = line.split()[1:]
+        elif " {" in line:  # the key and the time hold no blank
+            entry = json.loads(line[line.index(" {") + 1 :])
+            yield entry["filename"], int(entry["offset"]), int(entry["length"])
+        elif line.strip() and not line.startswith("!"):
+            entry = dict(zip(fields, line.split()))
+            yield entry["g"], int(entry["V"]), int(entry["S"])
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members one after the other."""
+    while data:
+        one = zlib.decompressobj(31)
+        yield one.decompress(data) + one.flush()
+        data = one.unused_data
+
+
+def walk(read, start: int, size: int, packed: bool, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of a member's records, without an index."""
+    at, stop = start, start + size
+    while at < stop:
+        length = 0
+        if packed:
+            one = zlib.decompressobj(31)
+            while not one.eof and at + length < stop:
+                data = read(at + length, min(step, stop - at - length))
+                one.decompress(data)
+                length += len(data)
+            length -= len(one.unused_data)
+        else:
+            head, width = b"", 1 << 14
+            while b"\r\n\r\n" not in head and len(head) < stop - at:
+                head, width = read(at, min(width, stop - at)), 4 * width
+            _, fields, body = _headers(head)
+            length = body + int(fields["content-length"]) + 4
+        yield at, length
+        at += length
+
+
+def _ranges(read, size: int, package: str) -> Iterator[tuple[int, int, bool]]:
+    """(offset, length, whether gzipped) of a package's records, in order."""
+    members = read_directory(read, size)
+    archives = {n: m for n, m in members.items() if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))}
+    base = {n: content_start(read, m) for n, m in archives.items()}
+    named = {n.removeprefix("archive/"): n for n in archives} | {n: n for n in archives}
+    listed: dict[str, set[tuple[int, int]]] = {n: set() for n in archives}
+    for name, m in members.items():
+        if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")):
+            data = read(content_start(read, m), m.size)
+            if zlib.crc32(data) != m.crc32:
+                raise WarcError(f"{package}: the index {name} differs from its checksum")
+            for file, offset, length in index_entries(name, data):
+                if file not in named:
+                    raise WarcError(f"{package}: the index names {file}, which is no stored archive")
+                listed[named[file]].add((offset, length))
+    for n, m in sorted(archives.items()):
+        packed = n.endswith(".gz")
+        found = sorted((base[n] + a, length) for a, length in listed[n]) or walk(read, base[n], m.size, packed)
+        for at, length in found:
+            yield at, length, packed
+
+
 def index_runs(packages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Runs of records as byte ranges of the packages, from their central
-    directories and indexes: (package, start, length, lengths)."""
+    directories and indexes: (package, start, length, lengths, packed)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in parts:
                 for name in column(batch, "package"):
+                    start, lengths, total, kind = 0, [], 0, True
                     with RangeReader(folder, name) as file:
-                        members = read_directory(file.read, file.size)
-                        index = members[INDEX]
-                        lines = file.read(content_start(file.read, index), index.size)
-                        if zlib.crc32(lines) != index.crc32:
-                            raise WarcError(f"{name}: the index differs from its checksum")
-                        base = {m: content_start(file.read, members[m]) for m in (ARCHIVE,)}
-                    start, lengths, total = 0, [], 0
-                    for line in lines.decode().split("\n")[:-1]:
-                        entry = json.loads(line.split(" ", 2)[2])
-                        at, length = base[entry["filename"]] + int(entry["offset"]), int(entry["length"])
-                        if lengths and (at != start + total or total + length > run_bytes):
-                            yield name, start, total, lengths
-                            lengths, total = [], 0
-                        if not lengths:
-                            start = at
-                        lengths.append(length)
-                        total += length
+                        for at, length, packed in _ranges(file.read, file.size, name):
+                            if lengths and (at != start + total or total + length > run_bytes or packed != kind):
+                                yield name, start, total, lengths, kind
+                                lengths, total = [], 0
+                            if not lengths:
+                                start, kind = at, packed
+                            lengths.append(length)
+                            total += length
                     if lengths:
-                        yield name, start, total, lengths
+                        yield name, start, total, lengths, kind
 
         yield from batches(rows(), RUNS, 64)
 
     prepare(packages.sparkSession)
-    return packages.select("package").mapInArrow(
-        run, "package string, start bigint, length bigint, lengths array<bigint>"
-    )
+    return packages.select("package").mapInArrow(run, RUNS_DDL)
 
 
 def read_records(runs: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
@@ -248,14 +329,16 @@ def read_records(runs: DataFrame, folder: str, with_payload: bool = True) -> Dat
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in parts:
-                for name, start, length, lengths in zip(*(column(batch, c) for c in RUNS.names)):
+                for name, start, length, lengths, packed in zip(*(column(batch, c) for c in RUNS.names)):
                     with RangeReader(folder, name) as file:
                         data = file.read(start, length)
                     at = 0
                     for n in lengths:
-                        raw = zlib.decompress(data[at : at + n], 31)
+                        raw = data[at : at + n]
                         at += n
-                        yield *parse_record(raw, with_payload), name
+                        found = parse_record(zlib.decompress(raw, 31) if packed else raw, with_payload)
+                        if found is not None:
+                            yield *found, name
 
         yield from batches(rows(), RECORDS, 512)
 
