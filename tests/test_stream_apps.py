@@ -205,6 +205,16 @@ def test_a_repeated_batch_leaves_finished_topics_alone(spark, monkeypatch):
     assert sent == [("alerts", 1), ("failed", 0), ("dlq", 1)]
 
 
+def test_flat_files_of_a_repeated_batch_are_replaced(spark):
+    out = scratch_path(spark, "test-flat")
+    jobs.write_flat(spark.range(10).repartition(3), out, "r1-0")
+    jobs.write_flat(spark.range(10, 12), out, "r1-1")
+    jobs.write_flat(spark.range(10).repartition(2), out, "r1-0")  # again
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(12))
+    jobs.write_flat(spark.range(0), out, "r1-2")
+    assert spark.read.parquet(out).columns == ["id"]
+
+
 def test_routed_topics_and_a_dead_letter_topic_together(spark, monkeypatch):
     base = scratch_path(spark, "test-route-topics")
     _records(spark, ['{"current": {"time": "x", "t2m": 1.5, "rain": 0}}', '{"hourly": {}}']).write.parquet(f"{base}/in")

@@ -75,8 +75,7 @@ def alert_app(
 
     With ``quarantine`` (a folder, or a dead-letter topic as ``(bootstrap,
     topic)``), undecodable records ``(value, reason, offset)`` go there, from
-    the same scan and decode: one query, whose outputs a ledger keeps apart
-    (folders then hold one folder per micro-batch).
+    the same scan and decode: one query, whose outputs a ledger keeps apart.
     """
     if quarantine is not None:
         return jobs.start_alert_split_sink(

@@ -225,7 +225,7 @@ def start_alert_split_sink(
         return batch.where(F.col("reason").isNotNull()).select("value", "reason", "offset")
 
     return start_split_outputs(
-        tagged, lambda batch: batch, [(alerts, out, ()), dead_letters(rejected, quarantine)], checkpoint, trigger
+        tagged, lambda batch: batch, [(alerts, out, ()), dead_letters(rejected, quarantine)], checkpoint, trigger, flat=True
     )
 
 
@@ -378,6 +378,25 @@ def batch_folder(path: str, checkpoint: str, batch_id: int) -> str:
     return f"{path}/run=r{zlib.crc32(checkpoint.encode()):08x}/batch_id={batch_id}"
 
 
+def batch_name(checkpoint: str, batch_id: int) -> str:
+    return f"r{zlib.crc32(checkpoint.encode()):08x}-{batch_id}"
+
+
+def write_flat(rows: DataFrame, folder: str, name: str) -> None:
+    """A micro-batch's files, written aside and moved into the folder under the
+    batch's name.  Files that an earlier attempt of the batch has moved are
+    replaced."""
+    spark, aside = rows.sparkSession, f"{folder}/_{name}"
+    rows.write.mode("overwrite").parquet(aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in store.globStatus(path(folder, f"{name}-part-*")):
+        store.delete(old.getPath(), False)
+    for new in store.globStatus(path(aside, "part-*")):
+        store.rename(new.getPath(), path(folder, f"{name}-{new.getPath().getName()}"))
+    store.delete(path(aside), True)
+
+
 def triggered(writer: DataStreamWriter, trigger: str | None) -> DataStreamWriter:
     """``trigger``: ``"availableNow"``, an interval such as ``"60 seconds"``,
     or None for micro-batches back to back."""
@@ -430,9 +449,11 @@ def start_split_outputs(
     outputs: Sequence[tuple[Callable[[DataFrame], DataFrame], Target, Sequence[str]]],
     checkpoint: str,
     trigger: str | None = None,
+    flat: bool = False,
 ) -> StreamingQuery:
     """One parse per micro-batch, several outputs ``(rows, target,
-    partition columns)``.
+    partition columns)``; folders hold one folder per micro-batch, or with
+    ``flat`` its files side by side.
 
     The parsed batch is persisted (one micro-batch, bounded by the
     trigger) while the outputs are written.  A ledger beside the checkpoint
@@ -451,7 +472,9 @@ def start_split_outputs(
         try:
             for i, (rows, target, partition_by) in open_outputs:
                 out = rows(parsed)
-                if isinstance(target, str):
+                if isinstance(target, str) and flat:
+                    write_flat(out, target, batch_name(checkpoint, batch_id))
+                elif isinstance(target, str):
                     out.write.mode("overwrite").partitionBy(*partition_by).parquet(
                         batch_folder(target, checkpoint, batch_id)
                     )
