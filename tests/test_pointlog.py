@@ -132,3 +132,24 @@ def test_empty_table_and_nulls(spark):
     assert log.append(spark.createDataFrame([], DDL))["runs"] == []
     log.append(spark.createDataFrame([("m", None, day(1), 1.0, 0), ("m", "A", None, 1.0, 0), ("m", "A", day(1), 1.0, None)], DDL))
     assert rows(log.read()) == [("m", "A", str(day(1)), 1.0)]
+
+
+def test_the_default_range_is_the_last_two_years(spark):
+    from tickwarden.operators import points
+
+    now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    ages = {"hour": datetime.timedelta(hours=1), "year": datetime.timedelta(days=700), "old": datetime.timedelta(days=760),
+            "ahead": -datetime.timedelta(hours=3)}
+    df = spark.createDataFrame([("stock_price", t, now - age, 1.0, 0) for t, age in ages.items()], DDL)
+    path = scratch_path(spark, "test-default")
+    points.write_point_log(df, f"{path}/log")
+    log = PointLog(spark, f"{path}/table")
+    log.append(df)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for got in (points.read_points_range(spark, f"{path}/log"), log.read_range()):
+                assert sorted(r.ticker for r in got.collect()) == ["hour", "year"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

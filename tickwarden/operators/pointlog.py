@@ -32,6 +32,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickwarden.operators.points import range_bounds
 from tickwarden.schemas import DEFAULT_MEASUREMENT
 
 FIELDS = "measurement string, ticker string, time timestamp_ntz, price double, version bigint, offset bigint"
@@ -156,12 +157,12 @@ class PointLog:
         return self.spark.createDataFrame([], FIELDS)
 
     def read_range(
-        self, start: str, stop: str, measurement: str = DEFAULT_MEASUREMENT, tickers: tuple[str, str] | None = None,
+        self, start: str | None = None, stop: str | None = None, measurement: str = DEFAULT_MEASUREMENT, tickers: tuple[str, str] | None = None,
         version: int | None = None,
     ) -> DataFrame:
         """FLT-6: points with ``start <= time < stop`` of a measurement (and
         of tickers within the two given), upserted."""
-        lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz")
+        lo, hi = range_bounds(start, stop)
         inside = (F.col("measurement") == measurement) & (F.col("time") >= lo) & (F.col("time") < hi)
         keep = F.array_contains("measurements", measurement) & (F.col("last_time") >= lo) & (F.col("first_time") < hi)
         if tickers:

@@ -117,18 +117,25 @@ def write_point_log(points: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def range_bounds(start: str | None, stop: str | None) -> tuple[Column, Column]:
+    """The bounds as UTC wall-clock times; by default from two years ago until
+    now."""
+    now = F.expr("convert_timezone(current_timezone(), 'UTC', localtimestamp())")
+    lo = F.lit(start).cast("timestamp_ntz") if start else now - F.expr("INTERVAL 2 YEARS")
+    return lo, F.lit(stop).cast("timestamp_ntz") if stop else now
+
+
 def read_points_range(
     spark: SparkSession,
     path: str,
-    start: str,
-    stop: str,
+    start: str | None = None,
+    stop: str | None = None,
     measurement: str = DEFAULT_MEASUREMENT,
 ) -> DataFrame:
     """FLT-6: points with ``start <= time < stop`` of one measurement,
     upserted.  The date and measurement predicates prune partitions."""
     log = spark.read.parquet(path)
-    lo = F.lit(start).cast("timestamp_ntz")
-    hi = F.lit(stop).cast("timestamp_ntz")
+    lo, hi = range_bounds(start, stop)
     sel = log.where(
         (F.col("measurement") == F.lit(measurement))
         & (F.col("date") >= lo.cast("date"))
