@@ -44,3 +44,25 @@ def test_rows_after_the_close_come_out_as_late(spark):
     bars = {r.timestamp: r for r in closing.closed_bars(tagged).where("ticker = 'A'").collect()}
     assert bars[0].number_of_trades == 60 and bars[180_000].number_of_trades == 21
     assert bars[180_000].close == 200.0 and bars[180_000].high == 200.0
+
+
+def test_a_shard_of_tickers_is_one_call_and_one_state_value(spark):
+    """Python calls and state values follow shards, not tickers."""
+    n = 3 * closing.SHARDS
+    early = [(f"T{i}", 1000 * (i % 50), 1.0 + i, 2.0, i) for i in range(n)]
+    more = [(f"T{i}", 55_000, 0.5, 1.0, n + i) for i in range(0, n, 2)]
+    base = scratch_path(spark, "test-shards")
+    for rows in (early, more):
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(DDL).parquet(f"{base}/in")
+        jobs.start_parquet_sink(closing.closing_bars(stream, 1, "minute"), f"{base}/out", f"{base}/ck",
+                                available_now=True).awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "open").load(f"{base}/ck")
+    assert 0 < held.count() <= closing.SHARDS
+    spark.createDataFrame([("Z", 200_000, 1.0, 1.0, 2 * n)], DDL).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(DDL).parquet(f"{base}/in")
+    jobs.start_parquet_sink(closing.closing_bars(stream, 1, "minute"), f"{base}/out", f"{base}/ck",
+                            available_now=True).awaitTermination()
+    got = closing.closed_bars(spark.read.parquet(f"{base}/out"))
+    want = bars_op.bars(spark.createDataFrame(early + more, DDL), 1, "minute", order_by=("timestamp", "offset"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

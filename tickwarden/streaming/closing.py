@@ -5,106 +5,149 @@ in state until the watermark passes its end; an event-time timer then
 emits it, once, and drops its state.  Rows that arrive after their bar
 has closed are no longer lost: they come out as rows of their own kind.
 
-State per ticker: one entry per open bucket (order keys of the first and
+Rows come by *shard* (a hash of the ticker) and bucket: a Python call, a
+state value and a timer for each of these, not for each ticker's bar, whose
+round trips to the state store cost far more than its few rows.  The state
+value holds the shard's open bars of one bucket (order keys of the first and
 last row, open, close, high, low, volume, trades, the weighted sum as
-decimal text), so a ticker holds as many entries as buckets lie within
-the watermark's delay.
+decimal text) as an Arrow table, rewritten when rows come for any of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Context, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickwarden.functions.exprs import MS_PER_DAY, MS_PER_HOUR, MS_PER_MINUTE, MS_PER_SECOND, MS_PER_WEEK
 from tickwarden.functions.exprs import WEEK_OFFSET_MS, iso_datetime, ms_to_instant
-from tickwarden.operators.bars import BAR_FIELDS, NOTIONAL, PRICE_SCALE, VOLUME_SCALE, validate_bar_params
+from tickwarden.operators.bars import BAR_FIELDS, NOTIONAL, validate_bar_params, weighted
 from tickwarden.session import ship_package, use_rocksdb_state
 
 WIDTHS = {"second": MS_PER_SECOND, "minute": MS_PER_MINUTE, "hour": MS_PER_HOUR, "day": MS_PER_DAY, "week": MS_PER_WEEK}
 CLOSED, LATE = "closed", "late"
-ENTRY = ("first_ms bigint, first_at bigint, open double, last_ms bigint, last_at bigint, close double, "
-         "high double, low double, volume double, trades bigint, notional string")
+# tickers share calls and state by the hash of their name; a checkpoint is bound to this number
+SHARDS = 128
+STATE = "bars binary"
+ENTRY = pa.schema([
+    ("ticker", pa.string()), ("first_ms", pa.int64()), ("first_at", pa.int64()), ("open", pa.float64()),
+    ("last_ms", pa.int64()), ("last_at", pa.int64()), ("close", pa.float64()), ("high", pa.float64()), ("low", pa.float64()),
+    ("volume", pa.float64()), ("trades", pa.int64()), ("notional", pa.string()),
+])
 OUTPUT = ("kind string, ticker string, timestamp bigint, open double, close double, high double, low double, "
           "volume double, number_of_trades bigint, notional string, arrived bigint")
 _EXACT = Context(prec=60, rounding=ROUND_HALF_UP)
-_PRICE, _VOLUME = Decimal(1).scaleb(-PRICE_SCALE), Decimal(1).scaleb(-VOLUME_SCALE)
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-def _weight(price: float, volume: float) -> Decimal | None:
-    if volume == 0:
-        return Decimal(0)
-    if not (np.isfinite(price) and np.isfinite(volume)):
-        return None
-    p = Decimal(repr(float(price))).quantize(_PRICE, context=_EXACT)
-    return _EXACT.multiply(p, Decimal(repr(float(volume))).quantize(_VOLUME, context=_EXACT))
+def _sums(weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Exact sums of decimals from each start to the next; null if one is."""
+    null = np.array([w is None for w in weights], dtype=bool)
+    with localcontext(_EXACT):
+        sums = np.add.reduceat(np.where(null, Decimal(0), weights), starts)
+    return np.where(np.logical_or.reduceat(null, starts), None, sums)
+
+
+def _starts(code: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+
+
+def row_bars(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one bucket as bars (``ENTRY``), one per ticker."""
+    code, tickers = pd.factorize(rows["ticker"].to_numpy(dtype=object))
+    ms, at = rows["timestamp"].to_numpy(np.int64), rows["offset"].to_numpy(np.int64)
+    order = np.lexsort((at, ms, code))
+    first = _starts(code[order])
+    last = np.concatenate((first[1:], [len(order)])) - 1
+    ms, at = ms[order], at[order]
+    closes, volumes = rows["close"].to_numpy(float)[order], rows["volume"].to_numpy(float)[order]
+    return pd.DataFrame({
+        "ticker": tickers, "first_ms": ms[first], "first_at": at[first], "open": closes[first],
+        "last_ms": ms[last], "last_at": at[last], "close": closes[last], "high": np.maximum.reduceat(closes, first),
+        "low": np.minimum.reduceat(closes, first), "volume": np.add.reduceat(volumes, first), "trades": last - first + 1,
+        "notional": _sums(rows["weight"].to_numpy(dtype=object)[order], first),
+    })
+
+
+def merged_bars(held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    """Bars of earlier and of new rows as one per ticker; of equal order keys
+    the earlier one opens and the later one closes."""
+    both = pd.concat([held, new], ignore_index=True)
+    code, tickers = pd.factorize(both["ticker"].to_numpy(dtype=object))
+    opening = np.lexsort((both["first_at"], both["first_ms"], code))
+    closing = np.lexsort((both["last_at"], both["last_ms"], code))
+    first = _starts(code[opening])
+    ends = np.concatenate((first[1:], [len(code)])) - 1
+    opens, closes = both.iloc[opening[first]], both.iloc[closing[ends]]
+    own = both.iloc[opening]
+    return pd.DataFrame({
+        "ticker": tickers,
+        **{c: opens[c].to_numpy() for c in ("first_ms", "first_at", "open")},
+        **{c: closes[c].to_numpy() for c in ("last_ms", "last_at", "close")},
+        "high": np.maximum.reduceat(own["high"].to_numpy(), first), "low": np.minimum.reduceat(own["low"].to_numpy(), first),
+        "volume": np.add.reduceat(own["volume"].to_numpy(), first), "trades": np.add.reduceat(own["trades"].to_numpy(), first),
+        "notional": _sums(own["notional"].to_numpy(dtype=object), first),
+    })
+
+
+def packed(bars: pd.DataFrame) -> bytes:
+    text = bars.assign(notional=[None if n is None else format(n, "f") for n in bars["notional"]])
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(text, schema=ENTRY, preserve_index=False)
+    with pa.ipc.new_stream(sink, ENTRY) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(state: bytes) -> pd.DataFrame:
+    bars = pa.ipc.open_stream(pa.py_buffer(bytes(state))).read_all().to_pandas()
+    return bars.assign(notional=pd.Series([None if n is None else Decimal(n) for n in bars["notional"]], dtype=object))
 
 
 class ClosingBars(StatefulProcessor):
-    """Rows of a ticker into open bars; closed bars and late rows out."""
+    """Rows of a shard and bucket into open bars; closed bars and late rows out."""
 
-    def __init__(self, width: int, offset: int) -> None:
-        self.width, self.offset = width, offset
+    def __init__(self, width: int) -> None:
+        self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "bucket bigint", ENTRY)
+        self.open = handle.getValueState("open", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "offset"], kind="stable")
-        watermark = timerValues.getCurrentWatermarkInMs()
-        at = batch["timestamp"].to_numpy(np.int64)
-        bucket = at - (at - self.offset) % self.width
-        late = bucket + self.width <= watermark
-        if late.any():
-            part = batch[late]
-            yield pd.DataFrame({
-                "kind": LATE, "ticker": key[0], "timestamp": part["timestamp"], "open": part["close"], "close": part["close"],
-                "high": part["close"], "low": part["close"], "volume": part["volume"], "number_of_trades": 1,
-                "notional": None, "arrived": part["offset"],
-            }, columns=_NAMES)
-        for start, part in batch[~late].groupby(bucket[~late], sort=True):
-            self._add(int(start), part)
-
-    def _add(self, start: int, part: pd.DataFrame) -> None:
-        closes, volumes = part["close"].to_numpy(float), part["volume"].to_numpy(float)
-        weights = [_weight(p, v) for p, v in zip(closes, volumes)]
-        notional = None if None in weights else sum(weights, Decimal(0))
-        ms, at = part["timestamp"].astype("int64").to_numpy(), part["offset"].astype("int64").to_numpy()
-        entry = [int(ms[0]), int(at[0]), closes[0], int(ms[-1]), int(at[-1]), closes[-1], closes.max(), closes.min(),
-                 float(volumes.sum()), len(part), notional]
-        held = self.open.getValue((start,)) if self.open.containsKey((start,)) else None
+        end = key[1] + self.width
+        parts = list(rows)
+        if end <= timerValues.getCurrentWatermarkInMs():
+            for part in parts:
+                yield pd.DataFrame({
+                    "kind": LATE, "ticker": part["ticker"], "timestamp": part["timestamp"], "open": part["close"],
+                    "close": part["close"], "high": part["close"], "low": part["close"], "volume": part["volume"],
+                    "number_of_trades": 1, "notional": None, "arrived": part["offset"],
+                }, columns=_NAMES)
+            return
+        bars = row_bars(pd.concat(parts, ignore_index=True))
+        held = self.open.get()
         if held is None:
-            self.handle.registerTimer(start + self.width)
+            self.handle.registerTimer(end)
         else:
-            held = list(held)
-            held[10] = None if held[10] is None else Decimal(held[10])
-            if tuple(held[:2]) <= tuple(entry[:2]):
-                entry[:3] = held[:3]
-            if tuple(held[3:5]) > tuple(entry[3:5]):
-                entry[3:6] = held[3:6]
-            entry[6], entry[7] = max(entry[6], held[6]), min(entry[7], held[7])
-            entry[8], entry[9] = entry[8] + held[8], entry[9] + held[9]
-            entry[10] = None if entry[10] is None or held[10] is None else _EXACT.add(entry[10], held[10])
-        entry[10] = None if entry[10] is None else format(entry[10], "f")
-        self.open.updateValue((start,), tuple(entry))
+            bars = merged_bars(unpacked(held[0]), bars)
+        self.open.update((packed(bars),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() - self.width
-        if not self.open.containsKey((start,)):
+        held = self.open.get()
+        if held is None:
             return
-        e = self.open.getValue((start,))
-        self.open.removeKey((start,))
-        yield pd.DataFrame(
-            [(CLOSED, key[0], start, e[2], e[5], e[6], e[7], e[8], e[9], e[10], None)], columns=_NAMES
-        )
+        self.open.clear()
+        bars = pa.ipc.open_stream(pa.py_buffer(bytes(held[0]))).read_all().to_pandas()
+        yield bars.rename(columns={"trades": "number_of_trades"}).assign(
+            kind=CLOSED, timestamp=key[1], arrived=pd.array([None] * len(bars), dtype="Int64")
+        )[_NAMES]
 
     def close(self) -> None:
         pass
@@ -118,13 +161,19 @@ def closing_bars(ticks: DataFrame, multiplier: int = 5, timespan: str = "minute"
     spark = ticks.sparkSession
     use_rocksdb_state(spark)
     ship_package(spark)
-    offset = WEEK_OFFSET_MS if timespan == "week" else 0
+    offset, width = WEEK_OFFSET_MS if timespan == "week" else 0, WIDTHS[timespan] * multiplier
     rows = ticks.where("ticker is not null and timestamp is not null and close is not null and volume is not null")
     timed = rows.withColumn("event_time", ms_to_instant(F.col("timestamp"))).withWatermark("event_time", delay)
+    at, price, volume = F.col("timestamp"), F.col("close"), F.col("volume")
     # without the time column the engine passes late rows on instead of dropping them
-    return timed.select("ticker", "timestamp", "close", "volume", "offset").groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=ClosingBars(WIDTHS[timespan] * multiplier, offset),
-        outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+    keyed = timed.select(
+        F.pmod(F.xxhash64("ticker"), F.lit(SHARDS)).cast("int").alias("shard"),
+        (at - F.pmod(at - F.lit(offset), F.lit(width))).alias("bucket"),
+        "ticker", "timestamp", "close", "volume", "offset",
+        F.when(volume == 0, F.lit(0).cast(NOTIONAL)).otherwise(weighted(price, volume)).alias("weight"),
+    )
+    return keyed.groupBy("shard", "bucket").transformWithStateInPandas(
+        statefulProcessor=ClosingBars(width), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
     )
 
 
