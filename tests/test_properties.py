@@ -178,3 +178,56 @@ def test_streaming_step_orders_text_and_null_keys_like_the_batch_window():
     assert list(out["current_price"]) == [10.0, 20.0, 30.0]
     assert list(out["previous_price"]) == [5.0, 10.0, 20.0]
     assert last == 30.0
+
+
+def test_detectors_of_many_tickers_at_once_equal_one_by_one():
+    import random
+
+    import pandas as pd
+
+    from tickwarden.streaming.processor import NULL_INT, AlertLogic
+
+    rng = random.Random(3)
+    logic = AlertLogic(40.0, 25.0, order_by=("timestamp", "offset"))
+    held, single = {}, {}
+    same = lambda states: {k: (v[0], repr(v[1])) for k, v in states.items()}
+    for _ in range(30):
+        rows = [(rng.choice(["a", "b", "c", "d", None]), rng.choice([NULL_INT, 5, 6, 7]), "d",
+                 rng.choice([0.0, 1.0, 30.0, 50.0, 60.0, 60.0, 70.0, float("nan"), float("inf")]), i)
+                for i in range(rng.randrange(1, 12))]
+        batch = pd.DataFrame(rows, columns=["ticker", "timestamp", "datetime", "close", "offset"])
+        out, changed = logic.steps([batch], held)
+        held.update(changed)
+        found = [] if out is None else [tuple(map(str, r)) for r in out.astype(object).to_numpy()]
+        want = []
+        for ticker in {r[0] for r in rows}:
+            mine = pd.DataFrame([r for r in rows if r[0] == ticker], columns=batch.columns)
+            one, latched, close = logic.step([mine], *single.get(ticker, (False, None)))
+            if latched or close is not None:
+                single[ticker] = (latched, close)
+            if one is not None:
+                one["timestamp"] = one["timestamp"].mask(one["timestamp"] == NULL_INT)
+                want += [tuple(map(str, r)) for r in one.astype(object).to_numpy()]
+        assert sorted(found) == sorted(want) and same(held) == same(single)
+        if rng.random() < 0.2:
+            held, single = {}, {}
+
+
+def test_state_of_a_stream_is_kept_by_shard(spark):
+    from tickwarden.operators import detectors
+    from tickwarden.session import scratch_path
+    from tickwarden.streaming import jobs
+
+    nan, inf = float("nan"), float("inf")
+    ddl = "ticker string, timestamp long, datetime string, close double, offset long"
+    odd = [("n\"a", nan), ("in", inf), ("-in", -inf), ("zero", 0.0), ("é", 0.1 + 0.2)]
+    rows = [(t, None if i % 2 else i, "d", c, i) for i, (t, c) in enumerate(odd)]
+    rows += [(f"T{i}", i, "d", 1.0 + i, 10 + i) for i in range(3 * jobs.SHARDS)]
+    base = scratch_path(spark, "test-shard-state")
+    ticks = spark.createDataFrame(rows, ddl)
+    ticks.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ddl).parquet(f"{base}/in")
+    jobs.start_parquet_sink(jobs.alert_stream(stream, 500.0, 10.0), f"{base}/out", f"{base}/ck", available_now=True).awaitTermination()
+    assert spark.read.format("statestore").load(f"{base}/ck").count() <= jobs.SHARDS
+    want = detectors.detector_state(ticks.withColumnRenamed("offset", "seq"), 500.0)
+    assert sorted(map(str, jobs.stored_state(spark, f"{base}/ck").collect())) == sorted(map(str, want.collect()))

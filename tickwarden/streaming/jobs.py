@@ -13,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -33,10 +33,12 @@ from tickwarden.schemas import (
 from tickwarden.session import ship_package, use_rocksdb_state
 from tickwarden.sources import kafka
 from tickwarden.streaming.processor import (
-    STATE_SCHEMA,
+    HELD_SCHEMA,
+    NULL_INT,
+    SHARD_STATE_SCHEMA,
     AlertLogic,
     AlertProcessor,
-    pandas_state_function,
+    shard_state_function,
     tagged_state_function,
 )
 
@@ -50,6 +52,9 @@ COMPACTED = "compacted"
 REPLACED = "_replaced"
 # tasks that write the points of one hour of a micro-batch
 WRITERS = 8
+# Tickers share a Python call and a state value by the hash of their name.  A
+# checkpoint is bound to this number.
+SHARDS = 1024
 # A folder, or a Kafka topic as (bootstrap servers, topic).
 Target = str | tuple[str, str]
 
@@ -111,14 +116,14 @@ def alert_stream(
     keep = F.col("close").isNotNull()
     if zero_policy == "skip":
         keep = keep & (F.col("close") != 0)
-    keyed = ticks.where(keep).select(*cols).groupBy("ticker")
+    rows = ticks.where(keep).select(*cols)
     logic = AlertLogic(target, threshold, order_by, target_type, change_type)
     if api == "pandas_with_state":
-        return keyed.applyInPandasWithState(
-            pandas_state_function(logic), ALERT, STATE_SCHEMA, "append", "NoTimeout"
+        return rows.select(shard().alias("shard"), *whole_integers(rows)).groupBy("shard").applyInPandasWithState(
+            shard_state_function(logic), ALERT, SHARD_STATE_SCHEMA, "append", "NoTimeout"
         )
     if api == "transform_with_state":
-        return keyed.transformWithStateInPandas(
+        return rows.groupBy("ticker").transformWithStateInPandas(
             statefulProcessor=AlertProcessor(logic),
             outputStructType=ALERT,
             outputMode="Append",
@@ -128,6 +133,21 @@ def alert_stream(
     raise ValueError("api must be 'pandas_with_state' or 'transform_with_state'")
 
 
+def shard() -> Column:
+    return F.pmod(F.xxhash64("ticker"), F.lit(SHARDS)).cast("int")
+
+
+def whole_integers(rows: DataFrame) -> list[Column]:
+    """The columns, integers without nulls: one null would make pandas turn a
+    shard's whole column into floating numbers."""
+    integer = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    return [
+        F.coalesce(F.col(f.name).cast("bigint"), F.lit(NULL_INT)).alias(f.name) if isinstance(f.dataType, integer)
+        else F.col(f.name)
+        for f in rows.schema.fields
+    ]
+
+
 def once(alerts: DataFrame, within: str) -> DataFrame:
     """SNK-1's at-least-once topic read exactly once: alerts equal in all
     fields count once if they come within ``within`` of each other's time.
@@ -150,7 +170,9 @@ def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
         state = "value"
     except Exception:  # no named variables: applyInPandasWithState
         held = spark.read.format("statestore").load(checkpoint)
-        state = "value.groupState"
+        text = F.from_json("value.groupState.held", HELD_SCHEMA)
+        each = F.inline(F.arrays_zip(text["tickers"], text["latched"], text["last_close"]))
+        return held.select(each.alias("ticker", "latched", "last_close"))
     return held.select("key.ticker", F.col(f"{state}.latched").alias("latched"), F.col(f"{state}.last_close").alias("last_close"))
 
 
@@ -186,8 +208,10 @@ def tagged_alert_stream(
     bad, close = F.col("reason").isNotNull(), F.col("rec.close")
     usable = close.isNotNull() if zero_policy == "latch" else close.isNotNull() & (close != 0)
     own_part = F.pmod(F.xxhash64("value", *arrival), F.lit(REJECTED_PARTS)).cast("int")
-    rows = parsed.where(bad | usable).select(
-        F.when(~bad, F.col("rec.ticker")).alias("ticker"),
+    ticks = parsed.where(bad | usable).withColumn("ticker", F.when(~bad, F.col("rec.ticker")))
+    rows = ticks.select(
+        F.when(~bad, shard()).alias("shard"),
+        "ticker",
         F.when(bad, own_part).otherwise(F.lit(-1)).alias("part"),
         *[F.col(f"rec.{c}").alias(c) for c in ("timestamp", "datetime", "close")],
         F.when(bad, F.col("value").cast("string")).alias("value"),
@@ -197,8 +221,9 @@ def tagged_alert_stream(
     logic = AlertLogic(target, threshold, list(arrival or ("timestamp",)), target_type, change_type)
     if "offset" not in arrival:
         rows = rows.withColumn("offset", F.lit(None).cast("bigint"))
-    return rows.groupBy("ticker", "part").applyInPandasWithState(
-        tagged_state_function(logic), TAGGED, STATE_SCHEMA, "append", "NoTimeout"
+    rows = rows.select("shard", "part", *whole_integers(rows.drop("shard", "part")))
+    return rows.groupBy("shard", "part").applyInPandasWithState(
+        tagged_state_function(logic), TAGGED, SHARD_STATE_SCHEMA, "append", "NoTimeout"
     )
 
 

@@ -8,10 +8,13 @@ keyed jobs over two scans of the topic):
                            first one); a stored 0 is never replaced again
                            (the zero latch)
 
-Two Spark APIs run the same per-key logic (``AlertLogic``):
-``applyInPandasWithState`` (default; the state travels with the key's
-rows) and ``transformWithStateInPandas`` (the newer API; each state
-access is a round trip to the state store, measured 1.7x slower here).
+Two Spark APIs run the same logic (``AlertLogic``):
+``applyInPandasWithState`` (default) takes tickers by the *shard*: a call
+and a state value per hash of the ticker, since a Python call per ticker
+and micro-batch costs far more than its few rows; the state value lists
+the shard's tickers as JSON (``jobs.stored_state`` reads it).
+``transformWithStateInPandas`` (the newer API) keeps a state value per
+ticker, each access a round trip to the state store.
 
 Rows of one ticker in one micro-batch arrive unordered after the
 shuffle, so they are sorted by the order columns first.  The detector
@@ -23,6 +26,7 @@ what one key brings into one call.
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Iterator, Sequence
 
@@ -37,6 +41,11 @@ warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenati
 
 ALERT_COLUMNS = [f.name for f in ALERT.fields]
 STATE_SCHEMA = "latched BOOLEAN, last_close DOUBLE"
+# a shard's tickers, each with both detectors' state, as JSON
+SHARD_STATE_SCHEMA = "held STRING"
+HELD_SCHEMA = "tickers ARRAY<STRING>, latched ARRAY<BOOLEAN>, last_close ARRAY<DOUBLE>"
+# stands for a null integer on its way to pandas, which knows none
+NULL_INT = -(2**63)
 
 
 def _empty() -> pd.DataFrame:
@@ -183,6 +192,95 @@ class AlertLogic:
         return out, new_latched, new_close
 
 
+    def steps(
+        self, frames: list[pd.DataFrame], held: dict[str | None, tuple[bool, float | None]]
+    ) -> tuple[pd.DataFrame | None, dict[str | None, tuple[bool, float | None]]]:
+        """``step`` for the rows of many tickers at once.
+
+        ``held`` maps tickers to their state; returns the alert rows (or
+        ``None``) and the states that changed.
+        """
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        if batch.empty:
+            return None, {}
+        code, tickers = pd.factorize(batch["ticker"].to_numpy(dtype=object), use_na_sentinel=False)
+        tickers = [None if pd.isna(t) else t for t in tickers]
+        # nulls first, like the batch window's ascending order
+        order = np.lexsort([*(_sort_key(batch[c]) for c in reversed(self.order_by)), code])
+        code = code[order]
+        closes = batch["close"].to_numpy(dtype="float64")[order]
+        before = [held.get(t, (False, None)) for t in tickers]
+        latched = np.array([b[0] for b in before], dtype=bool)
+        has_state = np.array([b[1] is not None for b in before], dtype=bool)
+        state = np.array([np.nan if b[1] is None else b[1] for b in before], dtype="float64")
+        n = len(closes)
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        last = np.concatenate((first[1:], [n])) - 1
+        new_latched, new_state, has_new = latched.copy(), state.copy(), has_state.copy()
+        parts: list[tuple[np.ndarray, dict]] = []
+
+        if self.target is not None:
+            with np.errstate(invalid="ignore"):
+                at = np.flatnonzero(~np.isnan(closes) & (closes >= self.target) & ~latched[code])
+            fired, firsts = np.unique(code[at], return_index=True)
+            new_latched[fired] = True
+            at = at[firsts]
+            parts.append((at, {
+                "timestamp": np.full(len(at), None, dtype=object),
+                "target_price": np.full(len(at), float(self.target)),
+                "previous_price": np.full(len(at), np.nan),
+                "price_change_percentage": np.full(len(at), np.nan),
+                "alert_type": np.full(len(at), self.target_alert_type, dtype=object),
+            }))
+
+        if self.threshold is not None:
+            prev = np.empty(n)
+            prev[1:] = closes[:-1]
+            prev[first] = state[code[first]]
+            has_prev = np.ones(n, dtype=bool)
+            has_prev[first] = has_state[code[first]]
+            # a stored 0 blocks everything after it: the state never moves again
+            zero = closes == 0
+            zeros = np.cumsum(zero)
+            own_before = zeros - zero - np.repeat(zeros[first] - zero[first], last - first + 1)
+            at_zero = has_state & (state == 0)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                pct = (closes - prev) / prev * 100.0
+                chg = np.rint(pct * 100.0) / 100.0
+            ok = has_prev & (own_before == 0) & ~at_zero[code] & (prev != 0) & ~np.isnan(chg)
+            at = np.flatnonzero(ok & (np.abs(chg) >= self.threshold))
+            to_zero = at_zero[code[first]] | (zeros[last] - zeros[first] + zero[first] > 0)
+            new_state[code[first]] = np.where(to_zero, 0.0, closes[last])
+            has_new[:] = True
+            ts = batch["timestamp"].to_numpy()[order[at]].astype(object)
+            parts.append((at, {
+                "timestamp": np.where(ts == NULL_INT, None, ts),
+                "target_price": np.full(len(at), np.nan),
+                "previous_price": prev[at],
+                "price_change_percentage": chg[at],
+                "alert_type": np.full(len(at), self.change_alert_type, dtype=object),
+            }))
+
+        same = (new_latched == latched) & (has_new == has_state) & (
+            ~has_new | (new_state == state) | (np.isnan(new_state) & np.isnan(state))
+        )
+        changed = {
+            tickers[i]: (bool(new_latched[i]), float(new_state[i]) if has_new[i] else None)
+            for i in np.flatnonzero(~same).tolist()
+        }
+        if not any(len(at) for at, _ in parts):
+            return None, changed
+        rows = np.concatenate([at for at, _ in parts])
+        out = pd.DataFrame({
+            "ticker": batch["ticker"].to_numpy(dtype=object)[order[rows]],
+            "datetime": batch["datetime"].to_numpy(dtype=object)[order[rows]],
+            "current_price": closes[rows],
+            **{c: np.concatenate([p[c] for _, p in parts]) for c in parts[0][1]},
+        })[ALERT_COLUMNS]
+        out["timestamp"] = pd.array(out["timestamp"], dtype="Int64")
+        return out, changed
+
+
 def _sort_key(col: pd.Series) -> np.ndarray:
     """Sortable values, nulls first: integers as int64, other numbers (and
     integers among nulls) as float64, anything else as text."""
@@ -202,34 +300,49 @@ def _unpack(stored) -> tuple[bool, float | None]:
     return latched, stored[1]
 
 
-def pandas_state_function(logic: AlertLogic):
-    """The per-key function for ``applyInPandasWithState``: the state
-    travels with the key's rows (no state-store round trips)."""
+def shard_state_function(logic: AlertLogic):
+    """The function of a shard of tickers for ``applyInPandasWithState``: the
+    state travels with the shard's rows (no state-store round trips)."""
 
     def detect(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        latched, prev_state = _unpack(state.get if state.exists else None)
-        out, new_latched, new_close = logic.step(list(frames), latched, prev_state)
-        if new_latched != latched or not _same_value(new_close, prev_state):
-            state.update((new_latched, new_close))
+        held = _held(state.get[0] if state.exists else None)
+        out, changed = logic.steps(list(frames), held)
+        if changed:
+            held.update(changed)
+            state.update((_held_text(held),))
         if out is not None:
             yield out
 
     return detect
 
 
+def _held(text: str | None) -> dict[str | None, tuple[bool, float | None]]:
+    if text is None:
+        return {}
+    stored = json.loads(text)
+    return dict(zip(stored["tickers"], zip(stored["latched"], stored["last_close"])))
+
+
+def _held_text(held: dict[str | None, tuple[bool, float | None]]) -> str:
+    return json.dumps({
+        "tickers": list(held), "latched": [v[0] for v in held.values()], "last_close": [v[1] for v in held.values()],
+    })
+
+
 REJECTED_COLUMNS = ["value", "reason", "offset"]
 
 
 def tagged_state_function(logic: AlertLogic):
-    """Both detectors for keys ``(ticker, -1)``; records that gave no tick come
+    """Both detectors for keys ``(shard, -1)``; records that gave no tick come
     under ``(null, n)`` with n >= 0 and pass through, without state.  A row of
     the output has a ``reason`` if and only if it is such a record."""
-    alerts = pandas_state_function(logic)
+    alerts = shard_state_function(logic)
 
     def detect(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if key[1] >= 0:
             for frame in frames:
                 out = frame[REJECTED_COLUMNS].reset_index(drop=True)
+                out["offset"] = out["offset"].astype("Int64").mask(out["offset"] == NULL_INT)
                 for c in ALERT_COLUMNS:
                     out[c] = pd.Series([None] * len(out), dtype=_dtype(c))
                 yield out[ALERT_COLUMNS + REJECTED_COLUMNS]
