@@ -306,3 +306,28 @@ def test_a_fresh_stream_goes_on_from_the_state_of_a_history(spark):
     assert sorted(map(str, jobs.stored_state(spark, f"{base}/ck").collect())) == sorted(map(str, want.collect()))
     with pytest.raises(ValueError):
         jobs.alert_stream(stream, 250.0, 50.0, initial_state=state)
+
+
+def test_documents_land_as_files_side_by_side_and_slices_are_spread(spark, tmp_path):
+    from tickwarden.sources import landing
+    from tickwarden.sources.tables import event_ticks
+    from tickwarden.streaming.replay import land_slice
+
+    docs = spark.createDataFrame([(f"p{i}", "{\n  1\n}" * i) for i in range(1, 8)], "poll string, value string")
+    landing.land_documents(docs, str(tmp_path / "docs"))
+    assert not [p for p in (tmp_path / "docs").iterdir() if p.is_dir()]
+    found = spark.read.text(str(tmp_path / "docs"), wholetext=True)
+    assert sorted(r.value.rstrip("\n") for r in found.collect()) == sorted(r.value for r in docs.collect())
+    ev = spark.range(4000).selectExpr("id event_id", "timestamp_ntz'2024-01-01 00:00:00' ts", "id % 9 user_id",
+                                      "'view' event_type", "id * 0.5D value", "'{\"k\": 3}' props")
+    ev.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    tasks = lambda df: {r[0] for r in df.selectExpr("spark_partition_id()").distinct().collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len(tasks(event_ticks(spark, str(tmp_path)).where("seq < 1000"))) == 1
+        feed = landing.tick_feed(spark, str(tmp_path))
+        assert len(tasks(feed.where("offset < 1000"))) > 1
+        land_slice(feed, str(tmp_path / "in"), 0, 1000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 1000

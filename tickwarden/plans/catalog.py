@@ -574,7 +574,7 @@ def q_stream_snapshot_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _Run(spark, "documents")
     landing.land_documents(landing.snapshot_documents(spark, sf_dir), run.landing)
     apps.route_app(
-        files.stream_text(spark, f"{run.landing}/*", whole_text=True, max_files_per_trigger=None),
+        files.stream_text(spark, run.landing, whole_text=True, max_files_per_trigger=None),
         run.checkpoint, out=f"{run.out}/routed", quarantine=f"{run.out}/rejected",
         trigger="availableNow", partition_by=(),
     ).awaitTermination()

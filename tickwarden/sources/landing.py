@@ -33,7 +33,7 @@ def _garble(text: Column) -> Column:
 def tick_feed(spark: SparkSession, sf_dir: str, late: Column | None = None) -> DataFrame:
     """Every event as tick JSON text (the stock topic), in event order;
     ``late`` (milliseconds) sets its time back, so times arrive disordered."""
-    t = event_ticks(spark, sf_dir)
+    t = event_ticks(spark, sf_dir, spread=True)
     if late is not None:
         t = t.withColumn("timestamp", F.col("timestamp") - late)
         t = t.withColumn("datetime", iso_datetime(F.col("timestamp")))
@@ -42,7 +42,7 @@ def tick_feed(spark: SparkSession, sf_dir: str, late: Column | None = None) -> D
 
 def dirty_tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick JSON with corrupt records: garbled text, quoted close."""
-    t = event_ticks(spark, sf_dir)
+    t = event_ticks(spark, sf_dir, spread=True)
     quoted = [F.col(c).cast("string").alias(c) if c == "close" else F.col(c) for c in TICK_FIELDS]
     good = F.to_json(F.struct(*TICK_FIELDS), {"ignoreNullFields": "false"})
     text = (
@@ -62,7 +62,7 @@ def point_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``purchase`` events send the close as text, ``view`` events a time
     with a ``Z`` suffix, ``error`` events are garbled.
     """
-    t = event_ticks(spark, sf_dir)
+    t = event_ticks(spark, sf_dir, spread=True)
     hour = bucket_start_ms(F.col("timestamp"), 1, "hour")
     dt = F.when(F.col("event_type") == "view", F.concat(iso_datetime(hour), F.lit("Z"))).otherwise(
         iso_datetime(hour)
@@ -79,7 +79,7 @@ def point_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor snapshots ``{"current": {"time", "interval", "value", "k"}}``;
     ``error`` events arrive without the ``current`` key."""
-    t = event_ticks(spark, sf_dir)
+    t = event_ticks(spark, sf_dir, spread=True)
     fields = F.struct(
         F.col("datetime").alias("time"),
         F.lit(900).alias("interval"),
@@ -107,8 +107,10 @@ def snapshot_documents(spark: SparkSession, sf_dir: str, block: int = 100) -> Da
 
 
 def land_documents(docs: DataFrame, path: str) -> str:
-    """One file per document, as polls land them."""
-    docs.repartition("poll").write.mode("errorifexists").partitionBy("poll").text(path)
+    """One file per document, as polls land them, side by side: a folder for
+    each would have to be made and listed too."""
+    spread = docs.repartition("poll").select("value")
+    spread.write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
     return path
 
 

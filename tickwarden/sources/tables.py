@@ -19,9 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as tick records plus ``seq`` (event id) and ``size``."""
+def event_ticks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``events`` as tick records plus ``seq`` (event id) and ``size``.
+
+    With ``spread`` over all tasks: the table lies in event order, so a range
+    of it would otherwise be worked on by the few tasks that read it."""
     ev = read_table(spark, sf_dir, "events")
+    if spread:
+        ev = ev.repartition(F.xxhash64("event_id"))
     size = F.get_json_object("props", "$.k").cast("bigint")
     # epoch ms in its own projection: referenced twice below, Catalyst
     # keeps it computed once instead of inlining it
