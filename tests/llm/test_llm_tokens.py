@@ -14,6 +14,7 @@ from tickwarden.llm import packing, repair, tokenbin
 from tickwarden.llm.tokens import END_ID, PieceEncoder, default_tokenizer
 
 REFERENCE = Tokenizer.from_file(default_tokenizer())
+ENCODER = PieceEncoder(default_tokenizer(), memo=40)
 SF = "/root/testdata/sf0.001"
 
 
@@ -43,6 +44,25 @@ def test_pieces_encode_like_whole_texts_generated(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(texts)] == [whole(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBé'ʼ1.,!& \n\r\t\x0b\x1c\x85\u00a0\u3000ɐא中́", max_size=30)), max_size=5))
+def test_lines_and_punctuation_encode_like_whole_texts(texts):
+    got = ENCODER.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole(t) for t in texts]
+
+
+def test_library_sees_words_once_whatever_line_or_punctuation_is_beside_them():
+    enc = PieceEncoder(default_tokenizer())
+    given_to_library = []
+    new = enc._encode_new
+    enc._encode_new = lambda pieces, *lead: given_to_library.extend(pieces) or new(pieces, *lead)
+    texts = ["start " + " ".join(f"{a}{p}\n{b}" for a in ("alpha", "beta") for b in ("gamma", "delta") for p in ("", ".", "!?"))]
+    texts.append("start gamma, alpha beta: alpha; alpha\n\nbeta")
+    assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(texts)] == [whole(t) for t in texts]
+    # four words, "gamma" and "delta" behind a line feed, and the piece with an empty line
+    assert sorted(given_to_library) == sorted(["alpha", "beta", "gamma", "gamma", "delta", "alpha\n\nbeta"])
+
+
 # ------------------------------------------------------------------ packing
 
 
@@ -176,6 +196,18 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert shard.slice(7, 100, 300).tolist() == docs[7][100:300].tolist()
 
 
+def test_repair_rounds_look_only_where_a_frequent_pair_may_begin(monkeypatch):
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 50_257, 400)
+    docs = [np.concatenate((rng.integers(0, 50_257, 300), passage)) for _ in range(100)]
+    starts = np.arange(0, 70_000, 700)
+    looked, found = [], repair._frequent_pairs
+    monkeypatch.setattr(repair, "_frequent_pairs", lambda s, at, *o: looked.append((len(s), len(at))) or found(s, at, *o))
+    symbols, firsts, _ = repair.compress(np.concatenate(docs).astype("<u4"), starts, 50_257)
+    assert len(looked) > 5 and most_frequent_pair(symbols, firsts) < repair.MIN_COUNT
+    assert looked[0] == (70_000, 69_900) and looked[-1][0] > 30_000 and all(n < 1_000 for _, n in looked[-3:])
+
+
 def test_repair_finds_a_frequent_pair_behind_a_full_bin_of_rare_ones():
     pairs = np.stack(np.meshgrid(np.arange(3000), np.arange(3000)), axis=-1).reshape(-1, 2).astype(np.uint32)
     keys = (pairs[:, 0] << np.uint32(16)) | pairs[:, 1]

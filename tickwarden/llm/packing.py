@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.llm.common import batches, column, prepare, stored, worker_task
-from tickwarden.llm.tokens import END_ID, default_tokenizer, encoder
+from tickwarden.llm.common import batches, prepare, stored, worker_task
+from tickwarden.llm.tokens import END_ID, default_tokenizer, encoded, encoder
 
 MAX_TOKENS = 1024
 OPEN_BINS = 2048
@@ -114,17 +114,16 @@ def document_pieces(
         enc = encoder(path, memo)
 
         def rows():
-            for batch in parts:
-                for doc, ids in zip(column(batch, "doc_id"), enc.encode(column(batch, "text"))):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % max_tokens or min(n, max_tokens)
-                    start, piece = 0, 0
-                    while start < n:
-                        length = first if start == 0 else max_tokens
-                        part = ids[4 * start : 4 * (start + length)]
-                        yield doc, piece, start, length, zlib.crc32(part), part if with_ids else None
-                        start, piece = start + length, piece + 1
+            for doc, ids in encoded(parts, enc):
+                ids += end
+                n = len(ids) // 4
+                first = n % max_tokens or min(n, max_tokens)
+                start, piece = 0, 0
+                while start < n:
+                    length = first if start == 0 else max_tokens
+                    part = ids[4 * start : 4 * (start + length)]
+                    yield doc, piece, start, length, zlib.crc32(part), part if with_ids else None
+                    start, piece = start + length, piece + 1
 
         yield from batches(rows(), PIECES)
 

@@ -4,6 +4,8 @@ A shard holds the ids of consecutive documents.  Rounds count the
 adjacent pairs inside documents and replace the most frequent ones, each
 by a new symbol (a nonterminal) with the rule "symbol -> pair"; later
 rounds pair nonterminals too, until no pair is found ``MIN_COUNT`` times.
+A pair of old symbols never becomes more frequent, so a round looks only
+at places that the last one changed or found frequent enough.
 Where chosen pairs overlap, the leftmost is replaced; a rule that this
 leaves without a use is not kept.  Symbols have 16 bits until those are
 used up, then 32.
@@ -44,20 +46,31 @@ class RepairError(ValueError):
     """The file is not a shard of this format."""
 
 
-def _frequent_pairs(s: np.ndarray, ends: np.ndarray, most: int, min_count: int):
-    """The most frequent pairs (their keys), the positions that hold one and
-    the pair's number there.  ``ends``: positions that begin no pair."""
-    if s.dtype == np.uint16:
-        keys = (s[:-1].astype(np.uint32) << np.uint32(16)) | s[1:]
-        bins = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS)).astype(np.int32)
+def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    if left.dtype == np.uint16:
+        return (left.astype(np.uint32) << np.uint32(16)) | right
+    return (left.astype(np.uint64) << np.uint64(32)) | right
+
+
+def _bins(keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == np.uint32:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS)).astype(np.int64)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
+
+
+def _frequent_pairs(s: np.ndarray, places: np.ndarray, most: int, min_count: int):
+    """The most frequent pairs (their keys) that begin at ``places``, the
+    positions that hold one and the pair's number there, and the places whose
+    pair may be frequent."""
+    if 2 * len(places) > len(s):  # by slices, which is faster than by places
+        keys = _keys(s[:-1], s[1:])[places]
     else:
-        keys = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
-    bins[ends] = 1 << _BINS
-    counts = np.bincount(bins, minlength=(1 << _BINS) + 1)
-    counts[-1] = 0
+        keys = _keys(s[places], s[places + 1])
+    bins = _bins(keys)
+    counts = np.bincount(bins, minlength=1 << _BINS).astype(np.int32)
     # a pair is no more frequent than its bin: take the bins of the highest counts
-    ladder = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
+    full = counts[counts >= min_count]
+    ladder = np.cumsum(np.bincount(np.minimum(full, 1 << 16), minlength=min_count + 1)[::-1])[::-1]
     edge = max(min_count, int(np.searchsorted(-ladder, -most, side="right")) - 1)
     while True:
         at = np.flatnonzero((counts >= edge)[bins])
@@ -69,18 +82,15 @@ def _frequent_pairs(s: np.ndarray, ends: np.ndarray, most: int, min_count: int):
             break
         edge = min_count  # full bins of rare pairs: a frequent one may be in any other
     # one pair per bin; a less frequent one in its bin waits for a later round
-    number = np.full((1 << _BINS) + 1, -1, np.int32)
-    if found.dtype == np.uint32:
-        own = ((found * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS)).astype(np.int32)
-    else:
-        own = ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
+    own = _bins(found)
     _, first = np.unique(own, return_index=True)
     first.sort()
     found, own = found[first], own[first]
+    number = np.full(1 << _BINS, -1, np.int16 if len(found) < 1 << 15 else np.int32)
     number[own] = np.arange(len(found))
     which = number[bins[at]]
-    hit = (which >= 0) & (found[which] == here) if len(found) else np.zeros(len(at), bool)
-    return found, at[hit], which[hit]
+    hit = np.flatnonzero((which >= 0) & (found[which] == here)) if len(found) else at[:0]
+    return found, places[at[hit]], which[hit], places[np.flatnonzero((counts >= min_count)[bins])]
 
 
 def compress(
@@ -97,16 +107,17 @@ def compress(
         last[-1] = True
     rules: list[np.ndarray] = []
     symbol = vocabulary
+    places = np.flatnonzero(~last)  # where a frequent pair may begin
     for _ in itertools.count() if rounds is None else range(rounds):
         if len(s) < 2:
             break
-        pairs, at, which = _frequent_pairs(s, np.flatnonzero(last[:-1]), per_round, min_count)
+        pairs, at, which, places = _frequent_pairs(s, places, per_round, min_count)
         if not len(pairs):
             break
         # in a run of overlapping candidates every other one is replaced
-        begins = np.concatenate(([True], np.diff(at) != 1))
-        run_start = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run_start) % 2 == 0
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+        run_start = np.repeat(begins, np.diff(np.append(begins, len(at))))
+        take = np.flatnonzero((np.arange(len(at)) - run_start) & 1 == 0)
         at, which = at[take], which[take]
         used = np.bincount(which, minlength=len(pairs)) > 0
         pairs, which = pairs[used], (np.cumsum(used) - 1)[which]
@@ -117,7 +128,15 @@ def compress(
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
+        # a new symbol makes a new pair with either neighbour
+        live = np.zeros(len(s), bool)
+        live[places] = True
+        live[at] = True
+        live[at[at > 0] - 1] = True
+        live &= ~last
+        keep = np.flatnonzero(keep)
         s, last = s[keep], last[keep]
+        places = np.flatnonzero(live[keep])
         pairs = pairs.astype(np.uint64)
         rules.append(np.stack((pairs >> half, pairs & ((np.uint64(1) << half) - np.uint64(1))), axis=1).astype(np.uint32))
         symbol += len(pairs)

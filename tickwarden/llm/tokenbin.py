@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickwarden.llm.common import RangeReader, SharedFile, batches, column, prepare, stored, worker_task
 from tickwarden.llm.repair import Shard, shard_bytes
-from tickwarden.llm.tokens import END_ID, default_tokenizer, encoder
+from tickwarden.llm.tokens import END_ID, default_tokenizer, encoded, encoder
 from tickwarden.session import scratch_path
 
 SHARD_TOKENS = 2_000_000
@@ -66,14 +66,13 @@ def write_shards(
 
         def rows():
             number, ids, found, size = 0, [], [], 0
-            for batch in parts:
-                for doc, code in zip(column(batch, "doc_id"), enc.encode(column(batch, "text"))):
-                    ids.append(doc)
-                    found.append(code + end)
-                    size += len(code) // 4 + 1
-                    if size >= shard_tokens:
-                        yield write(number, ids, found)
-                        number, ids, found, size = number + 1, [], [], 0
+            for doc, code in encoded(parts, enc):
+                ids.append(doc)
+                found.append(code + end)
+                size += len(code) // 4 + 1
+                if size >= shard_tokens:
+                    yield write(number, ids, found)
+                    number, ids, found, size = number + 1, [], [], 0
             if ids:
                 yield write(number, ids, found)
 
