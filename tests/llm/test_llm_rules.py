@@ -285,7 +285,7 @@ def test_pipeline_of_odd_and_of_no_documents(spark):
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_queries_match_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     df = entry.queries()[key](spark, SMALL)
     rel = con.sql(entry.oracle_sql()[key])
@@ -296,4 +296,4 @@ def test_queries_match_sql(spark, key):
 
 def test_every_operator_is_registered():
     names = [k for k in entry.queries() if k.startswith("op")]
-    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 14)) and "pipeline" in entry.queries()

@@ -92,7 +92,7 @@ def _search(k: int):
         if len(candidates) and len(queries):
             block = Block(candidates["vec_id"].to_numpy(np.int64), list(candidates["x"]))
             sums, work = np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64)
-            for q, own, vector in zip(queries["q"], queries["query_id"], queries["x"]):
+            for q, own, vector in zip(queries["row"], queries["query_id"], queries["vector"]):
                 scores = block.scores(np.asarray(vector, np.float64), sums, work)
                 out += [(q, own, int(block.ids[i]), as_score(scores[i])) for i in block.best(scores, own, k)]
         return pd.DataFrame(out, columns=["q", "query_id", "vec_id", "score"])
@@ -107,16 +107,19 @@ def top_k(
     prepare(rows.sparkSession)
     # the number of a row tells the rows of one id apart
     rows = stored(rows.select("vec_id", "x", F.monotonically_increasing_id().alias("q")), "vectors")
-    queries = rows.where(is_query).select("q", F.col("vec_id").alias("query_id"), "x")
+    # names of their own: Spark prunes columns that both sides of a cogroup share
+    queries = rows.where(is_query).select(
+        F.col("q").alias("row"), F.col("vec_id").alias("query_id"), F.col("x").alias("vector")
+    )
     n, q = rows.count(), queries.count()
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-q // query_rows))
 
-    def dealt(df: DataFrame, own: int, name: str, other: int, other_name: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("q"), F.lit(own)).cast("int").alias(name)
+    def dealt(df: DataFrame, number: str, own: int, name: str, other: int, other_name: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(number), F.lit(own)).cast("int").alias(name)
         return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name))
 
-    left = dealt(rows, blocks, "block", groups, "part").groupBy("block", "part")
-    right = dealt(queries, groups, "part", blocks, "block").groupBy("block", "part")
+    left = dealt(rows, "q", blocks, "block", groups, "part").groupBy("block", "part")
+    right = dealt(queries, "row", groups, "part", blocks, "block").groupBy("block", "part")
     partial = left.cogroup(right).applyInPandas(_search(k), f"q bigint, query_id bigint, vec_id bigint, score {SCORE}")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
